@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, sharding
+from . import language_id, mixing, packing, sharding, token_files
 from .common import stored, table
 
 
@@ -29,6 +29,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = stored(token_files.write_files(table(spark, sf_dir, "documents")), "token-files")
+    return token_files.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op6_token_files": op6_token_files,
     "op8_packing": op8_packing,
 }
 
