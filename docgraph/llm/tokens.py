@@ -2,11 +2,13 @@
 
 Both the normalizer and the pre-tokenizer of the vocabulary work on either side of a blank or a line feed alone, so the ids
 of a text are those of its words one after another. New words are encoded together, with a mark between them whose id is
-known; a word that holds the mark is encoded alone.
+known; a word that holds the mark is encoded alone. For words of Latin-1 letters and at most a full stop or comma after
+them it is known beforehand what normalizer and pre-tokenizer make of them, so the library's model gets that at once.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
@@ -15,8 +17,11 @@ from tokenizers import Tokenizer
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Words that one worker remembers; beyond, it forgets those seen once.
-REMEMBERED = 900_000
+REMEMBERED = 700_000
 _MARK = "\x01"
+_PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
+#: The vocabulary's alphabet has other characters for these bytes than Latin-1 has.
+_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])} | {32: 32}
 _OPEN: dict[str, Encoder] = {}
 
 
@@ -38,6 +43,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         mark = self.library.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.tokenize = self.library.model.tokenize
+        stops = {c: self.library.encode(c, add_special_tokens=False).ids for c in ".,"}
+        self.stops = {c: ids[0] for c, ids in stops.items() if len(ids) == 1}
+        self.plain = self._as_expected()
         self.forget()
 
     def forget(self) -> None:
@@ -62,7 +71,28 @@ class Encoder:
             ids = np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32)
             self._add([w], ids, np.array([len(ids)]))
 
+    def _as_expected(self) -> bool:
+        """Whether this vocabulary treats plain words as the shortcut does."""
+        probe = ["Straße,", "ÀÉàé.", "the", "Ðñ", "word.", "xyzzyx", "A,", "Éa"]
+        return all(self.library.encode(w, add_special_tokens=False).ids == self._plain_ids(w) for w in probe)
+
+    def _plain_ids(self, word: str) -> list[int]:
+        word = word.lower()
+        end = self.stops.get(word[-1])
+        if end is not None:
+            word = word[:-1]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.tokenize(word)]
+        if end is not None:
+            ids.append(end)
+        return ids
+
     def _learn(self, words: list[str]) -> None:
+        if self.plain and (plain := list(filter(_PLAIN, words))):
+            lists = list(map(self._plain_ids, plain))
+            self._add(plain, np.array(list(chain.from_iterable(lists)), np.uint32), np.array(list(map(len, lists)), np.int64))
+            words = [w for w in words if w not in self.known]
         joint = [w for w in words if _MARK not in w] if self.mark is not None else []
         for at in range(0, len(joint), 20_000):
             part = joint[at : at + 20_000]

@@ -85,8 +85,9 @@ def shingle_hashes(words: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.
     counts = np.diff(offs)
     n = len(words)
     rolled = np.zeros(max(0, n - width + 1), np.uint64)
+    factors = np.random.default_rng(width).integers(0, 1 << 63, width, dtype=np.uint64) * U(2) + U(1)  # of no common pattern, or permuted words collide
     for k in range(width):
-        rolled += words[k : n - width + 1 + k] * U(2 * (0x632BE59BD9B4E019 + k * 0x9E3779B97F4A7C15 % (1 << 62)) % (1 << 64) + 1) if len(rolled) else U(0)
+        rolled += words[k : n - width + 1 + k] * factors[k] if len(rolled) else U(0)
     rolled = mixed(rolled)
     keep = np.zeros(len(rolled) + 1, np.int32)  # +1 where a text's runs begin, -1 where they end
     long = counts >= width
