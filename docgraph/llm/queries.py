@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, packing, sharding, token_files
+from . import fingerprints, language_id, media, mixing, ngram_join, packing, sharding, token_files
 from .common import stored, table
 
 
@@ -29,6 +29,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.compare(fingerprints.edited(fingerprints.with_next(table(spark, sf_dir, "documents"))))
+    return rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = stored(token_files.write_files(table(spark, sf_dir, "documents")), "token-files")
     return token_files.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -42,13 +47,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.described(media.restore(*media.store(table(spark, sf_dir, "documents"))))
+    payload = F.col("payload")
+    tail = F.substring(payload, -64, 64)
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_token_files": op6_token_files,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
+    "op9_media": op9_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
