@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extraction, language_id, media, mixing, ngram_join, packing, sharding, token_files
+from . import fingerprints, html_extraction, language_id, licenses, media, mixing, ngram_join, packing, sharding, token_files
 from .common import stored, table
 
 
@@ -62,6 +62,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text_sha256", "license_id", F.array_join("notices", " ").alias("notices"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
     "op9_media": op9_media,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
