@@ -104,7 +104,8 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike("licen[cs]e|cc[- ]?by|cc0"))
     whole = F.array(F.struct(F.lit(True).alias("entire"), F.sha2(canonical(text), 256).alias("digest")))
     of_lines = F.transform(lines, lambda x: F.struct(F.lit(False).alias("entire"), F.sha2(canonical(x), 256).alias("digest")))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.explode(F.concat(whole, of_lines)).alias("c"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.concat(whole, of_lines).alias("c"))
+    rows = rows.select("doc_id", "_row", F.explode("c").alias("c"))
     rows = rows.select("doc_id", "_row", F.col("c.entire").alias("entire"), F.col("c.digest").alias("digest"))
     rows = rows.join(F.broadcast(known(docs.sparkSession)), F.col("digest") == F.col("license_digest"), "left")  # a fixed list
     found = rows.groupBy("_row").agg(
