@@ -11,7 +11,7 @@ with nothing). Two sets link when 100 * |A & B| >= 85 * |A | B|. Steps:
    of its group counts, and an R-tree over the points of those that meet yields the pairs whose overlap can be large enough,
    bounded by the summed minima of coordinates (of a node: its maxima). Where many meet, they are dealt into blocks and each
    pair of blocks is searched, so no task holds more than two blocks and none is left out.
-5. Surviving pairs are verified on their whole sets, and components are taken over all links.
+5. Surviving pairs are bounded once more with as many groups as their sizes ask for, then verified on their whole sets, and components are taken over all links.
 
 Null texts are empty. Rows with a null doc_id cannot be named: they get their set's size and their group's component but add
 no link. Rows that repeat a doc_id count as one document with several texts. Empty tables give empty results.
@@ -20,7 +20,7 @@ no link. Rows that repeat a doc_id count as one document with several texts. Emp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,11 @@ from .words import U, shingle_hashes, text_bytes, word_hashes
 WIDTH = 4
 #: Link when NUM * |A | B| <= DEN * |A & B|.
 NUM, DEN = 85, 100
-GROUPS = 64
+GROUPS = 128
 #: Classes in a block of those that meet; children of a node.
 BLOCK, FANOUT = 512, 32
+#: Classes in a block of those whose sets are verified together.
+SETS = 256
 #: The bounded sample that the order of shingles is fit on, and how many frequent ones it puts last.
 SAMPLE_DOCS, FREQUENT, LEAST_SEEN = 4000, 50_000, 4
 
@@ -54,6 +56,16 @@ def batch_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.unique(runs[to[i] : to[i + 1]])
 
 
+def counted(s: np.ndarray, bits: int) -> np.ndarray:
+    """Group counts of a set; groups are ranges of hashes, so summing neighbours gives the counts of half as many groups."""
+    return np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
+
+
+def fine(s: np.ndarray) -> np.ndarray:
+    """Group counts with about eight shingles a group, so that large sets are told apart as well as small ones."""
+    return counted(s, min(16, max(6, (len(s) // 8).bit_length())))
+
+
 def frequent(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles seen in LEAST_SEEN or more documents of the sample, rarest first; at most FREQUENT of them."""
     arrow_limits(docs.sparkSession)
@@ -94,7 +106,7 @@ def sets_table(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
                 else:
                     own = s
                 first.append(own[:k].view(np.int64))
-                counts.append(np.bincount((s >> U(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() if len(s) else None)
+                counts.append(counted(s, GROUPS.bit_length() - 1).tobytes() if len(s) else None)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "first", "counts"])
@@ -136,22 +148,27 @@ class CountTree:
         return rows[(NUM + DEN) * bound >= NUM * (n + self.sizes[rows])]
 
 
-def meeting_pairs(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, part: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs of different components whose overlap may link them; between the parts where there are two."""
+def meeting_pairs(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, part: np.ndarray, pos: np.ndarray) -> set[tuple[int, int]]:
+    """Pairs of different components whose overlap may link them; between the parts where there are two. pos: how many
+    shingles of its own a class has before the one they meet in. If that is the first they share, no more than what follows
+    in both can be; if it is not, the pair is judged where it is."""
     pairs = set()
     two = part.min() != part.max()
     left, right = (np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())) if two else (np.arange(len(ids)),) * 2
     tree = CountTree(points[right])
+    sizes = points.sum(1)
+    after = sizes - pos
     for i in left:
         rows = right[tree.search(points[i])]
-        for j in rows[(comps[rows] != comps[i])].tolist():
+        rows = rows[(comps[rows] != comps[i]) & ((NUM + DEN) * np.minimum(after[rows], after[i]) >= NUM * (sizes[rows] + sizes[i]))]
+        for j in rows.tolist():
             a, b = int(ids[i]), int(ids[j])
             pairs.add((a, b) if a < b else (b, a))
     return pairs
 
 
 def _vector(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4").astype(np.int64)
+    return np.frombuffer(raw, "<u2").astype(np.int64)
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -160,7 +177,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            va, vb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("va", "vb"))
+            va, vb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64) for c in ("va", "vb"))
             keep = (NUM + DEN) * np.minimum(va, vb).sum(1) >= NUM * (va.sum(1) + vb.sum(1))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
@@ -168,69 +185,101 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Of pairs (a, b) those that link, by their whole sets."""
+    """Of pairs (a, b) those that link: first by fine counts, a sixteenth of the bytes or less, then by the whole sets."""
+    return _compared(stored(_compared(pairs, docs, width, fine, _may_link, "<u2"), "ngram-near"), docs, width, lambda s: s, _linked, "<u8")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, width: int, of: Callable, test: Callable, kind: str) -> DataFrame:
+    """Of pairs (a, b) those that pass test by what `of` makes of their sets. A set goes once to each pair of blocks of its group of candidates
+    that needs it, not once with each pair."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in batch_sets(b.column("text"), width)], pa.binary())], ["doc_id", "s"])
-
-    table = stored(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "sets")
-    side = lambda c: table.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([of(s).tobytes() for s in batch_sets(b.column("text"), width)], pa.binary())], ["doc_id", "s"])
+
+    table = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
+    comp = components(pairs)
+    blocks = comp.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("_n"))
+    place = comp.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int").alias("block"))
+    side = lambda c: place.select(F.col("node").alias(c), F.col("component"), F.col("block").alias(f"_{c}"))
+    placed = pairs.join(side("a"), "a").join(side("b").drop("component"), "b")
+    key = ["component", "lo", "hi"]
+    placed = stored(placed.select("component", F.least("_a", "_b").alias("lo"), F.greatest("_a", "_b").alias("hi"), "a", "b"), "ngram-placed")
+    wanted = placed.select(*key, F.col("a").alias("doc_id")).union(placed.select(*key, F.col("b").alias("doc_id"))).distinct()
+    none = F.lit(None).cast("binary")
+    rows = wanted.join(table, "doc_id").select(*key, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "s")
+    rows = rows.unionByName(placed.select(*key, F.lit(1).alias("kind"), "a", "b", none.alias("s")))
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "kind")
 
     def run(batches):
-        for batch in batches:
-            keep, last, held = [], None, None
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
-                if a != last:
-                    last, held = a, np.frombuffer(x.as_py(), np.uint64)
-                other = np.frombuffer(y.as_py(), np.uint64)
-                if len(held):
-                    at = np.minimum(np.searchsorted(held, other), len(held) - 1)
-                    both = int((held[at] == other).sum())
-                else:
-                    both = 0
-                keep.append(both > 0 and DEN * both >= NUM * (len(held) + len(other) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
-
-    arrow_limits(docs.sparkSession, 128)
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+        key, held = None, {}
+        for b in batches:
+            out = []
+            for c, lo, hi, what, x, y, s in zip(*(b.column(n).to_pylist() for n in ("component", "lo", "hi", "kind", "a", "b")), b.column("s"), strict=True):
+                if (c, lo, hi) != key:
+                    key, held = (c, lo, hi), {}
+                if what == 0:
+                    held.setdefault(x, []).append(np.frombuffer(s.as_py(), kind))
+                elif any(test(p, q) for p in held.get(x, ()) for q in held.get(y, ())):
+                    out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    arrow_limits(docs.sparkSession, 256)
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _may_link(a: np.ndarray, b: np.ndarray) -> bool:
+    while len(a) > len(b):
+        a = a.reshape(-1, 2).sum(1)
+    while len(b) > len(a):
+        b = b.reshape(-1, 2).sum(1)
+    return (NUM + DEN) * int(np.minimum(a, b).sum()) >= NUM * (int(a.sum()) + int(b.sum()))
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return False
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
 def _searched(meet: DataFrame, spark) -> DataFrame:
-    """meet: (tok, rep, comp, counts) of shingles that several components share. Pairs across components that may link."""
+    """meet: (tok, pos, rep, comp, counts) of shingles that several components share. Pairs across components that may link."""
     size = meet.groupBy("tok").agg(F.count("*").alias("_k")).withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int")).drop("_k")
     rows = meet.join(size, "tok").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    rows = rows.select("tok", "rep", "comp", "counts", "_own", other)
+    rows = rows.select("tok", "pos", "rep", "comp", "counts", "_own", other)
     rows = rows.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).drop("_other")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi")
     arrow_limits(spark, 2048)
 
     def run(batches):
-        key, ids, comps, counts, part = None, [], [], [], []
+        key, ids, comps, counts, part, before = None, [], [], [], [], []
         sent: set[tuple[int, int]] = set()
 
         def close():
             if len(set(comps)) < 2:
                 return None
             points = np.stack([_vector(c) for c in counts])
-            new = meeting_pairs(np.array(ids), np.array(comps), points, np.array(part)) - sent
+            new = meeting_pairs(np.array(ids), np.array(comps), points, np.array(part), np.array(before)) - sent
             if len(sent) > 500_000:  # repeats beyond it go in the distinct() that follows
                 sent.clear()
             sent.update(new)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], ["a", "b"]) if new else None
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("tok", "lo", "hi", "rep", "comp", "counts", "_own")]
-            for tok, lo, hi, rep, comp, vec, own in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("tok", "lo", "hi", "rep", "comp", "counts", "_own", "pos")]
+            for tok, lo, hi, rep, comp, vec, own, at in zip(*cols, strict=True):
                 if (tok, lo, hi) != key:
                     if key is not None and (out := close()) is not None:
                         yield out
-                    key, ids, comps, counts, part = (tok, lo, hi), [], [], [], []
-                ids.append(rep), comps.append(comp), counts.append(vec), part.append(own)
+                    key, ids, comps, counts, part, before = (tok, lo, hi), [], [], [], [], []
+                ids.append(rep), comps.append(comp), counts.append(vec), part.append(own), before.append(at)
         if key is not None and (out := close()) is not None:
             yield out
 
@@ -245,16 +294,19 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = table.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "first", "counts")])
     classes = stored(classes, "ngram-classes")
     points = classes.select("rep", "counts")
-    posts = classes.select("rep", F.explode("first").alias("tok"))
+    posts = classes.select("rep", F.posexplode("first").alias("pos", "tok"))
     shared = posts.groupBy("tok").agg(F.min("rep").alias("center"), F.count("*").alias("k")).filter("k > 1").select("tok", "center")
     shared = stored(shared, "ngram-shared")
-    meet = stored(posts.join(shared, "tok"), "ngram-meet")  # (tok, rep, center)
+    meet = stored(posts.join(shared, "tok"), "ngram-meet")  # (tok, pos, rep, center)
     tries = meet.filter("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("k"))
     tries = tries.groupBy("rep").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("a")).select("a", F.col("rep").alias("b"))
     links = stored(_verified(stored(_bounded(tries, points), "ngram-tries"), docs, width), "ngram-links")
     comp = components(links)
-    named = meet.select("tok", "rep").join(comp, meet["rep"] == comp["node"], "left").select("tok", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
+    named = meet.select("tok", "pos", "rep").join(comp, meet["rep"] == comp["node"], "left").select("tok", "pos", "rep", F.coalesce("component", "rep").alias("comp"))
+    h = F.xxhash64("rep")  # of all shingles that the same classes share, the first is enough
+    who = [F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y"), F.count("*").alias("k"), F.sum("pos").alias("at")]
+    open_ = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *who).filter("lo <> hi")
+    open_ = open_.groupBy("x", "y", "k").agg(F.min_by("tok", "at").alias("tok")).select("tok")
     left = stored(named.join(open_, "tok", "left_semi").join(points, "rep"), "ngram-open")
     pairs = stored(_searched(left, spark), "ngram-pairs")
     more = stored(_verified(pairs, docs, width), "ngram-links")
