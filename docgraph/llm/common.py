@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows and bytes of one Arrow batch that a Python worker holds.
@@ -27,6 +28,36 @@ def arrow_limits(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def settle(keep: str = "") -> None:
+    """Give back what a worker holds from earlier tasks: caches other than keep's, Arrow's pool, the allocator's free pages."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    tokens = sys.modules.get("docgraph.llm.tokens")
+    if tokens is not None and keep != "tokens":
+        tokens._OPEN.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | T.StructType, keep: str = "") -> DataFrame:
+    """mapInArrow with workers that settle() before and after a task."""
+
+    def task(batches: Iterator) -> Iterator:
+        settle(keep)
+        yield from run(batches)
+        settle(keep)
+
+    return df.mapInArrow(task, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as spark.checkpoint.dir names it. Only where none is set (tests on one machine) an own one is made."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_limits, range_bucket
+from .common import arrow_limits, arrow_map, range_bucket
 from .words import U, mixed, shingle_hashes, text_bytes, word_hashes
 
 WIDTH = 5
@@ -115,6 +115,4 @@ def compare(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             cols += [text(own, some), text(other, other_some), pa.array(likeness(own, some, other, other_some)), pa.array(likeness(own, some, after, after_some))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return rows.select("doc_id", "text", "next_text", "last", "n_chars", "edited").mapInArrow(
-        run, "doc_id long, text string, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+    return arrow_map(rows.select("doc_id", "text", "next_text", "last", "n_chars", "edited"), run, "doc_id long, text string, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

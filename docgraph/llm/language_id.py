@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits
+from .common import arrow_limits, arrow_map
 from .words import text_bytes
 
 WINDOW = 192
@@ -126,7 +126,7 @@ def train(rows: np.ndarray, labels: np.ndarray, langs: list[str], seed: int = 7)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    return docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
 def held_out() -> Column:
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
         return None
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample_docs / n)))])
     u = (F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 32) - 1))) / F.lit(float(1 << 32))
-    picked = known.filter(u < F.element_at(share, F.col("lang"))).mapInArrow(_windows, "doc_id long, lang string, bytes binary").collect()
+    picked = arrow_map(known.filter(u < F.element_at(share, F.col("lang"))), _windows, "doc_id long, lang string, bytes binary").collect()
     docs_of: dict[str, dict[int, None]] = {}
     for r in sorted(picked, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"])):
         docs_of.setdefault(r["lang"], {})[r["doc_id"]] = None
@@ -202,4 +202,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             kept = [b.column(c) for c in names_in]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names.tolist(), pa.string()), pa.array(best, pa.float64())], [*names_in, "lang_pred", "score"])
 
-    return docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(predict, schema)
+    return arrow_map(docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), predict, schema)

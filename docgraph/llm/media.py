@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, stored
+from .common import arrow_limits, arrow_map, stored
 
 UNIT = 64
 LEAST, MOST, MASK = 512, 16384, (1 << 11) - 1
@@ -109,7 +109,7 @@ def shared_bitmap(docs: DataFrame) -> bytes:
             found = [d for _, f in _files(b.column("text")) for d, _ in chunks(f)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
-    seen = docs.select("text").mapInArrow(run, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    seen = arrow_map(docs.select("text"), run, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
     # the same bit as _bit(): the first eight bytes, little-endian, modulo a power of two
     octet = lambda i: F.conv(F.substring(F.hex("digest"), 2 * i + 1, 2), 16, 10).cast("long")
     bit = ((octet(0) + octet(1) * 256 + octet(2) * 65536 + octet(3) * 16777216) % BITMAP_BITS).alias("bit")
@@ -157,7 +157,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             cols[4] = [[dict(zip(keys, x, strict=True)) for x in r] for r in cols[4]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    both = docs.select("doc_id", "text").mapInArrow(run, f"uid long, doc_id long, n_bytes long, media_sha256 string, recipe {RECIPE}, data binary")
+    both = arrow_map(docs.select("doc_id", "text"), run, f"uid long, doc_id long, n_bytes long, media_sha256 string, recipe {RECIPE}, data binary")
     both = stored(both, "media-files")
     pieces = both.filter("uid is null").select(F.col("recipe")[0]["digest"].alias("digest"), "data")
     pieces = stored(pieces.groupBy("digest").agg(F.first("data").alias("data")), "media-chunks")
@@ -193,7 +193,7 @@ def restore(files: DataFrame, pieces: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "media_sha256", "media"])
 
-    return rows.select("doc_id", "n_bytes", "media_sha256", "recipe", "data", "remote").mapInArrow(run, "doc_id long, n_bytes long, media_sha256 string, media binary")
+    return arrow_map(rows.select("doc_id", "n_bytes", "media_sha256", "recipe", "data", "remote"), run, "doc_id long, n_bytes long, media_sha256 string, media binary")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -214,4 +214,4 @@ def described(media: DataFrame) -> DataFrame:
             cols += [pa.array([len(m) for m in b.column("media").to_pylist()], pa.int64()), pa.array(payloads, pa.binary()), pa.array(features, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "media_sha256", "media_bytes", "payload", "feature"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, media_sha256 string, media_bytes long, payload binary, feature string")
+    return arrow_map(media, run, "doc_id long, n_bytes long, media_sha256 string, media_bytes long, payload binary, feature string")

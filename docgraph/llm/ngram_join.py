@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, small, stored
+from .common import arrow_limits, arrow_map, small, stored
 from .components import components
 from .words import U, shingle_hashes, text_bytes, word_hashes
 
@@ -79,7 +79,7 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
             sets = [s.view(np.int64) for s in batch_sets(b.column(0), width)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["s"])
 
-    seen = docs.filter(u < min(1.0, SAMPLE_DOCS / n)).select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n"))
+    seen = arrow_map(docs.filter(u < min(1.0, SAMPLE_DOCS / n)).select("text"), run, "s long").groupBy("s").agg(F.count("*").alias("n"))
     top = seen.filter(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
     return np.array([r["s"] for r in reversed(top)], np.int64).view(np.uint64)
 
@@ -111,7 +111,7 @@ def sets_table(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "first", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, first array<long>, counts binary")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, digest binary, first array<long>, counts binary")
 
 
 class CountTree:
@@ -181,7 +181,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = (NUM + DEN) * np.minimum(va, vb).sum(1) >= NUM * (va.sum(1) + vb.sum(1))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb"), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, width: int, of: Callable, test:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([of(s).tobytes() for s in batch_sets(b.column("text"), width)], pa.binary())], ["doc_id", "s"])
 
-    table = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
+    table = arrow_map(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi"), sets, "doc_id long, s binary")
     comp = components(pairs)
     blocks = comp.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("_n"))
     place = comp.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int").alias("block"))
@@ -226,7 +226,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, width: int, of: Callable, test:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     arrow_limits(docs.sparkSession, 256)
-    return rows.mapInArrow(run, "a long, b long")
+    return arrow_map(rows, run, "a long, b long")
 
 
 def _may_link(a: np.ndarray, b: np.ndarray) -> bool:
@@ -267,7 +267,7 @@ def _searched(meet: DataFrame, spark) -> DataFrame:
                 return None
             points = np.stack([_vector(c) for c in counts])
             new = meeting_pairs(np.array(ids), np.array(comps), points, np.array(part), np.array(before)) - sent
-            if len(sent) > 500_000:  # repeats beyond it go in the distinct() that follows
+            if len(sent) > 200_000:  # repeats beyond it go in the distinct() that follows
                 sent.clear()
             sent.update(new)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], ["a", "b"]) if new else None
@@ -283,7 +283,7 @@ def _searched(meet: DataFrame, spark) -> DataFrame:
         if key is not None and (out := close()) is not None:
             yield out
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(rows, run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:

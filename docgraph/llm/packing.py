@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_limits
+from .common import arrow_limits, arrow_map
 from .tokens import encoder, vocabulary_path, with_end
 
 SEQUENCE = 4096
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, w
                     rows.append((names[doc], start, n, held[doc][start : start + n].tobytes(), len(held[doc]), base + done, offset))
                     offset += n
                 done += 1
-                if len(rows) >= 1024:
+                if len(rows) >= 256:
                     yield rows
                     rows = []
             if rows:
@@ -140,4 +140,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, w
         if held:
             yield from map(batch, flush())
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return arrow_map(docs.select("doc_id", "text"), run, SCHEMA, keep="tokens")

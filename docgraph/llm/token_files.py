@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, offsets_before, range_bucket, small
+from .common import arrow_limits, arrow_map, offsets_before, range_bucket, small
 from .tokens import END_ID, encoder, vocabulary_path, with_end
 
 MAGIC = b"DGTK1\0"
@@ -320,7 +320,7 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, end: int = END_I
         if names:
             yield close()
 
-    return rows.mapInArrow(run, "bucket int, seq int, n_docs long, n_ids long, data binary")
+    return arrow_map(rows, run, "bucket int, seq int, n_docs long, n_ids long, data binary", keep="tokens")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def read_files(files: DataFrame) -> DataFrame:
                     cols += [pa.array(docs[at:to], pa.int64(), mask=docs[at:to] == _NULL), pa.array(ends[at:to]), pa.array(counts[at:to]), pa.array(own, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["bucket", "seq", "doc_id", "_start", "n_tokens", "ids"])
 
-    docs = files.select("bucket", "seq", "data").mapInArrow(run, "bucket int, seq int, doc_id long, _start long, n_tokens long, ids binary")
+    docs = arrow_map(files.select("bucket", "seq", "data"), run, "bucket int, seq int, doc_id long, _start long, n_tokens long, ids binary")
     starts = offsets_before(files.select("bucket", "seq", "n_ids"), ["seq"], {"_before": "n_ids"}, "bucket").drop("n_ids")
     docs = docs.join(small(starts), ["bucket", "seq"])
     return docs.select("doc_id", (F.col("_before") + F.col("_start")).alias("start"), "n_tokens", "ids")

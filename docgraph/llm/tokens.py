@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Words that one worker remembers; beyond, it forgets those seen once.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 _MARK = "\x01"
 _PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
 #: The vocabulary's alphabet has other characters for these bytes than Latin-1 has.
@@ -110,13 +110,15 @@ class Encoder:
     def _trim(self) -> None:
         """Keep the words seen more than once, in at most half of the room."""
         n = len(self.known)
-        order = np.argsort(-self.seen[:n], kind="stable")[: REMEMBERED // 2]
-        kept = set(order[self.seen[order] > 1].tolist()) - {0}
-        words = [(w, k) for w, k in self.known.items() if k in kept]
-        flat, begin, count = self.flat, self.begin, self.count
+        order = np.argsort(-self.seen[1:n], kind="stable")[: REMEMBERED // 2] + 1
+        kept = np.sort(order[self.seen[order] > 1])
+        words = list(self.known)
+        words = [words[k] for k in kept.tolist()]  # the index of a word is its place in known
+        lengths = self.count[kept]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.arange(lengths.sum()) + np.repeat(self.begin[kept] - ends + lengths, lengths)]
         self.forget()
-        if words:
-            self._add([w for w, _ in words], np.concatenate([flat[begin[k] : begin[k] + count[k]] for _, k in words]), count[[k for _, k in words]])
+        self._add(words, ids, lengths)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and len + 1 offsets; null is empty."""
