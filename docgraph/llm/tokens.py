@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, each distinct word encoded once.
 
 Both the normalizer and the pre-tokenizer of the vocabulary work on either side of a blank or a line feed alone, so the ids
-of a text are those of its words one after another. New words are encoded together, with a mark between them whose id is
-known; a word that holds the mark is encoded alone. For words of Latin-1 letters and at most a full stop or comma after
-them it is known beforehand what normalizer and pre-tokenizer make of them, so the library's model gets that at once.
+of a text are those of its words one after another. For words of Latin-1 letters with ASCII marks other than an apostrophe
+after them it is known beforehand what normalizer and pre-tokenizer make of them: the letters and the marks are apart, and
+the library's model gets the letters at once. Any other word goes through the whole library.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Words that one worker remembers; beyond, it forgets those seen once.
 REMEMBERED = 600_000
-_MARK = "\x01"
-_PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = re.compile(f"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{re.escape(_MARKS)}]*").fullmatch
 #: The vocabulary's alphabet has other characters for these bytes than Latin-1 has.
 _BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])} | {32: 32}
 _OPEN: dict[str, Encoder] = {}
@@ -38,25 +38,36 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
+class Known(dict):
+    """Numbers of words; a new word gets the next number and is kept in fresh until its ids are learned."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.fresh.append(word)
+        return k
+
+
 class Encoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        mark = self.library.encode(_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
         self.tokenize = self.library.model.tokenize
-        stops = {c: self.library.encode(c, add_special_tokens=False).ids for c in ".,"}
-        self.stops = {c: ids[0] for c, ids in stops.items() if len(ids) == 1}
-        self.plain = self._as_expected()
+        self.marks: dict[str, list[int]] = {}
         self.forget()
+        probe = ["Straße,", "ÀÉàé.", "the", "Ðñ", "word.", "xyzzyx", "A,!", "Éa&&&", "x<|", "b_-_"]
+        self.plain = all(self._whole(w) == self._by_letters(w) for w in probe)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known = Known()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.count, self.seen = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        k, n = len(self.known), len(words)
-        self.known.update(zip(words, range(k, k + n)))
+    def _add(self, k: int, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The ids of the words from number k on."""
+        n = len(counts)
         while k + n > len(self.begin):
             self.begin, self.count, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.seen))
         while self.used + len(ids) > len(self.flat):
@@ -66,75 +77,64 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _alone(self, words: list[str]) -> None:
-        for w in words:
-            ids = np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32)
-            self._add([w], ids, np.array([len(ids)]))
-
-    def _as_expected(self) -> bool:
-        """Whether this vocabulary treats plain words as the shortcut does."""
-        probe = ["Straße,", "ÀÉàé.", "the", "Ðñ", "word.", "xyzzyx", "A,", "Éa"]
-        return all(self.library.encode(w, add_special_tokens=False).ids == self._plain_ids(w) for w in probe)
-
-    def _plain_ids(self, word: str) -> list[int]:
-        word = word.lower()
-        end = self.stops.get(word[-1])
-        if end is not None:
-            word = word[:-1]
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTES)
-        ids = [t.id for t in self.tokenize(word)]
-        if end is not None:
-            ids.append(end)
+    def _whole(self, word: str) -> list[int]:
+        return self.library.encode(word, add_special_tokens=False).ids
+
+    def _by_letters(self, word: str) -> list[int]:
+        core = word.rstrip(_MARKS)
+        text = core.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.tokenize(text)]
+        if len(core) < len(word):
+            marks = word[len(core) :]
+            if marks not in self.marks:
+                if len(self.marks) > 20_000:
+                    self.marks.clear()
+                self.marks[marks] = self._whole(marks)
+            ids += self.marks[marks]
         return ids
 
-    def _learn(self, words: list[str]) -> None:
-        if self.plain and (plain := list(filter(_PLAIN, words))):
-            lists = list(map(self._plain_ids, plain))
-            self._add(plain, np.array(list(chain.from_iterable(lists)), np.uint32), np.array(list(map(len, lists)), np.int64))
-            words = [w for w in words if w not in self.known]
-        joint = [w for w in words if _MARK not in w] if self.mark is not None else []
-        for at in range(0, len(joint), 20_000):
-            part = joint[at : at + 20_000]
-            ids = np.array(self.library.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, np.uint32)
-            own = ids != self.mark
-            ends = np.flatnonzero(~own)
-            if len(ends) == len(part) - 1:
-                counts = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
-                self._add(part, ids[own], counts)
-            else:  # the mark's id is also part of a word
-                self._alone(part)
-        if len(joint) < len(words):
-            self._alone([w for w in words if _MARK in w or self.mark is None])
+    def _learn(self) -> None:
+        words, self.known.fresh = self.known.fresh, []
+        tokenize, lists = self.tokenize, []
+        for w in words:
+            if not self.plain:
+                lists.append(self._whole(w))
+            elif w.isascii() and w.isalpha():
+                lists.append([t.id for t in tokenize(w.lower())])
+            else:
+                lists.append(self._by_letters(w) if _PLAIN(w) else self._whole(w))
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._add(len(self.known) - len(words), np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts)
 
     def _trim(self) -> None:
         """Keep the words seen more than once, in at most half of the room."""
         n = len(self.known)
-        order = np.argsort(-self.seen[1:n], kind="stable")[: REMEMBERED // 2] + 1
+        order = np.argsort(-self.seen[:n], kind="stable")[: REMEMBERED // 2]
         kept = np.sort(order[self.seen[order] > 1])
         words = list(self.known)
-        words = [words[k] for k in kept.tolist()]  # the index of a word is its place in known
+        words = [words[k] for k in kept.tolist()]  # the number of a word is its place in known
         lengths = self.count[kept]
         ends = np.cumsum(lengths)
         ids = self.flat[np.arange(lengths.sum()) + np.repeat(self.begin[kept] - ends + lengths, lengths)]
         self.forget()
-        self._add(words, ids, lengths)
+        self.known.update(zip(words, range(len(words)), strict=True))
+        self._add(0, ids, lengths)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and len + 1 offsets; null is empty."""
         lists = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self._trim()
-        words = list(chain.from_iterable(lists))
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(sorted(new))
-        index = np.array(list(map(self.known.__getitem__, words)), np.int64)
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        if self.known.fresh:
+            self._learn()
         self.seen[: len(self.known)] += np.bincount(index, minlength=len(self.known))
         lengths = self.count[index]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[index] - ends[:-1], lengths)]
-        counts = np.array([len(w) for w in lists], np.int64)
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
