@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.functions import scalar as S
-from docgraph.operators import facts, graph, model, search, split, telemetry
+from docgraph.operators import facts, graph, knowledge, model, search, split, telemetry
 from docgraph.operators import entities as E
-from docgraph.sources import chats, files
+from docgraph.sources import chats, files, jsonl
 
 
 def test_greedy_bounds_prefer_paragraphs():
@@ -132,3 +132,45 @@ def test_journal_years(spark):
     entries = {"entries": [{"text": "new", "creationDate": "2024-05-01T23:30:00Z", "timeZone": "Europe/Berlin"}, {"text": "old", "creationDate": "2022-05-01T10:00:00Z"}, {"text": "undated"}]}
     got = {r.text: (r.entry_id, r.date) for r in chats.journal(spark.createDataFrame([("j.json", json.dumps(entries))], "file_id string, content string")).collect()}
     assert got["new"] == ("j.json::entry_000", "2024-05-02") and got["undated"][0] == "j.json::entry_001" and got["old"][0] == "j-2022.json::entry_000"
+
+
+def test_rewritten_anchors():
+    assert knowledge.rewritten_anchors(["[2]", "fact/9", "[7]", "x"], [("fact", "1"), ("entity", "bob")]) == (["entity/bob", "fact/9"], ["out_of_range", "malformed"])
+
+
+def test_halves():
+    text = "a" * 140 + "\n\n" + "b" * 150
+    assert knowledge.halves(text) == (text[:142], text[142:]) and knowledge.halves("short") is None
+    assert [len(h) for h in knowledge.halves("c" * 300)] == [150, 150]
+
+
+def test_date_slices_fit(spark):
+    rows = spark.createDataFrame([(o, i, 100) for o in range(2) for i in range(3 + 20 * o)], "o int, i int, n int")
+    got = knowledge.date_slices(rows, "o", ["i"], "n", 400).groupBy("o", "slice").agg(F.sum("n").alias("t")).collect()
+    assert max(r.t for r in got) <= 400 and len({r.slice for r in got if r.o == 0}) == 1
+
+
+def test_jsonl_round_trip(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    path = str(tmp_path / "facts")
+    jsonl.append_by_topic(spark.createDataFrame([("work", 1), ("home", 2)], "topic string, idx int"), path)
+    jsonl.append_by_topic(spark.createDataFrame([("work", 3)], "topic string, idx int"), path)
+    (tmp_path / "facts" / "topic=work" / "torn.json").write_text('{"idx": 4}\n{"idx": ')
+    good, bad = jsonl.read_tolerant(spark, path, StructType([StructField("idx", IntegerType()), StructField("topic", StringType())]))
+    assert sorted((r.topic, r.idx) for r in good.cache().collect()) == [("home", 2), ("work", 1), ("work", 3), ("work", 4)]
+
+
+def test_entity_records_unknown_ends_dropped(spark):
+    rows = spark.createDataFrame([("g1", "g2", "Works With", 1), ("g1", "g2", "later", 2), ("g1", "g9", "x", 3), ("g1", "g1", "x", 4)], "gid string, to_gid string, verb string, pos int")
+    groups = spark.createDataFrame([("g1",), ("g2",)], "gid string")
+    assert [(r.to_gid, r.verb) for r in knowledge.annotations(rows, groups).collect()] == [("g2", "works_with")]
+
+
+def test_stub_streams_agree(spark, tmp_path):
+    from docgraph.streaming import events
+
+    spark.createDataFrame([(i, i % 3, "error" if i % 4 == 0 else "view") for i in range(40)], "event_id long, user_id long, event_type string").repartition(4).write.json(str(tmp_path / "log"))
+    schema = spark.read.json(str(tmp_path / "log")).schema
+    got = {r.user_id: (r.events, r.errors) for r in events.run_once(events.fold(events.event_files(spark, str(tmp_path / "log"), schema, per_trigger=1)), "complete").collect()}
+    assert got == {u: (sum(i % 3 == u for i in range(40)), sum(i % 3 == u and i % 4 == 0 for i in range(40))) for u in range(3)}
