@@ -173,11 +173,10 @@ def fact_small_topic_gate(spark, d):
 
 @query(
     "fact_first_person",
-    r"SELECT doc_id, regexp_matches(lower(text), '\b(i|me|my|mine|je|moi|ich|mich|yo)\b') AS first_person FROM documents WHERE lang IN ('en', 'es')",
+    r"SELECT doc_id, regexp_matches(lower(text), '\b(i|me|my|mine|je|moi|ich|mich|yo)\b') AS first_person FROM documents",
 )
 def fact_first_person(spark, d):
-    docs = table(spark, d, "documents").filter("lang IN ('en', 'es')")
-    return docs.select("doc_id", F.lower("text").rlike(r"\b(i|me|my|mine|je|moi|ich|mich|yo)\b").alias("first_person"))
+    return table(spark, d, "documents").select("doc_id", F.lower("text").rlike(r"\b(i|me|my|mine|je|moi|ich|mich|yo)\b").alias("first_person"))
 
 
 @query("fact_spans")

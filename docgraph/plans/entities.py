@@ -42,33 +42,34 @@ def ent_folded_names(spark, d):
 
 @query(
     "ent_comention_catalog",
-    "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS f FROM lineitem WHERE l_suppkey <= 60) SELECT a.s AS entity, b.s AS other, count(*) AS facts FROM m a JOIN m b ON a.f = b.f AND a.s <> b.s GROUP BY 1, 2",
+    "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS f FROM lineitem) SELECT a.s AS entity, b.s AS other, count(*) AS facts FROM m a JOIN m b ON a.f = b.f AND a.s <> b.s GROUP BY 1, 2",
 )
 def ent_comention_catalog(spark, d):
-    return E.comentions(table(spark, d, "lineitem").filter("l_suppkey <= 60"), "l_suppkey", "l_orderkey")
+    return E.comentions(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey")
 
 
 @query(
     "ent_components",
-    """WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 5 < 2 AND c_custkey < 300), s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT o_custkey AS a, 1000000000 + o_orderkey AS b FROM orders), s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
     r AS (SELECT DISTINCT x AS node, x AS seen FROM s UNION SELECT r.node, s.y FROM r JOIN s ON s.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node""",
 )
 def ent_components(spark, d):
-    e = table(spark, d, "customer").filter("c_custkey % 5 < 2 AND c_custkey < 300").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 7).alias("b"))
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1_000_000_000).alias("b"))
     return graph.components(e, "a", "b")
 
 
 @query(
     "ent_merged_records",
-    """WITH r AS (SELECT s_suppkey AS id, s_name AS name, count(l_orderkey) AS mention_count FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2),
-    c AS (SELECT id, name, mention_count, id - id % 4 AS component FROM r)
+    """WITH r AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation, count(l_orderkey) AS mention_count FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
+    c AS (SELECT id, name, mention_count, min(id) OVER (PARTITION BY nation) AS component FROM r)
     SELECT component, first(name ORDER BY mention_count DESC, length(name) DESC, id) AS canonical_name, CAST(sum(mention_count) AS BIGINT) AS mention_count, count(*) AS members FROM c GROUP BY component""",
 )
 def ent_merged_records(spark, d):
     counts = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("n"))
     sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     records = sup.join(counts, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("mention_count"))
-    links = sup.filter("id % 4 > 0").select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.lag("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("b"))
+    links = nations.filter("b IS NOT NULL")
     return E.merged(records, graph.components(links, "a", "b"))
 
 
@@ -131,24 +132,24 @@ def ent_bundles(spark, d):
 
 @query(
     "ent_subject",
-    "SELECT c_name AS canonical_name, c_acctbal AS likelihood, c_custkey AS mention_count FROM customer WHERE c_nationkey < 5 ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 1",
+    "SELECT c_name AS canonical_name, c_acctbal AS likelihood, c_custkey AS mention_count FROM customer ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 1",
 )
 def ent_subject(spark, d):
-    rows = table(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_name").alias("canonical_name"), F.col("c_acctbal").alias("likelihood"), F.col("c_custkey").alias("mention_count"))
+    rows = table(spark, d, "customer").select(F.col("c_name").alias("canonical_name"), F.col("c_acctbal").alias("likelihood"), F.col("c_custkey").alias("mention_count"))
     return E.subject(rows)
 
 
 @query(
     "ent_resolved_candidates",
     """WITH g AS (SELECT c_mktsegment AS name, c_nationkey AS entity_type, count(*) AS mention_count, min(c_name) AS canonical_name FROM customer GROUP BY 1, 2),
-    c AS (SELECT o_orderkey AS candidate, c_mktsegment AS name, c_nationkey + (o_orderkey % 2) * 100 AS kind FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0),
+    c AS (SELECT o_orderkey AS candidate, c_mktsegment AS name, c_nationkey + (o_orderkey % 2) * 100 AS kind FROM orders JOIN customer ON o_custkey = c_custkey),
     r AS (SELECT c.candidate, canonical_name, entity_type, row_number() OVER (PARTITION BY candidate ORDER BY kind = entity_type DESC, mention_count DESC, lower(canonical_name) DESC) AS rn FROM c JOIN g ON c.name = g.name)
     SELECT candidate, canonical_name, entity_type FROM r WHERE rn = 1""",
 )
 def ent_resolved_candidates(spark, d):
     c = table(spark, d, "customer")
     groups = c.groupBy(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("entity_type")).agg(F.count("*").alias("mention_count"), F.min("c_name").alias("canonical_name"))
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     cand = o.select(F.col("o_orderkey").alias("candidate"), F.col("c_mktsegment").alias("name"), (F.col("c_nationkey") + (F.col("o_orderkey") % 2) * 100).alias("kind"))
     return E.resolved(cand, groups, "name", "kind").select("candidate", "canonical_name", "entity_type")
 

@@ -41,10 +41,10 @@ def graph_dead_ends(spark, d):
 
 @query(
     "graph_live_edges",
-    f"""WITH {_EDGES} SELECT edge_kind, count(*) AS edges FROM e WHERE (src_kind <> 'action' OR CAST(src_id AS BIGINT) % 2 = 0) AND (dst_kind <> 'action' OR CAST(dst_id AS BIGINT) % 2 = 0) AND dst_kind <> 'fact' GROUP BY 1""",
+    f"""WITH {_EDGES} SELECT edge_kind, count(*) AS edges FROM e WHERE (src_kind <> 'action' OR CAST(src_id AS BIGINT) IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AND (dst_kind <> 'action' OR CAST(dst_id AS BIGINT) IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AND dst_kind <> 'fact' GROUP BY 1""",
 )
 def graph_live_edges(spark, d):
-    a = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.lit("action").alias("kind"), F.col("c_custkey").cast("string").alias("record_id"))
+    a = table(spark, d, "customer").filter("c_acctbal > 0").select(F.lit("action").alias("kind"), F.col("c_custkey").cast("string").alias("record_id"))
     i = table(spark, d, "orders").select(F.lit("insight").alias("kind"), F.col("o_orderkey").cast("string").alias("record_id"))
     return G.live_edges(_edges(spark, d), a.union(i)).groupBy("edge_kind").agg(F.count("*").alias("edges"))
 
@@ -52,10 +52,10 @@ def graph_live_edges(spark, d):
 @query(
     "prov_path_confidence",
     """SELECT c_custkey AS action, o_orderkey AS insight, l_linenumber AS pattern, l_partkey AS fact, round((1.0 - (o_custkey % 10) / 20.0) * (1 - l_discount), 9) AS path_conf
-    FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = 3""",
+    FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey""",
 )
 def prov_path_confidence(spark, d):
-    first = table(spark, d, "customer").filter("c_nationkey = 3").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    first = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
     first = first.withColumn("w", 1.0 - (F.col("o_custkey") % 10) / 20.0)
     second = table(spark, d, "lineitem").withColumns({"line": F.struct("l_linenumber", "l_partkey"), "w": 1 - F.col("l_discount")})
     out = G.path_confidence((first, "c_custkey", "o_orderkey", "w"), (second, "l_orderkey", "line", "w"))
@@ -74,10 +74,10 @@ def prov_shares(spark, d):
 
 @query(
     "prov_cited_by",
-    "WITH c AS (SELECT l_partkey, l_orderkey, l_linenumber, round(1 - l_discount, 2) AS conf FROM lineitem WHERE l_partkey < 100) SELECT l_partkey AS fact, string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY conf DESC, l_orderkey, l_linenumber) AS cited_by FROM c GROUP BY 1",
+    "WITH c AS (SELECT l_partkey, l_orderkey, l_linenumber, round(1 - l_discount, 2) AS conf FROM lineitem) SELECT l_partkey AS fact, string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY conf DESC, l_orderkey, l_linenumber) AS cited_by FROM c GROUP BY 1",
 )
 def prov_cited_by(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_partkey < 100").withColumn("c", -F.round(1 - F.col("l_discount"), 2))
+    rows = table(spark, d, "lineitem").withColumn("c", -F.round(1 - F.col("l_discount"), 2))
     ref = F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("ref")
     listed = F.sort_array(F.collect_list(F.struct("c", "l_orderkey", "l_linenumber", ref)))
     return rows.groupBy(F.col("l_partkey").alias("fact")).agg(F.array_join(F.transform(listed, lambda x: x["ref"]), ",").alias("cited_by"))
@@ -138,11 +138,11 @@ def sibling_edges(spark, d):
 
 @query(
     "overlap_rank",
-    """WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey < 40), o AS (SELECT a.l_suppkey AS entity, b.l_suppkey AS other, count(*) AS shared FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2),
+    """WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), o AS (SELECT a.l_suppkey AS entity, b.l_suppkey AS other, count(*) AS shared FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY shared DESC, other) AS rank FROM o) SELECT entity, other, shared, rank FROM r WHERE rank <= 3""",
 )
 def overlap_rank(spark, d):
-    p = table(spark, d, "lineitem").filter("l_suppkey < 40")
+    p = table(spark, d, "lineitem")
     o = G.overlaps(p.withColumnRenamed("l_suppkey", "entity"), p.withColumnRenamed("l_suppkey", "other"), "entity", "other", "l_partkey").filter("entity <> other")
     return G.top_by(o, ["entity"], [F.desc("shared"), "other"], 3)
 
@@ -195,11 +195,11 @@ def relation_both_ends(spark, d):
 
 @query(
     "stale_files",
-    "SELECT 'f' || doc_id AS path FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT 'f' || doc_id FROM documents WHERE doc_id % 3 = 0",
+    "SELECT 'f' || doc_id AS path FROM documents EXCEPT SELECT 'f' || doc_id FROM labels",
 )
 def stale_files(spark, d):
-    path = lambda m: table(spark, d, "documents").filter(F.col("doc_id") % m == 0).select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"))
-    return path(2).exceptAll(path(3)).distinct()
+    path = lambda t: table(spark, d, t).select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"))
+    return path("documents").join(path("labels"), "path", "left_anti").distinct()
 
 
 @query("reverse_chronology", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS pos FROM orders")

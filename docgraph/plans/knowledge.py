@@ -14,9 +14,9 @@ from ..operators.split import greedy_pack
 from ..sources import jsonl
 from .registry import query, table
 
-_VIEW = """fe AS (SELECT DISTINCT l_partkey AS fact, l_suppkey AS entity FROM lineitem WHERE l_partkey < 60), cf AS (SELECT DISTINCT fact // 8 AS chunk, fact FROM fe),
+_VIEW = """fe AS (SELECT DISTINCT l_partkey AS fact, l_suppkey AS entity FROM lineitem), cf AS (SELECT DISTINCT fact // 8 AS chunk, fact FROM fe),
     pf AS (SELECT DISTINCT fact % 9 AS pattern, fact FROM fe), ip AS (SELECT DISTINCT pattern % 4 AS insight, pattern FROM pf), ai AS (SELECT DISTINCT insight % 2 AS action, insight FROM ip),
-    sb AS (SELECT fact AS a, lead(fact) OVER (PARTITION BY fact // 8 ORDER BY fact) AS b FROM (SELECT DISTINCT fact FROM fe)), rl AS (SELECT DISTINCT entity AS a, entity + 1 AS b FROM fe WHERE entity % 2 = 0),
+    sb AS (SELECT fact AS a, lead(fact) OVER (PARTITION BY fact // 8 ORDER BY fact) AS b FROM (SELECT DISTINCT fact FROM fe)), rl AS (SELECT DISTINCT entity AS a, entity + 1 AS b FROM fe),
     inf AS (SELECT DISTINCT insight, fact FROM ip JOIN pf ON ip.pattern = pf.pattern), acf AS (SELECT DISTINCT action, fact FROM ai JOIN inf ON ai.insight = inf.insight),
     two AS (SELECT 'chunk' AS sk, chunk AS s, 'fact' AS dk, fact AS d, 'containment' AS k FROM cf UNION ALL SELECT 'fact', a, 'fact', b, 'sibling' FROM sb WHERE b IS NOT NULL UNION ALL SELECT 'fact', fact, 'entity', entity, 'mention' FROM fe
       UNION ALL SELECT 'pattern', pattern, 'fact', fact, 'derivation' FROM pf UNION ALL SELECT 'entity', a, 'entity', b, 'relation' FROM rl
@@ -28,14 +28,14 @@ _VIEW = """fe AS (SELECT DISTINCT l_partkey AS fact, l_suppkey AS entity FROM li
 
 @query("graph_build_edges", f"WITH {_VIEW} SELECT sk AS src_kind, dk AS dst_kind, k AS edge_kind, count(*) AS edges FROM e GROUP BY 1, 2, 3")
 def graph_build_edges(spark, d):
-    fe = table(spark, d, "lineitem").filter("l_partkey < 60").select(F.col("l_partkey").alias("fact"), F.col("l_suppkey").alias("entity")).distinct()
+    fe = table(spark, d, "lineitem").select(F.col("l_partkey").alias("fact"), F.col("l_suppkey").alias("entity")).distinct()
     div = lambda c, n: F.floor(F.col(c) / n)
     cf = fe.select(div("fact", 8).alias("chunk"), "fact").distinct()
     pf = fe.select((F.col("fact") % 9).alias("pattern"), "fact").distinct()
     ip = pf.select((F.col("pattern") % 4).alias("insight"), "pattern").distinct()
     ai = ip.select((F.col("insight") % 2).alias("action"), "insight").distinct()
     sb = G.siblings(fe.select("fact").distinct().withColumn("c", div("fact", 8)), ["c"], ["fact"], "fact").filter("next IS NOT NULL").select(F.col("fact").alias("a"), F.col("next").alias("b"))
-    rl = fe.filter("entity % 2 = 0").select(F.col("entity").alias("a"), (F.col("entity") + 1).alias("b")).distinct()
+    rl = fe.select(F.col("entity").alias("a"), (F.col("entity") + 1).alias("b")).distinct()
     return K.build_edges(cf, sb, fe, pf, rl, ip, ai).groupBy("src_kind", "dst_kind", "edge_kind").agg(F.count("*").alias("edges"))
 
 
@@ -50,21 +50,21 @@ def graph_record_texts(spark, d):
 
 @query(
     "graph_section_for_fact",
-    """WITH s AS (SELECT doc_id, unnest([0, n_chars // 4, n_chars // 2]) AS b, n_chars FROM documents WHERE n_chars >= 8), t AS (SELECT doc_id, b, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY b), n_chars) AS e FROM s)
-    SELECT d.doc_id, t.b AS section FROM documents d JOIN t ON t.doc_id = d.doc_id AND (d.doc_id * 31) % d.n_chars >= t.b AND (d.doc_id * 31) % d.n_chars < t.e WHERE n_chars >= 8""",
+    """WITH s AS (SELECT doc_id, unnest([0, n_chars // 4, n_chars // 2]) AS b, n_chars FROM documents WHERE n_chars > 0), t AS (SELECT doc_id, b, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY b), n_chars) AS e FROM s)
+    SELECT d.doc_id, t.b AS section FROM documents d JOIN t ON t.doc_id = d.doc_id AND (d.doc_id * 31) % d.n_chars >= t.b AND (d.doc_id * 31) % d.n_chars < t.e WHERE n_chars > 0""",
 )
 def graph_section_for_fact(spark, d):
-    docs = table(spark, d, "documents").filter("n_chars >= 8").select("doc_id", "n_chars")
+    docs = table(spark, d, "documents").filter("n_chars > 0").select("doc_id", "n_chars")
     s = docs.select("doc_id", "n_chars", F.explode(F.array(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 4), F.floor(F.col("n_chars") / 2))).alias("b"))
     s = s.select("doc_id", "b", F.coalesce(F.lead("b").over(Window.partitionBy("doc_id").orderBy("b")), "n_chars").alias("e"))
     points = docs.select("doc_id", ((F.col("doc_id") * 31) % F.col("n_chars")).alias("at"))
     return G.contained(points, s, "doc_id", "at", "b", "e", 4096).select("doc_id", F.col("b").alias("section"))
 
 
-@query("graph_doc_dates", "SELECT o_custkey AS fact, strftime(max(o_orderdate), '%Y-%m-%d') AS doc_date FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+@query("graph_doc_dates", "SELECT o_custkey AS fact, strftime(max(o_orderdate), '%Y-%m-%d') AS doc_date FROM orders GROUP BY 1")
 def graph_doc_dates(spark, d):
     o = table(spark, d, "orders")
-    dates = o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    dates = o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
     return o.select("o_custkey", "o_orderkey").join(dates, "o_orderkey").groupBy(F.col("o_custkey").alias("fact")).agg(F.max("date").alias("doc_date"))
 
 
@@ -80,45 +80,45 @@ def ent_narrators(spark, d):
 
 @query(
     "ent_collapsed_refs",
-    "WITH r AS (SELECT l_suppkey AS entity, l_orderkey AS k, l_returnflag AS topic, l_linenumber AS idx FROM lineitem WHERE l_suppkey < 20), m AS (SELECT entity, k, topic, idx, row_number() OVER (PARTITION BY entity, k ORDER BY topic, idx) AS rn FROM r) SELECT entity, topic, idx FROM m WHERE rn = 1",
+    "WITH r AS (SELECT l_suppkey AS entity, l_orderkey AS k, l_returnflag AS topic, l_linenumber AS idx FROM lineitem), m AS (SELECT entity, k, topic, idx, row_number() OVER (PARTITION BY entity, k ORDER BY topic, idx) AS rn FROM r) SELECT entity, topic, idx FROM m WHERE rn = 1",
 )
 def ent_collapsed_refs(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_suppkey < 20").select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("topic"), F.col("l_linenumber").alias("idx"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("topic"), F.col("l_linenumber").alias("idx"))
     return K.collapsed_refs(rows, "entity", ["k"], "topic", "idx")
 
 
 @query(
     "ent_relation_remap",
-    """WITH r AS (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem), m AS (SELECT CASE WHEN a % 10 = 3 THEN a - 3 ELSE a END AS a, CASE WHEN b % 10 = 3 THEN b - 3 ELSE b END AS b FROM r) SELECT a AS from_id, b AS to_id, count(*) AS n FROM m WHERE a <> b GROUP BY 1, 2""",
+    """WITH r AS (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem), m AS (SELECT a - a % 3 AS a, b - b % 3 AS b FROM r) SELECT a AS from_id, b AS to_id, count(*) AS n FROM m WHERE a <> b GROUP BY 1, 2""",
 )
 def ent_relation_remap(spark, d):
     rel = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"))
-    remap = table(spark, d, "part").select("p_partkey").union(table(spark, d, "supplier").select("s_suppkey")).distinct().filter("p_partkey % 10 = 3")
-    remap = remap.select(F.col("p_partkey").alias("old"), (F.col("p_partkey") - 3).alias("new"))
+    remap = table(spark, d, "part").select("p_partkey").union(table(spark, d, "supplier").select("s_suppkey")).distinct()
+    remap = remap.select(F.col("p_partkey").alias("old"), (F.col("p_partkey") - F.col("p_partkey") % 3).alias("new"))
     return K.remapped(rel, remap).groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
 
 
 @query(
     "ent_first_annotations",
-    """WITH a AS (SELECT user_id AS gid, CAST(json_extract_string(props, '$.k') AS BIGINT) AS to_gid, event_type AS verb, event_id AS pos FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY gid, to_gid ORDER BY pos) AS rn FROM a WHERE gid <> to_gid AND gid % 2 = 0 AND to_gid % 2 = 0 AND to_gid IN (SELECT user_id FROM events))
+    """WITH a AS (SELECT user_id AS gid, CAST(json_extract_string(props, '$.k') AS BIGINT) AS to_gid, event_type AS verb, event_id AS pos FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY gid, to_gid ORDER BY pos) AS rn FROM a WHERE gid <> to_gid AND to_gid IN (SELECT user_id FROM events))
     SELECT gid, to_gid, verb, pos FROM r WHERE rn = 1""",
 )
 def ent_first_annotations(spark, d):
     e = table(spark, d, "events")
     rows = e.select(F.col("user_id").alias("gid"), F.from_json("props", "k bigint")["k"].alias("to_gid"), F.concat(F.lit(" "), F.upper("event_type")).alias("verb"), F.col("event_id").alias("pos"))
-    return K.annotations(rows, e.filter("user_id % 2 = 0").select(F.col("user_id").alias("gid"))).select("gid", "to_gid", "verb", "pos")
+    return K.annotations(rows, e.select(F.col("user_id").alias("gid"))).select("gid", "to_gid", "verb", "pos")
 
 
 @query(
     "ent_pack_batches",
-    """WITH RECURSIVE s AS (SELECT doc_id, greatest(1, length(text) // 3) AS tok, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE doc_id < 400), b AS (SELECT least(16000, greatest(CAST(floor(least(sum(tok) / count(*) * sqrt(count(*)), 20000)) AS BIGINT), CAST(floor(2.0 * sum(tok) / count(*)) AS BIGINT), 4000)) AS budget FROM s),
-    p AS (SELECT doc_id, tok, rn, CAST(0 AS BIGINT) AS bin, CAST(tok AS BIGINT) AS load FROM s WHERE rn = 1 UNION ALL SELECT s.doc_id, s.tok, s.rn, CASE WHEN p.load + s.tok > (SELECT budget FROM b) THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.load + s.tok > (SELECT budget FROM b) THEN s.tok ELSE p.load + s.tok END FROM p JOIN s ON s.rn = p.rn + 1)
-    SELECT doc_id, CAST(tok AS BIGINT) AS tok, bin FROM p""",
+    """WITH RECURSIVE s AS (SELECT source, doc_id, greatest(1, length(text) // 3) AS tok, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), b AS (SELECT least(16000, greatest(CAST(floor(least(sum(tok) / count(*) * sqrt(count(*)), 20000)) AS BIGINT), CAST(floor(2.0 * sum(tok) / count(*)) AS BIGINT), 4000)) AS budget FROM s),
+    p AS (SELECT source, doc_id, tok, rn, CAST(0 AS BIGINT) AS bin, CAST(tok AS BIGINT) AS load FROM s WHERE rn = 1 UNION ALL SELECT s.source, s.doc_id, s.tok, s.rn, CASE WHEN p.load + s.tok > (SELECT budget FROM b) THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.load + s.tok > (SELECT budget FROM b) THEN s.tok ELSE p.load + s.tok END FROM p JOIN s ON s.source = p.source AND s.rn = p.rn + 1)
+    SELECT source, doc_id, CAST(tok AS BIGINT) AS tok, bin FROM p""",
 )
 def ent_pack_batches(spark, d):
-    rows = table(spark, d, "documents").filter("doc_id < 400").select("doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / 3)).cast("long").alias("tok"))
+    rows = table(spark, d, "documents").select("source", "doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / 3)).cast("long").alias("tok"))
     budget = K.batch_budget(rows, "tok", 20_000).head()[0]
-    return greedy_pack(rows.withColumn("all", F.lit(0)), ["all"], ["doc_id"], "tok", budget).drop("all")
+    return greedy_pack(rows, ["source"], ["doc_id"], "tok", budget)
 
 
 @query("ent_heavy_slices")
@@ -185,11 +185,11 @@ def chat_context_lines(spark, d):
 
 @query(
     "tel_skip_markers",
-    "SELECT CASE WHEN event_id % 17 = 0 THEN 'skipped' WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS state, count(*) AS calls FROM events GROUP BY 1",
+    "SELECT CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) = 7 THEN 'skipped' WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS state, count(*) AS calls FROM events GROUP BY 1",
 )
 def tel_skip_markers(spark, d):
-    e = table(spark, d, "events").select("event_id", "event_type")
-    marks = e.filter("event_id % 17 = 0").select("event_id", F.lit(True).alias("skipped"))
+    e = table(spark, d, "events").select("event_id", "event_type", "props")
+    marks = e.filter(F.from_json("props", "k bigint")["k"] == 7).select("event_id", F.lit(True).alias("skipped"))
     state = F.when(F.coalesce("skipped", F.lit(False)), "skipped").when(F.col("event_type") == "error", "failed").otherwise("ok")
     return e.join(marks, "event_id", "left").groupBy(state.alias("state")).agg(F.count("*").alias("calls"))
 

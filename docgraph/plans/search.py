@@ -37,12 +37,12 @@ def knn_filtered_before_topk(spark, d):
 
 @query(
     "knn_each",
-    f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS rowid, round({_DIST}, 6) + 0.0 AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
+    f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS rowid, round({_DIST}, 6) + 0.0 AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, rowid) AS rank FROM p) SELECT query_id, rowid, distance, rank FROM r WHERE rank <= 5""",
 )
 def knn_each(spark, d):
     rows = _records(spark, d)
-    queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.nearest_each(rows, queries, 5)
 
 
@@ -107,13 +107,13 @@ def vec_degenerate(spark, d):
 
 @query(
     "knn_ties_and_junk",
-    f"""WITH h AS (SELECT q.label AS lookup, e.vec_id, {_DIST} AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q WHERE e.vec_id BETWEEN 100 AND 140)
+    f"""WITH h AS (SELECT q.vec_id AS lookup, e.vec_id, {_DIST} AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
     SELECT lookup, count(*) AS hits, round(min(distance), 6) AS nearest FROM h WHERE distance <= 0.9 GROUP BY lookup HAVING count(*) < 2 OR max(distance) - min(distance) > 1e-6""",
 )
 def knn_ties_and_junk(spark, d):
     rows = _records(spark, d)
-    queries = rows.filter("vec_id < 10").select(F.col("label").alias("lookup"), F.col("embedding").alias("query"))
-    hits = rows.filter("vec_id BETWEEN 100 AND 140").select("vec_id", "embedding").join(F.broadcast(queries))
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("lookup"), F.col("embedding").alias("query"))
+    hits = rows.select("vec_id", "embedding").join(F.broadcast(queries))
     hits = hits.withColumn("distance", S.cosine_distance(F.col("embedding"), F.col("query"))).filter(F.col("distance") <= 0.9)
     return search.without_ties(hits).groupBy("lookup").agg(F.count("*").alias("hits"), F.round(F.min("distance"), 6).alias("nearest"))
 

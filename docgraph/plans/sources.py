@@ -56,16 +56,16 @@ def src_year_buckets_home(spark, d):
 
 @query(
     "src_manifest_upsert",
-    """WITH o AS (SELECT 'f' || doc_id AS file_path, sha256(text) AS h, row_number() OVER (ORDER BY 'f' || doc_id) - 1 AS position FROM documents WHERE doc_id % 3 = 0),
-    n AS (SELECT 'f' || doc_id AS file_path, sha256(text || '!') AS h FROM documents WHERE doc_id % 2 = 0),
+    """WITH o AS (SELECT 'f' || doc_id AS file_path, sha256(text) AS h, row_number() OVER (ORDER BY 'f' || doc_id) - 1 AS position FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+    n AS (SELECT 'f' || doc_id AS file_path, sha256(CASE WHEN n_chars % 2 = 0 THEN text || '!' ELSE text END) AS h FROM documents),
     j AS (SELECT coalesce(o.file_path, n.file_path) AS file_path, coalesce(n.h, o.h) AS content_hash, CASE WHEN o.file_path IS NULL THEN 'new' ELSE 'old' END AS added_at, o.position AS p FROM o FULL OUTER JOIN n ON o.file_path = n.file_path)
     SELECT file_path, content_hash, added_at, CAST(coalesce(p, (SELECT max(position) FROM o) + row_number() OVER (PARTITION BY p IS NULL ORDER BY file_path)) AS BIGINT) AS position FROM j""",
 )
 def src_manifest_upsert(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"), "text")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"), "text", "n_chars")
     empty = spark.createDataFrame([], "file_path string, content_hash string, added_at string, position long")
-    old = files.upserted(empty, docs.filter("doc_id % 3 = 0").select("file_path", files.content_hash(F.col("text")).alias("content_hash")), F.lit("old"))
-    new = docs.filter("doc_id % 2 = 0").select("file_path", files.content_hash(F.concat("text", F.lit("!"))).alias("content_hash"))
+    old = files.upserted(empty, docs.join(table(spark, d, "labels"), "doc_id", "left_semi").select("file_path", files.content_hash(F.col("text")).alias("content_hash")), F.lit("old"))
+    new = docs.select("file_path", files.content_hash(F.when(F.col("n_chars") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
     return files.upserted(old, new, F.lit("new"))
 
 
@@ -82,12 +82,12 @@ def src_statistics(spark, d):
 
 @query(
     "src_merge_offsets",
-    """WITH r AS (SELECT source, doc_id, '## ' || lang || ' (' || CAST(doc_id AS VARCHAR) || ')' || chr(10) || chr(10) AS head, text FROM documents WHERE n_chars < 2000),
+    """WITH r AS (SELECT source, doc_id, '## ' || lang || ' (' || CAST(doc_id AS VARCHAR) || ')' || chr(10) || chr(10) AS head, text FROM documents),
     o AS (SELECT source, doc_id, head, text, coalesce(sum(length(head) + length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS origin FROM r)
     SELECT source AS file_id, sha256(string_agg(head || text, chr(10) || chr(10) ORDER BY doc_id)) AS content_hash, string_agg(CAST(CAST(origin AS BIGINT) AS VARCHAR), ',' ORDER BY doc_id) AS origins FROM o GROUP BY source HAVING count(*) > 1""",
 )
 def src_merge_offsets(spark, d):
-    docs = table(spark, d, "documents").filter("n_chars < 2000")
+    docs = table(spark, d, "documents")
     docs = docs.select(F.col("source").alias("file_id"), "doc_id", F.col("lang").alias("title"), F.col("doc_id").cast("string").alias("date"), F.col("text").alias("content"))
     out = files.merged(docs, ["doc_id"]).filter(F.size("origins") > 1)
     return out.select("file_id", files.content_hash(F.col("content")).alias("content_hash"), F.array_join("origins", ",").alias("origins"))

@@ -139,29 +139,29 @@ def mdl_status_ladder(spark, d):
 
 @query("mdl_retry_ladder")
 def mdl_retry_ladder(spark, d):
-    calls = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("call_id"), F.substring("text", 1, 4000).alias("prompt"))
+    calls = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("call_id"), F.col("text").alias("prompt"))
     return model.run_ladder(calls, model.stub_provider).select("call_id", "root_id", "status", "attempt")
 
 
 @query(
     "mdl_cache_hits",
-    "SELECT CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS misses FROM documents",
+    "SELECT count(l.doc_id) AS hits, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
 )
 def mdl_cache_hits(spark, d):
     key = S.canonical_hash(("doc", F.col("doc_id")))
     calls = table(spark, d, "documents").select(key.alias("cache_key"))
-    cache = table(spark, d, "documents").filter("doc_id % 3 = 0").select(key.alias("cache_key"), F.current_timestamp().alias("stored_at"))
+    cache = table(spark, d, "labels").select(key.alias("cache_key"), F.current_timestamp().alias("stored_at"))
     hits, misses = model.through_cache(calls, cache)
     return hits.agg(F.count("*").alias("hits")).join(misses.agg(F.count("*").alias("misses")))
 
 
 @query(
     "exp_facts_md",
-    r"""WITH f AS (SELECT source, doc_id, lang, replace(replace(substr(text, 1, 40), chr(10), ' '), '#', '\#') AS t FROM documents)
+    r"""WITH f AS (SELECT source, doc_id, lang, replace(replace(text, chr(10), ' '), '#', '\#') AS t FROM documents)
     SELECT 'facts/' || source || '.md' AS path, sha256('# ' || source || chr(10) || chr(10) || string_agg('- **' || lang || '** ' || t || ' ^doc-' || doc_id, chr(10) ORDER BY doc_id)) AS digest FROM f GROUP BY source""",
 )
 def exp_facts_md(spark, d):
-    t = export.escaped_tags(F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")))
+    t = export.escaped_tags(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
     line = F.concat(F.lit("- **"), F.col("lang"), F.lit("** "), t, F.lit(" ^doc-"), F.col("doc_id").cast("string"))
     files = export.pages(table(spark, d, "documents").select("source", "doc_id", line.alias("line")), "source", ["doc_id"], "line", "facts/")
     return files.select("path", F.sha2("content", 256).alias("digest"))

@@ -104,11 +104,11 @@ def tel_chain_outcomes(spark, d):
 
 @query(
     "tel_size_hist",
-    """WITH b AS (SELECT CASE WHEN n_chars < 200 THEN 0 WHEN n_chars < 500 THEN 1 WHEN n_chars < 1000 THEN 2 WHEN n_chars < 2000 THEN 3 ELSE 4 END AS bucket FROM documents WHERE n_chars >= 200)
+    """WITH b AS (SELECT CASE WHEN n_chars < 200 THEN 0 WHEN n_chars < 500 THEN 1 WHEN n_chars < 1000 THEN 2 WHEN n_chars < 2000 THEN 3 ELSE 4 END AS bucket FROM documents)
     SELECT d.bucket, d.from_size, count(b.bucket) AS n FROM (SELECT * FROM (VALUES (0, 0), (1, 200), (2, 500), (3, 1000), (4, 2000)) t(bucket, from_size)) d LEFT JOIN b ON b.bucket = d.bucket GROUP BY 1, 2""",
 )
 def tel_size_hist(spark, d):
-    return T.size_histogram(table(spark, d, "documents").filter("n_chars >= 200"), "n_chars")
+    return T.size_histogram(table(spark, d, "documents"), "n_chars")
 
 
 @query(
