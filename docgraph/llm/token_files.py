@@ -77,8 +77,8 @@ class Lanes:
         kind = np.uint16 if alphabet < 1 << 14 else np.uint32
         self.table1 = np.full(n * self.width, alphabet * 4, kind)  # 4 * rank + confidence, by the last rank
         self.table2 = np.full(n << HASH_BITS, alphabet * 4, kind)  # the same, by the last two
-        self.mix2 = np.tile(np.repeat(np.array([300, 1200, 2200, 3000]), 4) << 4, n)  # share of order 2, by pair of confidences
-        self.mix1 = np.tile(np.array([300, 1000, 1800, 2600]) << 4, n * 4)  # share of order 1 in the rest
+        first2, first1 = np.repeat(np.array([300, 1200, 2200, 3000]), 4) << 4, np.tile(np.array([300, 1000, 1800, 2600]) << 4, 4)
+        self.mix = np.tile((first2 << 16) + first1, n)  # by pair of confidences: share of order 2, share of order 1 in the rest
         self.row1, self.row2, self.row_mix, self.row_class = self.lane * self.width, self.lane << HASH_BITS, self.lane * 16, self.lane
         self.freq = np.repeat(np.maximum(4, 64 * np.log2(1 + (1 << self.bits.astype(np.int64)) / (1 + self.first))).astype(np.int64), n)  # class after class
         self.last, self.last2 = np.full(n, alphabet, np.int64), np.full(n, alphabet, np.int64)
@@ -97,21 +97,23 @@ class Lanes:
         """Predictions and mixing intervals of the next id: order 2 has [0, e2), order 1 [e2, e1), order 0 the rest."""
         self.at1 = self.row1 + self.last
         self.at2 = self.row2 + (((self.last * 0x9E3779B1 + self.last2 * 0x85EBCA6B) >> 9) & ((1 << HASH_BITS) - 1))
-        self.v1, self.v2 = self.table1[self.at1].astype(np.int64), self.table2[self.at2].astype(np.int64)
+        self.v1, self.v2 = self.table1.take(self.at1).astype(np.int64), self.table2.take(self.at2).astype(np.int64)
         self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
         self.ctx = self.row_mix + ((self.v2 & 3) << 2) + (self.v1 & 3)
-        self.m2, self.m1 = self.mix2[self.ctx], self.mix1[self.ctx]
+        both = self.mix.take(self.ctx)
+        self.m2, self.m1 = both >> 16, both & 0xFFFF
         self.e2 = (self.m2 >> 4) + 1
         self.e1 = self.e2 + (((4093 - self.e2) * self.m1) >> 16) + 1
 
     def learn(self, rank: np.ndarray, had2: np.ndarray, had1: np.ndarray) -> None:
         """had2: order 2 had the rank; had1: order 1 had it and order 2 had not."""
-        self.mix2[self.ctx] = self.m2 + (((had2 * 65000) - self.m2) >> 5)
-        self.mix1[self.ctx] = self.m1 + (np.where(had2, 0, had1 * 65000 - self.m1) >> 5)
+        m2 = self.m2 + (((had2 * 65000) - self.m2) >> 5)
+        self.mix[self.ctx] = (m2 << 16) + self.m1 + (np.where(had2, 0, had1 * 65000 - self.m1) >> 5)
         new = rank << 2
         self.table1[self.at1] = np.where(self.p1 == rank, np.minimum(self.v1 + 1, new + 3), new)
         self.table2[self.at2] = np.where(had2, np.minimum(self.v2 + 1, new + 3), new)
-        self.freq[self.class_of[rank] * self.n + self.lane] += 24
+        at = self.class_of.take(rank) * self.n + self.lane
+        self.freq[at] = self.freq.take(at) + 24
         self.last2, self.last = self.last, rank
         self.steps += 1
         if self.steps % REFRESH == 0:
@@ -129,8 +131,8 @@ def _interval(model: Lanes, had2: np.ndarray, had1: np.ndarray) -> tuple[np.ndar
 def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lanes whose upper 16 bits can go, and the spans they then have."""
     near = (low ^ (low + span)) < _TOP
-    rows = np.flatnonzero(near | (span < _BOT))
-    return rows, np.where(near[rows], span[rows], (~low[rows] + U(1)) & (_BOT - U(1)))
+    rows = (near | (span < _BOT)).nonzero()[0]
+    return rows, np.where(near.take(rows), span.take(rows), (~low.take(rows) + U(1)) & (_BOT - U(1)))
 
 
 def _encode_lanes(ranks: np.ndarray, alphabet: int) -> list[np.ndarray]:
@@ -150,21 +152,21 @@ def _encode_lanes(ranks: np.ndarray, alphabet: int) -> list[np.ndarray]:
         start, size = _interval(model, had2, had1)
         r = span >> mix
         low, span = low + start * r, r * size
-        cls = model.class_of[rank]
+        cls = model.class_of.take(rank)
         at = cls * n + model.lane
-        a = model.flat[at].astype(np.uint64)
+        a = model.flat.take(at).astype(np.uint64)
         r = span >> cls_bits
-        inner = (r * (model.flat[at + n].astype(np.uint64) - a)) >> model.bits[cls]
+        inner = (r * (model.flat.take(at + n).astype(np.uint64) - a)) >> model.bits.take(cls)
         known = had2 | had1
-        low = np.where(known, low, low + a * r + (rank - model.first[cls]).view(np.uint64) * inner)
+        low = np.where(known, low, low + a * r + (rank - model.first.take(cls)).view(np.uint64) * inner)
         span = np.where(known, span, inner)
         rows, spans = _settled(low, span)
         while len(rows):
-            lo = low[rows]
-            out[used[rows]] = lo >> U(48)
+            lo = low.take(rows)
+            out[used.take(rows)] = lo >> U(48)
             used[rows] += 1
             low[rows], span[rows] = lo << U(16), spans << U(16)
-            again, spans = _settled(low[rows], span[rows])
+            again, spans = _settled(low.take(rows), span.take(rows))
             rows = rows[again]
         model.learn(rank, had2, had1)
     for _ in range(4):
@@ -204,15 +206,15 @@ def _decode_lanes(words: list[np.ndarray], steps: int, alphabet: int) -> np.ndar
         v = np.minimum(rest // np.maximum(r, U(1)), top_cls).astype(np.int16)
         cls = np.add.reduce((model.cum[1:] <= v).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
         at = cls * n + model.lane
-        a = model.flat[at].astype(np.uint64)
-        bits = model.bits[cls]
-        inner = (r * (model.flat[at + n].astype(np.uint64) - a)) >> bits
+        a = model.flat.take(at).astype(np.uint64)
+        bits = model.bits.take(cls)
+        inner = (r * (model.flat.take(at + n).astype(np.uint64) - a)) >> bits
         a = a * r
         place = np.minimum((rest - a) // np.maximum(inner, U(1)), (U(1) << bits) - U(1))
         known = had2 | had1
         low = np.where(known, low, low + a + place * inner)
         span = np.where(known, span, inner)
-        rank = np.where(had2, model.p2, np.where(had1, model.p1, model.first[cls] + place.view(np.int64)))
+        rank = np.where(had2, model.p2, np.where(had1, model.p1, model.first.take(cls) + place.view(np.int64)))
         if rank.max() >= alphabet:
             raise Damaged("a block holds no valid id")
         ranks[t] = rank
@@ -221,7 +223,7 @@ def _decode_lanes(words: list[np.ndarray], steps: int, alphabet: int) -> np.ndar
             code[rows] = (code[rows] << U(16)) | held[np.minimum(used[rows], end[rows])]
             used[rows] += 1
             low[rows], span[rows] = low[rows] << U(16), spans << U(16)
-            again, spans = _settled(low[rows], span[rows])
+            again, spans = _settled(low.take(rows), span.take(rows))
             rows = rows[again]
         model.learn(rank, had2, had1)
     return ranks.T
