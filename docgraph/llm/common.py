@@ -26,6 +26,7 @@ def arrow_limits(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound what a Python worker gets at once, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # unions of differently dealt sides may else fail to plan
 
 
 def settle(keep: str = "") -> None:

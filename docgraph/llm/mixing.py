@@ -2,22 +2,24 @@
 
 Sources in code point order (null is a source, the last) weigh WEIGHTS, repeating. They share `share` times all tokens by
 weight; a source stops at `most` times its own tokens and its excess is shared among the others by weight until none is
-above. A document's number of copies depends on its doc_id, its source and the seed alone, so reruns agree and repeated
-rows are copied alike. Null and empty texts have no tokens and are copied like others; a source without tokens has target
+above. Each source draws with the one of DRAWS seeds whose draw comes nearest to its target; a document's number of copies
+depends on its doc_id, its source's rate and that seed, so reruns agree and repeated rows are copied alike. Null and empty texts have no tokens and are copied like others; a source without tokens has target
 0 and no copies. Empty tables give empty results. Columns of the input are kept; those added replace columns of their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small
+from .common import small, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SEED = 20240229
+#: Seeds that are tried for each source.
+DRAWS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,15 +45,35 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mos
     return by.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def planned(docs: DataFrame, seed: int = SEED, **kw) -> DataFrame:
+def _extra(draw: Column) -> Column:
+    """Whether a document's Bernoulli copy is drawn."""
+    u = F.xxhash64("doc_id", draw).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    return u < F.col("rate") - F.floor("rate")
+
+
+def _on_source(rows: DataFrame, by: DataFrame) -> DataFrame:
+    by = by.withColumnRenamed("source", "_source")
+    return rows.join(small(by), rows["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
+def with_draws(rows: DataFrame, by: DataFrame, seed: int, draws: int) -> DataFrame:
+    """by with the seed of each source: of so many the one whose draw comes nearest to the target, the least of equal ones."""
+    extra = _on_source(rows, by).groupBy("source").agg(*[F.sum(F.when(_extra(F.lit(seed + k).cast("long")), F.col("size")).otherwise(0)).alias(f"_e{k}") for k in range(draws)])
+    extra = extra.select(F.col("source").alias("_s"), F.array(*[f"_e{k}" for k in range(draws)]).alias("_e"))
+    off = F.transform("_e", lambda x, k: F.struct(F.abs(F.floor("rate") * F.col("source_size") + x - F.col("target")).alias("off"), k.alias("k")))
+    joined = by.join(extra, by["source"].eqNullSafe(F.col("_s")), "left")
+    return joined.select(*by.columns, (F.coalesce(F.array_min(off)["k"], F.lit(0)) + seed).cast("long").alias("_draw"))
+
+
+def planned(docs: DataFrame, seed: int = SEED, draws: int = DRAWS, **kw) -> DataFrame:
     """docs with size, source_size, target, rate and copies."""
-    docs = docs.drop("size", "source_size", "target", "rate", "copies")
+    docs = docs.drop("size", "source_size", "target", "rate", "copies", "_draw")
     rows = sized(docs)
-    by = targets(rows.select("source", "size"), **kw).withColumnRenamed("source", "_source")
-    rows = rows.join(small(by), rows["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
-    u = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    whole = F.floor("rate")
-    return rows.withColumn("copies", (whole + (u < F.col("rate") - whole).cast("int")).cast("int"))
+    sizes = stored(rows.select("doc_id", "source", "size"), "mixing-sizes")  # numbers alone: the texts are read once for them
+    by = stored(targets(sizes, **kw), "mixing-targets")
+    by = stored(with_draws(sizes, by, seed, draws), "mixing-draws")
+    rows = _on_source(rows, by)
+    return rows.withColumn("copies", (F.floor("rate") + _extra(F.col("_draw")).cast("int")).cast("int")).drop("_draw")
 
 
 def mix(docs: DataFrame, seed: int = SEED, **kw) -> DataFrame:
