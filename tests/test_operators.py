@@ -174,3 +174,14 @@ def test_stub_streams_agree(spark, tmp_path):
     schema = spark.read.json(str(tmp_path / "log")).schema
     got = {r.user_id: (r.events, r.errors) for r in events.run_once(events.fold(events.event_files(spark, str(tmp_path / "log"), schema, per_trigger=1)), "complete").collect()}
     assert got == {u: (sum(i % 3 == u for i in range(40)), sum(i % 3 == u and i % 4 == 0 for i in range(40))) for u in range(3)}
+
+
+def test_sampled_to_fit_is_largest(spark):
+    from docgraph.operators import synthesis
+
+    sizes = [((i * 37) % 50 + 1) * 30 for i in range(60)]
+    rows = spark.createDataFrame([("t", i, n) for i, n in enumerate(sizes)] + [("small", 0, 10)], "topic string, idx long, n long")
+    spaced = lambda k: [59] if k == 1 else sorted({int((i + 0.5) * 60 / k) for i in range(k - 1)} | {59})
+    got = [r.idx for r in synthesis.sampled_to_fit(rows, 5000).filter("topic = 't'").orderBy("idx").collect()]
+    assert got == spaced(len(got)) and sum(sizes[i] for i in got) // 3 <= 5000 and got[-1] == 59
+    assert synthesis.sampled_to_fit(rows, 5000).filter("topic = 'small'").count() == 1
