@@ -9,10 +9,13 @@ from pyspark.sql.window import Window
 from .. import vocab
 from ..functions.scalar import tokens_similar
 
-# Words that say nothing about who is meant.
+# Words that say nothing about who is meant; those of them that say nothing at all; words for relations.
 HONORIFICS = (
-    "mr", "mrs", "ms", "miss", "dr", "prof", "sir", "lord", "lady", "king", "queen", "prince", "princess", "duke", "the", "a", "an", "of", "and", "my", "our",
+    "sir", "lord", "lady", "mr", "mrs", "ms", "miss", "dr", "doctor", "captain", "capt", "major", "colonel", "col", "general", "gen", "admiral", "rev", "father", "mother", "fr", "saint", "st",
+    "king", "queen", "prince", "princess", "duke", "duchess", "earl", "count", "countess", "baron", "baroness", "the", "of", "a", "an",
 )
+DETERMINERS = ("the", "of", "a", "an")
+RELATIONS = ("mom", "dad", "wife", "husband", "son", "daughter", "brother", "sister", "uncle", "aunt", "cousin", "nephew", "niece", "kid", "child", "spouse", "partner", "narrator", "author")
 
 
 def grouped(mentions: DataFrame, norm: str, kind: str, name: str, fact: str, topic: str, pos: str) -> DataFrame:
@@ -49,13 +52,14 @@ def disambiguated(df: DataFrame, slug: str, order: list) -> DataFrame:
 
 
 def names_overlap(a: Column, b: Column) -> Column:
-    """Whether two normalized names share a token that says who is meant, or one is a short name and the other has a longer one."""
-    drop = F.array(*[F.lit(h) for h in HONORIFICS])
-    tokens = lambda c: F.filter(F.array_except(F.split(c, " "), drop), lambda t: t != "")
+    """Whether two normalized names share a token that says who is meant, or one is a word for a relation and the other holds a
+    name of four letters or more. Where one has titles only, a shared title is enough."""
+    words = lambda c, drop: F.filter(F.array_except(F.split(c, " "), F.array(*[F.lit(h) for h in drop])), lambda t: t != "")
+    tokens = lambda c: words(c, HONORIFICS)
     ta, tb = tokens(a), tokens(b)
     similar = F.exists(ta, lambda x: F.exists(tb, lambda y: tokens_similar(x, y)))
-    titles = F.arrays_overlap(F.split(a, " "), F.split(b, " ")) & ((F.size(ta) == 0) != (F.size(tb) == 0))
-    short = lambda x, y: (F.size(x) == 1) & (F.length(x[0]) <= 4) & F.exists(y, lambda t: F.length(t) >= 4)
+    titles = F.arrays_overlap(words(a, DETERMINERS), words(b, DETERMINERS))
+    short = lambda x, y: (F.size(x) == 1) & F.get(x, F.lit(0)).isin(*RELATIONS) & F.exists(y, lambda t: F.length(t) >= 4)
     return F.when((F.size(ta) == 0) | (F.size(tb) == 0), titles).otherwise(similar | short(ta, tb) | short(tb, ta))
 
 

@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from .. import vocab
 
-SYSTEM_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini", ".localized")
+# Names that systems leave in folders.
+SYSTEM_NAMES = (".DS_Store", ".Spotlight-V100", ".Trashes", ".fseventsd", ".localized")
 
 
 def suffix(path: Column) -> Column:
@@ -76,7 +77,7 @@ def expanded(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str,
     elif ext in vocab.IMAGE_SUFFIXES:
         yield name, "image", "[image]"  # described later, at the model boundary
     elif ext in vocab.TEXT_SUFFIXES:
-        kind = {".md": "markdown", ".json": "json", ".jsonl": "jsonl"}.get(ext, "text")
+        kind = {".md": "markdown", ".markdown": "markdown", ".json": "json", ".jsonl": "jsonl"}.get(ext, "text")
         yield name, kind, data.decode("utf-8", "replace")
     elif ext == ".pdf":
         yield name, "pdf", pdf_text(data)

@@ -26,7 +26,7 @@ EMBEDDING_BATCH = 32
 SIZE_EDGES = (0, 200, 500, 1000, 2000)
 ACTION_WEIGHTS = (0.25, 0.20, 0.15, 0.15, 0.10, 0.075, 0.075)
 HORIZON_DAYS = {"short": 14, "medium": 90, "long": 90}
-IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".heic")
-TEXT_SUFFIXES = (".txt", ".md", ".json", ".jsonl")
-BINARY_SUFFIXES = (".pdf", ".docx", ".zip")
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".bmp", ".tiff", ".webp", ".gif")
+TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".json", ".jsonl")
+BINARY_SUFFIXES = (".pdf", ".docx", ".doc", ".zip")
 EXCLUDED_SUFFIXES = (".html", ".htm")

@@ -56,7 +56,7 @@ def test_one_edit(spark, a, b, want):
 
 
 def test_names_overlap(spark):
-    pairs = [("sir william penn", "w penn", True), ("mom", "jane doe", True), ("duke", "lord", False), ("robert baker", "sandwich", False), ("bruncker", "brunker", True)]
+    pairs = [("sir william penn", "w penn", True), ("mom", "jane doe", True), ("duke", "lord", False), ("robert baker", "sandwich", False), ("king", "king charles ii", True), ("the king", "the queen", False), ("king", "the king", True), ("snow", "jane doe", False), ("bruncker", "brunker", True)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert all(r.got == r.want for r in df.select(E.names_overlap(F.col("a"), F.col("b")).alias("got"), "want").collect())
 
