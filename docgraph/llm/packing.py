@@ -23,7 +23,7 @@ from .common import arrow_limits, arrow_map
 from .tokens import encoder, vocabulary_path, with_end
 
 SEQUENCE = 4096
-WINDOW = 4 << 20
+WINDOW = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -96,7 +96,7 @@ def window_sequences(lengths: list[int], size: int = SEQUENCE) -> Iterator[list[
 
 def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
     """Pieces of the texts of docs with their ids (unsigned 32-bit, little-endian), by sequence."""
-    arrow_limits(docs.sparkSession)
+    arrow_limits(docs.sparkSession, 256)
     path = vocabulary or vocabulary_path()
     fields = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
