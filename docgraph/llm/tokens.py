@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Words that one worker remembers; beyond, it forgets those seen once.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(f"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{re.escape(_MARKS)}]*").fullmatch
 #: The vocabulary's alphabet has other characters for these bytes than Latin-1 has.
