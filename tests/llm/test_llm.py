@@ -185,6 +185,23 @@ def test_html_wrappers():
     assert [k[0] for k in kids] == ["h2", "p", "table"] and kids[0][2] & 2 and kids[2][2] & 1
 
 
+ARTICLE = """<body><article><h1>Head {0}</h1><div class="zq">Read our app.</div><p>Long first text of article {0}, {0}.<p>Second text, {0}.
+<ul class="zk"><li><a href=x>Other head {0}</a><li><a href=x>One more head {0}</a></ul>{1}<blockquote>Quoted {0}</blockquote></article></body>"""
+
+
+def test_html_wrapper_decides_inside_an_article():
+    pages = [ARTICLE.format(i, "<div class=zs>Get our letter.</div>" if i % 2 else "") for i in range(8)]
+    wrapper = html_extraction.infer(pages)
+    want = "Head {0}\nLong first text of article {0}, {0}.\nSecond text, {0}.\nQuoted {0}"
+    assert [html_extraction.extract(p, wrapper) for p in pages] == [want.format(i) for i in range(8)]
+    plain = html_extraction.extract(pages[1], [])
+    assert all(x in plain for x in ("Read our app.", "Get our letter.", "One more head 1"))
+    other = pages[1].replace("Read our app.", "A text of this page.")
+    assert "A text of this page." in html_extraction.extract(other, wrapper)  # a slot goes only with the template's text
+    copies = [pages[1].replace("Second text", f"Edited {i}") for i in range(8)]
+    assert html_extraction.extract(copies[0], html_extraction.infer(copies)).startswith("Head 1\nRead our app.\nLong first")
+
+
 def test_html_pages(spark):
     rows = spark.createDataFrame([(1, "http://a.b/x", PAGE % (1, 1)), (1, "http://a.b/x", PAGE % (1, 1)), (2, None, None), (3, "http://c.d", "")], "page_id long, url string, html string")
     got = html_extraction.extract_pages(rows).collect()
