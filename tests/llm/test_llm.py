@@ -202,6 +202,20 @@ def test_html_wrapper_decides_inside_an_article():
     assert html_extraction.extract(copies[0], html_extraction.infer(copies)).startswith("Head 1\nRead our app.\nLong first")
 
 
+def test_html_wrapper_of_all_pages(spark):
+    page = "<body><div class=t><h1>{0}</h1></div><p>First {0}<p>Second {0}<div class=n>{1}</div></body>"
+    made = [page.format("copied", "Own note")] * 60 + [page.format("copied", f"Own note {i}") for i in range(3)] + [page.format(f"head {i}", "Site text") for i in range(3)]
+    made += [page.format(f"rare {i}", "Own note").replace("<p>", "<div class=r>Rare layout</div><p>", 1) for i in range(3)]
+    rows = [(i, "http://a.b/x", p) for i, p in enumerate(made)] + [(100, "http://a.b/y", None), (101, "http://none.b/y", None)]
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    want = lambda head, note: f"{head}\nFirst {head}\nSecond {head}\n{note}"
+    assert {got[i] for i in range(60)} == {want("copied", "Own note")} and [got[60 + i] for i in range(3)] == [want("copied", f"Own note {i}") for i in range(3)]
+    assert [got[63 + i] for i in range(3)] == [want(f"head {i}", "Site text") for i in range(3)]
+    assert [got[66 + i] for i in range(3)] == [want(f"rare {i}", "Own note") for i in range(3)] and got[100] == got[101] == ""
+    long = ["<body>" + "".join(f"<div class={'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}>Item {k} {'' if k == 990 else i}</div>" for k in range(i, 1000)) + "</body>" for i in range(4)]
+    assert "Item 990 \n" not in html_extraction.extract(long[1], html_extraction.infer(long)).replace("Item 990\n", "Item 990 \n")
+
+
 def test_html_pages(spark):
     rows = spark.createDataFrame([(1, "http://a.b/x", PAGE % (1, 1)), (1, "http://a.b/x", PAGE % (1, 1)), (2, None, None), (3, "http://c.d", "")], "page_id long, url string, html string")
     got = html_extraction.extract_pages(rows).collect()
