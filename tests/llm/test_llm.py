@@ -216,6 +216,19 @@ def test_html_wrapper_of_all_pages(spark):
     assert "Item 990 \n" not in html_extraction.extract(long[1], html_extraction.infer(long)).replace("Item 990\n", "Item 990 \n")
 
 
+@pytest.mark.parametrize("page", [
+    '<body><div role="navigation"><p>No</p></div><div role="main"><p>Yes {0}</p></div></body>',
+    "<body><article><p hidden>No</p><p>Yes {0}</p></article></body>",
+    "<body><article><p>Yes {0}</p><p hidden>No</p><p style='display: none'>No</p></article></body>",
+    '<body><article><div class="a b c sidebar">No</div><div class="a b c text">Yes {0}</div></article></body>',
+    '<body><article><div class="a b c text">Yes {0}</div><div class="a b c sidebar">No</div></article></body>',
+    '<body><article><p aria-label="share">No</p><p>Yes {0}</p></article></body>',
+])
+def test_html_own_role_counts(page):
+    wrapper = html_extraction.infer([page.format(i) for i in range(4)])
+    assert [html_extraction.extract(page.format(i), wrapper) for i in range(4)] == [f"Yes {i}" for i in range(4)]
+
+
 def test_html_pages(spark):
     rows = spark.createDataFrame([(1, "http://a.b/x", PAGE % (1, 1)), (1, "http://a.b/x", PAGE % (1, 1)), (2, None, None), (3, "http://c.d", "")], "page_id long, url string, html string")
     got = html_extraction.extract_pages(rows).collect()
