@@ -14,6 +14,8 @@ from docgraph.llm.common import small, stored, table
 
 #: A text whose windows give its best language less than this has no language that holds; clean texts have over 0.9.
 LEAST_SCORE = 0.4
+#: Near copies: words of a shingle, and the least Jaccard similarity as a fraction.
+SHINGLE_WORDS, LIKENESS = 5, (80, 100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays, once. Texts are not shuffled for it, unless
     those that go are too many to broadcast; rows that repeat a doc_id are the only ones that meet."""
-    found = stored(ngram_join.join(docs), "pipeline-groups")
+    found = stored(ngram_join.join(docs, SHINGLE_WORDS, LIKENESS), "pipeline-groups")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(small(gone), "doc_id", "left_anti")
     repeated = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")

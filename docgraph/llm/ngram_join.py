@@ -1,10 +1,11 @@
 """N-gram Jaccard join: count-vector R-tree over shingle sets, with exact verification.
 
-A text's set holds its distinct WIDTH-word shingles (A-Z lower-cased; fewer words: the whole sequence; no words: empty, linked
-with nothing). Two sets link when 100 * |A & B| >= 85 * |A | B|. Steps:
+A text's set holds its distinct shingles of `width` words (A-Z lower-cased; fewer words: the whole sequence; no words: empty,
+linked with nothing). Two sets link when den * |A & B| >= num * |A | B| for a likeness (num, den). The query takes four words and
+85 / 100. Steps:
 
 1. Texts with one set become one class, named by its least doc_id.
-2. In any one order of all shingles, two linked sets share one of their first |A| - ceil(0.85 |A|) + 1. The order puts shingles
+2. In any one order of all shingles, two linked sets share one of their first |A| - ceil(num |A| / den) + 1. The order puts shingles
    that are frequent in a bounded sample last and the others in hash order. Classes that share such a first shingle meet.
 3. Each class is tried with the least class it meets most often; links found so join most of a group of near copies.
 4. Whatever still meets across components is searched exactly: shingles are hashed into GROUPS groups, a class is the point
@@ -32,8 +33,9 @@ from .components import components
 from .words import U, shingle_hashes, text_bytes, word_hashes
 
 WIDTH = 4
-#: Link when NUM * |A | B| <= DEN * |A & B|.
-NUM, DEN = 85, 100
+#: A least likeness (num, den): link when num * |A | B| <= den * |A & B|.
+Likeness = tuple[int, int]
+LIKENESS: Likeness = (85, 100)
 GROUPS = 128
 #: Classes in a block of those that meet; children of a node.
 BLOCK, FANOUT = 512, 32
@@ -43,11 +45,6 @@ SETS = 256
 SAMPLE_DOCS, FREQUENT, LEAST_SEEN = 4000, 50_000, 4
 
 
-def needed(total: int | np.ndarray) -> int | np.ndarray:
-    """The least overlap that links two sets of so many shingles together."""
-    return -(-NUM * total // (NUM + DEN))
-
-
 def batch_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text."""
     words, offs = word_hashes(*text_bytes(column))
@@ -84,9 +81,10 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.array([r["s"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def sets_table(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
+def sets_table(docs: DataFrame, common: np.ndarray, width: int, likeness: Likeness) -> DataFrame:
     """doc_id, n (size of its set), digest of the set, its first shingles in the order, and its group counts."""
     arrow_limits(docs.sparkSession)
+    num, den = likeness
     by_hash = np.argsort(common)
     sorted_common = common[by_hash]
 
@@ -96,7 +94,7 @@ def sets_table(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
             for s in batch_sets(b.column("text"), width):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                k = len(s) - -(-NUM * len(s) // DEN) + 1 if len(s) else 0
+                k = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 if len(sorted_common) and len(s):
                     at = np.minimum(np.searchsorted(sorted_common, s), len(sorted_common) - 1)
                     late = sorted_common[at] == s
@@ -117,8 +115,8 @@ def sets_table(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
 class CountTree:
     """An R-tree over count vectors, packed by size and then by the first coordinates."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, likeness: Likeness = LIKENESS):
+        self.points, self.likeness = points, likeness
         self.sizes = points.sum(1)
         self.order = np.lexsort((points[:, 1], points[:, 0], self.sizes)) if len(points) else np.zeros(0, np.int64)
         self.levels = []  # from leaves up: the coordinates' maxima, the least and the largest size of each node
@@ -132,35 +130,35 @@ class CountTree:
 
     def search(self, point: np.ndarray) -> np.ndarray:
         """Rows whose overlap with point may link them."""
-        n = int(point.sum())
+        n, (num, den) = int(point.sum()), self.likeness
         nodes = np.arange(len(self.levels[-1][0])) if self.levels else np.zeros(0, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
             bound = np.minimum(np.minimum(top[nodes], point).sum(1), n)
-            keep = (NUM + DEN) * bound >= NUM * (n + low[nodes])
-            keep &= (DEN * n >= NUM * low[nodes]) & (DEN * high[nodes] >= NUM * n)
+            keep = (num + den) * bound >= num * (n + low[nodes])
+            keep &= (den * n >= num * low[nodes]) & (den * high[nodes] >= num * n)
             nodes = nodes[keep]
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             nodes = nodes[nodes < below]
         rows = self.order[nodes]
         bound = np.minimum(self.points[rows], point).sum(1)
-        return rows[(NUM + DEN) * bound >= NUM * (n + self.sizes[rows])]
+        return rows[(num + den) * bound >= num * (n + self.sizes[rows])]
 
 
-def meeting_pairs(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, part: np.ndarray, pos: np.ndarray) -> set[tuple[int, int]]:
+def meeting_pairs(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, part: np.ndarray, pos: np.ndarray, likeness: Likeness = LIKENESS) -> set[tuple[int, int]]:
     """Pairs of different components whose overlap may link them; between the parts where there are two. pos: how many
     shingles of its own a class has before the one they meet in. If that is the first they share, no more than what follows
     in both can be; if it is not, the pair is judged where it is."""
-    pairs = set()
+    pairs, (num, den) = set(), likeness
     two = part.min() != part.max()
     left, right = (np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())) if two else (np.arange(len(ids)),) * 2
-    tree = CountTree(points[right])
+    tree = CountTree(points[right], likeness)
     sizes = points.sum(1)
     after = sizes - pos
     for i in left:
         rows = right[tree.search(points[i])]
-        rows = rows[(comps[rows] != comps[i]) & ((NUM + DEN) * np.minimum(after[rows], after[i]) >= NUM * (sizes[rows] + sizes[i]))]
+        rows = rows[(comps[rows] != comps[i]) & ((num + den) * np.minimum(after[rows], after[i]) >= num * (sizes[rows] + sizes[i]))]
         for j in rows.tolist():
             a, b = int(ids[i]), int(ids[j])
             pairs.add((a, b) if a < b else (b, a))
@@ -171,22 +169,24 @@ def _vector(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2").astype(np.int64)
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, classes: DataFrame, likeness: Likeness) -> DataFrame:
     """Of pairs (a, b) those whose counts allow a link."""
+    num, den = likeness
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("counts").alias(f"v{c}"))
 
     def run(batches):
         for b in batches:
             va, vb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64) for c in ("va", "vb"))
-            keep = (NUM + DEN) * np.minimum(va, vb).sum(1) >= NUM * (va.sum(1) + vb.sum(1))
+            keep = (num + den) * np.minimum(va, vb).sum(1) >= num * (va.sum(1) + vb.sum(1))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb"), run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, likeness: Likeness) -> DataFrame:
     """Of pairs (a, b) those that link: first by fine counts, a sixteenth of the bytes or less, then by the whole sets."""
-    return _compared(stored(_compared(pairs, docs, width, fine, _may_link, "<u2"), "ngram-near"), docs, width, lambda s: s, _linked, "<u8")
+    near = stored(_compared(pairs, docs, width, fine, lambda a, b: _may_link(a, b, likeness), "<u2"), "ngram-near")
+    return _compared(near, docs, width, lambda s: s, lambda a, b: _linked(a, b, likeness), "<u8")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, width: int, of: Callable, test: Callable, kind: str) -> DataFrame:
@@ -229,25 +229,27 @@ def _compared(pairs: DataFrame, docs: DataFrame, width: int, of: Callable, test:
     return arrow_map(rows, run, "a long, b long")
 
 
-def _may_link(a: np.ndarray, b: np.ndarray) -> bool:
+def _may_link(a: np.ndarray, b: np.ndarray, likeness: Likeness) -> bool:
+    num, den = likeness
     while len(a) > len(b):
         a = a.reshape(-1, 2).sum(1)
     while len(b) > len(a):
         b = b.reshape(-1, 2).sum(1)
-    return (NUM + DEN) * int(np.minimum(a, b).sum()) >= NUM * (int(a.sum()) + int(b.sum()))
+    return (num + den) * int(np.minimum(a, b).sum()) >= num * (int(a.sum()) + int(b.sum()))
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, likeness: Likeness) -> bool:
+    num, den = likeness
     if len(a) < len(b):
         a, b = b, a
     if not len(b):
         return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     both = int((a[at] == b).sum())
-    return DEN * both >= NUM * (len(a) + len(b) - both)
+    return den * both >= num * (len(a) + len(b) - both)
 
 
-def _searched(meet: DataFrame, spark) -> DataFrame:
+def _searched(meet: DataFrame, spark, likeness: Likeness) -> DataFrame:
     """meet: (tok, pos, rep, comp, counts) of shingles that several components share. Pairs across components that may link."""
     size = meet.groupBy("tok").agg(F.count("*").alias("_k")).withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int")).drop("_k")
     rows = meet.join(size, "tok").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
@@ -266,7 +268,7 @@ def _searched(meet: DataFrame, spark) -> DataFrame:
             if len(set(comps)) < 2:
                 return None
             points = np.stack([_vector(c) for c in counts])
-            new = meeting_pairs(np.array(ids), np.array(comps), points, np.array(part), np.array(before)) - sent
+            new = meeting_pairs(np.array(ids), np.array(comps), points, np.array(part), np.array(before), likeness) - sent
             if len(sent) > 200_000:  # repeats beyond it go in the distinct() that follows
                 sent.clear()
             sent.update(new)
@@ -286,11 +288,11 @@ def _searched(meet: DataFrame, spark) -> DataFrame:
     return arrow_map(rows, run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def join(docs: DataFrame, width: int = WIDTH, likeness: Likeness = LIKENESS) -> DataFrame:
     """doc_id, n_shingles, n_links (of its class to others, as found) and component_id of every row of docs."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    table = stored(sets_table(docs, frequent(docs, width), width), "ngram-sets")
+    table = stored(sets_table(docs, frequent(docs, width), width, likeness), "ngram-sets")
     classes = table.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "first", "counts")])
     classes = stored(classes, "ngram-classes")
     points = classes.select("rep", "counts")
@@ -300,7 +302,7 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     meet = stored(posts.join(shared, "tok"), "ngram-meet")  # (tok, pos, rep, center)
     tries = meet.filter("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("k"))
     tries = tries.groupBy("rep").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("a")).select("a", F.col("rep").alias("b"))
-    links = stored(_verified(stored(_bounded(tries, points), "ngram-tries"), docs, width), "ngram-links")
+    links = stored(_verified(stored(_bounded(tries, points, likeness), "ngram-tries"), docs, width, likeness), "ngram-links")
     comp = components(links)
     named = meet.select("tok", "pos", "rep").join(comp, meet["rep"] == comp["node"], "left").select("tok", "pos", "rep", F.coalesce("component", "rep").alias("comp"))
     h = F.xxhash64("rep")  # of all shingles that the same classes share, the first is enough
@@ -308,8 +310,8 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     open_ = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *who).filter("lo <> hi")
     open_ = open_.groupBy("x", "y", "k").agg(F.min_by("tok", "at").alias("tok")).select("tok")
     left = stored(named.join(open_, "tok", "left_semi").join(points, "rep"), "ngram-open")
-    pairs = stored(_searched(left, spark), "ngram-pairs")
-    more = stored(_verified(pairs, docs, width), "ngram-links")
+    pairs = stored(_searched(left, spark, likeness), "ngram-pairs")
+    more = stored(_verified(pairs, docs, width, likeness), "ngram-links")
     links = links.union(more)
     comp = components(links)
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))

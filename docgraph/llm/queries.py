@@ -45,7 +45,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.join(table(spark, sf_dir, "documents"), 4, (85, 100)).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -495,3 +495,33 @@ def test_pipeline(spark, edges):
         assert f(spark, edges, SF).columns == edges.columns
     out = corpus_pipeline.near_duplicates(spark, edges, SF).collect()
     assert Counter(r.doc_id for r in out)[5] == 0 and Counter(r.doc_id for r in out)[4] == 1
+
+
+def brute_kept(rows: list[tuple], width: int, percent: int) -> list[int]:
+    sets, up = {i: shingles(t, width) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if c == b else c for k, c in up.items()}
+    return sorted(i for i, c in up.items() if i == c)
+
+
+def test_pipeline_near_copies_of_five_words_at_four_fifths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(24):
+        base = [f"w{family}-{v}" for v in range(200)]
+        rows.append((len(rows), " ".join(base)))
+        if family % 2:  # one passage appended: likeness 0.75 to 0.9
+            rows.append((len(rows), " ".join(base + [f"a{family}-{v}" for v in range(22 + 2 * family)])))
+        else:  # scattered edits
+            edited = list(base)
+            for at in rng.choice(200, 2 + family // 8, replace=False):
+                edited[at] = f"e{family}-{at}"
+            rows.append((len(rows), " ".join(edited)))
+    wide, narrow = brute_kept(rows, 5, 80), brute_kept(rows, 4, 85)
+    assert set(wide) < set(narrow)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == wide
+    assert sorted(r.doc_id for r in ngram_join.join(df).collect() if r.doc_id == r.component_id) == narrow
