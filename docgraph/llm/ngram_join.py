@@ -54,12 +54,15 @@ def batch_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def counted(s: np.ndarray, bits: int) -> np.ndarray:
-    """Group counts of a set; groups are ranges of hashes, so summing neighbours gives the counts of half as many groups."""
-    return np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
+    """Group counts of a set; groups are ranges of hashes, so summing neighbours gives the counts of half as many groups. In 16
+    bits each, or in 32 where one needs them."""
+    counts = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4")
 
 
 def fine(s: np.ndarray) -> np.ndarray:
-    """Group counts with about eight shingles a group, so that large sets are told apart as well as small ones."""
+    """Group counts with about eight shingles a group, so that large sets are told apart as well as small ones. A count of these
+    needs more than 16 bits only beyond 4 billion shingles, which no text has."""
     return counted(s, min(16, max(6, (len(s) // 8).bit_length())))
 
 
@@ -166,7 +169,7 @@ def meeting_pairs(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, part:
 
 
 def _vector(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2").astype(np.int64)
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int64)
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, likeness: Likeness) -> DataFrame:
@@ -176,7 +179,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, likeness: Likeness) -> DataFr
 
     def run(batches):
         for b in batches:
-            va, vb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64) for c in ("va", "vb"))
+            va, vb = (np.array([_vector(v) for v in b.column(c).to_pylist()]).reshape(-1, GROUPS) for c in ("va", "vb"))
             keep = (num + den) * np.minimum(va, vb).sum(1) >= num * (va.sum(1) + vb.sum(1))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 

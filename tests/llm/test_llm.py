@@ -525,3 +525,11 @@ def test_pipeline_near_copies_of_five_words_at_four_fifths(spark):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == wide
     assert sorted(r.doc_id for r in ngram_join.join(df).collect() if r.doc_id == r.component_id) == narrow
+
+
+def test_counts_of_very_long_texts():
+    step = (1 << 64) // ngram_join.GROUPS
+    s = np.concatenate([np.arange(70_000, dtype=np.uint64), np.arange(1, ngram_join.GROUPS, dtype=np.uint64) * np.uint64(step)])
+    for part in (s, s[60_000:]):
+        counts = ngram_join._vector(ngram_join.counted(part, 7).tobytes())
+        assert len(counts) == ngram_join.GROUPS and counts.sum() == len(part) and counts[0] == len(part) - 127
