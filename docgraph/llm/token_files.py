@@ -2,28 +2,29 @@
 
 A file holds the ids of consecutive documents:
 
-    magic "DGTK1\\0", then little-endian: u32 documents, u64 ids, u32 alphabet size, u32 blocks
+    magic "DGTK2\0", then little-endian: u32 documents, u64 ids, u32 alphabet size, u32 blocks, u32 ids in a block, u32 crc32 of all else before the payload
     alphabet: u32 ids, most frequent first; ids are coded by their rank in it
-    documents: i64 doc_id and u32 number of ids, each
-    blocks: u32 words of 16 bits and u32 crc32 (of the block's ids as unsigned 32-bit little-endian), each
+    counts: u32 for each of the alphabet, the order-0 statistics
+    documents: i64 doc_id, u32 number of ids and u8 1 if the doc_id is null, each
+    blocks: u32 words of 32 bits and u32 crc32 (of the block's ids as unsigned 32-bit little-endian), each
     payload: the blocks' words, one block after another
 
-A block has BLOCK ids (the last may have fewer) and starts from a reset model and a reset coder. Per id, order 1 and order 2
-each predict one rank (what followed the last rank, or the hash of the last two, most lately) with a confidence that hits
-raise; the confidences select adaptive weights that mix the two predictions with order 0. Order 0 codes the rank's class by adaptive
-frequencies and its place in the class evenly; as classes grow with the rank, what is frequent costs few bits. All of a
-file's blocks are coded in lockstep, one lane each, with the same model code for writing and reading.
+All blocks of a file have as many ids (the last may have fewer) and start from a reset model and a reset coder. Per id, order 1 and
+order 2 each predict one rank (what last followed the hash of the last rank, of the last two) with a confidence that hits raise;
+by the pair of confidences adaptive weights, from the hits so far in the block, mix the two predictions with order 0, the file's own
+counts. The rank is coded in the interval that the mixture gives it. A file's blocks are coded in lockstep, one lane each,
+with the same model code for writing and reading; blocks are as long as leaves about LANES of them, within SHORTEST and LONGEST.
 
 Files are rows of a table (bucket, seq, n_docs, n_ids, data), which Spark writes to any store and commits as a whole; their
 order is (bucket, seq), and doc_id ascends in it. Null texts are empty; each document ends with an end id, so none is lost.
-A null doc_id is kept and comes first. Repeated rows are documents of their own. An empty table has no files.
+A null doc_id is kept and comes first. Repeated rows are documents of their own. An empty table has no files. A file that is cut
+short, or changed where it matters to any value, raises Damaged when it is read (the last bits of a block's payload may not matter).
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,256 +34,216 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, arrow_map, offsets_before, range_bucket, small
 from .tokens import END_ID, encoder, vocabulary_path, with_end
 
-MAGIC = b"DGTK1\0"
-BLOCK = 4096
-HASH_BITS = 11
-_HEAD = struct.Struct("<6sIQII")
+MAGIC = b"DGTK2\0"
+#: Blocks that are coded at once, and the least and the most ids of a block.
+LANES, SHORTEST, LONGEST = 2048, 512, 4096
+HASH_BITS = 9
+_HEAD = struct.Struct("<6sIQIIII")
+_DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("null", "u1")])
 U = np.uint64
-_TOP, _BOT = U(1 << 48), U(1 << 40)
-#: Bits of the frequencies of the mixing step and of the class step.
-MIX_BITS, CLASS_BITS = 12, 12
-#: Steps between two updates of the cumulated class frequencies.
-REFRESH = 32
-
+#: Bits of the mixing weights; of 4096 parts order 0 keeps 94 or more.
+MIX_BITS, MIXED = 12, 4000
+_HALF, _SMALL = U(32), U(1 << 32)
+#: The weights follow the hits after 16 steps of a block, then twice as many, at last after as many steps as this.
+RENEWED = 128
 
 #: Ids after which a file is closed, at the end of a document.
 FILE_IDS = 4 << 20
-_NULL = -(1 << 63)
 
 
 class Damaged(ValueError):
     """A file or one of its blocks does not hold what was written."""
 
 
-@cache
-def classes(alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each class its first rank and the bits of its size; of each rank its class. Sizes are powers of two, about a quarter of the rank."""
-    first, bits, at = [], [], 0
-    while at < alphabet:
-        first.append(at)
-        bits.append(max(1, min(1024, at // 4)).bit_length() - 1)
-        at += 1 << bits[-1]
-    bits_ = np.array(bits, np.int64)
-    return np.array(first, np.int64), bits_.astype(np.uint64), np.repeat(np.arange(len(first)), 1 << bits_)[:alphabet]
+class Order0:
+    """Order 0: of each rank its share of 1 << bits parts, by its count in the file, and where its parts begin."""
+
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
+        self.n, self.bits = n, max(16, n.bit_length() + 5)
+        share = 1 + counts.astype(np.int64) * ((1 << self.bits) - n) // max(1, int(counts.sum()))
+        share[:1] += (1 << self.bits) - share.sum()
+        self.share, self.begin = share.astype(np.uint64), (np.cumsum(share) - share).astype(np.uint64)
+
+    def ranks(self) -> np.ndarray:
+        """The rank of every part."""
+        return np.repeat(np.arange(self.n, dtype=np.uint16 if self.n <= 1 << 16 else np.uint32), self.share.astype(np.int64))
 
 
 class Lanes:
-    """The model of n blocks at once."""
+    """Orders 1 and 2 and the mixing weights of n blocks at once. Arrays of two rows hold order 1 and order 2."""
 
     def __init__(self, n: int, alphabet: int):
-        self.n, self.lane = n, np.arange(n)
-        self.first, self.bits, self.class_of = classes(alphabet)
-        self.k = len(self.first)
-        self.width = alphabet + 1  # the rank before the first is `alphabet`, and so is a prediction that is not there yet
+        self.n = n
         kind = np.uint16 if alphabet < 1 << 14 else np.uint32
-        self.table1 = np.full(n * self.width, alphabet * 4, kind)  # 4 * rank + confidence, by the last rank
-        self.table2 = np.full(n << HASH_BITS, alphabet * 4, kind)  # the same, by the last two
-        first2, first1 = np.repeat(np.array([300, 1200, 2200, 3000]), 4) << 4, np.tile(np.array([300, 1000, 1800, 2600]) << 4, 4)
-        self.mix = np.tile((first2 << 16) + first1, n)  # by pair of confidences: share of order 2, share of order 1 in the rest
-        self.row1, self.row2, self.row_mix, self.row_class = self.lane * self.width, self.lane << HASH_BITS, self.lane * 16, self.lane
-        self.freq = np.repeat(np.maximum(4, 64 * np.log2(1 + (1 << self.bits.astype(np.int64)) / (1 + self.first))).astype(np.int64), n)  # class after class
-        self.last, self.last2 = np.full(n, alphabet, np.int64), np.full(n, alphabet, np.int64)
-        self.steps = 0
-        self._refresh()
-
-    def _refresh(self) -> None:
-        """Class frequencies scaled to 1 << CLASS_BITS, none below 1."""
-        cum = np.cumsum(self.freq.reshape(self.k, self.n), 0)
-        room = (1 << CLASS_BITS) - self.k
-        self.cum = np.zeros((self.k + 1, self.n), np.int16)
-        self.cum[1:] = cum * room // cum[-1] + np.arange(1, self.k + 1)[:, None]
-        self.flat = self.cum.ravel()
-
-    def look(self) -> None:
-        """Predictions and mixing intervals of the next id: order 2 has [0, e2), order 1 [e2, e1), order 0 the rest."""
-        self.at1 = self.row1 + self.last
-        self.at2 = self.row2 + (((self.last * 0x9E3779B1 + self.last2 * 0x85EBCA6B) >> 9) & ((1 << HASH_BITS) - 1))
-        self.v1, self.v2 = self.table1.take(self.at1).astype(np.int64), self.table2.take(self.at2).astype(np.int64)
-        self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
-        self.ctx = self.row_mix + ((self.v2 & 3) << 2) + (self.v1 & 3)
-        both = self.mix.take(self.ctx)
-        self.m2, self.m1 = both >> 16, both & 0xFFFF
-        self.e2 = (self.m2 >> 4) + 1
-        self.e1 = self.e2 + (((4093 - self.e2) * self.m1) >> 16) + 1
-
-    def learn(self, rank: np.ndarray, had2: np.ndarray, had1: np.ndarray) -> None:
-        """had2: order 2 had the rank; had1: order 1 had it and order 2 had not."""
-        m2 = self.m2 + (((had2 * 65000) - self.m2) >> 5)
-        self.mix[self.ctx] = (m2 << 16) + self.m1 + (np.where(had2, 0, had1 * 65000 - self.m1) >> 5)
-        new = rank << 2
-        self.table1[self.at1] = np.where(self.p1 == rank, np.minimum(self.v1 + 1, new + 3), new)
-        self.table2[self.at2] = np.where(had2, np.minimum(self.v2 + 1, new + 3), new)
-        at = self.class_of.take(rank) * self.n + self.lane
-        self.freq[at] = self.freq.take(at) + 24
-        self.last2, self.last = self.last, rank
-        self.steps += 1
-        if self.steps % REFRESH == 0:
-            if self.steps % 512 == 0:
-                self.freq -= self.freq >> 1
-            self._refresh()
-
-
-def _interval(model: Lanes, had2: np.ndarray, had1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.where(had2, 0, np.where(had1, model.e2, model.e1))
-    stop = np.where(had2, model.e2, np.where(had1, model.e1, 1 << MIX_BITS))
-    return start.view(np.uint64), (stop - start).view(np.uint64)
-
-
-def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lanes whose upper 16 bits can go, and the spans they then have."""
-    near = (low ^ (low + span)) < _TOP
-    rows = (near | (span < _BOT)).nonzero()[0]
-    return rows, np.where(near.take(rows), span.take(rows), (~low.take(rows) + U(1)) & (_BOT - U(1)))
-
-
-def _encode_lanes(ranks: np.ndarray, alphabet: int) -> list[np.ndarray]:
+        self.table = np.full((2 * n) << HASH_BITS, alphabet << 2, kind)  # 4 * rank + confidence; no rank is `alphabet`
+        self.begin = (np.arange(2 * n) << HASH_BITS).reshape(2, n)
+        self.factors, self.shift = np.array([[0x9E3779B1], [0x85EBCA6B]], np.uint32), np.uint32(32 - HASH_BITS)
+        self.before, self.last = np.zeros((2, n), np.uint32), np.full(n, alphabet, np.uint32)
+        self.two, self.three = kind(2), kind(3)
+        self.lane = np.arange(n) * 16
+        hits2 = np.repeat([6, 26, 48, 60], 4)  # of 70, to begin with, by the confidences of order 2 and order 1
+        self.all, self.hits2, self.hits1 = (np.tile(x, n) for x in (np.full(16, 70), hits2, np.tile([5, 18, 34, 50], 4) * (70 - hits2) // 70))
+        self.contexts, self.found = np.zeros((RENEWED, n), np.int64), np.zeros((RENEWED, 2, n), bool)
+        self.held, self.due = 0, 16
+        self._renew()
+
+    def _renew(self) -> None:
+        """The weights by all hits so far: where order 2's interval ends, and order 1's."""
+        found = self.found[: self.held]
+        packed = 1.0 + 65536.0 * (found[:, 0] & ~found[:, 1]) + 4294967296.0 * found[:, 1]
+        packed = np.bincount(self.contexts[: self.held].ravel(), packed.ravel(), 16 * self.n).astype(np.int64)
+        self.all += packed & 65535
+        self.hits1 += (packed >> 16) & 65535
+        self.hits2 += packed >> 32
+        end2 = 1 + self.hits2 * MIXED // self.all
+        self.end2, self.end1 = end2.view(np.uint64), (end2 + 1 + self.hits1 * MIXED // self.all).view(np.uint64)
+        self.held = 0
+
+    def look(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ends of the intervals of order 2 and of order 1 for the next id; order 0 has what is left."""
+        product = self.last * self.factors
+        hashed = (product[0] + self.before) >> self.shift
+        self.before[1] = product[1]
+        self.at = self.begin + hashed
+        value = self.table.take(self.at)
+        self.rank, self.trust = value >> self.two, value & self.three
+        context = self.contexts[self.held]
+        np.add(self.lane, self.trust[0] + (self.trust[1] << self.two), out=context)
+        return self.end2.take(context), self.end1.take(context)
+
+    def learn(self, rank: np.ndarray) -> None:
+        hit = np.equal(self.rank, rank, out=self.found[self.held])
+        self.table[self.at] = np.minimum(self.trust + hit, self.three) * hit + (rank << self.two)
+        self.last = rank.astype(np.uint32)
+        self.held += 1
+        if self.held == self.due:
+            self._renew()
+            self.due = min(RENEWED, 2 * self.due)
+
+
+def _encode_lanes(ranks: np.ndarray, order0: Order0) -> list[np.ndarray]:
     """ranks: (blocks, steps) of equally long blocks. The words of each block."""
     n, steps = ranks.shape
-    model = Lanes(n, alphabet)
+    model, mix, bits0 = Lanes(n, order0.n), U(MIX_BITS), U(order0.bits)
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    width = 4 * steps + 16  # a step takes 34 bits at most, and seldom 16 more where a carry is cut off
-    out, used = np.zeros(n * width, np.uint16), np.arange(n) * width
-    mix, cls_bits = U(MIX_BITS), U(CLASS_BITS)
-    columns = np.ascontiguousarray(ranks.T)
-    for rank in columns:
-        rank = rank.astype(np.int64)
-        model.look()
-        had2 = model.p2 == rank
-        had1 = (model.p1 == rank) & ~had2
-        start, size = _interval(model, had2, had1)
-        r = span >> mix
-        low, span = low + start * r, r * size
-        cls = model.class_of.take(rank)
-        at = cls * n + model.lane
-        a = model.flat.take(at).astype(np.uint64)
-        r = span >> cls_bits
-        inner = (r * (model.flat.take(at + n).astype(np.uint64) - a)) >> model.bits.take(cls)
-        known = had2 | had1
-        low = np.where(known, low, low + a * r + (rank - model.first.take(cls)).view(np.uint64) * inner)
-        span = np.where(known, span, inner)
-        rows, spans = _settled(low, span)
-        while len(rows):
-            lo = low.take(rows)
-            out[used.take(rows)] = lo >> U(48)
-            used[rows] += 1
-            low[rows], span[rows] = lo << U(16), spans << U(16)
-            again, spans = _settled(low.take(rows), span.take(rows))
-            rows = rows[again]
-        model.learn(rank, had2, had1)
-    for _ in range(4):
-        out[used] = low >> U(48)
+    width = steps * (MIX_BITS + order0.bits + 1) // 32 + 4
+    begin = np.arange(n) * width
+    out, used = np.zeros(n * width, np.int64), begin.copy()  # words take carries later, in their upper half
+    for rank in np.ascontiguousarray(ranks.T.astype(model.table.dtype)):
+        end2, end1 = model.look()
+        had1, had2 = model.rank == rank
+        part = span >> mix
+        to2, to1 = end2 * part, end1 * part
+        part = (span - to1) >> bits0
+        start = np.where(had2, U(0), np.where(had1, to2, to1 + order0.begin.take(rank) * part))
+        span = np.where(had2, to2, np.where(had1, to1 - to2, order0.share.take(rank) * part))
+        low += start
+        over = (low < start).nonzero()[0]
+        if len(over):
+            out[used.take(over) - 1] += 1
+        rows = (span < _SMALL).nonzero()[0]  # one word is enough: a step takes less than 32 bits
+        at, word = used.take(rows), low.take(rows)
+        out[at] = word >> _HALF
+        used[rows], low[rows], span[rows] = at + 1, word << _HALF, span.take(rows) << _HALF
+        model.learn(rank)
+    for _ in range(2):
+        out[used] = low >> _HALF
         used += 1
-        low = low << U(16)
-    return [out[i * width : used[i]] for i in range(n)]
+        low = low << _HALF
+    out = out.reshape(n, width)
+    while (carry := out >> 32).any():
+        out &= 0xFFFFFFFF
+        out[:, :-1] += carry[:, 1:]
+    return [row[:k].astype("<u4") for row, k in zip(out, (used - begin).tolist(), strict=True)]
 
 
-def _decode_lanes(words: list[np.ndarray], steps: int, alphabet: int) -> np.ndarray:
+def _decode_lanes(words: list[np.ndarray], steps: int, order0: Order0) -> np.ndarray:
     n = len(words)
-    model = Lanes(n, alphabet)
-    width = max(map(len, words)) + 8
+    model, mix, bits0, of_part = Lanes(n, order0.n), U(MIX_BITS), U(order0.bits), order0.ranks()
+    width = max(map(len, words)) + 2
     held = np.zeros((n, width), np.uint64)
     for i, w in enumerate(words):
         held[i, : len(w)] = w
     held, used = held.ravel(), np.arange(n) * width
-    code = np.zeros(n, np.uint64)
-    for _ in range(4):
-        code = (code << U(16)) | held[used]
-        used += 1
-    end = np.arange(1, n + 1) * width - 1
-    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    ranks = np.empty((steps, n), np.int64)
-    mix, cls_bits = U(MIX_BITS), U(CLASS_BITS)
-    top_mix, top_cls = U((1 << MIX_BITS) - 1), U((1 << CLASS_BITS) - 1)
+    code = (held.take(used) << _HALF) | held.take(used + 1)
+    used += 2
+    span = np.full(n, (1 << 64) - 1, np.uint64)
+    ranks = np.empty((steps, n), model.table.dtype)
     for t in range(steps):
-        model.look()
-        r = span >> mix
-        v = np.minimum((code - low) // r, top_mix).view(np.int64)
-        had2 = v < model.e2
-        had1 = (v < model.e1) & ~had2
-        start, size = _interval(model, had2, had1)
-        low, span = low + start * r, r * size
-        r = span >> cls_bits
-        rest = code - low
-        v = np.minimum(rest // np.maximum(r, U(1)), top_cls).astype(np.int16)
-        cls = np.add.reduce((model.cum[1:] <= v).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
-        at = cls * n + model.lane
-        a = model.flat.take(at).astype(np.uint64)
-        bits = model.bits.take(cls)
-        inner = (r * (model.flat.take(at + n).astype(np.uint64) - a)) >> bits
-        a = a * r
-        place = np.minimum((rest - a) // np.maximum(inner, U(1)), (U(1) << bits) - U(1))
-        known = had2 | had1
-        low = np.where(known, low, low + a + place * inner)
-        span = np.where(known, span, inner)
-        rank = np.where(had2, model.p2, np.where(had1, model.p1, model.first.take(cls) + place.view(np.int64)))
-        if rank.max() >= alphabet:
-            raise Damaged("a block holds no valid id")
+        end2, end1 = model.look()
+        part = span >> mix
+        to2, to1 = end2 * part, end1 * part
+        had2, had1 = code < to2, code < to1
+        part = (span - to1) >> bits0
+        other = of_part.take(((code - to1) // part).view(np.int64), mode="clip")
+        rank = np.where(had2, model.rank[1], np.where(had1, model.rank[0], other))
+        code -= np.where(had2, U(0), np.where(had1, to2, to1 + order0.begin.take(other) * part))
+        span = np.where(had2, to2, np.where(had1, to1 - to2, order0.share.take(other) * part))
+        rows = (span < _SMALL).nonzero()[0]
+        at = used.take(rows)
+        code[rows] = (code.take(rows) << _HALF) | held.take(at, mode="clip")
+        used[rows], span[rows] = at + 1, span.take(rows) << _HALF
         ranks[t] = rank
-        rows, spans = _settled(low, span)
-        while len(rows):
-            code[rows] = (code[rows] << U(16)) | held[np.minimum(used[rows], end[rows])]
-            used[rows] += 1
-            low[rows], span[rows] = low[rows] << U(16), spans << U(16)
-            again, spans = _settled(low.take(rows), span.take(rows))
-            rows = rows[again]
-        model.learn(rank, had2, had1)
+        model.learn(rank)
+    if ranks.size and ranks.max() >= order0.n:
+        raise Damaged("a block holds no valid id")
     return ranks.T
 
 
-def write(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
+def block_of(n_ids: int) -> int:
+    """Ids in a block of a file with so many ids."""
+    return max(SHORTEST, min(LONGEST, -(-n_ids // LANES)))
+
+
+def write(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block: int | None = None) -> bytes:
     """The file of documents with so many ids each, which follow one another in ids."""
     ids = np.asarray(ids, np.uint32)
-    often = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
-    alphabet = np.flatnonzero(often)
-    alphabet = alphabet[np.argsort(-often[alphabet], kind="stable")]
-    rank_of = np.zeros(len(often), np.int32)
-    rank_of[alphabet] = np.arange(len(alphabet))
-    ranks = rank_of[ids]
-    whole = len(ids) // block
-    words = _encode_lanes(ranks[: whole * block].reshape(whole, block), len(alphabet)) if whole else []
-    if len(ids) % block:
-        words += _encode_lanes(ranks[whole * block :][None, :], len(alphabet))
+    block = block or block_of(len(ids))
+    small_ids = not len(ids) or int(ids.max()) < 1 << 24
+    values, place, often = (None, ids, np.bincount(ids)) if small_ids else np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+    alphabet, rank_of = order if small_ids else values[order], np.zeros(len(often), np.uint32)
+    rank_of[order] = np.arange(len(order))
+    blocks = -(-len(ids) // block)
+    ranks = np.zeros(blocks * block, np.uint32)  # the last block is filled up with rank 0, which the reader drops
+    ranks[: len(ids)] = rank_of[place]
+    often = often[order].astype("<u4")
+    words = _encode_lanes(ranks.reshape(blocks, block), Order0(often)) if blocks else []
     little = ids.astype("<u4")
-    table = np.array([(len(w), zlib.crc32(little[i * block : (i + 1) * block].tobytes())) for i, w in enumerate(words)], "<u4")
-    docs = np.zeros(len(doc_ids), np.dtype([("doc_id", "<i8"), ("n", "<u4")]))
-    docs["doc_id"], docs["n"] = doc_ids, counts
-    head = _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(alphabet), len(words))
-    return b"".join([head, struct.pack("<I", block), alphabet.astype("<u4").tobytes(), docs.tobytes(), table.tobytes(), *[w.astype("<u2").tobytes() for w in words]])
-
-
-def header(data: bytes) -> tuple[int, int]:
-    """Documents and ids of a file."""
-    magic, n_docs, n_ids, _, _ = _HEAD.unpack_from(data)
-    if magic != MAGIC:
+    table = np.array([(len(w), zlib.crc32(little[i * block : (i + 1) * block])) for i, w in enumerate(words)], "<u4")
+    docs = np.zeros(len(doc_ids), _DOC)
+    docs["doc_id"], docs["n"], docs["null"] = [d or 0 for d in doc_ids], counts, [d is None for d in doc_ids]
+    tables = b"".join(x.tobytes() for x in (alphabet.astype("<u4"), often, docs, table))
+    head = (MAGIC, len(docs), len(ids), len(alphabet), blocks, block)
+    check = zlib.crc32(tables, zlib.crc32(_HEAD.pack(*head, 0)))
+    return b"".join([_HEAD.pack(*head, check), tables, *[w.tobytes() for w in words]])
+
+
+def read(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, counts and ids of a file; Damaged where it is cut short or a checksum does not agree."""
+    if len(data) < _HEAD.size or data[: len(MAGIC)] != MAGIC:
         raise Damaged("not a token-id file")
-    return n_docs, n_ids
-
-
-def read(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, counts and ids of a file; Damaged where a checksum does not agree."""
-    header(data)
-    _, n_docs, n_ids, n_alphabet, n_blocks = _HEAD.unpack_from(data)
+    *head, check = _HEAD.unpack_from(data)
+    _, n_docs, n_ids, n_alphabet, n_blocks, block = head
+    payload = _HEAD.size + 8 * n_alphabet + _DOC.itemsize * n_docs + 8 * n_blocks
+    if len(data) < payload or check != zlib.crc32(data[_HEAD.size : payload], zlib.crc32(_HEAD.pack(*head, 0))):
+        raise Damaged("the file's tables are not those that were written")
     at = _HEAD.size
-    (block,) = struct.unpack_from("<I", data, at)
-    at += 4
-    alphabet = np.frombuffer(data, "<u4", n_alphabet, at)
-    at += alphabet.nbytes
-    docs = np.frombuffer(data, np.dtype([("doc_id", "<i8"), ("n", "<u4")]), n_docs, at)
-    at += docs.nbytes
-    table = np.frombuffer(data, "<u4", 2 * n_blocks, at).reshape(-1, 2)
-    at += table.nbytes
-    ends = np.concatenate([[0], np.cumsum(table[:, 0].astype(np.int64))])
-    payload = np.frombuffer(data, "<u2", int(ends[-1]), at)
-    words = [payload[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    whole, rest = divmod(n_ids, block)
-    ranks = [_decode_lanes(words[:whole], block, n_alphabet).ravel()] if whole else []
-    if rest:
-        ranks.append(_decode_lanes(words[whole:], rest, n_alphabet).ravel())
-    ids = alphabet[np.concatenate(ranks)] if ranks else np.zeros(0, np.uint32)
+    alphabet, often = np.frombuffer(data, "<u4", 2 * n_alphabet, at).reshape(2, -1)
+    at += 8 * n_alphabet
+    docs = np.frombuffer(data, _DOC, n_docs, at)
+    table = np.frombuffer(data, "<u4", 2 * n_blocks, at + docs.nbytes).reshape(-1, 2)
+    ends = payload + 4 * np.concatenate([[0], np.cumsum(table[:, 0].astype(np.int64))])
+    if len(data) != ends[-1]:
+        raise Damaged("the file does not end where its blocks do")
+    words = [np.frombuffer(data, "<u4", (z - a) // 4, a) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    ids = alphabet[_decode_lanes(words, block, Order0(often)).ravel()[:n_ids]] if n_blocks else np.zeros(0, np.uint32)
     for i in range(n_blocks):
-        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != table[i, 1]:
+        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4")) != table[i, 1]:
             raise Damaged(f"block {i}: checksum differs")
-    return docs["doc_id"].astype(np.int64), docs["n"].astype(np.int64), ids
+    names = [None if null else d for d, null in zip(docs["doc_id"].tolist(), docs["null"].tolist(), strict=True)]
+    return names, docs["n"].astype(np.int64), ids
 
 
 def write_files(docs: DataFrame, vocabulary: str | None = None, end: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
@@ -295,13 +256,13 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, end: int = END_I
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
 
     def run(batches):
-        names: list[int] = []
+        names: list[int | None] = []
         held: list[np.ndarray] = []
         total, bucket, seq = 0, None, 0
 
         def close():
             nonlocal total, seq
-            data = write(np.array(names, np.int64), np.array([len(x) for x in held]), np.concatenate(held))
+            data = write(names, np.array([len(x) for x in held]), np.concatenate(held))
             row = [pa.array([v], t) for v, t in ((bucket, pa.int32()), (seq, pa.int32()), (len(names), pa.int64()), (total, pa.int64()), (data, pa.binary()))]
             seq += 1
             total = 0
@@ -316,7 +277,7 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, end: int = END_I
                     yield close()
                 if at != bucket:
                     bucket, seq = at, 0
-                names.append(_NULL if doc is None else doc)
+                names.append(doc)
                 held.append(ids[offs[i] : offs[i + 1]])
                 total += len(held[-1])
         if names:
@@ -339,7 +300,7 @@ def read_files(files: DataFrame) -> DataFrame:
                     to = min(len(docs), at + 512)
                     own = [ids[a:z].tobytes() for a, z in zip(ends[at:to], ends[at + 1 : to + 1], strict=True)]
                     cols = [pa.array([v] * (to - at), pa.int32()) for v in (bucket, seq)]
-                    cols += [pa.array(docs[at:to], pa.int64(), mask=docs[at:to] == _NULL), pa.array(ends[at:to]), pa.array(counts[at:to]), pa.array(own, pa.binary())]
+                    cols += [pa.array(docs[at:to], pa.int64()), pa.array(ends[at:to]), pa.array(counts[at:to]), pa.array(own, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["bucket", "seq", "doc_id", "_start", "n_tokens", "ids"])
 
     docs = arrow_map(files.select("bucket", "seq", "data"), run, "bucket int, seq int, doc_id long, _start long, n_tokens long, ids binary")

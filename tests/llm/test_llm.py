@@ -268,20 +268,35 @@ def test_fingerprint_edges(spark, edges, nothing):
 # 6 and 8: token ids
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 4096, 9000])
+@pytest.mark.parametrize("n", [0, 1, 5, 4096, 9000, 70_000])
 def test_token_file_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.01, n) * 7, 49_407).astype(np.uint32)
     ids[: n // 2] = np.resize(ids[:50] if n else ids, n // 2)
-    data = token_files.write(np.array([7, 9]), np.array([n // 3, n - n // 3]), ids)
+    if n > 9000:
+        ids[n // 2 :] = rng.integers(0, 1 << 32, n - n // 2, dtype=np.uint32)  # a large alphabet
+    data = token_files.write([7, None, -(1 << 63)], np.array([n // 3, n - n // 3, 0]), ids)
     docs, counts, back = token_files.read(data)
-    assert docs.tolist() == [7, 9] and counts.sum() == n and np.array_equal(back, ids)
-    if n > 100:
+    assert docs == [7, None, -(1 << 63)] and counts.sum() == n and np.array_equal(back, ids)
+    if 100 < n < 10_000:
+        assert len(data) < 3 * n
+
+
+def test_token_file_damage_is_found():
+    ids = np.random.default_rng(3).integers(0, 300, 1500).astype(np.uint32)
+    data = token_files.write([7, 9], np.array([2, 1498]), ids)
+    found = 0
+    for at in range(0, len(data), 5):
         broken = bytearray(data)
-        broken[-20] ^= 255
+        broken[at] ^= 255
+        try:
+            assert np.array_equal(token_files.read(bytes(broken))[2], ids)  # the last bits of a block say nothing
+        except token_files.Damaged:
+            found += 1
+    assert found >= 0.98 * len(range(0, len(data), 5))
+    for n in (0, 3, 33, 40, 700, len(data) - 1):
         with pytest.raises(token_files.Damaged):
-            token_files.read(bytes(broken))
-        assert len(data) < 3 * n
+            token_files.read(data[:n])
 
 
 def test_encoder_equals_library(docs):
