@@ -16,18 +16,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_limits, arrow_map, range_bucket
+from .common import arrow_map, range_bucket
 from .words import U, mixed, shingle_hashes, text_bytes, word_hashes
 
 WIDTH = 5
 BINS = 256  # of one byte each
 _NONE = np.uint64((1 << 64) - 1)
-#: The heads of buckets are broadcast up to so many bytes of text, and shuffled beyond.
-HEAD_BYTES = 32 << 20
 
 
 @cache
@@ -65,26 +64,22 @@ def likeness(a: np.ndarray, some_a: np.ndarray, b: np.ndarray, some_b: np.ndarra
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text and last (of its bucket), bucket by bucket in descending doc_id. Texts are shuffled once."""
+    """doc_id, text and next_text, bucket by bucket in descending doc_id. Texts are shuffled once; the first row of each bucket also
+    goes, as a row that only is a next one, to the end of the bucket before it."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    docs = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(-(1 << 63))), "_guest": F.lit(False)})
     docs = docs.withColumn("_bucket", range_bucket(docs.filter(F.col("doc_id").isNotNull()), "_key", parts))
     tops = {r["_bucket"]: r["top"] for r in docs.groupBy("_bucket").agg(F.max("_key").alias("top")).collect()}  # one row a bucket
-    order = sorted(tops, reverse=True)
-    after = {b: tops[order[(i + 1) % len(order)]] for i, b in enumerate(order)}
-    heads = docs.filter(F.col("_key").isin(sorted(set(tops.values())))) if tops else docs.limit(0)
-    heads = heads.groupBy("_key").agg(F.min_by("text", F.xxhash64("text")).alias("_head"))
-    if (heads.agg(F.sum(F.octet_length("_head"))).head()[0] or 0) <= HEAD_BYTES:
-        heads = F.broadcast(heads)
-    w = Window.partitionBy("_bucket").orderBy(F.desc("_key"), F.xxhash64("text"))
-    rows = docs.withColumn("_next", F.lead("text").over(w))
-    rows = rows.withColumn("last", F.col("_next").isNull())
-    follow = F.create_map(*[F.lit(x) for b, k in after.items() for x in (b, k)]) if after else F.lit(None).cast("map<int,bigint>")
-    rows = rows.withColumn("_after", F.when(F.col("last"), F.element_at(follow, F.col("_bucket"))))
-    rows = rows.join(heads.withColumnRenamed("_key", "_after"), "_after", "left")
-    return rows.select("doc_id", "text", F.coalesce("_next", "_head").alias("next_text"), "last")
+    if tops:
+        order = sorted(tops, reverse=True)
+        host = F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (tops[order[(i + 1) % len(order)]], b)])
+        guests = docs.filter(F.col("_key").isin(sorted(tops.values()))).groupBy("_key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", "_key", F.lit(True).alias("_guest"), F.element_at(host, F.col("_key")).alias("_bucket"))
+        docs = docs.unionByName(guests)
+    w = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_key"), F.xxhash64("text"))
+    return docs.withColumn("next_text", F.lead("text").over(w)).filter("not _guest").select("doc_id", "text", "next_text")
 
 
 def edited(rows: DataFrame) -> DataFrame:
@@ -96,23 +91,22 @@ def edited(rows: DataFrame) -> DataFrame:
 
 
 def compare(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """rows of edited() with fingerprints and likenesses instead of next_text and last."""
-    arrow_limits(rows.sparkSession, 256)
+    """rows of edited() with fingerprints and likenesses instead of next_text. Where the next text is that of the row after, as
+    mostly, its fingerprint serves twice."""
 
     def run(batches):
         for b in batches:
             own, some = fingerprints(b.column("text"), width)
             other, other_some = fingerprints(b.column("edited"), width)
-            follows = ~np.array(b.column("last").to_pylist(), bool)
             after, after_some = np.zeros_like(own), np.zeros_like(some)
             if len(own):
-                follows[-1] = False  # its next is not in this batch
                 after[:-1], after_some[:-1] = own[1:], some[1:]
-                at = np.flatnonzero(~follows)
+                near = pc.equal(b.column("next_text").slice(0, len(own) - 1), b.column("text").slice(1))
+                at = np.flatnonzero(~np.append(np.array(near.to_pylist(), bool), False))
                 after[at], after_some[at] = fingerprints(b.column("next_text").take(pa.array(at)), width)
             text = lambda f, s: pa.array([x.tobytes().hex() if y else "" for x, y in zip(f, s, strict=True)], pa.string())
             cols = [b.column(c) for c in ("doc_id", "text", "n_chars", "edited")]
             cols += [text(own, some), text(other, other_some), pa.array(likeness(own, some, other, other_some)), pa.array(likeness(own, some, after, after_some))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return arrow_map(rows.select("doc_id", "text", "next_text", "last", "n_chars", "edited"), run, "doc_id long, text string, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(rows.select("doc_id", "text", "next_text", "n_chars", "edited"), run, "doc_id long, text string, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", rows=256)
