@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows and bytes of one Arrow batch that a Python worker holds.
-ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 #: A side is broadcast only after its rows were counted and found to be no more than this.
 BROADCAST_ROWS = 200_000
@@ -22,9 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_limits(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what a Python worker gets at once, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_limits(spark: SparkSession) -> None:
+    """Bound the bytes that a Python worker gets at once. The settings stay: results do not depend on them, and plans read them when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # unions of differently dealt sides may else fail to plan
 
@@ -48,36 +47,57 @@ def settle(keep: str = "") -> None:
         pass
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | T.StructType, keep: str = "") -> DataFrame:
-    """mapInArrow with workers that settle() before and after a task."""
+def arrow_map(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | T.StructType, keep: str = "", rows: int = ARROW_ROWS) -> DataFrame:
+    """mapInArrow in batches of so many rows at most, with workers that settle() before and after a task."""
+    arrow_limits(df.sparkSession)
 
     def task(batches: Iterator) -> Iterator:
         settle(keep)
-        yield from run(batches)
+        yield from run(b.slice(at, rows) for b in batches for at in range(0, max(1, b.num_rows), rows))
         settle(keep)
 
     return df.mapInArrow(task, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as spark.checkpoint.dir names it. Only where none is set (tests on one machine) an own one is made."""
+    """The cluster's shared folder, as spark.checkpoint.dir names it. Where none is set, an own one is made on one machine (in
+    tests), and on a cluster that is an error."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="docgraph-")
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table into the shared folder and read it back: lineage ends there and a lost executor costs nothing already written."""
+def stored(df: DataFrame, name: str, done: Sequence[DataFrame] = ()) -> DataFrame:
+    """Write df as a table into the shared folder and read it back: lineage ends there and a lost executor costs nothing already written.
+    done: tables of stored() that nothing reads after df is written; they are deleted then."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # shuffle files go when the table is there
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set(setting, "true")  # shuffle files go when the table is there
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    discard(*done)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, arrow_map
+from .common import arrow_map
 from .words import text_bytes
 
 WINDOW = 192
@@ -149,7 +149,6 @@ def _windows(batches):
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Train on at most sample_docs labelled documents of each language, picked by a hash of doc_id; None without labels."""
-    arrow_limits(docs.sparkSession)
     known = labelled(docs.select("doc_id", "lang", "text"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -185,7 +184,6 @@ def scores(model: Model, data: np.ndarray, offs: np.ndarray, block: int = 48) ->
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score."""
-    arrow_limits(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "_letter")
     names_in = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, arrow_map, stored
+from .common import arrow_map, stored
 
 UNIT = 64
 LEAST, MOST, MASK = 512, 16384, (1 << 11) - 1
@@ -102,7 +102,6 @@ def _bit(digest: bytes) -> int:
 
 def shared_bitmap(docs: DataFrame) -> bytes:
     """Bits of the digests of chunks that occur more than once; BITMAP_BITS of them whatever the size of docs."""
-    arrow_limits(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -125,7 +124,6 @@ RECIPE = "array<struct<digest:binary,here:boolean,length:int>>"
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, chunk table) of the texts of docs, both written to the shared folder."""
-    arrow_limits(docs.sparkSession)
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(shared_bitmap(docs))  # of fixed size
 
@@ -166,7 +164,6 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def restore(files: DataFrame, pieces: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media_sha256 and media (the file, verified) of every stored file."""
-    arrow_limits(files.sparkSession, 256)
     remote = F.exists("recipe", lambda c: ~c["here"])
     none = F.lit(None).cast("array<struct<pos:int,data:binary>>")
     wanted = files.filter(remote).select("uid", F.posexplode("recipe").alias("pos", "c")).filter("not c.here").select("uid", "pos", F.col("c.digest").alias("digest"))
@@ -193,13 +190,12 @@ def restore(files: DataFrame, pieces: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "media_sha256", "media"])
 
-    return arrow_map(rows.select("doc_id", "n_bytes", "media_sha256", "recipe", "data", "remote"), run, "doc_id long, n_bytes long, media_sha256 string, media binary")
+    return arrow_map(rows.select("doc_id", "n_bytes", "media_sha256", "recipe", "data", "remote"), run, "doc_id long, n_bytes long, media_sha256 string, media binary", rows=256)
 
 
 def described(media: DataFrame) -> DataFrame:
     """Rows of restore() with payload instead of media, and a feature string of its samples: sum, sum of squares, zero crossings
     (of the middle, 128), least, largest, and the sum of absolute steps."""
-    arrow_limits(media.sparkSession, 256)
 
     def run(batches):
         for b in batches:
@@ -214,4 +210,4 @@ def described(media: DataFrame) -> DataFrame:
             cols += [pa.array([len(m) for m in b.column("media").to_pylist()], pa.int64()), pa.array(payloads, pa.binary()), pa.array(features, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "media_sha256", "media_bytes", "payload", "feature"])
 
-    return arrow_map(media, run, "doc_id long, n_bytes long, media_sha256 string, media_bytes long, payload binary, feature string")
+    return arrow_map(media, run, "doc_id long, n_bytes long, media_sha256 string, media_bytes long, payload binary, feature string", rows=256)

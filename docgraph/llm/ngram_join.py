@@ -4,31 +4,37 @@ A text's set holds its distinct shingles of `width` words (A-Z lower-cased; fewe
 linked with nothing). Two sets link when den * |A & B| >= num * |A | B| for a likeness (num, den). The query takes four words and
 85 / 100. Steps:
 
-1. Texts with one set become one class, named by its least doc_id.
+1. Texts with one set become one class.
 2. In any one order of all shingles, two linked sets share one of their first |A| - ceil(num |A| / den) + 1. The order puts shingles
-   that are frequent in a bounded sample last and the others in hash order. Classes that share such a first shingle meet.
-3. Each class is tried with the least class it meets most often; links found so join most of a group of near copies.
-4. Whatever still meets across components is searched exactly: shingles are hashed into GROUPS groups, a class is the point
-   of its group counts, and an R-tree over the points of those that meet yields the pairs whose overlap can be large enough,
-   bounded by the summed minima of coordinates (of a node: its maxima). Where many meet, they are dealt into blocks and each
-   pair of blocks is searched, so no task holds more than two blocks and none is left out.
-5. Surviving pairs are bounded once more with as many groups as their sizes ask for, then verified on their whole sets, and components are taken over all links.
-
-Null texts are empty. Rows with a null doc_id cannot be named: they get their set's size and their group's component but add
-no link. Rows that repeat a doc_id count as one document with several texts. Empty tables give empty results.
+   that are frequent in a bounded sample last and the others in hash order. Classes that share such a first shingle meet; of
+   shingles that the same classes share, the first is enough.
+3. Shingles are hashed into GROUPS groups and a class is the point of its group counts. An R-tree over the points of those that meet
+   finds, for each class, the earlier one whose overlap may be largest, bounded by the summed minima of coordinates (of a node: its
+   maxima). These pairs are verified, and the links so found join most of a group of near copies.
+4. Where classes of several components still meet, the tree yields all pairs across components whose overlap can be large
+   enough, and these are verified. Where many meet, they are dealt into blocks by size and hash; each pair of blocks whose
+   sizes allow a link is searched, so no task holds more than two blocks and none is left out.
+5. To verify, pairs are bounded once more with as many groups as their sizes ask for, then compared by whole sets. Components
+   are taken over all links.
+
+Null texts are empty. Rows that repeat a doc_id with different texts are texts of their own. Rows with a null doc_id cannot be named: they
+get their set's size and their group's component, if it has a name, but add no link. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_limits, arrow_map, small, stored
+from .common import arrow_map, fresh, small, stored
 from .components import components
 from .words import U, shingle_hashes, text_bytes, word_hashes
 
@@ -39,8 +45,8 @@ LIKENESS: Likeness = (85, 100)
 GROUPS = 128
 #: Classes in a block of those that meet; children of a node.
 BLOCK, FANOUT = 512, 32
-#: Classes in a block of those whose sets are verified together.
-SETS = 256
+#: Share of a mean partition beyond which the rows of one key are dealt over several tasks.
+HOT = 1 / 16
 #: The bounded sample that the order of shingles is fit on, and how many frequent ones it puts last.
 SAMPLE_DOCS, FREQUENT, LEAST_SEEN = 4000, 50_000, 4
 
@@ -66,9 +72,12 @@ def fine(s: np.ndarray) -> np.ndarray:
     return counted(s, min(16, max(6, (len(s) // 8).bit_length())))
 
 
+def digest_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def frequent(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles seen in LEAST_SEEN or more documents of the sample, rarest first; at most FREQUENT of them."""
-    arrow_limits(docs.sparkSession)
     n = docs.count()
     if not n:
         return np.zeros(0, np.uint64)
@@ -85,18 +94,17 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sets_table(docs: DataFrame, common: np.ndarray, width: int, likeness: Likeness) -> DataFrame:
-    """doc_id, n (size of its set), digest of the set, its first shingles in the order, and its group counts."""
-    arrow_limits(docs.sparkSession)
+    """doc_id, n (size of its set), digest of the set, its first shingles in the order, its group counts and its fine ones."""
     num, den = likeness
     by_hash = np.argsort(common)
     sorted_common = common[by_hash]
 
     def run(batches):
         for b in batches:
-            n, digest, first, counts = [], [], [], []
+            n, digest, first, counts, finer = [], [], [], [], []
             for s in batch_sets(b.column("text"), width):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(digest_of(s))
                 k = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 if len(sorted_common) and len(s):
                     at = np.minimum(np.searchsorted(sorted_common, s), len(sorted_common) - 1)
@@ -108,11 +116,12 @@ def sets_table(docs: DataFrame, common: np.ndarray, width: int, likeness: Likene
                     own = s
                 first.append(own[:k].view(np.int64))
                 counts.append(counted(s, GROUPS.bit_length() - 1).tobytes() if len(s) else None)
+                finer.append(fine(s).tobytes() if len(s) else None)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "first", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(counts, pa.binary()), pa.array(finer, pa.binary())], ["doc_id", "n", "digest", "first", "counts", "fine"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, digest binary, first array<long>, counts binary")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, digest binary, first array<long>, counts binary, fine binary")
 
 
 class CountTree:
@@ -149,87 +158,122 @@ class CountTree:
         return rows[(num + den) * bound >= num * (n + self.sizes[rows])]
 
 
-def meeting_pairs(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, part: np.ndarray, pos: np.ndarray, likeness: Likeness = LIKENESS) -> set[tuple[int, int]]:
-    """Pairs of different components whose overlap may link them; between the parts where there are two. pos: how many
-    shingles of its own a class has before the one they meet in. If that is the first they share, no more than what follows
-    in both can be; if it is not, the pair is judged where it is."""
-    pairs, (num, den) = set(), likeness
-    two = part.min() != part.max()
-    left, right = (np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())) if two else (np.arange(len(ids)),) * 2
-    tree = CountTree(points[right], likeness)
-    sizes = points.sum(1)
-    after = sizes - pos
-    for i in left:
-        rows = right[tree.search(points[i])]
-        rows = rows[(comps[rows] != comps[i]) & ((num + den) * np.minimum(after[rows], after[i]) >= num * (sizes[rows] + sizes[i]))]
-        for j in rows.tolist():
-            a, b = int(ids[i]), int(ids[j])
-            pairs.add((a, b) if a < b else (b, a))
-    return pairs
+def small_group_pairs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within each of the groups, whose rows follow one another; each group fits one leaf of the tree."""
+    n = len(group)
+    ends = np.searchsorted(group, group, "right")
+    counts = ends - np.arange(n) - 1
+    left = np.repeat(np.arange(n), counts)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def bounded_pairs(rows: Meeting, likeness: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j of the pairs of rows of one group whose overlap may link them, and the bound. Only pairs of different components; where
+    a group joins two blocks, only pairs across them. pos: how many shingles of its own a class has before the one they meet in. If
+    that is the first they share, no more than what follows in both can be; if it is not, the pair is judged where it is."""
+    num, den = likeness
+    sizes = rows.points.sum(1)
+    after = sizes - rows.pos
+
+    def judged(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        need = num * (sizes[i] + sizes[j])
+        keep = (rows.comp[i] != rows.comp[j]) & ((num + den) * np.minimum(after[i], after[j]) >= need)
+        i, j, need = i[keep], j[keep], need[keep]
+        bound = np.concatenate([np.minimum(rows.points[i[k : k + 8192]], rows.points[j[k : k + 8192]]).sum(1) for k in range(0, len(i), 8192)] or [np.zeros(0, np.int64)])
+        keep = (num + den) * bound >= need
+        return i[keep], j[keep], bound[keep]
+
+    count = np.bincount(rows.group) if len(rows.group) else np.zeros(0, np.int64)
+    leaf = (count[rows.group] <= FANOUT) & ~rows.two
+    at = np.flatnonzero(leaf)
+    i, j = small_group_pairs(rows.group[at])
+    found = [judged(at[i[k : k + 1 << 20]], at[j[k : k + 1 << 20]]) for k in range(0, len(i), 1 << 20)]
+    for g in np.unique(rows.group[~leaf]).tolist():
+        at = np.arange(*np.searchsorted(rows.group, [g, g + 1]))
+        part = rows.part[at]
+        two = bool(rows.two[at[0]])
+        left, right = (at[part == part.min()], at[part == part.max()]) if two else (at, at)
+        if two and part.min() == part.max():
+            continue  # the other block is empty; this one meets itself elsewhere
+        tree = CountTree(rows.points[right], likeness)
+        for x in left.tolist():
+            y = right[tree.search(rows.points[x])]
+            found.append(judged(np.full(len(y), x), y) if two else judged(np.full((y > x).sum(), x), y[y > x]))
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))  # type: ignore[return-value]
+
+
+@dataclass
+class Meeting:
+    """Rows of whole groups that meet, one group after another."""
+
+    group: np.ndarray
+    cid: np.ndarray
+    comp: np.ndarray
+    points: np.ndarray
+    part: np.ndarray
+    two: np.ndarray
+    pos: np.ndarray
 
 
 def _vector(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int64)
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, likeness: Likeness) -> DataFrame:
-    """Of pairs (a, b) those whose counts allow a link."""
-    num, den = likeness
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("counts").alias(f"v{c}"))
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, _salts) of the keys whose rows in df outweigh HOT of a mean partition, to be broadcast: partitions / HOT of them at
+    most, whatever the data."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(32, int(df.count() / parts * HOT))
+    return F.broadcast(df.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).filter("_salts > 1"))
 
-    def run(batches):
-        for b in batches:
-            va, vb = (np.array([_vector(v) for v in b.column(c).to_pylist()]).reshape(-1, GROUPS) for c in ("va", "vb"))
-            keep = (num + den) * np.minimum(va, vb).sum(1) >= num * (va.sum(1) + vb.sum(1))
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
-    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb"), run, "a long, b long")
+def dealt_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with the one row of keyed for each key; rows of hot keys, and those without a key, are dealt by the hash of column by."""
+    salts = F.when(F.col(key).isNull(), 1024).otherwise(F.coalesce("_salts", F.lit(1)))
+    rows = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    keyed = keyed.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return rows.join(keyed, [key, "_salt"], how).drop("_salt")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, likeness: Likeness) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, likeness: Likeness) -> DataFrame:
     """Of pairs (a, b) those that link: first by fine counts, a sixteenth of the bytes or less, then by the whole sets."""
-    near = stored(_compared(pairs, docs, width, fine, lambda a, b: _may_link(a, b, likeness), "<u2"), "ngram-near")
-    return _compared(near, docs, width, lambda s: s, lambda a, b: _linked(a, b, likeness), "<u8")
-
-
-def _compared(pairs: DataFrame, docs: DataFrame, width: int, of: Callable, test: Callable, kind: str) -> DataFrame:
-    """Of pairs (a, b) those that pass test by what `of` makes of their sets. A set goes once to each pair of blocks of its group of candidates
-    that needs it, not once with each pair."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    near = stored(_compared(pairs, classes.select("cid", F.col("fine").alias("s")), lambda a, b: _may_link(a, b, likeness), "<u2"), "ngram-near")
+    wanted = near.select(F.col("a").alias("cid")).union(near.select(F.col("b").alias("cid"))).distinct()
+    wanted = classes.select("cid", F.col("rep").alias("doc_id"), "digest").join(small(wanted), "cid", "left_semi")
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([of(s).tobytes() for s in batch_sets(b.column("text"), width)], pa.binary())], ["doc_id", "s"])
-
-    table = arrow_map(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi"), sets, "doc_id long, s binary")
-    comp = components(pairs)
-    blocks = comp.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("_n"))
-    place = comp.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int").alias("block"))
-    side = lambda c: place.select(F.col("node").alias(c), F.col("component"), F.col("block").alias(f"_{c}"))
-    placed = pairs.join(side("a"), "a").join(side("b").drop("component"), "b")
-    key = ["component", "lo", "hi"]
-    placed = stored(placed.select("component", F.least("_a", "_b").alias("lo"), F.greatest("_a", "_b").alias("hi"), "a", "b"), "ngram-placed")
-    wanted = placed.select(*key, F.col("a").alias("doc_id")).union(placed.select(*key, F.col("b").alias("doc_id"))).distinct()
-    none = F.lit(None).cast("binary")
-    rows = wanted.join(table, "doc_id").select(*key, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "s")
-    rows = rows.unionByName(placed.select(*key, F.lit(1).alias("kind"), "a", "b", none.alias("s")))
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "kind")
+            cids, found = [], []
+            for cid, digest, s in zip(b.column("cid").to_pylist(), b.column("digest").to_pylist(), batch_sets(b.column("text"), width), strict=True):
+                if digest_of(s) == digest:  # one doc_id may have several texts
+                    cids.append(cid), found.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(found, pa.binary())], ["cid", "s"])
+
+    whole = arrow_map(docs.join(small(wanted), "doc_id").select("cid", "digest", "text"), sets, "cid long, s binary").dropDuplicates(["cid"])
+    return _compared(near, whole, lambda a, b: _linked(a, b, likeness), "<u8")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, test: Callable, kind: str) -> DataFrame:
+    """Of pairs (a, b) those that pass test by their sets (cid, s). Pairs are dealt by a, those of a hot a by the hash of b as well, so
+    a task holds one set and looks at others one after another; no more than two sets go out for a pair."""
+    hot = hot_keys(pairs, "a")
+    pairs = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("_salts", F.lit(1))).cast("int").alias("_salt"))
+    first = pairs.select("a", "_salt").distinct().join(sets.withColumnRenamed("cid", "a"), "a").select("a", "_salt", F.lit(None).cast("long").alias("b"), "s")
+    rows = first.unionByName(pairs.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "_salt", "b", "s"))
+    rows = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "_salt").sortWithinPartitions("a", "_salt", F.asc_nulls_first("b"))
 
     def run(batches):
-        key, held = None, {}
-        for b in batches:
+        own = None
+        for batch in batches:
             out = []
-            for c, lo, hi, what, x, y, s in zip(*(b.column(n).to_pylist() for n in ("component", "lo", "hi", "kind", "a", "b")), b.column("s"), strict=True):
-                if (c, lo, hi) != key:
-                    key, held = (c, lo, hi), {}
-                if what == 0:
-                    held.setdefault(x, []).append(np.frombuffer(s.as_py(), kind))
-                elif any(test(p, q) for p in held.get(x, ()) for q in held.get(y, ())):
-                    out.append((x, y))
+            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("s"), strict=True):
+                if b is None:
+                    own = np.frombuffer(s.as_py(), kind)
+                elif test(own, np.frombuffer(s.as_py(), kind)):
+                    out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    arrow_limits(docs.sparkSession, 256)
-    return arrow_map(rows, run, "a long, b long")
+    return arrow_map(rows.select("a", "b", "s"), run, "a long, b long", rows=256)
 
 
 def _may_link(a: np.ndarray, b: np.ndarray, likeness: Likeness) -> bool:
@@ -252,73 +296,142 @@ def _linked(a: np.ndarray, b: np.ndarray, likeness: Likeness) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _searched(meet: DataFrame, spark, likeness: Likeness) -> DataFrame:
-    """meet: (tok, pos, rep, comp, counts) of shingles that several components share. Pairs across components that may link."""
-    size = meet.groupBy("tok").agg(F.count("*").alias("_k")).withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int")).drop("_k")
-    rows = meet.join(size, "tok").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    rows = rows.select("tok", "pos", "rep", "comp", "counts", "_own", other)
-    rows = rows.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).drop("_other")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi")
-    arrow_limits(spark, 2048)
+def blocked(meet: DataFrame, likeness: Likeness) -> DataFrame:
+    """meet (tok, k, pos, cid, n) with its block and the pair of blocks (lo, hi) in which a row is searched, a row for each. BLOCK classes or fewer
+    are one block; more are dealt by level, the logarithm of their size to a base at which linked sizes differ by one level or
+    less, and by hash within a level."""
+    num, den = likeness
+    base = math.log(den / num) * 1.001
+    single = meet.filter(F.col("k") <= BLOCK).withColumns({c: F.lit(0).cast("long") for c in ("own", "lo", "hi")})
+    rows = meet.filter(F.col("k") > BLOCK).withColumn("level", F.floor(F.log("n") / base).cast("int"))
+    cells = rows.groupBy("tok", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("c"))
+    cells = cells.groupBy("tok").agg(F.map_from_entries(F.collect_list(F.struct("level", "c"))).alias("cells"))  # levels are few
+    rows = dealt_join(rows, cells, "tok", "cid", hot_keys(rows, "tok"))
+    code = lambda level, cell: level.cast("long") * (1 << 32) + cell
+    rows = rows.withColumn("own", code(F.col("level"), F.pmod(F.xxhash64("cid"), F.element_at("cells", F.col("level"))).cast("long")))
+    here = lambda d: F.coalesce(F.try_element_at("cells", F.col("level") + d), F.lit(0))
+    at = lambda d: F.when(here(d) > 0, F.transform(F.sequence(F.lit(0), here(d) - 1), lambda c: code(F.col("level") + d, c))).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("other", F.explode(F.concat(at(-1), at(0), at(1))))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    return single.select(*meet.columns, "own", "lo", "hi").unionByName(rows.select(*meet.columns, "own", "lo", "hi"))
+
+
+def searched(meet: DataFrame, classes: DataFrame, likeness: Likeness, best: bool) -> DataFrame:
+    """meet: (tok, k, pos, cid, n, comp). The pairs (a, b), a < b, of different components that meet and may link by their counts; best: for each b only the
+    a with the largest share of common counts."""
+    spark = meet.sparkSession
+    rows = blocked(meet, likeness).join(classes.select("cid", "counts"), "cid")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi")
+    rows = rows.select("tok", "lo", "hi", "own", "cid", "comp", "pos", "counts")
+
+    def pairs_of(held: list[pa.RecordBatch], open_: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+        """Pairs of the groups held, and the rows of the last one, if more of it may come."""
+        table = pa.Table.from_batches(held).combine_chunks()
+        tok, lo, hi, own, cid, comp, pos = (table.column(c).to_numpy() for c in ("tok", "lo", "hi", "own", "cid", "comp", "pos"))
+        new = np.append(True, (tok[1:] != tok[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+        group = np.cumsum(new) - 1
+        end = int(np.flatnonzero(new)[-1]) if open_ else len(tok)
+        points = np.array([_vector(v) for v in table.column("counts").slice(0, end).to_pylist()]).reshape(-1, GROUPS)
+        meeting = Meeting(group[:end], cid[:end], comp[:end], points, own[:end], (lo != hi)[:end], pos[:end].astype(np.int64))
+        i, j, bound = bounded_pairs(meeting, likeness)
+        a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+        sizes = points.sum(1)
+        score = bound / np.maximum(1, sizes[i] + sizes[j] - bound)
+        keep = np.arange(len(a))
+        if best and len(a):
+            order = np.lexsort((a, -score, b))
+            keep = order[np.append(True, b[order][1:] != b[order][:-1])]
+        out = pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(score[keep])], ["a", "b", "score"])
+        return out, table.slice(end).to_batches()[0] if open_ else None
 
     def run(batches):
-        key, ids, comps, counts, part, before = None, [], [], [], [], []
-        sent: set[tuple[int, int]] = set()
-
-        def close():
-            if len(set(comps)) < 2:
-                return None
-            points = np.stack([_vector(c) for c in counts])
-            new = meeting_pairs(np.array(ids), np.array(comps), points, np.array(part), np.array(before), likeness) - sent
-            if len(sent) > 200_000:  # repeats beyond it go in the distinct() that follows
-                sent.clear()
-            sent.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], ["a", "b"]) if new else None
-
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("tok", "lo", "hi", "rep", "comp", "counts", "_own", "pos")]
-            for tok, lo, hi, rep, comp, vec, own, at in zip(*cols, strict=True):
-                if (tok, lo, hi) != key:
-                    if key is not None and (out := close()) is not None:
-                        yield out
-                    key, ids, comps, counts, part, before = (tok, lo, hi), [], [], [], [], []
-                ids.append(rep), comps.append(comp), counts.append(vec), part.append(own), before.append(at)
-        if key is not None and (out := close()) is not None:
-            yield out
-
-    return arrow_map(rows, run, "a long, b long").distinct()
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            last = held[0].slice(0, 1).select(["tok", "lo", "hi"]).to_pylist() == batch.slice(batch.num_rows - 1).select(["tok", "lo", "hi"]).to_pylist()
+            if n >= 4096 and not last:  # else they all are one group, which is two blocks at most
+                out, rest = pairs_of(held, True)
+                held, n = ([rest], rest.num_rows) if rest is not None else ([], 0)
+                yield out
+        if held:
+            yield pairs_of(held, False)[0]
+
+    found = arrow_map(rows, run, "a long, b long, score double", rows=2048)
+    if not best:
+        return found.select("a", "b").distinct()
+    return found.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def classes_of(docs: DataFrame, width: int = WIDTH, likeness: Likeness = LIKENESS) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, n and digest of every row of docs; and of every class with a named document its digest, cid, n, rep
+    (least doc_id), n_links (to other classes, as found), group and component_id (least doc_id of the group)."""
+    docs = docs.select("doc_id", "text")
+    table = stored(sets_table(docs, frequent(docs, width), width, likeness), "ngram-sets")
+    classes = table.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "first", "counts", "fine")])
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
+    posts = classes.select("cid", "n", F.posexplode("first").alias("pos", "tok"))
+    h = F.xxhash64("cid")  # of all shingles that the same classes share, the first is enough
+    who = [F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 32)).alias("y"), F.count("*").alias("k"), F.sum("pos").alias("at")]
+    shared = posts.groupBy("tok").agg(*who).filter("k > 1").groupBy("x", "y", "k").agg(F.min_by("tok", F.struct("at", "tok")).alias("tok"))
+    shared = stored(shared.select("tok", "k"), "ngram-shared")
+    meet = stored(dealt_join(posts, shared, "tok", "cid", hot_keys(posts, "tok")), "ngram-meet", done=[shared])
+    tries = stored(searched(meet.withColumn("comp", F.col("cid")), classes, likeness, best=True), "ngram-tries")
+    linked = stored(_verified(tries, docs, classes, width, likeness), "ngram-links")
+    comp = components(linked)
+    named = meet.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    named = stored(named, "ngram-named", done=[meet])
+    several = stored(named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok"), "ngram-several")
+    again = stored(dealt_join(named, several, "tok", "cid", hot_keys(named, "tok")), "ngram-again", done=[named, several])
+    pairs = stored(searched(again, classes, likeness, best=False).join(tries, ["a", "b"], "left_anti"), "ngram-pairs", done=[again, tries])
+    links = stored(linked.union(_verified(pairs, docs, classes, width, likeness)), "ngram-links", done=[linked, pairs])
+    degree = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
+    out = classes.select("digest", "cid", "n", "rep").join(degree, "cid", "left").join(components(links).withColumnRenamed("node", "cid"), "cid", "left")
+    out = stored(out.select("digest", "cid", "n", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "cid").alias("group")), "ngram-groups")
+    least = out.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return table.select("doc_id", "n", "digest"), out.join(least, "group")
 
 
 def join(docs: DataFrame, width: int = WIDTH, likeness: Likeness = LIKENESS) -> DataFrame:
     """doc_id, n_shingles, n_links (of its class to others, as found) and component_id of every row of docs."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    table = stored(sets_table(docs, frequent(docs, width), width, likeness), "ngram-sets")
-    classes = table.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "first", "counts")])
-    classes = stored(classes, "ngram-classes")
-    points = classes.select("rep", "counts")
-    posts = classes.select("rep", F.posexplode("first").alias("pos", "tok"))
-    shared = posts.groupBy("tok").agg(F.min("rep").alias("center"), F.count("*").alias("k")).filter("k > 1").select("tok", "center")
-    shared = stored(shared, "ngram-shared")
-    meet = stored(posts.join(shared, "tok"), "ngram-meet")  # (tok, pos, rep, center)
-    tries = meet.filter("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("k"))
-    tries = tries.groupBy("rep").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("a")).select("a", F.col("rep").alias("b"))
-    links = stored(_verified(stored(_bounded(tries, points, likeness), "ngram-tries"), docs, width, likeness), "ngram-links")
-    comp = components(links)
-    named = meet.select("tok", "pos", "rep").join(comp, meet["rep"] == comp["node"], "left").select("tok", "pos", "rep", F.coalesce("component", "rep").alias("comp"))
-    h = F.xxhash64("rep")  # of all shingles that the same classes share, the first is enough
-    who = [F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y"), F.count("*").alias("k"), F.sum("pos").alias("at")]
-    open_ = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *who).filter("lo <> hi")
-    open_ = open_.groupBy("x", "y", "k").agg(F.min_by("tok", "at").alias("tok")).select("tok")
-    left = stored(named.join(open_, "tok", "left_semi").join(points, "rep"), "ngram-open")
-    pairs = stored(_searched(left, spark, likeness), "ngram-pairs")
-    more = stored(_verified(pairs, docs, width, likeness), "ngram-links")
-    links = links.union(more)
-    comp = components(links)
-    degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of_class = classes.select("digest", "rep").join(comp, classes["rep"] == comp["node"], "left").join(degree, "rep", "left")
-    of_class = of_class.select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = table.select("doc_id", "n", "digest").join(of_class, "digest", "left")
+    rows, classes = classes_of(docs, width, likeness)
+    out = dealt_join(rows, classes.select("digest", "component_id", "n_links"), "digest", "doc_id", hot_keys(rows, "digest"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def survivors(docs: DataFrame, width: int = WIDTH, likeness: Likeness = LIKENESS) -> DataFrame:
+    """The rows of docs without near copies: of each group the text with the least doc_id stays, once. A doc_id that stands for one row
+    decides by itself, and no text is shuffled for it (unless those that go are too many to broadcast). Rows that share a doc_id with
+    other rows, or have none, are judged one by one by their texts: of several like texts the least stays, and a text without a
+    named copy is a group with its equals. Texts without words are linked with nothing and all stay."""
+    rows, classes = classes_of(docs, width, likeness)
+    first = classes.groupBy("group").agg(F.min(F.struct("rep", "digest")).alias("first"))
+    verdict = classes.join(first, "group").select("digest", F.col("first.rep").alias("chosen"), (F.col("first.digest") == F.col("digest")).alias("is_first"))
+    verdict = stored(verdict, "ngram-verdict")
+    judged = dealt_join(rows, verdict, "digest", "doc_id", hot_keys(rows, "digest"), "left")
+    stays = F.col("digest").isNull() | F.coalesce(F.col("is_first") & (F.col("chosen") == F.col("doc_id")), F.lit(False))
+    counted_ = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(stays).alias("stays"))
+    counted_ = stored(counted_, "ngram-counted")
+    gone = counted_.filter("n > 1 or not stays").select("doc_id")
+    once = docs.filter("doc_id is not null").join(small(gone), "doc_id", "left_anti")
+    several = docs.filter("doc_id is null").unionByName(docs.join(small(counted_.filter("n > 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns))
+    if not several.select("doc_id").limit(1).count():
+        return once.select(*docs.columns)
+    names = [fresh(docs, n) for n in ("_digest", "_place", "_text_hash")]
+    digest, place, hashed = names
+
+    def digests(batches):
+        for b in batches:
+            found = [digest_of(s) for s in batch_sets(b.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*b.schema.names, digest])
+
+    held = several.withColumns({place: F.monotonically_increasing_id(), hashed: F.xxhash64("text")})
+    held = stored(arrow_map(held, digests, T.StructType([*held.schema.fields, T.StructField(digest, T.BinaryType())])), "ngram-several")
+    alike = held.select(F.col(digest).alias("digest"), "doc_id", F.struct(F.col(hashed), F.col(place)).alias("row"))
+    alike = dealt_join(alike, verdict, "digest", "doc_id", hot_keys(alike, "digest"), "left")
+    alike = alike.filter(F.col("digest").isNull() | F.col("chosen").isNull() | (F.col("is_first") & F.col("doc_id").eqNullSafe(F.col("chosen"))))
+    least = alike.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("row")).select(F.col("row")[place].alias(place))
+    least = least.union(alike.filter("digest is null").select(F.col("row")[place].alias(place)))
+    return once.select(*docs.columns).unionByName(held.join(small(least), place, "left_semi").select(*docs.columns))

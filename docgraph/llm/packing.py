@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_limits, arrow_map
+from .common import arrow_map
 from .tokens import encoder, vocabulary_path, with_end
 
 SEQUENCE = 4096
@@ -96,7 +96,6 @@ def window_sequences(lengths: list[int], size: int = SEQUENCE) -> Iterator[list[
 
 def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
     """Pieces of the texts of docs with their ids (unsigned 32-bit, little-endian), by sequence."""
-    arrow_limits(docs.sparkSession, 256)
     path = vocabulary or vocabulary_path()
     fields = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -140,4 +139,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, w
         if held:
             yield from map(batch, flush())
 
-    return arrow_map(docs.select("doc_id", "text"), run, SCHEMA, keep="tokens")
+    return arrow_map(docs.select("doc_id", "text"), run, SCHEMA, keep="tokens", rows=256)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, arrow_map, offsets_before, range_bucket, small
+from .common import arrow_map, offsets_before, range_bucket, small
 from .tokens import END_ID, encoder, vocabulary_path, with_end
 
 MAGIC = b"DGTK2\0"
@@ -249,7 +249,6 @@ def read(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write_files(docs: DataFrame, vocabulary: str | None = None, end: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """The files of the texts of docs, in ascending doc_id order. Texts are shuffled once, and encoded and coded where they arrive."""
     spark = docs.sparkSession
-    arrow_limits(spark)
     path = vocabulary or vocabulary_path()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text").withColumn("bucket", range_bucket(docs, "doc_id", parts))
@@ -288,7 +287,6 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, end: int = END_I
 
 def read_files(files: DataFrame) -> DataFrame:
     """Every document of files: doc_id, start (ids of all documents before it), n_tokens and its ids (unsigned 32-bit, little-endian)."""
-    arrow_limits(files.sparkSession, 4)
 
     def run(batches):
         for b in batches:
@@ -303,7 +301,7 @@ def read_files(files: DataFrame) -> DataFrame:
                     cols += [pa.array(docs[at:to], pa.int64()), pa.array(ends[at:to]), pa.array(counts[at:to]), pa.array(own, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["bucket", "seq", "doc_id", "_start", "n_tokens", "ids"])
 
-    docs = arrow_map(files.select("bucket", "seq", "data"), run, "bucket int, seq int, doc_id long, _start long, n_tokens long, ids binary")
+    docs = arrow_map(files.select("bucket", "seq", "data"), run, "bucket int, seq int, doc_id long, _start long, n_tokens long, ids binary", rows=4)
     starts = offsets_before(files.select("bucket", "seq", "n_ids"), ["seq"], {"_before": "n_ids"}, "bucket").drop("n_ids")
     docs = docs.join(small(starts), ["bucket", "seq"])
     return docs.select("doc_id", (F.col("_before") + F.col("_start")).alias("start"), "n_tokens", "ids")

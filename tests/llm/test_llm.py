@@ -257,10 +257,25 @@ def test_fingerprint_likeness(spark, docs):
     assert all(len(s) == 1 for s in same.values())
 
 
+def test_next_documents(spark):
+    made = [(i * 7 % 101, f"text {i} " * (i % 5)) for i in range(101)] + [(None, "a"), (None, "b")]
+    order = sorted(made, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    for buckets in ("1", "4", "200"):  # also with less than a row a bucket
+        spark.conf.set("spark.sql.shuffle.partitions", buckets)
+        try:
+            got = {(r.doc_id, r.text): r.next_text for r in fingerprints.with_next(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(got) == len(made) and all(got[r] == order[k + 1][1] for k, r in enumerate(order[:100]))
+        assert {got[None, "a"], got[None, "b"], got[order[100]]} == {"a", "b", order[0][1]}
+
+
 def test_fingerprint_edges(spark, edges, nothing):
     rows = fingerprints.compare(fingerprints.edited(fingerprints.with_next(edges))).collect()
     assert len(rows) == len(EDGES) and {r.fingerprint for r in rows if r.doc_id in (1, 2, 3)} == {""}
     assert fingerprints.compare(fingerprints.edited(fingerprints.with_next(nothing))).count() == 0
+    mixed = {r.doc_id: r for r in fingerprints.compare(fingerprints.edited(fingerprints.with_next(edges).repartition(7, "text"))).collect()}
+    assert all((mixed[r.doc_id].near_next, mixed[r.doc_id].edited) == (r.near_next, r.edited) for r in rows if r.doc_id != 5)  # in any order of rows
     one = fingerprints.compare(fingerprints.edited(fingerprints.with_next(edges.filter("doc_id = 4")))).head()
     assert one.near_next == 1.0 and one.edited == "onn"[:2] + "o"
 
@@ -301,7 +316,7 @@ def test_token_file_damage_is_found():
 
 def test_encoder_equals_library(docs):
     e = tokens.Encoder(tokens.vocabulary_path())
-    texts = [t for _, t in docs[:100]] + [t for _, t, *_ in EDGES] + ["İ ΑΣ ſ ǆ À. É, x.. y,. z'", "tab\tsep\r\nnbsp x"]
+    texts = [t for _, t in docs[:100]] + [t for _, t, *_ in EDGES] + ["İ ΑΣ ſ ǆ À. É, x.. y,. z'", "tab\tsep\r\nnbsp x"]
     ids, offs = e.encode(texts)
     for i, t in enumerate(texts):
         assert ids[offs[i] : offs[i + 1]].tolist() == e.library.encode(t or "", add_special_tokens=False).ids
@@ -407,7 +422,7 @@ def brute_components(rows: list[tuple]) -> dict:
 @pytest.mark.parametrize("block", [4, 512])
 def test_ngram_join(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "SETS", block)
+    monkeypatch.setattr(ngram_join, "FANOUT", min(32, block // 2))
     monkeypatch.setattr(ngram_join, "LEAST_SEEN", 6)
     rng = np.random.default_rng(block)
     passage = [f"p{i}" for i in range(60)]
@@ -542,6 +557,24 @@ def test_pipeline_near_copies_of_five_words_at_four_fifths(spark):
     assert sorted(r.doc_id for r in ngram_join.join(df).collect() if r.doc_id == r.component_id) == narrow
 
 
+def test_survivors_of_shared_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, a + " x"), (8, "c d"), (None, b), (None, c), (None, c), (None, c + " y"), (6, ""), (6, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, _place int")
+    got = ngram_join.survivors(df).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(5, a), (5, b), (8, "c d"), (None, c), (None, c + " y"), (6, ""), (6, "")])
+    assert all(rows[r._place] == (r.doc_id, r.text) for r in got) and ngram_join.survivors(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_dealt(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("cid"))
+    keyed = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    hot = ngram_join.hot_keys(rows, "k")
+    assert [r.k for r in hot.collect()] == [7] and hot.head()._salts > 10
+    got = ngram_join.dealt_join(rows, keyed, "k", "cid", hot).collect()
+    assert len(got) == 4000 and all(r.v == 2 * r.k for r in got)
+
+
 def test_counts_of_very_long_texts():
     step = (1 << 64) // ngram_join.GROUPS
     s = np.concatenate([np.arange(70_000, dtype=np.uint64), np.arange(1, ngram_join.GROUPS, dtype=np.uint64) * np.uint64(step)])
