@@ -36,8 +36,8 @@ from .tokens import END_ID, encoder, vocabulary_path, with_end
 
 MAGIC = b"DGTK2\0"
 #: Blocks that are coded at once, and the least and the most ids of a block.
-LANES, SHORTEST, LONGEST = 2048, 512, 4096
-HASH_BITS = 9
+LANES, SHORTEST, LONGEST = 4096, 512, 4096
+HASH_BITS = 8
 _HEAD = struct.Struct("<6sIQIIII")
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("null", "u1")])
 U = np.uint64
