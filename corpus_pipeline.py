@@ -1,7 +1,11 @@
 """A training corpus from documents: language ID, n-gram Jaccard join, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of
-documents. run() writes each stage's rows to the shared folder and reads them back for the next.
+documents, others and clashing ones included. run() writes each stage's rows to the shared folder and reads them back for the next.
+
+Null and empty texts have no language and go first; a stage that gets them nevertheless keeps them (near copies: linked with nothing;
+mixing: copied like others; packing: the end id alone). Null doc_ids are kept, and their exact copies go. Repeated rows go but for
+one. Rows that share a doc_id but not the text are documents of their own. An empty table passes all stages and stays empty.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.llm import language_id, mixing, ngram_join, packing
-from docgraph.llm.common import small, stored, table
+from docgraph.llm.common import stored, table
 
 #: A text whose windows give its best language less than this has no language that holds; clean texts have over 0.9.
 LEAST_SCORE = 0.4
@@ -25,14 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays, once. Texts are not shuffled for it, unless
-    those that go are too many to broadcast; rows that repeat a doc_id are the only ones that meet."""
-    found = stored(ngram_join.join(docs, SHINGLE_WORDS, LIKENESS), "pipeline-groups")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    repeated = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
-    once = kept.join(small(repeated), "doc_id", "left_anti")
-    return once.unionByName(kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """Of each group of linked documents the one with the least doc_id stays, once; rows that share a doc_id and differ in text are
+    judged one by one."""
+    return ngram_join.survivors(docs, SHINGLE_WORDS, LIKENESS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
+            docs = stored(docs, f"pipeline-{name}", done=before)
+            before = [docs]
     return docs
