@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -235,6 +236,75 @@ def test_html_pages(spark):
     assert len(got) == 4 and sum(r.text.startswith("Head 1 & more\n") for r in got) == 2 and html_extraction.extract_pages(rows.limit(0)).count() == 0
 
 
+def test_html_of_any_depth_and_width():
+    deep = "<body><article>" + "<div>" * 5000 + "deep {0}" + "</div>" * 5000 + "<p>end {0}</p></article></body>"
+    wide = "<body><article>" + "".join(f"<div class={'qrstuvwxyz'[k % 10]}{'qrstuvwxyz'[k // 10 % 10]}>Part {k} {{0}}</div>" for k in range(1500)) + "</article></body>"
+    for page in (deep, wide):
+        wrapper = html_extraction.infer([page.format(i) for i in range(4)])
+        want = "deep 3\nend 3" if page is deep else "\n".join(f"Part {k} 3" for k in range(1500))
+        assert html_extraction.extract(page.format(3), wrapper) == want
+    node = html_extraction.with_page(None, deep)
+    assert html_extraction.packed(html_extraction.unpacked(html_extraction.packed(node))) == html_extraction.packed(node)
+
+
+def test_html_alignment(monkeypatch):
+    rng = np.random.default_rng(4)
+    for table in (1 << 28, 0):
+        monkeypatch.setattr(html_extraction, "TABLE", table)
+        for _ in range(60):
+            a, b = (list("abcd"[k] for k in rng.integers(0, 4, rng.integers(0, 9))) for _ in "xy")
+            pairs = html_extraction.common(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and all(x < y and v < w for (x, v), (y, w) in zip(pairs, pairs[1:], strict=False))
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            assert len(pairs) <= best[-1][-1] and (not table or len(pairs) == best[-1][-1])
+
+
+class Article(HTMLParser):
+    """Blocks of the <article> of the given pages, by another parser: no wrappers, and only the names that these pages use."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.out, self.within = [], "", 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs).get("class") or dict(attrs).get("id") or ""
+        if self.out or tag in ("nav", "footer", "aside", "form", "script", "style") or re.search(r"\b(ad|comments?|cookie|share|related|newsletter|sidebar|promo)\b", named):
+            self.out += tag not in ("br", "img", "input", "p", "li")
+        elif tag == "article":
+            self.within += 1
+        if tag not in html_extraction.INLINE:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag not in html_extraction.INLINE:
+            self.cut()
+        if self.out:
+            self.out -= tag not in ("p", "li")
+        elif tag == "article":
+            self.within -= 1
+
+    def handle_data(self, data):
+        self.text += data if self.within and not self.out else ""
+
+    def cut(self):
+        self.blocks += [" ".join(self.text.split())] if self.text.strip() else []
+        self.text = ""
+
+
+def test_html_query(spark):
+    rows = {r.page_id: r for r in queries.op4_html_extraction(spark, f"{DATA}/sf0.01").collect()}
+    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()
+    assert len(rows) == len(pages)
+    for p in pages:
+        parser = Article()
+        parser.feed(p.html)
+        parser.cut()
+        assert rows[p.page_id].text == "\n".join(parser.blocks) and rows[p.page_id].n_chars == len(rows[p.page_id].text) and rows[p.page_id].url == p.url
+
+
 # 5
 
 
