@@ -565,6 +565,29 @@ def test_chunks_follow_content(spark):
 # 10
 
 
+def test_every_known_licence_is_found(spark):
+    known = licenses.known_texts()
+    rows = [(i, t) for i, (_, t) in enumerate(known)] + [(i + 5000, f"Some words.\n  * {t.upper()}!\nMore words.") for i, (_, t) in enumerate(known) if "\n" not in t]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of_text = defaultdict(set)
+    canonical = spark.createDataFrame(known, "id string, t string").select("id", licenses.canonical(F.col("t")).alias("c")).collect()
+    for r in canonical:
+        of_text[r.c].add(r.id)
+    for i, r in enumerate(canonical):
+        assert got[i].license_id == min(of_text[r.c])
+        assert i + 5000 not in got or min(of_text[r.c]) in got[i + 5000].notices
+    assert {k for k, _ in known} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause", "MIT"}
+
+
+def test_canonical_texts(spark):
+    same = [("Licence  LICENCE, (licence)", "license license license"), ("Version 2.0 of ten per cent", "v2.0 of ten percent"), ("sub-license", "sublicense"), ("whilst", "while")]
+    other = [("super century", "supercentury"), ("version 10", "v10"), ("colicence", "colicense"), ("ab", "a b")]
+    c = lambda t: spark.range(1).select(licenses.canonical(F.lit(t)).alias("c")).head().c
+    assert all(c(a) == c(b) for a, b in same) and all(c(a) != c(b) for a, b in other)
+    own = licenses.scan(spark.createDataFrame([(1, "Our own terms, whilst valid."), (2, "x\nOur own terms while valid")], "doc_id long, text string"), [("Own", "our own terms; while valid")])
+    assert {r.doc_id: (r.license_id, r.notices) for r in own.collect()} == {1: ("Own", ["Own"]), 2: (None, ["Own"])}
+
+
 def test_licenses(spark, edges, nothing):
     mit = licenses.TEXTS["MIT"]
     rows = [(1, mit.replace("<year> <holder>", "2020 Jo\nAll rights reserved.")), (2, mit.split("\n", 2)[2].upper().replace("LICENSE", "LICENCE")), (3, mit + " extra"), (4, "x\nReleased under the MIT Licence!\nLicensed under CC BY-NC 4.0.")]
