@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map
+from .common import arrow_map, fresh
 from .words import text_bytes
 
 WINDOW = 192
@@ -148,14 +148,16 @@ def _windows(batches):
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Train on at most sample_docs labelled documents of each language, picked by a hash of doc_id; None without labels."""
+    """Train on at most sample_docs labelled documents of each language, picked by a hash of doc_id; None without labels. Of rows that share
+    doc_id and language the least text stands for all."""
     known = labelled(docs.select("doc_id", "lang", "text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample_docs / n)))])
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample_docs / max(1, n))))])
     u = (F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 32) - 1))) / F.lit(float(1 << 32))
-    picked = arrow_map(known.filter(u < F.element_at(share, F.col("lang"))), _windows, "doc_id long, lang string, bytes binary").collect()
+    picked = known.filter(u < F.element_at(share, F.col("lang"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    picked = arrow_map(picked, _windows, "doc_id long, lang string, bytes binary").collect()
     docs_of: dict[str, dict[int, None]] = {}
     for r in sorted(picked, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"])):
         docs_of.setdefault(r["lang"], {})[r["doc_id"]] = None
@@ -184,13 +186,14 @@ def scores(model: Model, data: np.ndarray, offs: np.ndarray, block: int = 48) ->
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score."""
-    docs = docs.drop("lang_pred", "score", "_letter")
+    docs = docs.drop("lang_pred", "score")
+    letters = fresh(docs, "_letter")
     names_in = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches):
         for b in batches:
-            letter = np.array(b.column("_letter").to_pylist(), bool)
+            letter = np.array(b.column(letters).to_pylist(), bool)
             names, best = np.array([UNKNOWN] * b.num_rows, object), np.zeros(b.num_rows)
             if model is not None and b.num_rows:
                 mean = scores(model, *text_bytes(b.column("text")))
@@ -200,4 +203,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             kept = [b.column(c) for c in names_in]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names.tolist(), pa.string()), pa.array(best, pa.float64())], [*names_in, "lang_pred", "score"])
 
-    return arrow_map(docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), predict, schema)
+    return arrow_map(docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), predict, schema)

@@ -24,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored
+from .common import arrow_map, dealt_join, discard, hot_keys, stored
 
 UNIT = 64
 LEAST, MOST, MASK = 512, 16384, (1 << 11) - 1
-BITMAP_BITS = 1 << 25
+#: Bits of the bitmap: 16 for each shared chunk, within these bounds (32 MB at most).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _WAV = struct.Struct("<4sI4s4sIHHIIHH4sI")
 HEADER = _WAV.size
 
@@ -96,26 +97,29 @@ def _files(column: pa.Array):
         yield len(raw), wav(payload_of(raw))
 
 
-def _bit(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little") % BITMAP_BITS
+def _bit(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:8], "little") % bits
 
 
 def shared_bitmap(docs: DataFrame) -> bytes:
-    """Bits of the digests of chunks that occur more than once; BITMAP_BITS of them whatever the size of docs."""
+    """Bits of the digests of chunks that occur more than once."""
 
     def run(batches):
         for b in batches:
             found = [d for _, f in _files(b.column("text")) for d, _ in chunks(f)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
-    seen = arrow_map(docs.select("text"), run, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    # the same bit as _bit(): the first eight bytes, little-endian, modulo a power of two
+    seen = arrow_map(docs.select("text"), run, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    seen = stored(seen, "media-shared")
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * seen.count()).bit_length()))
+    # the same bit as _bit(): the first four bytes, little-endian, modulo a power of two
     octet = lambda i: F.conv(F.substring(F.hex("digest"), 2 * i + 1, 2), 16, 10).cast("long")
-    bit = ((octet(0) + octet(1) * 256 + octet(2) * 65536 + octet(3) * 16777216) % BITMAP_BITS).alias("bit")
+    bit = ((octet(0) + octet(1) * 256 + octet(2) * 65536 + octet(3) * 16777216) % bits).alias("bit")
     words = seen.select(bit).groupBy((F.floor(F.col("bit") / 32768)).alias("k")).agg(F.bitmap_construct_agg((F.col("bit") % 32768)).alias("m"))
-    out = bytearray(BITMAP_BITS // 8)
-    for r in words.collect():  # BITMAP_BITS / 32768 rows of 4 KiB at most
+    out = bytearray(bits // 8)
+    for r in words.toLocalIterator():  # MOST_BITS / 32768 rows of 4 KiB at most
         out[r["k"] * 4096 : r["k"] * 4096 + 4096] = r["m"]
+    discard(seen)
     return bytes(out)
 
 
@@ -138,7 +142,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for doc, (n, media) in zip(b.column("doc_id").to_pylist(), _files(b.column("text")), strict=True):
                 recipe, own = [], []
                 for digest, part in chunks(media):
-                    bit = _bit(digest)
+                    bit = _bit(digest, 8 * len(bits))
                     here = not bits[bit >> 3] >> (bit & 7) & 1
                     recipe.append((digest, here, len(part)))
                     if here:
@@ -167,7 +171,7 @@ def restore(files: DataFrame, pieces: DataFrame) -> DataFrame:
     remote = F.exists("recipe", lambda c: ~c["here"])
     none = F.lit(None).cast("array<struct<pos:int,data:binary>>")
     wanted = files.filter(remote).select("uid", F.posexplode("recipe").alias("pos", "c")).filter("not c.here").select("uid", "pos", F.col("c.digest").alias("digest"))
-    brought = wanted.join(pieces, "digest").groupBy("uid").agg(F.collect_list(F.struct("pos", "data")).alias("remote"))  # one file's chunks
+    brought = dealt_join(wanted, pieces, "digest", "uid", hot_keys(wanted, "digest")).groupBy("uid").agg(F.collect_list(F.struct("pos", "data")).alias("remote"))  # one file's chunks
     rows = files.filter(~remote).withColumn("remote", none).unionByName(files.filter(remote).join(brought, "uid"))
 
     def run(batches):

@@ -4,7 +4,8 @@ Sources in code point order (null is a source, the last) weigh WEIGHTS, repeatin
 weight; a source stops at `most` times its own tokens and its excess is shared among the others by weight until none is
 above. Each source draws with the one of DRAWS seeds whose draw comes nearest to its target; a document's number of copies
 depends on its doc_id, its source's rate and that seed, so reruns agree and repeated rows are copied alike. Null and empty texts have no tokens and are copied like others; a source without tokens has target
-0 and no copies. Empty tables give empty results. Columns of the input are kept; those added replace columns of their names.
+0 and no copies. Empty tables give empty results. The mix has the columns of the input, whatever their names; the plan has
+numbers only. Sources are taken to be few (their totals meet in one task): a few million at most.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, stored
+from .common import discard, small, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -65,19 +66,27 @@ def with_draws(rows: DataFrame, by: DataFrame, seed: int, draws: int) -> DataFra
     return joined.select(*by.columns, (F.coalesce(F.array_min(off)["k"], F.lit(0)) + seed).cast("long").alias("_draw"))
 
 
-def planned(docs: DataFrame, seed: int = SEED, draws: int = DRAWS, **kw) -> DataFrame:
-    """docs with size, source_size, target, rate and copies."""
-    docs = docs.drop("size", "source_size", "target", "rate", "copies", "_draw")
-    rows = sized(docs)
-    sizes = stored(rows.select("doc_id", "source", "size"), "mixing-sizes")  # numbers alone: the texts are read once for them
+def drawn(sizes: DataFrame, seed: int = SEED, draws: int = DRAWS, **kw) -> DataFrame:
+    """For each source of sizes (doc_id, source, size): source_size, target, rate and the seed that its documents draw with."""
     by = stored(targets(sizes, **kw), "mixing-targets")
-    by = stored(with_draws(sizes, by, seed, draws), "mixing-draws")
-    rows = _on_source(rows, by)
-    return rows.withColumn("copies", (F.floor("rate") + _extra(F.col("_draw")).cast("int")).cast("int")).drop("_draw")
+    return stored(with_draws(sizes, by, seed, draws), "mixing-draws")
+
+
+def _copies() -> Column:
+    return (F.floor("rate") + _extra(F.col("_draw")).cast("int")).cast("int")
+
+
+def planned(docs: DataFrame, seed: int = SEED, draws: int = DRAWS, **kw) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate and copies of every row of docs. Texts are read once, for their sizes."""
+    sizes = stored(sized(docs.select("doc_id", "text", "source")).drop("text"), "mixing-sizes")
+    return _on_source(sizes, drawn(sizes, seed, draws, **kw)).withColumn("copies", _copies()).drop("_draw")
 
 
-def mix(docs: DataFrame, seed: int = SEED, **kw) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, draws: int = DRAWS, **kw) -> DataFrame:
     """The mix itself: every row of docs as often as planned, with the columns of docs."""
-    names = docs.columns
-    rows = planned(docs, seed, **kw).filter(F.col("copies") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    sizes = stored(sized(docs.select("doc_id", "text", "source")).drop("text"), "mixing-sizes")
+    by = drawn(sizes, seed, draws, **kw)
+    discard(sizes)
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = _on_source(rows, by).select(_copies().alias("_n"), "_row").filter("_n > 0")
+    return rows.select(F.explode(F.array_repeat("_row", F.col("_n"))).alias("_row")).select("_row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fresh, small, stored
+from .common import arrow_map, dealt_join, fresh, hot_keys, small, stored
 from .components import components
 from .words import U, shingle_hashes, text_bytes, word_hashes
 
@@ -45,8 +45,6 @@ LIKENESS: Likeness = (85, 100)
 GROUPS = 128
 #: Classes in a block of those that meet; children of a node.
 BLOCK, FANOUT = 512, 32
-#: Share of a mean partition beyond which the rows of one key are dealt over several tasks.
-HOT = 1 / 16
 #: The bounded sample that the order of shingles is fit on, and how many frequent ones it puts last.
 SAMPLE_DOCS, FREQUENT, LEAST_SEEN = 4000, 50_000, 4
 
@@ -219,22 +217,6 @@ def _vector(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int64)
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key, _salts) of the keys whose rows in df outweigh HOT of a mean partition, to be broadcast: partitions / HOT of them at
-    most, whatever the data."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(32, int(df.count() / parts * HOT))
-    return F.broadcast(df.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).filter("_salts > 1"))
-
-
-def dealt_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with the one row of keyed for each key; rows of hot keys, and those without a key, are dealt by the hash of column by."""
-    salts = F.when(F.col(key).isNull(), 1024).otherwise(F.coalesce("_salts", F.lit(1)))
-    rows = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
-    keyed = keyed.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return rows.join(keyed, [key, "_salt"], how).drop("_salt")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, likeness: Likeness) -> DataFrame:
     """Of pairs (a, b) those that link: first by fine counts, a sixteenth of the bytes or less, then by the whole sets."""
     near = stored(_compared(pairs, classes.select("cid", F.col("fine").alias("s")), lambda a, b: _may_link(a, b, likeness), "<u2"), "ngram-near")

@@ -93,7 +93,9 @@ def test_language_id_held_out(spark):
 
 def test_language_id_edges(spark, edges, nothing):
     model = language_id.fit(edges)
-    rows = language_id.identify(edges.withColumn("score", F.lit("clash")), model).collect()
+    clash = language_id.identify(edges.withColumns({"score": F.lit("clash"), "_letter": F.lit("kept")}), model)
+    rows = clash.collect()
+    assert {r._letter for r in rows} == {"kept"} and clash.columns == [*edges.columns, "_letter", "lang_pred", "score"]
     assert len(rows) == len(EDGES) and {r.lang_pred for r in rows if r.doc_id in (1, 2, 3, 9)} == {"und"}
     assert language_id.fit(nothing) is None and language_id.identify(nothing, None).count() == 0
     assert {r.lang_pred for r in language_id.identify(edges, None).collect()} == {"und"}
@@ -163,10 +165,28 @@ def test_mixing_targets(spark):
 def test_mixing(spark, edges, nothing):
     rows = mixing.planned(edges).collect()
     assert len(rows) == len(EDGES) and sorted(map(str, rows)) == sorted(map(str, mixing.planned(edges).collect()))
-    assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) and 0 <= r.copies <= 2 for r in rows)
-    mixed = Counter((r.doc_id, r.text) for r in mixing.mix(edges).collect())
-    assert mixed == Counter({k: n for k, n in Counter((r.doc_id, r.text) for r in rows for _ in range(r.copies)).items() if n})
-    assert mixing.mix(nothing).count() == 0 and mixing.mix(edges).columns == edges.columns
+    words_of = Counter((i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _, s, _ in EDGES)
+    assert Counter((r.doc_id, r.source, r["size"]) for r in rows) == words_of and all(0 <= r.copies <= 2 for r in rows)
+    mixed = Counter(r.doc_id for r in mixing.mix(edges).collect())
+    assert mixed == Counter(r.doc_id for r in rows for _ in range(r.copies))
+    clash = edges.withColumns({c: F.lit(c) for c in ("size", "target", "rate", "copies", "source_size", "_draw", "_n", "_row", "_source", "a.b")})
+    got = mixing.mix(clash)
+    assert got.columns == clash.columns and all(r["size"] == "size" and r["_draw"] == "_draw" and r["a.b"] == "a.b" for r in got.collect())
+    assert mixing.mix(nothing).count() == 0 and mixing.mix(edges).columns == edges.columns and mixing.planned(nothing).count() == 0
+
+
+def test_mixing_query_comes_near_its_targets(spark):
+    rows = queries.op3_mixing(spark, f"{DATA}/sf0.01").collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    size, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        d = docs[r.doc_id]
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) and r.taken in (0, r["size"], 2 * r["size"])
+        size[d.source] += r["size"]
+        taken[d.source] += r.taken
+        target[d.source] = r.target
+    assert len(rows) == len(docs) and sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
+    assert all(abs(taken[s] - t) <= 0.02 * t + 400 and t <= 2 * size[s] + 1e-6 for s, t in target.items())
 
 
 # 4
@@ -543,12 +563,21 @@ def test_media(spark, edges, nothing, docs):
         p = t.encode() + bytes(-len(t.encode()) % 64 or (0 if t else 64))
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        x = list(p)
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:], strict=False))
+        assert r.feature == f"sum={sum(x)};sq={sum(v * v for v in x)};zc={crossings};min={min(x)};max={max(x)};step={sum(abs(a - b) for a, b in zip(x, x[1:], strict=False))}"
         assert r.media_sha256 == hashlib.sha256(media.wav(p)).hexdigest() and r.media_bytes == len(p) + media.HEADER
     got = media.restore(*media.store(edges)).collect()
     assert Counter((r.doc_id, media.samples(bytes(r.media)).rstrip(b"\0")) for r in got) == Counter((i, (t or "").encode()) for i, t, *_ in EDGES)
     assert media.restore(*media.store(nothing)).count() == 0
 
 
+def test_media_shared_by_many(spark):
+    rows = [(i, LONG[:3000] + (f" tail {i}" if i % 3 else "")) for i in range(600)]
+    got = media.restore(*media.store(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert Counter((r.doc_id, media.samples(bytes(r.media)).rstrip(b"\0").decode()) for r in got) == Counter(rows)
+
+
 def test_chunks_follow_content(spark):
     rng = np.random.default_rng(2)
     body = rng.bytes(60_000)
@@ -558,7 +587,7 @@ def test_chunks_follow_content(spark):
     digest = hashlib.sha256(b"q").digest()
     text = LONG[:5000]
     bitmap = media.shared_bitmap(spark.createDataFrame([(text,), (text,), ("single",)], "text string"))
-    bits = {media._bit(d) for d, _ in media.chunks(media.wav(media.payload_of(text.encode())))}
+    bits = {media._bit(d, 8 * len(bitmap)) for d, _ in media.chunks(media.wav(media.payload_of(text.encode())))}
     assert all(bitmap[x >> 3] >> (x & 7) & 1 for x in bits) and sum(map(int.bit_count, bitmap)) == len(bits) and len(digest) == 32
 
 
