@@ -2,8 +2,9 @@
 
 Rows of one text stay together. The ordered atomic groups are the BUCKETS hash ranges of texts, so their number never
 grows with the data: each holds whole groups of equal texts, and a group that outweighs a shard is a bucket of its own
-weight. The smallest feasible shard capacity is found by binary search, each candidate checked greedily, and the order is
-cut where the greedy check cut. Slots count from 0 without gaps inside a shard.
+weight. The smallest feasible shard capacity is found by binary search, each candidate checked greedily. The order is cut within
+that capacity: each cut is the one nearest to an equal share that leaves no more than what a greedy pass from the other end
+fits into the shards that are left, so the last shard is not starved. Slots count from 0 without gaps inside a shard.
 
 Null texts are one group and have size 1 (no bytes); empty texts are another. Repeated rows get a slot each. Empty tables
 give empty results. Columns of the input are kept; size, text_crc32, shard and slot replace columns of those names.
@@ -69,14 +70,34 @@ def cuts(rows: DataFrame, shards: int) -> DataFrame:
     listed = listed.filter(F.size("g") > 0).withColumn("sizes", F.col("g.s"))
     listed = listed.select("g", capacity(F.col("sizes"), shards).alias("cap"))
 
-    def step(acc: Column, x: Column) -> Column:
+    none = F.array().cast("array<int>")
+
+    def from_right(acc: Column, x: Column) -> Column:
         over = acc["held"] + x["s"] > F.col("cap")
+        return F.struct(
+            F.when(over, F.concat(acc["at"], F.array(acc["b"]))).otherwise(acc["at"]).alias("at"),
+            F.when(over, x["s"]).otherwise(acc["held"] + x["s"]).alias("held"),
+            x["b"].alias("b"),
+        )
+
+    start = F.struct(none.alias("at"), F.lit(0).cast("long").alias("held"), F.lit(0).alias("b"))
+    total = F.aggregate("g", F.lit(0).cast("long"), lambda acc, x: acc + x["s"])
+    # right: where the last shard, the last two and so on begin at the earliest; a cut before that would leave too much
+    listed = listed.select("g", "cap", total.alias("total"), F.aggregate(F.reverse("g"), start, from_right)["at"].alias("right"))
+
+    def step(acc: Column, x: Column) -> Column:
+        k = F.size(acc["at"])  # cuts so far
+        full = acc["held"] + x["s"] > F.col("cap")
+        rest_fits = x["b"] >= F.coalesce(F.get("right", F.lit(shards - 2) - k), F.lit(0))
+        due = acc["all"] + x["s"] / 2 >= F.col("total") * (k + 1) / shards  # this cut is nearer to an equal share than the next
+        over = (k < shards - 1) & (acc["held"] > 0) & (full | (rest_fits & due))
         return F.struct(
             F.when(over, F.concat(acc["at"], F.array(x["b"]))).otherwise(acc["at"]).alias("at"),
             F.when(over, x["s"]).otherwise(acc["held"] + x["s"]).alias("held"),
+            (acc["all"] + x["s"]).alias("all"),
         )
 
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).cast("long").alias("held"))
+    start = F.struct(none.alias("at"), F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("all"))
     return listed.select("cap", F.aggregate("g", start, step)["at"].alias("at"))
 
 

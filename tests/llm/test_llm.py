@@ -120,6 +120,26 @@ def test_capacity(spark, sizes, shards):
     assert spark.range(1).select(sharding.capacity(col, shards).alias("c")).head().c == brute_capacity(sizes, shards)
 
 
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_cuts_within_capacity(spark, shards):
+    rng = np.random.default_rng(shards)
+    for big in (0, 5000):
+        sizes = rng.integers(1, 60, 300).tolist()
+        sizes[40] += big
+        rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], f"{sharding.BUCKET} int, size long")
+        got = sharding.cuts(rows, shards).head()
+        parts = np.split(np.array(sizes), got["at"])
+        loads = [int(p.sum()) for p in parts]
+        assert got.cap == brute_capacity(sizes, shards) and len(parts) <= shards and max(loads) <= got.cap and min(map(len, parts)) > 0
+        if not big:
+            assert min(loads) > 0.8 * sum(sizes) / shards
+    dominant = sharding.assign(sharding.sized(spark.createDataFrame([(i, "same " * 50) for i in range(500)] + [(1000 + i, f"t{i}") for i in range(500)], "doc_id long, text string")), 16)
+    of = defaultdict(set)
+    for r in dominant.collect():
+        of[r.text].add(r.shard)
+    assert all(len(x) == 1 for x in of.values())
+
+
 def test_sharding(spark, edges, nothing, docs):
     rows = queries.op2_sharding(spark, SF).collect()
     by_text, slots, load = defaultdict(set), defaultdict(list), Counter()
