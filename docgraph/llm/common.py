@@ -112,9 +112,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """(key, _salts) of the keys whose rows in df outweigh HOT of a mean partition, to be broadcast: partitions / HOT of them at
     most, whatever the data."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(32, int(df.count() / parts * HOT))
-    return F.broadcast(df.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).filter("_salts > 1"))
+    return hot_counts(df.groupBy(key).agg(F.count("*").alias("_k")), key, "_k", df.count())
+
+
+def hot_counts(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The same from counts (key, n) that are there already."""
+    most = max(32, int(total / int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) * HOT))
+    return F.broadcast(counts.select(key, F.ceil(F.col(n) / most).cast("int").alias("_salts")).filter("_salts > 1"))
 
 
 def dealt_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, dealt_join, fresh, hot_keys, small, stored
+from .common import arrow_map, dealt_join, fresh, hot_counts, hot_keys, small, stored
 from .components import components
 from .words import U, shingle_hashes, text_bytes, word_hashes
 
@@ -58,16 +58,17 @@ def batch_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def counted(s: np.ndarray, bits: int) -> np.ndarray:
-    """Group counts of a set; groups are ranges of hashes, so summing neighbours gives the counts of half as many groups. In 16
-    bits each, or in 32 where one needs them."""
+    """Group counts of a set; groups are ranges of hashes, so summing neighbours gives the counts of half as many groups. In 8
+    bits each, or in 16 or 32 where one needs them."""
     counts = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4")
+    most = int(counts.max())
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
 
 
 def fine(s: np.ndarray) -> np.ndarray:
-    """Group counts with about eight shingles a group, so that large sets are told apart as well as small ones. A count of these
-    needs more than 16 bits only beyond 4 billion shingles, which no text has."""
-    return counted(s, min(16, max(6, (len(s) // 8).bit_length())))
+    """Group counts with about eight shingles a group, so that large sets are told apart as well as small ones, in 16 bits. A count
+    of these needs more only beyond 4 billion shingles, which no text has."""
+    return counted(s, min(16, max(6, (len(s) // 8).bit_length()))).astype("<u2")
 
 
 def digest_of(s: np.ndarray) -> bytes | None:
@@ -214,7 +215,7 @@ class Meeting:
 
 
 def _vector(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int64)
+    return np.frombuffer(raw, f"<u{len(raw) // GROUPS}").astype(np.int64)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, likeness: Likeness) -> DataFrame:
@@ -241,7 +242,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, test: Callable, kind: str) -> D
     hot = hot_keys(pairs, "a")
     pairs = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("_salts", F.lit(1))).cast("int").alias("_salt"))
     first = pairs.select("a", "_salt").distinct().join(sets.withColumnRenamed("cid", "a"), "a").select("a", "_salt", F.lit(None).cast("long").alias("b"), "s")
-    rows = first.unionByName(pairs.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "_salt", "b", "s"))
+    second = dealt_join(pairs.withColumnRenamed("_salt", "_of_a"), sets.withColumnRenamed("cid", "b"), "b", "a", hot_keys(pairs, "b"))
+    rows = first.unionByName(second.select("a", F.col("_of_a").alias("_salt"), "b", "s"))
     rows = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "_salt").sortWithinPartitions("a", "_salt", F.asc_nulls_first("b"))
 
     def run(batches):
@@ -278,14 +280,14 @@ def _linked(a: np.ndarray, b: np.ndarray, likeness: Likeness) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def blocked(meet: DataFrame, likeness: Likeness) -> DataFrame:
-    """meet (tok, k, pos, cid, n) with its block and the pair of blocks (lo, hi) in which a row is searched, a row for each. BLOCK classes or fewer
+def blocked(meet: DataFrame, classes: DataFrame, likeness: Likeness) -> DataFrame:
+    """meet (tok, k, pos, cid, ..) with its block and the pair of blocks (lo, hi) in which a row is searched, a row for each. BLOCK classes or fewer
     are one block; more are dealt by level, the logarithm of their size to a base at which linked sizes differ by one level or
     less, and by hash within a level."""
     num, den = likeness
     base = math.log(den / num) * 1.001
     single = meet.filter(F.col("k") <= BLOCK).withColumns({c: F.lit(0).cast("long") for c in ("own", "lo", "hi")})
-    rows = meet.filter(F.col("k") > BLOCK).withColumn("level", F.floor(F.log("n") / base).cast("int"))
+    rows = meet.filter(F.col("k") > BLOCK).join(classes.select("cid", "n"), "cid").withColumn("level", F.floor(F.log("n") / base).cast("int"))
     cells = rows.groupBy("tok", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("c"))
     cells = cells.groupBy("tok").agg(F.map_from_entries(F.collect_list(F.struct("level", "c"))).alias("cells"))  # levels are few
     rows = dealt_join(rows, cells, "tok", "cid", hot_keys(rows, "tok"))
@@ -299,10 +301,10 @@ def blocked(meet: DataFrame, likeness: Likeness) -> DataFrame:
 
 
 def searched(meet: DataFrame, classes: DataFrame, likeness: Likeness, best: bool) -> DataFrame:
-    """meet: (tok, k, pos, cid, n, comp). The pairs (a, b), a < b, of different components that meet and may link by their counts; best: for each b only the
+    """meet: (tok, k, pos, cid, comp). The pairs (a, b), a < b, of different components that meet and may link by their counts; best: for each b only the
     a with the largest share of common counts."""
     spark = meet.sparkSession
-    rows = blocked(meet, likeness).join(classes.select("cid", "counts"), "cid")
+    rows = blocked(meet, classes, likeness).join(classes.select("cid", "counts"), "cid")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi")
     rows = rows.select("tok", "lo", "hi", "own", "cid", "comp", "pos", "counts")
 
@@ -354,19 +356,22 @@ def classes_of(docs: DataFrame, width: int = WIDTH, likeness: Likeness = LIKENES
     table = stored(sets_table(docs, frequent(docs, width), width, likeness), "ngram-sets")
     classes = table.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "first", "counts", "fine")])
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
-    posts = classes.select("cid", "n", F.posexplode("first").alias("pos", "tok"))
+    posts = classes.select("cid", F.posexplode("first").alias("pos", "tok"))
+    shared = stored(posts.groupBy("tok").agg(F.count("*").alias("k")).filter("k > 1"), "ngram-shared")
+    hot = hot_counts(shared, "tok", "k", shared.agg(F.coalesce(F.sum("k"), F.lit(0))).head()[0])
+    every = stored(dealt_join(posts, shared, "tok", "cid", hot), "ngram-every")
     h = F.xxhash64("cid")  # of all shingles that the same classes share, the first is enough
-    who = [F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 32)).alias("y"), F.count("*").alias("k"), F.sum("pos").alias("at")]
-    shared = posts.groupBy("tok").agg(*who).filter("k > 1").groupBy("x", "y", "k").agg(F.min_by("tok", F.struct("at", "tok")).alias("tok"))
-    shared = stored(shared.select("tok", "k"), "ngram-shared")
-    meet = stored(dealt_join(posts, shared, "tok", "cid", hot_keys(posts, "tok")), "ngram-meet", done=[shared])
+    who = [F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 32)).alias("y"), F.count("*").alias("n"), F.sum("pos").alias("at")]
+    firsts = every.groupBy("tok").agg(*who).groupBy("x", "y", "n").agg(F.min_by("tok", F.struct("at", "tok")).alias("tok"))
+    firsts = stored(firsts.select("tok"), "ngram-firsts")
+    meet = stored(dealt_join(every, firsts, "tok", "cid", hot), "ngram-meet", done=[every, firsts])
     tries = stored(searched(meet.withColumn("comp", F.col("cid")), classes, likeness, best=True), "ngram-tries")
     linked = stored(_verified(tries, docs, classes, width, likeness), "ngram-links")
     comp = components(linked)
     named = meet.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     named = stored(named, "ngram-named", done=[meet])
     several = stored(named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok"), "ngram-several")
-    again = stored(dealt_join(named, several, "tok", "cid", hot_keys(named, "tok")), "ngram-again", done=[named, several])
+    again = stored(dealt_join(named, several, "tok", "cid", hot), "ngram-again", done=[named, several, shared])
     pairs = stored(searched(again, classes, likeness, best=False).join(tries, ["a", "b"], "left_anti"), "ngram-pairs", done=[again, tries])
     links = stored(linked.union(_verified(pairs, docs, classes, width, likeness)), "ngram-links", done=[linked, pairs])
     degree = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
