@@ -31,25 +31,28 @@ def shape(json: Column, shapes: tuple = JSON_SHAPES) -> Column:
     return found
 
 
-def web_conversations(df: DataFrame, json: str = "content") -> DataFrame:
-    """uuid, date and text of each conversation with human turns: title, summary, then the turns."""
-    rows = df.select(F.explode(F.from_json(json, MESSAGES)).alias("c")).select("c.*")
+def web_conversations(df: DataFrame, json: str = "content", keep: str | None = None) -> DataFrame:
+    """uuid, date and text of each conversation with human turns: title, summary, then the turns; and column keep of df."""
+    kept = [keep] if keep else []
+    rows = df.select(*kept, F.explode(F.from_json(json, MESSAGES)).alias("c")).select(*kept, "c.*")
     human = F.filter("chat_messages", lambda m: m["sender"] == "human")
     typed = lambda m: F.array_join(F.transform(F.filter(m["content"], lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
     turns = F.transform(human, lambda m: F.trim(F.coalesce(F.nullif(typed(m), F.lit("")), m["text"], F.lit(""))))
     turns = F.filter(turns, lambda t: t != "")
     text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.nullif(F.col("name"), F.lit(""))), F.concat(F.lit("Summary: "), F.nullif(F.col("summary"), F.lit(""))), F.nullif(F.array_join(turns, "\n\n"), F.lit("")))
-    return rows.select("uuid", F.substring("created_at", 1, 10).alias("date"), text.alias("text")).filter("text <> ''")
+    return rows.select(*kept, "uuid", F.substring("created_at", 1, 10).alias("date"), text.alias("text")).filter("text <> ''")
 
 
-def chatgpt(df: DataFrame, json: str = "content") -> DataFrame:
-    """conversation_id, date and the user's messages by time."""
-    rows = df.select(F.explode(F.from_json(json, MAPPING)).alias("c")).select("c.*")
+def chatgpt(df: DataFrame, json: str = "content", keep: str | None = None) -> DataFrame:
+    """conversation_id, date and the user's messages by time, after the title if there is one; and column keep of df."""
+    kept = [keep] if keep else []
+    rows = df.select(*kept, F.explode(F.from_json(json, MAPPING)).alias("c")).select(*kept, "c.*")
     said = F.filter(F.map_values("mapping"), lambda n: (n["message"]["author"]["role"] == "user") & (n["message"]["content"]["content_type"] == "text"))
     body = lambda n: F.trim(F.array_join(n["message"]["content"]["parts"], "\n"))
     timed = F.array_sort(F.transform(said, lambda n: F.struct(F.coalesce(n["message"]["create_time"], F.lit(0.0)).alias("t"), body(n).alias("b"))))
-    text = F.array_join(F.filter(F.transform(timed, lambda x: x["b"]), lambda t: t != ""), "\n\n")
-    return rows.select("conversation_id", F.date_format(F.timestamp_seconds("create_time"), "yyyy-MM-dd").alias("date"), text.alias("text")).filter("text <> ''")
+    body = F.nullif(F.array_join(F.filter(F.transform(timed, lambda x: x["b"]), lambda t: t != ""), "\n\n"), F.lit(""))
+    text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.nullif(F.trim("title"), F.lit(""))), body)
+    return rows.select(*kept, "conversation_id", F.date_format(F.timestamp_seconds("create_time"), "yyyy-MM-dd").alias("date"), text.alias("text")).filter("text <> ''")
 
 
 def month_histories(df: DataFrame, ts: str, text: str, order: list[str], group: str | None = None) -> DataFrame:

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.functions import scalar as S
-from docgraph.operators import facts, graph, knowledge, model, search, split, telemetry
+from docgraph.operators import batches, display, facts, graph, knowledge, markers, model, search, split, telemetry
 from docgraph.operators import entities as E
-from docgraph.sources import chats, files, jsonl
+from docgraph.sources import chats, exports, files, jsonl, store
 
 
 def test_greedy_bounds_prefer_paragraphs():
@@ -125,7 +125,7 @@ def test_chats(spark):
     row = chats.web_conversations(df).head()
     assert row.text == "# T\n\nKEEP" and row.date == "2024-01-02"
     assert spark.createDataFrame([(json.dumps(web),)], "c string").select(chats.shape(F.col("c")).alias("s")).head().s == "web_conversations"
-    assert chats.chatgpt(spark.createDataFrame([(json.dumps(gpt),)], "content string")).head().text == "A\n\nB"
+    assert chats.chatgpt(spark.createDataFrame([(json.dumps(gpt),)], "content string")).head().text == "# t\n\nA\n\nB"
 
 
 def test_journal_years(spark):
@@ -185,3 +185,62 @@ def test_sampled_to_fit_is_largest(spark):
     got = [r.idx for r in synthesis.sampled_to_fit(rows, 5000).filter("topic = 't'").orderBy("idx").collect()]
     assert got == spaced(len(got)) and sum(sizes[i] for i in got) // 3 <= 5000 and got[-1] == 59
     assert synthesis.sampled_to_fit(rows, 5000).filter("topic = 'small'").count() == 1
+
+
+def test_vector_store_round_trip(spark, tmp_path):
+    path = str(tmp_path / "store")
+    records = spark.createDataFrame([("fact", "1", "a"), ("chunk", "2", "b")], "kind string, record_id string, text string")
+    vectors = spark.createDataFrame([("fact", "1", [1.0, 0.0]), ("chunk", "2", [0.0, 1.0])], "kind string, record_id string, embedding array<double>")
+    store.add(records, vectors, 2, path)
+    assert {(r.kind, r.record_id, r.text, tuple(r.embedding)) for r in store.records(spark, path).collect()} == {("fact", "1", "a", (1.0, 0.0)), ("chunk", "2", "b", (0.0, 1.0))}
+    assert {r.kind: r.n for r in store.counts_by_kind(store.records(spark, path), ("fact", "pattern")).collect()} == {"fact": 1, "chunk": 1, "pattern": 0}
+    for bad in (vectors.limit(1), vectors.withColumn("embedding", F.array(F.lit(1.0)))):
+        with pytest.raises(Exception, match="do not align"):
+            store.aligned(records, bad, 2).collect()
+    kind = "src_kind string, src_id string, dst_kind string, dst_id string, edge_kind string, nth int"
+    edges = spark.createDataFrame([("a", "1", "b", "2", "late", 2), ("a", "1", "b", "2", "first", 1), ("b", "2", "a", "1", "back", 3)], kind)
+    assert store.stored_edges(spark, path) is None and store.add_edges(edges.limit(0), path, "nth") == 0 and store.stored_edges(spark, path).count() == 0
+    assert store.add_edges(edges, path, "nth") == 2 and store.add_edges(edges, path, "nth") == 0
+    assert sorted(r.edge_kind for r in store.stored_edges(spark, path).collect()) == ["back", "first"]
+
+
+def test_chat_dispatch_of_odd_files(spark):
+    lines = ['{"type": "user", "sessionId": "0123456789", "message": {"content": [{"type": "tool_result", "text": "no"}, {"type": "text", "text": " one "}]}}', "", "no json", '{"type": "custom-title", "customTitle": " Named "}', '{"type": "assistant", "message": {"content": "no"}}']
+    rows = [
+        ("a.jsonl", ".jsonl", "\n".join(lines)), ("b.jsonl", ".jsonl", '{"type": "assistant", "sessionId": "x"}'), ("c.jsonl", ".jsonl", '{"other": 1}'), ("d.jsonl", ".jsonl", " \n"), ("e.json", ".json", "[]"),
+        ("f.json", ".json", json.dumps([{"uuid": "abcdefghij", "name": "Talk", "summary": "", "created_at": "2024-02-03T00:00:00Z", "chat_messages": [{"sender": "human", "text": "hi", "content": [], "created_at": ""}]}])),
+        ("g.json", ".json", '{"name": "", "prompt_template": "", "description": ""}'), ("h.json", ".json", "{broken"), ("i.json", ".json", None),
+    ]
+    got = {r.doc_id: r for r in exports.parsed(spark.createDataFrame(rows, "file_id string, suffix string, content string")).collect()}
+    assert set(got) == {"a.jsonl", "f.json::conv_abcdefgh"}
+    assert got["a.jsonl"].content == "# Named\n\none" and got["a.jsonl"].session_id == "0123456789" and got["a.jsonl"].title == "Named"
+    assert got["f.json::conv_abcdefgh"].content == "# Talk\n\nhi" and got["f.json::conv_abcdefgh"].date == "2024-02-03"
+
+
+def test_markers_without_free_text(spark):
+    rows = spark.createDataFrame([("2024-01-01T00:00:00Z", "ok", "0001"), ("2024-01-01T00:00:00Z", "free text", "0001"), ("0001", "ok", "12")], "ts string, state string, call_id string")
+    assert [r.n for r in rows.select(markers.free_leaves(rows.schema, ["ok"]).alias("n")).collect()] == [0, 1, 2]
+    assert markers.content_free(rows.limit(1), ["ok"]).count() == 1
+    with pytest.raises(Exception, match="free text"):
+        markers.content_free(rows, ["ok"]).collect()
+
+
+def test_embedding_batches(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def flaky(texts):
+        asked.add(1)
+        if len(texts) > 1 or texts == ["bad"]:
+            raise TimeoutError
+        return [[1.0]]
+
+    df = spark.createDataFrame([("x",), ("x",), ("bad",), (None,)], "text string").filter("text is not null").coalesce(1)
+    got = {r.text: r.embedding for r in batches.embedded(df, "text", flaky).collect()}
+    assert got["x"] == [1.0] and got["bad"] is None and len(got) == 2
+
+
+def test_numbers_and_durations(spark):
+    shown = [r.d for r in spark.createDataFrame([(None,), (5,), (1500,), (61_000,), (3_661_000,)], "ms long").select(display.duration(F.col("ms")).alias("d")).collect()]
+    assert shown == ["—", "5ms", "1.5s", "1m 1s", "1h 1m 1s"]
+    shown = [r.d for r in spark.createDataFrame([(None,), (1234.0,), (1234.5,)], "n double").select(display.grouped_number(F.col("n")).alias("d")).collect()]
+    assert shown == ["—", "1,234", "1,234.50"]
