@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
+
 
 def both_ways(edges: DataFrame, kind: str | None = None) -> DataFrame:
     """Edges and their reverses: src_kind, src_id, dst_kind, dst_id, edge_kind."""
@@ -38,13 +40,14 @@ def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     """(node, component) with the least node reachable; a checkpoint each round cuts the lineage."""
-    sym = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).filter("x <> y").distinct().checkpoint()
-    labels = sym.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")).checkpoint()
+    sym = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).filter("x <> y").distinct()
+    sym = checkpointed(sym)
+    labels = checkpointed(sym.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(rounds):
         near = sym.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "m").alias("m"))
         up = labels.select(F.col("node").alias("m"), F.col("component").alias("up"))
-        new = step.join(up, "m", "left").select("node", F.least("m", F.coalesce("up", "m")).alias("component"), F.col("component").alias("was")).checkpoint()
+        new = checkpointed(step.join(up, "m", "left").select("node", F.least("m", F.coalesce("up", "m")).alias("component"), F.col("component").alias("was")))
         labels = new.select("node", "component")
         if new.filter("component <> was").isEmpty():
             return labels

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 LOAD_ERRORS = ("ConnectionError", "RateLimitError", "ServiceUnavailable", "InternalServerError", "APIConnectionError")
 SIZING = ("CAP_HIT", "PARSE_ERROR", "TIMEOUT_WITH_TOKENS")
 MOST_HALVES, MOST_LOAD = 5, 5
@@ -39,37 +41,58 @@ def through_cache(calls: DataFrame, cache: DataFrame, days: int = 30, key: str =
     return calls.join(fresh, key), calls.join(fresh, key, "left_anti")
 
 
-def stub_provider(prompts: list[str]) -> list[tuple[str | None, str | None]]:
-    """(payload, error class) by a hash of the prompt: deterministic, some of each outcome, none of them for short prompts."""
+def stub_provider(calls: pd.DataFrame) -> list[dict]:
+    """A reply for each call by a hash of its prompt: deterministic; long prompts may meet a token limit, short ones are answered."""
     out = []
-    for p in prompts:
+    for p in calls["prompt"]:
         h = hashlib.sha256(p.encode()).digest()[0]
-        out.append((None, "ValueError: token limit") if len(p) > 1500 and h < 200 else (f'{{"items": [{h}]}}', None))
+        out.append({"error_class": "ValueError", "message": "token limit"} if len(p) > 1500 and h < 200 else {"payload": f'{{"items": [{h}]}}'})
     return out
 
 
-def run_ladder(calls: DataFrame, provider: Callable, rounds: int = 2 * MOST_HALVES) -> DataFrame:
-    """Run calls (call_id, prompt) until each has ended: call_id, root_id, status, attempt and payload of every final call. A round
-    is one job over the calls that are pending; a halved call goes on as two. Each round is checkpointed."""
+#: What a provider says of a call; what it leaves out is null.
+REPLY = "payload string, error_class string, message string, duration double, ttft double, completion_tokens long, max_tokens long"
+STATE = "call_id string, root_id string, prompt string, attempt int, load int, sizing int, other int, thinking boolean, fallback boolean, last string"
+#: Most rounds of a call: all its halvings, retries of load and other retries.
+ROUNDS = MOST_HALVES + MOST_LOAD + 3
+
+
+def run_ladder(calls: DataFrame, provider: Callable[[pd.DataFrame], list[dict]], rounds: int = ROUNDS) -> DataFrame:
+    """Run calls (call_id, prompt) until each has ended: call_id, root_id, status, attempt and payload of every final call.
+
+    A round is one job over the calls that are pending: the provider is asked, status() judges and retry() decides. A call goes on as
+    it is, without reasoning, with the fallback model, or as its two halves; halves keep their family's counts. A good reply after
+    reasoning was off or the model fell back says so in its status. Each round is checkpointed, so a lost executor repeats one round."""
+    names = [f.split()[0] for f in STATE.split(", ")]
+    replies = [f.split()[0] for f in REPLY.split(", ")]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = provider(b["prompt"].tolist())
-            yield b.assign(payload=[p for p, _ in got], error=[e for _, e in got])
+            got = pd.DataFrame(provider(b), index=b.index, dtype=object).reindex(columns=replies)
+            got = got.astype(object).where(got.notna(), None)
+            yield pd.concat([b[names], got.astype({"duration": float, "ttft": float, "completion_tokens": "Int64", "max_tokens": "Int64"})], axis=1)
 
-    pending = calls.select("call_id", F.col("call_id").alias("root_id"), "prompt", F.lit(0).alias("attempt"))
+    c = F.col
+    zero = F.lit(0)
+    pending = calls.select("call_id", c("call_id").alias("root_id"), "prompt", zero.alias("attempt"), zero.alias("load"), zero.alias("sizing"), zero.alias("other"), F.lit(True).alias("thinking"), F.lit(False).alias("fallback"), F.lit("").alias("last"))
     done = None
-    for _ in range(rounds + 1):
-        asked = pending.mapInPandas(ask, "call_id string, root_id string, prompt string, attempt int, payload string, error string").checkpoint()
-        state = F.when(F.col("error").contains("token limit"), "CAP_HIT").when(F.col("error").isNotNull(), "OTHER").otherwise("OK")
-        asked = asked.withColumn("status", state)
-        again = (F.col("status") == "CAP_HIT") & (F.col("attempt") < MOST_HALVES)
-        ended = asked.filter(~again).select("call_id", "root_id", "status", "attempt", "payload")
+    for left in range(rounds, -1, -1):
+        asked = pending.mapInPandas(ask, f"{STATE}, {REPLY}").withColumn("status", status())
+        asked = asked.withColumn("next", retry(c("status"), c("load"), c("sizing"), c("other")))
+        blocked = (c("next") == "halve") & (F.length("prompt") < 2)  # nothing to divide
+        asked = checkpointed(asked.withColumn("next", F.when(blocked | F.lit(left == 0), "stop").otherwise(c("next"))))
+        good = F.when((c("status") == "OK") & (c("last") == "reasoning_off"), "SUCCESS_REASONING_OFF").when((c("status") == "OK") & (c("last") == "fallback"), "SUCCESS_MODEL_FALLBACK").otherwise(c("status"))
+        ended = asked.filter("next = 'stop'").select("call_id", "root_id", good.alias("status"), "attempt", "payload")
         done = ended if done is None else done.unionByName(ended)
         half = F.floor(F.length("prompt") / 2).cast("int")
-        parts = F.array(F.struct(F.lit("a").alias("k"), F.substring("prompt", F.lit(1), half).alias("p")), F.struct(F.lit("b").alias("k"), F.substring("prompt", half + 1, F.length("prompt")).alias("p")))
-        pending = asked.filter(again).select("call_id", "root_id", F.explode(parts).alias("x"), (F.col("attempt") + 1).alias("attempt"))
-        pending = pending.select(F.concat("call_id", F.lit("/"), "x.k").alias("call_id"), "root_id", F.col("x.p").alias("prompt"), "attempt")
+        part = lambda k, text: F.struct(F.concat("call_id", F.lit(k)).alias("id"), text.alias("p"))
+        halves = F.array(part("/a", F.substring("prompt", F.lit(1), half)), part("/b", F.substring("prompt", half + 1, F.length("prompt"))))
+        again = asked.filter("next <> 'stop'").withColumn("x", F.explode(F.when(c("next") == "halve", halves).otherwise(F.array(part("", c("prompt"))))))
+        count = lambda name, test: (c(name) + test.cast("int")).alias(name)
+        pending = again.select(
+            c("x.id").alias("call_id"), "root_id", c("x.p").alias("prompt"), (c("attempt") + 1).alias("attempt"), count("load", c("status") == "LOAD"), count("sizing", c("status").isin(*SIZING)),
+            count("other", c("status") == "OTHER"), (c("thinking") & (c("next") != "reasoning_off")).alias("thinking"), (c("fallback") | (c("next") == "fallback")).alias("fallback"), c("next").alias("last"),
+        )
         if pending.isEmpty():
-            return done
+            break
     return done

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,12 +89,24 @@ def nearest(records: DataFrame, query: Column, k: int, vector: str = "embedding"
     return (out if floor is None else out.filter(F.col("distance") <= floor)).orderBy("distance", order).limit(k)
 
 
+def query_blocks(queries: DataFrame, most: int = 10_000) -> list[DataFrame]:
+    """queries in blocks of about `most` rows by a hash of query_id, each small enough to be broadcast."""
+    blocks = -(-queries.count() // most)
+    if blocks <= 1:
+        return [F.broadcast(queries)]
+    return [F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)) for k in range(blocks)]
+
+
 def nearest_each(records: DataFrame, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
-    """For every query (query_id, query) of a small stated set its k nearest records. Each task keeps k a query before ranks meet."""
-    pairs = records.select("rowid", vector).join(F.broadcast(queries))
-    pairs = pairs.withColumn("distance", F.round(cosine_distance(F.col(vector), F.col("query")), 6) + F.lit(0.0)).drop(vector, "query")
+    """For every query (query_id, query) of a stated set its k nearest records. Queries meet all records block by block, and each task
+    keeps k a query before ranks meet."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "rowid"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    found = []
+    for block in query_blocks(queries):
+        pairs = records.select("rowid", vector).join(block)
+        pairs = pairs.withColumn("distance", F.round(cosine_distance(F.col(vector), F.col("query")), 6) + F.lit(0.0)).drop(vector, "query")
+        found.append(pairs.withColumn("rank", rank).filter(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def without_ties(hits: DataFrame, lookup: str = "lookup") -> DataFrame:

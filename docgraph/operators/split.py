@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import vocab
@@ -155,21 +157,26 @@ def islands(df: DataFrame, partition: list[str], order: list[str], key: Column)
 
 
 def greedy_pack(df: DataFrame, partition: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """Bins of consecutive rows whose sizes sum to at most budget (a larger row is a bin of its own): partition, members, bin, load."""
-    member = F.struct(*[F.col(c) for c in order], F.col(size).cast("long").alias("_size"))
-    listed = df.groupBy(*partition).agg(F.sort_array(F.collect_list(member)).alias("_m"))
-    state = lambda bin_, load, out: F.struct(bin_.cast("long").alias("bin"), load.cast("long").alias("load"), out.alias("out"))
-    empty = F.expr("CAST(array() AS array<bigint>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["load"] > 0) & (acc["load"] + x["_size"] > budget)
-        bin_ = F.when(full, acc["bin"] + 1).otherwise(acc["bin"])
-        load = F.when(full, x["_size"]).otherwise(acc["load"] + x["_size"])
-        return state(bin_, load, F.concat(acc["out"], F.array(bin_)))
-
-    packed = listed.withColumn("_bins", F.aggregate("_m", state(F.lit(0), F.lit(0), empty), step)["out"])
-    rows = packed.select(*partition, F.explode(F.arrays_zip("_m", "_bins")).alias("_z"))
-    return rows.select(*partition, *[F.col(f"_z._m.{c}").alias(c) for c in order], F.col("_z._m._size").alias(size), F.col("_z._bins").alias("bin"))
+    """Bins of consecutive rows whose sizes sum to at most budget (a larger row is a bin of its own): partition, order, size and bin.
+    Where a bin ends depends on all rows before, so a group is one pass over sorted rows in one task, which holds a batch at a time."""
+    rows = df.select(*partition, *order, F.col(size).cast("long").alias(size)).repartition(*partition).sortWithinPartitions(*partition, *order, size)
+    schema = T.StructType([*rows.schema.fields, T.StructField("bin", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bin_, load = None, 0, 0
+        for b in batches:
+            out = []
+            for own, n in zip(zip(*(b.column(c).to_pylist() for c in partition), strict=True), b.column(size).to_pylist(), strict=True):
+                if own != key:
+                    key, bin_, load = own, 0, 0
+                n = n or 0
+                if load > 0 and load + n > budget:
+                    bin_, load = bin_ + 1, 0
+                load += n
+                out.append(bin_)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "bin"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def running_offsets(df: DataFrame, partition: list[str], order: list[str], length: Column) -> DataFrame:

@@ -106,7 +106,7 @@ def nearest_rank(q: float, column: str) -> Column:
 
 def p95_half_even(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """total, avg, median, p95 (at the rank 0.95 (n - 1) rounded half to even), min and max, rounded to 2 places. The rank is
-    found by a window, so no group is gathered into one array."""
+    found by a window, and the exact median keeps the counts of a group's distinct values."""
     w = Window.partitionBy(*group)
     rows = df.filter(F.col(value).isNotNull()).withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(value))})
     at = F.bround(0.95 * (F.col("_n") - 1)).cast("int") + 1

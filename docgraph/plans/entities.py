@@ -116,8 +116,8 @@ def ent_name_similar_pairs(spark, d):
 )
 def ent_merge_verdicts(spark, d):
     e = table(spark, d, "events")
-    names = lambda k: F.when(F.col("event_id") % 4 == k, F.lit("sir william penn")).otherwise(F.lit("robert baker"))
-    verdict = E.merge_verdict(F.col("event_id") % 10 != 0, F.col("value") / 100.0, E.names_overlap(names(1), F.lit("pen w penn")), F.col("user_id") % 3 == 0)
+    names = lambda k: F.when(F.col("event_id") % 4 == k, F.lit("sir thomas hale")).otherwise(F.lit("martin cook"))
+    verdict = E.merge_verdict(F.col("event_id") % 10 != 0, F.col("value") / 100.0, E.names_overlap(names(1), F.lit("crew t hale")), F.col("user_id") % 3 == 0)
     return e.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("pairs"))
 
 

@@ -189,3 +189,29 @@ def exp_first_refs(spark, d):
 def exp_privacy_cut(spark, d):
     level = F.substring("o_orderpriority", 1, 1).cast("int")
     return export.cut_at_level(table(spark, d, "orders").withColumn("level", level), "level", 2)
+
+
+@query(
+    "mdl_ladder_outcomes",
+    """SELECT 'd' || doc_id AS root_id, ['OK', 'SUCCESS_MODEL_FALLBACK', 'SUCCESS_REASONING_OFF', 'OK', 'SUCCESS_MODEL_FALLBACK'][doc_id % 5 + 1] AS status, [0, 4, 2, 2, 2][doc_id % 5 + 1] AS attempt, [1, 1, 1, 4, 1][doc_id % 5 + 1] AS calls FROM documents""",
+)
+def mdl_ladder_outcomes(spark, d):
+    """Every way through the ladder: at once, by the fallback model after load, without reasoning, in quarters, by the fallback after other errors."""
+
+    def provider(calls):
+        out = []
+        for root, prompt, thinking, fallback in zip(calls["root_id"], calls["prompt"], calls["thinking"], calls["fallback"], strict=True):
+            k = int(root[1:]) % 5
+            if (k == 1 and not fallback) or (k == 2 and thinking):
+                out.append({"error_class": "RateLimitError"})
+            elif k == 3 and len(prompt) > 40:
+                out.append({"error_class": "BadRequest", "message": "maximum context length in tokens"})
+            elif k == 4 and not fallback:
+                out.append({"error_class": "ValueError", "message": "no"})
+            else:
+                out.append({"payload": "{}"})
+        return out
+
+    calls = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("call_id"), F.repeat(F.lit("x"), F.lit(100)).alias("prompt"))
+    rows = model.run_ladder(calls, provider)
+    return rows.groupBy("root_id", "status", "attempt").agg(F.count("*").alias("calls"))

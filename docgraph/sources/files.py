@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import vocab
+from . import exports
 
 # Names that systems leave in folders.
 SYSTEM_NAMES = (".DS_Store", ".Spotlight-V100", ".Trashes", ".fseventsd", ".localized")
@@ -47,31 +49,75 @@ def plain_text(content: Column) -> Column:
     return F.trim(F.when(whatsapp(content), F.regexp_replace(F.regexp_replace(content, r"(?m)^.*<Media omitted>.*\n?", ""), "‎", "")).otherwise(content))
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """file_id, source_type and content of all accepted text files under path, archives expanded, in file_id order."""
+def unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, source_type, suffix and content of every file under path that reject_reason() lets pass, archives expanded. A file that
+    cannot be read is a row too: source_type rejected, and why as its content."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kept = raw.withColumn("reason", reject_reason(F.col("path"), F.col("length"))).filter("reason IS NULL").select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in expanded(p, c)]
-            yield pd.DataFrame(rows, columns=["file_id", "source_type", "content"])
+            for p, c in zip(b["path"], b["content"], strict=True):
+                yield pd.DataFrame(list(expanded(p, c)), columns=["file_id", "source_type", "content"])
+
+    return kept.mapInPandas(run, "file_id string, source_type string, content string").withColumn("suffix", suffix(F.col("file_id")))
+
 
-    docs = kept.mapInPandas(run, "file_id string, source_type string, content string")
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, source_type and content of all accepted text files under path, archives expanded, in file_id order; chat exports as
+    the documents that they hold, one for each conversation or session."""
+    docs = unpacked(spark, path).filter("source_type <> 'rejected'")
+    exported = docs.filter(F.col("source_type").isin("json", "jsonl"))
+    found = exports.parsed(exported).select(F.col("doc_id").alias("file_id"), "source_type", "content")
+    known = exported.filter(exports.kind(F.col("content"), F.col("suffix")).isNotNull()).select("file_id")
+    others = docs.join(known, "file_id", "left_anti")
     text = F.when(F.col("source_type") == "text", plain_text(F.col("content"))).otherwise(F.trim("content"))
     kind = F.when((F.col("source_type") == "text") & whatsapp(F.col("content")), "whatsapp").otherwise(F.col("source_type"))
-    return docs.select("file_id", kind.alias("source_type"), text.alias("content")).filter("content <> ''").orderBy("file_id")
+    others = others.select("file_id", kind.alias("source_type"), text.alias("content")).filter("content <> ''")
+    return others.unionByName(found).orderBy("file_id")
+
+
+def outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """file_id and reason (null if read) of every file under path and of every member of an archive."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    refused = raw.select(F.col("path").alias("file_id"), reject_reason(F.col("path"), F.col("length")).alias("reason")).filter("reason IS NOT NULL")
+    read = unpacked(spark, path).select("file_id", F.when(F.col("source_type") == "rejected", F.col("content")).alias("reason"))
+    return refused.unionByName(read)
+
+
+#: Archives within archives that are opened.
+NESTED = 8
 
 
 def expanded(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str, str]]:
-    """The documents of a file: archives recursively, names joined by two colons."""
+    """The documents of a file: archives recursively, names joined by two colons. What cannot be read is (name, rejected, why): damaged,
+    nested (archives deeper than NESTED), size (a member too large) or unsupported; other members of its archive are read."""
+    try:
+        yield from _expanded(name, data, depth)
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, NotImplementedError, RuntimeError, EOFError, ValueError, zlib.error):
+        yield name, "rejected", "damaged"
+
+
+def _expanded(name: str, data: bytes, depth: int) -> Iterator[tuple[str, str, str]]:
     ext = re.search(r"(\.[^./]+)?$", name)[0].lower()
-    if ext == ".zip" and depth < 8:
+    if ext == ".zip" and depth >= NESTED:
+        yield name, "rejected", "nested"
+    elif ext == ".zip":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in sorted(z.infolist(), key=lambda i: i.filename):
                 base = info.filename.rsplit("/", 1)[-1]
-                if not info.is_dir() and not base.startswith("._") and "__MACOSX" not in info.filename and info.file_size <= vocab.MAX_FILE_BYTES:
-                    yield from expanded(f"{name}::{info.filename}", z.read(info), depth + 1)
+                if info.is_dir() or base.startswith("._") or "__MACOSX" in info.filename:
+                    continue
+                own = f"{name}::{info.filename}"
+                if info.file_size > vocab.MAX_FILE_BYTES:
+                    yield own, "rejected", "size"
+                    continue
+                try:
+                    member = z.read(info)
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, zlib.error):
+                    yield own, "rejected", "damaged"
+                    continue
+                yield from expanded(own, member, depth + 1)
     elif ext == ".docx":
         yield name, "docx", docx_text(data)
     elif ext in vocab.IMAGE_SUFFIXES:
@@ -81,6 +127,8 @@ def expanded(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str,
         yield name, kind, data.decode("utf-8", "replace")
     elif ext == ".pdf":
         yield name, "pdf", pdf_text(data)
+    else:
+        yield name, "rejected", "unsupported"
 
 
 def docx_text(data: bytes) -> str:
@@ -97,8 +145,6 @@ def pdf_text(data: bytes) -> str:
     try:
         from pypdf import PdfReader
     except ImportError:
-        import zlib
-
         pages = []
         for stream in re.findall(rb"stream\r?\n(.*?)endstream", data, re.S):
             for body in (stream, None):

@@ -56,7 +56,7 @@ def test_one_edit(spark, a, b, want):
 
 
 def test_names_overlap(spark):
-    pairs = [("sir william penn", "w penn", True), ("mom", "jane doe", True), ("duke", "lord", False), ("robert baker", "sandwich", False), ("king", "king charles ii", True), ("the king", "the queen", False), ("king", "the king", True), ("snow", "jane doe", False), ("bruncker", "brunker", True)]
+    pairs = [("sir thomas hale", "t hale", True), ("mom", "anna lee", True), ("duke", "lord", False), ("martin cook", "bristol", False), ("king", "king harold iii", True), ("the king", "the queen", False), ("king", "the king", True), ("snow", "anna lee", False), ("hendricks", "hendriks", True)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert all(r.got == r.want for r in df.select(E.names_overlap(F.col("a"), F.col("b")).alias("got"), "want").collect())
 
@@ -244,3 +244,27 @@ def test_numbers_and_durations(spark):
     assert shown == ["—", "5ms", "1.5s", "1m 1s", "1h 1m 1s"]
     shown = [r.d for r in spark.createDataFrame([(None,), (1234.0,), (1234.5,)], "n double").select(display.grouped_number(F.col("n")).alias("d")).collect()]
     assert shown == ["—", "1,234", "1,234.50"]
+
+
+def test_outcomes_of_odd_files(spark, tmp_path):
+    def packed(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    deep = packed({"last.txt": "never"})
+    for k in range(9):
+        deep = packed({f"{k}.zip": deep})
+    (tmp_path / "bad.zip").write_bytes(b"PK no archive")
+    (tmp_path / "bad.docx").write_bytes(b"no document")
+    (tmp_path / "deep.zip").write_bytes(deep)
+    (tmp_path / "mixed.zip").write_bytes(packed({"a.txt": "kept", "b.docx": b"broken", "c.exe": b"x"}))
+    (tmp_path / "talk.jsonl").write_text('{"type": "user", "sessionId": "s", "message": {"content": "typed"}}\n')
+    (tmp_path / "plain.json").write_text('{"k": 1}')
+    got = {r.file_id.rsplit("/", 1)[-1]: r.reason for r in files.outcomes(spark, str(tmp_path)).collect()}
+    assert got["bad.zip"] == got["bad.docx"] == "damaged" and got["mixed.zip::a.txt"] is None and got["mixed.zip::b.docx"] == "damaged" and got["mixed.zip::c.exe"] == "unsupported"
+    assert [v for k, v in got.items() if k.startswith("deep.zip")] == ["nested"]
+    read = {r.file_id.rsplit("/", 1)[-1]: (r.source_type, r.content) for r in files.read_text(spark, str(tmp_path)).collect()}
+    assert read == {"mixed.zip::a.txt": ("text", "kept"), "talk.jsonl": ("code_session", "# typed\n\ntyped"), "plain.json": ("json", '{"k": 1}')}
