@@ -129,8 +129,11 @@ def salience_order(kind: Column, index: Column, mentions: Column, date: Column,
 
 
 def run(call: ToolCall, records: DataFrame, edges: DataFrame, floor: float = vocab.JUNK_DISTANCE) -> DataFrame:
-    """One job for all lookups of a call: kind, record_id, distance, is_query, best first."""
+    """One job for all lookups of a call: kind, record_id, distance, is_query, best first. What filters alone find comes by salience, of
+    which position, mention_count and file_date are read where records have them."""
     spark = records.sparkSession
+    null = lambda name, kind: F.col(name) if name in records.columns else F.lit(None).cast(kind)
+    order = salience_order(F.col("kind"), null("position", "long"), null("mention_count", "long"), null("file_date", "string"), F.col("record_id"))
     found = None
     for n, lookup in enumerate(call.lookups):
         near = None
@@ -141,7 +144,7 @@ def run(call: ToolCall, records: DataFrame, edges: DataFrame, floor: float = voc
             query = F.array(*[F.lit(float(x)) for x in lookup.query])
             hits = nearest(rows.filter(~degenerate(query)), query, lookup.count, floor=floor)
         else:
-            hits = rows.orderBy("rowid").limit(lookup.count).withColumn("distance", F.lit(None).cast("double"))
+            hits = rows.orderBy(*order).limit(lookup.count).withColumn("distance", F.lit(None).cast("double"))
         hits = hits.select("kind", "record_id", "distance", F.lit(bool(lookup.query)).alias("is_query"), F.lit(n).alias("lookup"))
         hits = without_ties(hits) if lookup.query else hits
         found = hits if found is None else found.unionByName(hits)

@@ -151,3 +151,24 @@ def cite_refs(spark, d):
     refs = F.transform(F.regexp_extract_all(answer, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("bigint"))
     rows = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(refs)).alias("ref"))
     return rows.filter("ref BETWEEN 1 AND 50")
+
+
+@query(
+    "search_run",
+    """WITH r AS (SELECT CASE label % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'chunk' ELSE 'entity' END AS kind, CAST(vec_id AS VARCHAR) AS record_id, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1),
+    d AS (SELECT kind, record_id, vec_id, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS distance FROM r, q WHERE kind IN ('fact', 'chunk')),
+    n AS (SELECT kind, record_id, distance, true AS is_query FROM d WHERE distance <= 0.5 ORDER BY distance, vec_id LIMIT 5),
+    f AS (SELECT kind, record_id, NULL::DOUBLE AS distance, false AS is_query FROM r WHERE label IN (1, 2) ORDER BY CASE kind WHEN 'entity' THEN 3 WHEN 'fact' THEN 4 ELSE 6 END, label DESC, record_id LIMIT 20)
+    SELECT kind, record_id, round(min(distance), 6) + 0.0 AS distance, bool_or(is_query) AS is_query FROM (SELECT * FROM n UNION ALL SELECT * FROM f) GROUP BY 1, 2""",
+)
+def search_run(spark, d):
+    """A nearest-neighbour lookup among two kinds and a lookup by text alone, in one job."""
+    e = table(spark, d, "embeddings")
+    kind = F.element_at(F.array(*map(F.lit, ("fact", "chunk", "entity"))), F.col("label") % 3 + 1)
+    records = e.select(kind.alias("kind"), F.col("vec_id").cast("string").alias("record_id"), F.col("vec_id").alias("rowid"), F.concat(F.lit("label "), "label").alias("text"), F.lit("f").alias("file_id"), F.col("label").cast("long").alias("mention_count"), "embedding")
+    first = e.orderBy("vec_id").select("embedding").head()  # the vector of the question
+    call = search.ToolCall((search.Lookup(tuple(first[0]) if first else None, ("fact", "chunk"), count=5), search.Lookup(exact_match=("label 1", "label 2"), count=20)))
+    edges = spark.createDataFrame([], "src_kind string, src_id string, dst_kind string, dst_id string, edge_kind string")
+    found = search.run(call, records.withColumn("label", F.col("mention_count")), edges)
+    return found.select("kind", "record_id", (F.round("distance", 6) + 0.0).alias("distance"), "is_query")

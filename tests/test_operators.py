@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.functions import scalar as S
-from docgraph.operators import batches, display, facts, graph, knowledge, markers, model, search, split, telemetry
+from docgraph.operators import batches, display, facts, graph, knowledge, markers, model, phase, search, split, telemetry, turn
 from docgraph.operators import entities as E
 from docgraph.sources import chats, exports, files, jsonl, store
+from docgraph.streaming import events
 
 
 def test_greedy_bounds_prefer_paragraphs():
@@ -268,3 +269,43 @@ def test_outcomes_of_odd_files(spark, tmp_path):
     assert [v for k, v in got.items() if k.startswith("deep.zip")] == ["nested"]
     read = {r.file_id.rsplit("/", 1)[-1]: (r.source_type, r.content) for r in files.read_text(spark, str(tmp_path)).collect()}
     assert read == {"mixed.zip::a.txt": ("text", "kept"), "talk.jsonl": ("code_session", "# typed\n\ntyped"), "plain.json": ("json", '{"k": 1}')}
+
+
+def test_chat_turn(spark):
+    records = spark.createDataFrame([("fact", str(i), i, f"text {i}", "f") for i in range(5)], "kind string, record_id string, rowid int, text string, file_id string")
+    edges = spark.createDataFrame([], "src_kind string, src_id string, dst_kind string, dst_id string, edge_kind string")
+    replies = iter([{"lookups": [{"exact_match": ["text 1"]}]}, "{ no json", {"lookups": [{"exact_match": ["text 1", "text 3"]}]}, "done"])
+    turn_ = turn.run("what?", records, edges, lambda *_: next(replies))
+    assert (turn_.answer, turn_.hops, turn_.retrieved, turn_.notes) == ("done", 2, [("fact", "1"), ("fact", "3")], [turn.MALFORMED])
+    asked = []
+    stuck = turn.run("what?", records, edges, lambda q, r, n, final: asked.append(final) or ("forced" if final else "{"))
+    assert stuck.answer == "forced" and asked == [False, False, True] and turn.run(" ", records, edges, None).answer == ""
+
+
+def test_job_of_phases(spark):
+    class Counts:
+        name = "counts"
+
+        def build_calls(self, tables):
+            return tables["docs"].select(F.col("id").alias("call_id"), F.col("text").alias("prompt"))
+
+        def parse(self, replies):
+            return replies.select("root_id", "status", F.length("payload").alias("n"))
+
+        def reduce(self, rows, tables):
+            return {self.name: rows}
+
+    docs = spark.createDataFrame([("a", "one"), ("b", "two")], "id string, text string")
+    out = phase.run_job([Counts()], {"docs": docs}, lambda b: [{"payload": p} for p in b["prompt"]])
+    assert {(r.root_id, r.status, r.n) for r in out["counts"].collect()} == {("a", "OK", 3), ("b", "OK", 3)}
+    assert "counts" not in phase.run_job([Counts()], {"docs": docs}, None, done=["counts"])
+
+
+def test_stream_is_persisted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"event_id": k}))
+    schema = spark.createDataFrame([], "event_id long").schema
+    for _ in range(2):  # a restart adds nothing
+        events.persisted(events.event_files(spark, str(tmp_path / "in"), schema, per_trigger=1), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
