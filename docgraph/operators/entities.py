@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import vocab
+from ..functions.ordered import in_order
 from ..functions.scalar import tokens_similar
 
 # Words that say nothing about who is meant; those of them that say nothing at all; words for relations.
@@ -28,7 +29,7 @@ def grouped(mentions: DataFrame, norm: str, kind: str, name: str, fact: str, top
 
 
 def numbered(groups: DataFrame, order: list) -> DataFrame:
-    return groups.withColumn("gid", F.concat(F.lit("g"), F.row_number().over(Window.orderBy(*order)).cast("string")))
+    return in_order(groups, order, "_place").withColumn("gid", F.concat(F.lit("g"), F.col("_place").cast("string"))).drop("_place")
 
 
 def comentions(mentions: DataFrame, entity: str, fact: str) -> DataFrame:
@@ -88,4 +89,4 @@ def winning_relations(relations: DataFrame) -> DataFrame:
 
 def subject(persons: DataFrame) -> DataFrame:
     """The person most likely the subject; without any likelihood the one mentioned most."""
-    return persons.withColumn("_any", F.max("likelihood").over(Window.partitionBy()) > 0).orderBy(F.desc(F.when(F.col("_any"), F.col("likelihood")).otherwise(F.lit(0.0))), F.desc("mention_count"), "canonical_name").limit(1).drop("_any")
+    return persons.withColumn("_any", persons.agg((F.max("likelihood") > 0).alias("a")).scalar()).orderBy(F.desc(F.when(F.col("_any"), F.col("likelihood")).otherwise(F.lit(0.0))), F.desc("mention_count"), "canonical_name").limit(1).drop("_any")

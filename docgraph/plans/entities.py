@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..functions.ordered import in_order
 from ..operators import entities as E
 from ..operators import graph
 from ..operators.facts import folded_name
@@ -168,6 +169,7 @@ def ent_topic_context(spark, d):
     "WITH r AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rn, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, CASE WHEN rn <= n // 4 THEN s_name || ' (full)' ELSE s_name END AS line FROM r",
 )
 def ent_dedupe_rows(spark, d):
-    rn = F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey"))
-    rows = table(spark, d, "supplier").withColumn("rn", rn).withColumn("n", F.count("*").over(Window.partitionBy()))
+    suppliers = table(spark, d, "supplier")
+    n = suppliers.agg(F.count("*").alias("n")).scalar()
+    rows = in_order(suppliers, [F.desc("s_acctbal"), F.asc("s_suppkey")], "rn").withColumn("n", n)
     return rows.select("s_suppkey", F.when(F.col("rn") <= F.floor(F.col("n") / 4), F.concat("s_name", F.lit(" (full)"))).otherwise(F.col("s_name")).alias("line"))

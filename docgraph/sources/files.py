@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import vocab
+from ..functions.ordered import in_order
 from . import exports
 
 # Names that systems leave in folders.
@@ -171,8 +172,8 @@ def upserted(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     o = old.select("file_path", F.col("content_hash").alias("_old"), "added_at", F.col("position").alias("_pos"))
     both = o.join(new.select("file_path", F.col("content_hash").alias("_new")), "file_path", "full_outer")
     last = old.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("m"))
-    fresh = Window.partitionBy(F.col("_pos").isNull()).orderBy("file_path")
-    both = both.withColumn("_m", last.scalar()).withColumn("_rn", F.row_number().over(fresh))
+    seen = both.filter("_pos IS NOT NULL").withColumn("_rn", F.lit(None).cast("long"))
+    both = seen.unionByName(in_order(both.filter("_pos IS NULL"), ["file_path"], "_rn")).withColumn("_m", last.scalar())
     position = F.coalesce("_pos", (F.col("_m") + F.col("_rn")).cast("long"))
     return both.select("file_path", F.coalesce("_new", "_old").alias("content_hash"), F.coalesce("added_at", now).alias("added_at"), position.alias("position"))
 

@@ -309,3 +309,9 @@ def test_stream_is_persisted(spark, tmp_path):
     for _ in range(2):  # a restart adds nothing
         events.persisted(events.event_files(spark, str(tmp_path / "in"), schema, per_trigger=1), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_numbers_in_order(spark):
+    rows = spark.range(200).select((F.col("id") * 37 % 200).alias("k")).repartition(5)
+    got = E.numbered(rows, [F.desc("k")]).collect()
+    assert {r.k: r.gid for r in got} == {k: f"g{200 - k}" for k in range(200)} and E.numbered(rows.limit(0), ["k"]).count() == 0
