@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extraction, language_id, licenses, media, mixing, ngram_join, packing, sharding, token_files
+from . import collocations, fingerprints, html_extraction, interaction, language_id, licenses, media, mixing, ngram_join, oracle, packing, quality, sharding, token_files
 from .common import stored, table
 
 
@@ -67,6 +67,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text_sha256", "license_id", F.array_join("notices", " ").alias("notices"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, policy = quality.ledger(table(spark, sf_dir, "documents")), quality.PRODUCTION
+    base = quality.Policy("base", 1, quality.BASE)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails(base).alias("base_failed"), (~quality.fails(policy)).alias("kept"), "failed")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(interaction.marks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -78,6 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_media": op9_media,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": oracle.COLLOCATIONS,
+    "op12_quality_rules": oracle.QUALITY_RULES,
+    "op13_filter_audit": oracle.FILTER_AUDIT,
+}

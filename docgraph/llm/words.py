@@ -18,13 +18,14 @@ def _tables() -> tuple:
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
     value = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+    exact = value.copy()
     value[65:91] = value[97:123]  # A-Z as a-z
     base = U(0x9E3779B97F4A7C15)
     inverse = U(pow(int(base), -1, 1 << 64))
     n = SLICE + (1 << 16)
     up, down = np.full(n, base), np.full(n, inverse)
     up[0] = down[0] = 1
-    return space, value, np.cumprod(up), np.cumprod(down)
+    return space, value, np.cumprod(up), np.cumprod(down), exact
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,11 +49,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (maximal runs of other bytes than 0x20 and 0x09-0x0D, A-Z lower-cased), and len + 1 offsets by text."""
-    space, value, up, down = _tables()
-    n = len(data)
-    gap = space[data]
+def spans(gap: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs without a gap inside each text; gap says which bytes are one."""
+    n = len(gap)
     first, last = np.empty(n, bool), np.empty(n, bool)
     if n:
         first[0] = last[-1] = True
@@ -60,7 +59,13 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         edges = offs[(offs > 0) & (offs < n)]
         first[edges] = True
         last[edges - 1] = True
-    begin, end = np.flatnonzero(first & ~gap), np.flatnonzero(last & ~gap) + 1
+    return np.flatnonzero(first & ~gap), np.flatnonzero(last & ~gap) + 1
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Hashes of the spans of data, that come in order and do not overlap; A-Z count as a-z unless exact."""
+    _, folded, up, down, cased = _tables()
+    value = cased if exact else folded
     out = np.empty(len(begin), np.uint64)
     i = 0
     while i < len(begin):
@@ -70,14 +75,20 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
             sums = np.zeros(to - at + 1, np.uint64)
             np.cumsum(value[data[at:to]] * up[: to - at], out=sums[1:])
             out[i:j] = (sums[end[i:j] - at] - sums[begin[i:j] - at]) * down[begin[i:j] - at] + (end[i:j] - begin[i:j]).astype(np.uint64)
-        else:  # one word longer than a slice
+        else:  # one span longer than a slice
             h = 0
             for k in range(at, to, SLICE):
                 part = value[data[k : min(to, k + SLICE)]]
                 h = (h * 0x100000001B3 + int((part * up[: len(part)]).sum(dtype=np.uint64))) % (1 << 64)
             out[i] = h
         i = j
-    return mixed(out), np.searchsorted(begin, offs)
+    return mixed(out)
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (maximal runs of other bytes than 0x20 and 0x09-0x0D, A-Z lower-cased), and len + 1 offsets by text."""
+    begin, end = spans(_tables()[0][data], offs)
+    return span_hashes(data, begin, end), np.searchsorted(begin, offs)
 
 
 def shingle_hashes(words: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
