@@ -30,8 +30,8 @@ from .words import mixed, span_hashes, spans, text_bytes
 
 #: The language of rows without one.
 UNKNOWN = "und"
-#: Words that one trie holds, and keys that are counted before they are handed on.
-SHARD, KEYS = 1 << 22, 1 << 22
+#: Words that one trie holds, keys that are counted before they are handed on, and rows of a batch that a worker gives back.
+SHARD, KEYS, BATCH = 1 << 20, 1 << 21, 1 << 15
 #: Bits of the bitmap: 16 for each frequent word and pair, between these bounds.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 
@@ -69,6 +69,10 @@ class Words:
         return bytes(self.data[self.begin[i] : self.end[i]]).decode("utf-8", "replace")
 
 
+def _sliced(rows: pa.RecordBatch):
+    return (rows.slice(at, BATCH) for at in range(0, rows.num_rows, BATCH))
+
+
 def _lower(text: str) -> str:
     return text.translate({c: c + 32 for c in range(65, 91)})
 
@@ -89,10 +93,10 @@ def frequent_bitmap(docs: DataFrame, least: int) -> bytes:
                 held.append(keys)
                 n += len(keys)
             if n >= KEYS:
-                yield counts()
+                yield from _sliced(counts())
                 held, n = [], 0
         if n:
-            yield counts()
+            yield from _sliced(counts())
 
     keys = arrow_map(docs, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
     keys = stored(keys, "collocation-keys")
@@ -184,8 +188,8 @@ def tries(docs: DataFrame, bitmap: bytes, depth: int) -> DataFrame:
             two[:-1] &= known(w.two) & one[1:]
             trie.add(w, one, two & one)
             if trie.n >= SHARD:
-                yield trie.rows()
-        yield trie.rows()
+                yield from _sliced(trie.rows())
+        yield from _sliced(trie.rows())
 
     return arrow_map(docs, run, "node string, n long")
 
