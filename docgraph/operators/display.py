@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import truncated
+from .graph import located
 
 # Labels of record kinds, patterns of what models say before a description, the most runs a list shows.
 KIND_LABELS = {"chunk": "document section", "fact": "fact", "entity": "entity", "pattern": "pattern", "insight": "insight", "action": "action", "document": "document"}
@@ -143,7 +146,24 @@ def run_list(runs: DataFrame, name: str, created: str, insights: str, recent: in
 
 def found_in(docs: DataFrame, doc: str, text: str, needle: str, most: int = 5000) -> DataFrame:
     """doc and the begin of each match of a literal in its text, the first `most` of a text (as many as a reader steps through)."""
-    parts = F.split(F.col(text), f"\\Q{needle}\\E")
+    parts = F.split(F.col(text), re.escape(needle))
     rows = docs.select(doc, F.posexplode(F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(most)))).alias("nth", "part"))
     before = Window.partitionBy(doc).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(doc, "nth", (F.sum(F.length("part")).over(before) + F.col("nth") * len(needle)).alias("begin"))
+
+
+def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, segment, seg_begin, seg_end) of a text's lines: segments that follow each other without gaps; a line ends after its feed."""
+    parts = docs.select(doc, F.posexplode(F.split(F.col(text), "\n")).alias("segment", "part"), F.length(text).alias("_n"))
+    before = Window.partitionBy(doc).orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.withColumn("_to", F.sum(F.length("part") + 1).over(before))
+    return rows.select(doc, "segment", (F.col("_to") - F.length("part") - 1).alias("seg_begin"), F.least("_to", F.col("_n").cast("long")).alias("seg_end")).filter("seg_end > seg_begin")
+
+
+def found_in_segments(docs: DataFrame, segments: DataFrame, doc: str, text: str, needle: str, most: int = 5000) -> DataFrame:
+    """found_in() with the segments (doc, segment, seg_begin, seg_end) that hold the first and the last character of each match."""
+    hits = found_in(docs, doc, text, needle, most)
+    ends = hits.withColumn("_ends", F.array(F.struct(F.lit(0).alias("which"), F.col("begin").alias("at")), F.struct(F.lit(1).alias("which"), (F.col("begin") + len(needle) - 1).alias("at"))))
+    placed = located(ends.select(doc, "nth", "begin", F.explode("_ends").alias("e")).select(doc, "nth", "begin", "e.which", "e.at"), segments, doc, "at", "seg_begin", "seg_end")
+    of = lambda which: F.max(F.when(F.col("which") == which, F.col("segment")))
+    return placed.groupBy(doc, "nth", "begin").agg(of(0).alias("segment"), of(1).alias("last_segment"))

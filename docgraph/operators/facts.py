@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,52 +52,130 @@ def large_topics(df: DataFrame, topic: list[str], least: int) -> DataFrame:
     return df.groupBy(*topic).agg(F.count("*").alias("facts")).filter(F.col("facts") >= least)
 
 
-_QUOTES = str.maketrans("‘’‚‛“”„‟–—", "''''\"\"\"\"--")
+# What quotes are made alike, and the bounds of an approximate match.
+_QUOTES = str.maketrans("\u2018\u2019\u201c\u201d", "''\"\"")
+PREFIX_CHARS, LEAST_MATCH, LEAST_SHARE, APPROXIMATE_CHARS = 40, 12, 4, 200
 
+#: Pairs of like places that are followed along their diagonals; texts with more, that repeat themselves, are compared row by row.
+SEED_PAIRS = 1 << 22
 
-def _squeezed(text: str) -> tuple[str, list[int]]:
-    """The text with plain quotes and single blanks, and for each of its characters the place in the original."""
-    out, at, blank = [], [], True
-    for i, c in enumerate(text.translate(_QUOTES)):
-        if c.isspace():
-            if not blank:
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Source:
+    """A text that quotes are looked up in; what is derived from it is derived once."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def squeezed(self) -> tuple[str, list[int]]:
+        """The text with plain quotes and single blanks, and for each of its characters the place in the original."""
+        out, at, blank = [], [], True
+        for i, c in enumerate(self.text.translate(_QUOTES)):
+            if not c.isspace():
+                out.append(c), at.append(i)
+            elif not blank:
                 out.append(" "), at.append(i)
-            blank = True
-        else:
-            out.append(c), at.append(i)
-            blank = False
-    return "".join(out), at
+            blank = c.isspace()
+        return "".join(out), at
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return _codes(self.text)
+
+    @cached_property
+    def seeds(self) -> np.ndarray:
+        return _seeds(self.codes)
 
 
-def resolve(text: str, quote: str) -> tuple[int, int, bool] | None:
-    """(start, end, approximate) of a quote: exact, then with white space and quotes made alike, then by its first 40
+def _seeds(codes: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of LEAST_MATCH characters."""
+    n = len(codes) - LEAST_MATCH + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for k, f in enumerate(np.random.default_rng(7).integers(0, 1 << 63, LEAST_MATCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)):
+        out += codes[k : k + len(out)] * f
+    return out
+
+
+def longest_match(source: Source, quote: str) -> tuple[int, int] | None:
+    """(place, size) of the longest run of LEAST_MATCH characters or more that the quote shares with the text: of equal ones the first in the text. Runs
+    begin where both have a like seed; seeds of one diagonal that follow each other are one run, so the time is that of the text's length."""
+    codes, own = source.codes, _codes(quote)
+    mine = _seeds(own)
+    if not len(mine) or not len(source.seeds):
+        return None
+    order = np.argsort(mine, kind="stable")
+    ranked = mine[order]
+    first, last = np.searchsorted(ranked, source.seeds), np.searchsorted(ranked, source.seeds, "right")
+    n = last - first
+    total = int(n.sum())
+    if not total:
+        return None
+    if total <= SEED_PAIRS:
+        at = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        there = order[np.repeat(first, n) + inside]
+        by = np.lexsort((at, at - there))
+        at, there = at[by], there[by]
+        starts = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(at - there) != 0)))
+        sizes = np.diff(np.append(starts, total)) + LEAST_MATCH - 1
+        best = min(zip((-sizes).tolist(), at[starts].tolist(), there[starts].tolist(), strict=True))
+        size, a, b = -best[0], best[1], best[2]
+        if np.array_equal(codes[a : a + size], own[b : b + size]):
+            return a, size
+    run, best = np.zeros(len(codes) + 1, np.int64), (0, 0)
+    for c in own.tolist():
+        run[1:] = np.where(codes == c, run[:-1] + 1, 0)
+        size = int(run.max())
+        best = min(best, (-size, int(run.argmax()) - size)) if size else best
+    return (best[1], -best[0]) if -best[0] >= LEAST_MATCH else None
+
+
+def resolve(source: Source, quote: str) -> tuple[int, int, bool] | None:
+    """(start, end, approximate) of a quote: exact, then with white space and quotes made alike, then by its first PREFIX_CHARS
     characters, then by its longest match of a quarter of it or more."""
-    if not quote.strip():
+    text = source.text
+    if not quote:
         return None
     if (i := text.find(quote)) >= 0:
         return i, i + len(quote), False
-    squeezed, at = _squeezed(text)
-    q = _squeezed(quote)[0].strip()
-    if q and (i := squeezed.find(q)) >= 0:
+    q = " ".join(quote.translate(_QUOTES).split())
+    if not q:
+        return None
+    squeezed, at = source.squeezed
+    if (i := squeezed.find(q)) >= 0:
         return at[i], at[i + len(q) - 1] + 1, False
-    if len(q) > 40 and (i := squeezed.find(q[:40])) >= 0:
-        return at[i], min(len(text), at[i] + len(quote)), True
-    m = difflib.SequenceMatcher(None, text, quote, autojunk=False).find_longest_match()
-    if m.size >= max(12, len(quote) // 4):
-        return m.a, min(len(text), m.a + max(m.size, min(len(quote), 200))), True
+    if (head := quote[:PREFIX_CHARS].strip()) and (i := text.find(head)) >= 0:
+        return i, min(len(text), i + len(quote)), False
+    found = longest_match(source, quote)
+    if found and found[1] >= max(LEAST_MATCH, len(quote) // LEAST_SHARE):
+        return found[0], min(len(text), found[0] + max(found[1], min(len(quote), APPROXIMATE_CHARS))), True
     return None
 
 
 def resolved_spans(df: DataFrame) -> DataFrame:
-    """doc_id, start_char, end_char, approximate of each quote in its text; nulls where there is none."""
+    """doc_id, quote, start_char, end_char, approximate of each quote in its text; nulls where there is none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source = Source("")
         for b in batches:
-            found = [resolve(t or "", q or "") or (None, None, None) for t, q in zip(b["text"], b["quote"], strict=True)]
+            found = []
+            for t, q in zip(b["text"], b["quote"], strict=True):
+                if source.text != (t or ""):  # quotes of one text come one after another
+                    source = Source(t or "")
+                found.append(resolve(source, q or "") or (None, None, None))
             out = pd.DataFrame(found, columns=["start_char", "end_char", "approximate"], dtype=object)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()}).join(out)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "quote": b["quote"].to_numpy()}).join(out)
+
+    return df.select("doc_id", "text", "quote").mapInPandas(run, "doc_id long, quote string, start_char long, end_char long, approximate boolean")
+
 
-    return df.select("doc_id", "text", "quote").mapInPandas(run, "doc_id long, start_char long, end_char long, approximate boolean")
+def quoted_spans(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """resolved_spans() of quotes (doc_id, quote) in docs (doc_id, text)."""
+    return resolved_spans(quotes.join(docs, "doc_id").select("doc_id", "text", "quote"))
 
 
 def balanced(text: str) -> str | None:

@@ -54,10 +54,41 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"not settled after {rounds} rounds")
 
 
-def contained(points: DataFrame, spans: DataFrame, file: str, at: str, begin: str, end: str, width: int) -> DataFrame:
-    """Points within spans (begin <= at < end) of one file, as an equi-join: spans no longer than a few widths reach few bins."""
-    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor((F.col(end) - 1) / width))))
-    return points.withColumn("_bin", F.floor(F.col(at) / width)).join(binned, [file, "_bin"]).filter((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("_bin")
+def contained(points: DataFrame, spans: DataFrame, file: str, at: str, begin: str, end: str) -> DataFrame:
+    """Points within spans (begin <= at < end) of one file, as an equi-join, whatever the spans' lengths: a span lies in bins as wide as its length,
+    rounded up to a power of two, of which it meets two at most; a point looks into the one bin of each width that spans have."""
+    width = F.greatest(F.lit(0), F.ceil(F.log2(F.col(end) - F.col(begin)))).cast("int")
+    spans = spans.filter(F.col(end) > F.col(begin)).withColumn("_width", width)
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.expr(f"shiftright(CAST({begin} AS BIGINT), _width)"), F.expr(f"shiftright(CAST({end} - 1 AS BIGINT), _width)"))))
+    widths = spans.agg(F.sort_array(F.collect_set("_width")).alias("w"))  # 63 at most
+    points = points.withColumn("_width", F.explode(widths.scalar())).withColumn("_bin", F.expr(f"shiftright(CAST({at} AS BIGINT), _width)"))
+    return points.join(spans, [file, "_width", "_bin"]).filter((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("_bin", "_width")
+
+
+def located(points: DataFrame, segments: DataFrame, file: str, at: str, begin: str, end: str) -> DataFrame:
+    """points with the columns of the segment of their file that they lie in (begin <= at < end), null where they lie in none. Segments of a file do not
+    overlap, gaps are allowed. An as-of join: both sides are put in order of place together, and each point takes the last segment before it. The order is dealt
+    by ranges, not by file, so that a file of any size is spread; what a range takes over from those before it is one row a range."""
+    own = [c for c in segments.columns if c != file]
+    rows = points.select(F.struct(*points.columns).alias("_p"), F.col(file).alias("_f"), F.col(at).cast("long").alias("_at"), F.lit(None).cast(segments.select(F.struct(*own)).schema[0].dataType).alias("_s"), F.lit(1).alias("_kind"))
+    opened = segments.select(F.lit(None).cast(rows.schema["_p"].dataType).alias("_p"), F.col(file).alias("_f"), F.col(begin).cast("long").alias("_at"), F.struct(*own).alias("_s"), F.lit(0).alias("_kind"))
+    order = ["_f", "_at", "_kind"]
+    both = checkpointed(rows.unionByName(opened).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    named = F.when(F.col("_kind") == 0, F.struct("_f", "_s"))
+    last = both.groupBy("_range").agg(F.max_by(named, F.when(F.col("_kind") == 0, F.struct(*order))).alias("_last"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_carried"))  # as many rows as ranges
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_here", F.last(named, ignorenulls=True).over(inside)).filter("_kind = 1").join(F.broadcast(carried), "_range")
+    found = found.withColumn("_got", F.coalesce("_here", "_carried"))
+    holds = (F.col("_got._f") == F.col("_f")) & (F.col("_at") < F.col(f"_got._s.{end}"))
+    return found.select("_p.*", *[F.when(holds, F.col(f"_got._s.{c}")).alias(c) for c in own])
+
+
+def document_sections(chunks: DataFrame, file: str, path: str, at: str) -> DataFrame:
+    """(file, path, place) of the distinct paths of a file's chunks, numbered in the order in which they are first seen; empty paths are none."""
+    firsts = chunks.filter(F.size(path) > 0).groupBy(file, path).agg(F.min(at).alias("_first"))
+    return firsts.select(file, path, (F.row_number().over(Window.partitionBy(file).orderBy("_first", path)) - 1).alias("place"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, item: str) -> DataFrame:

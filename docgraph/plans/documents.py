@@ -182,7 +182,17 @@ def fact_first_person(spark, d):
 @query("fact_spans")
 def fact_spans(spark, d):
     quote = F.substring("text", 11, 60)
-    return facts.resolved_spans(table(spark, d, "documents").select("doc_id", "text", quote.alias("quote")))
+    return facts.resolved_spans(table(spark, d, "documents").select("doc_id", "text", quote.alias("quote"))).drop("quote")
+
+
+@query("fact_edited_spans")
+def fact_edited_spans(spark, d):
+    """Quotes as models give them, by doc_id: exact, with other white space, with another end, of a middle alone, and of nothing there."""
+    part = lambda a, n: F.substring("text", a, n)
+    edits = (part(21, 80), F.regexp_replace(part(31, 90), " ", "\n  "), F.concat(part(11, 50), F.lit(" and so on, as they say")), F.concat(F.lit("zzz qqq "), part(41, 60), F.lit(" qqq")), F.lit("0000 no such words 0000"))
+    kind = F.pmod("doc_id", F.lit(len(edits))).cast("int")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return facts.quoted_spans(docs, docs.select("doc_id", F.element_at(F.array(*edits), kind + 1).alias("quote")))
 
 
 @query("fact_salvaged_json")

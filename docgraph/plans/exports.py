@@ -15,30 +15,54 @@ ANCHOR = "rtrim(substr(trim(split_part({}, chr(10), 1)), 1, 80), '.')"
 @query(
     "src_chat_dispatch",
     f"""WITH t AS (SELECT conv_id, turn, role, {STRIP.format('text')} AS t FROM conversations),
-    u AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS body, arg_min(t, turn) AS first, count(*) AS typed FROM t WHERE role = 'user' AND t <> '' GROUP BY 1),
-    s AS (SELECT conv_id, {ANCHOR.format('first')} AS head, body, typed FROM u WHERE conv_id % 3 <> 2),
-    p AS (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id % 3 = 2 GROUP BY 1)
-    SELECT 'f' || conv_id || '.jsonl' AS doc_id, CASE conv_id % 3 WHEN 0 THEN 'code_session' ELSE 'codex_session' END AS source_type, head AS title, '2024-03-05' AS date,
+    h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, CAST(TIMESTAMP '2024-03-05 10:00:00' + INTERVAL 20 DAY * turn AS DATE) AS day, 2022 + turn % 3 AS year FROM t WHERE role = 'user' AND t <> ''),
+    u AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS body, arg_min(t, turn) AS first, count(*) AS typed FROM h GROUP BY 1),
+    s AS (SELECT conv_id, {ANCHOR.format('first')} AS head, body, typed FROM u WHERE conv_id % 8 < 2),
+    p AS (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id % 8 = 2 GROUP BY 1),
+    m AS (SELECT conv_id, strftime(day, '%Y-%m') AS month, min(day) AS day, count(*) AS typed, string_agg('[/p' || turn % 2 || '] ' || t, chr(10) || chr(10) ORDER BY turn) AS code,
+      string_agg('[session ' || substr('session-' || conv_id, 1, 8) || '] ' || t, chr(10) || chr(10) ORDER BY turn) AS codex FROM h WHERE conv_id % 8 IN (3, 4) GROUP BY 1, 2),
+    j AS (SELECT conv_id, turn, year, t, max(year) OVER (PARTITION BY conv_id) AS newest, row_number() OVER (PARTITION BY conv_id, year ORDER BY turn) - 1 AS n FROM h WHERE conv_id % 8 = 5)
+    SELECT 'f' || conv_id || '.jsonl' AS doc_id, CASE conv_id % 8 WHEN 0 THEN 'code_session' ELSE 'codex_session' END AS source_type, head AS title, '2024-03-05' AS date,
       CASE WHEN head <> '' THEN '# ' || head || chr(10) || chr(10) ELSE '' END || 'cwd: /home/u' || chr(10) || chr(10) || body AS content, 's' || conv_id AS session_id, typed FROM s
-    UNION ALL SELECT 'f' || conv_id || '.json', 'web_project', 'Project ' || conv_id, '2024-03-05', '# Project: Project ' || conv_id || chr(10) || chr(10) || 'Custom instructions:' || chr(10) || 'Turns: ' || n, 'u' || conv_id, 0 FROM p""",
+    UNION ALL SELECT 'f' || conv_id || '.json', 'web_project', 'Project ' || conv_id, '2024-03-05', '# Project: Project ' || conv_id || chr(10) || chr(10) || 'Custom instructions:' || chr(10) || 'Turns: ' || n, 'u' || conv_id, 0 FROM p
+    UNION ALL SELECT 'f' || conv_id || '.jsonl::month_' || month, CASE conv_id % 8 WHEN 3 THEN 'code_history' ELSE 'codex_history' END, CASE conv_id % 8 WHEN 3 THEN 'Code' ELSE 'Codex' END || ' prompts ' || month, CAST(day AS VARCHAR),
+      '# ' || CASE conv_id % 8 WHEN 3 THEN 'Code' ELSE 'Codex' END || ' prompts \u2014 ' || month || chr(10) || chr(10) || CASE conv_id % 8 WHEN 3 THEN code ELSE codex END, '', typed FROM m
+    UNION ALL SELECT 'f' || conv_id || CASE WHEN year < newest THEN '-' || year ELSE '' END || '.json::entry_' || lpad(CAST(n AS VARCHAR), 3, '0'), 'journal', 'Journal ' || year || '-05-02', year || '-05-02', t, 'u' || turn, 0 FROM j
+    UNION ALL SELECT 'f' || conv_id || '.json::conv_' || substr(CASE conv_id % 8 WHEN 6 THEN 'uuid-' ELSE 'gpt-' END || conv_id, 1, 8), CASE conv_id % 8 WHEN 6 THEN 'web_conversation' ELSE 'chatgpt_conversation' END,
+      'Talk ' || conv_id, '2024-03-05', '# Talk ' || conv_id || chr(10) || chr(10) || body, CASE conv_id % 8 WHEN 6 THEN 'uuid-' ELSE 'gpt-' END || conv_id, 0 FROM u WHERE conv_id % 8 > 5""",
 )
 def src_chat_dispatch(spark, d):
-    """Conversations written as session files of two shapes and as projects, and read back by the dispatch."""
+    """Conversations written as files of all eight known shapes, by conv_id, and read back by the dispatch."""
     turns = table(spark, d, "conversations")
-    k = F.col("conv_id") % 3
-    stamp = F.format_string("2024-03-05T10:%02d:00Z", F.col("turn"))
-    said = F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))
-    code = F.to_json(F.struct(F.when(F.col("role") == "user", "user").otherwise("assistant").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.lit("/home/u").alias("cwd"), stamp.alias("timestamp"), F.struct(F.col("text").alias("content")).alias("message")))
-    blocks = F.to_json(F.struct(F.when(F.col("role") == "user", "user").otherwise("assistant").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), stamp.alias("timestamp"), said.alias("message")))
-    event = F.to_json(F.struct(stamp.alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.when(F.col("role") == "user", "user_message").otherwise("agent_message").alias("type"), F.col("text").alias("message")).alias("payload")))
-    meta = F.to_json(F.struct(F.lit("2024-03-05T09:00:00Z").alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("s"), "conv_id").alias("id"), F.lit("/home/u").alias("cwd")).alias("payload")))
-    title = F.to_json(F.struct(F.lit("summary").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.lit("/home/u").alias("cwd")))
-    line = F.when(k == 0, F.when(F.col("turn") % 2 == 0, code).otherwise(blocks)).otherwise(event)
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    k, turn, said, user = F.col("conv_id") % 8, F.col("turn"), F.col("text"), F.col("role") == "user"
+    own, typed = F.col("conv_id").cast("string"), F.when(user, "user").otherwise("assistant")
+    stamp, seconds = F.format_string("2024-03-05T10:%02d:00Z", "turn"), F.lit(1709632800) + turn * (20 * 86400)
+    session = (text("s", own).alias("sessionId"), stamp.alias("timestamp"))
+    code = F.struct(typed.alias("type"), *session, F.lit("/home/u").alias("cwd"), F.struct(said.alias("content")).alias("message"))
+    blocks = F.struct(typed.alias("type"), *session, F.struct(F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))).alias("content")).alias("message"))
+    event = F.struct(stamp.alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.when(user, "user_message").otherwise("agent_message").alias("type"), said.alias("message")).alias("payload"))
+    prompt = F.struct(F.when(user, said).otherwise("").alias("display"), text("/p", (turn % 2).cast("string")).alias("project"), (seconds * 1000).alias("timestamp"))
+    typed_in = F.struct(text("session-", own).alias("session_id"), F.when(user, said).otherwise("").alias("text"), seconds.alias("ts"))
+    entry = F.struct(text("u", turn.cast("string")).alias("uuid"), F.when(user, said).otherwise("").alias("text"), text((2022 + turn % 3).cast("string"), "-05-01T23:30:00Z").alias("creationDate"), F.lit("Europe/Berlin").alias("timeZone"))
+    message = F.struct(F.when(user, "human").otherwise("assistant").alias("sender"), said.alias("text"))
+    node = F.struct(F.struct(F.struct(typed.alias("role")).alias("author"), F.struct(F.lit("text").alias("content_type"), F.array(said).alias("parts")).alias("content"), seconds.alias("create_time")).alias("message"))
+    shapes = (code, event, code, prompt, typed_in, entry, message, node)
+    line = F.when((k == 0) & (turn % 2 == 1), F.to_json(blocks))
+    for i, shape in enumerate(shapes):
+        line = line.when(k == i, F.to_json(shape))
     files = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))).alias("x"), F.count("*").alias("n"))
-    lines = F.array_join(F.concat(F.array(F.when(k == 0, title).otherwise(meta), F.lit("no json")), F.transform("x", lambda r: r["l"])), "\n")
-    project = F.to_json(F.struct(F.concat(F.lit("Project "), "conv_id").alias("name"), F.concat(F.lit("u"), "conv_id").alias("uuid"), F.concat(F.lit("Turns: "), "n").alias("prompt_template"), F.lit("").alias("description"), F.lit("2024-03-05T08:00:00Z").alias("created_at")))
-    suffix = F.when(k == 2, ".json").otherwise(".jsonl")
-    files = files.select(F.concat(F.lit("f"), "conv_id", suffix).alias("file_id"), suffix.alias("suffix"), F.when(k == 2, project).otherwise(lines).alias("content"))
+    listed = F.transform("x", lambda r: r["l"])
+    title = F.to_json(F.struct(F.lit("summary").alias("type"), text("s", own).alias("sessionId"), F.lit("/home/u").alias("cwd")))
+    meta = F.to_json(F.struct(F.lit("2024-03-05T09:00:00Z").alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(text("s", own).alias("id"), F.lit("/home/u").alias("cwd")).alias("payload")))
+    project = F.to_json(F.struct(text("Project ", own).alias("name"), text("u", own).alias("uuid"), F.concat(F.lit("Turns: "), "n").alias("prompt_template"), F.lit("").alias("description"), F.lit("2024-03-05T08:00:00Z").alias("created_at")))
+    content = F.when(k < 2, F.array_join(F.concat(F.array(F.when(k == 0, title).otherwise(meta), F.lit("no json")), listed), "\n")).when(k == 2, project).when(k < 5, F.array_join(listed, "\n"))
+    content = content.when(k == 5, text('{"entries": [', F.array_join(listed, ", "), ",]}"))
+    content = content.when(k == 6, text('[{"uuid": "uuid-', own, '", "name": "Talk ', own, '", "summary": "", "created_at": "2024-03-05T10:00:00Z", "chat_messages": [', F.array_join(listed, ", "), "]}]"))
+    nodes = F.array_join(F.transform("x", lambda r: F.concat(F.lit('"'), r["turn"].cast("string"), F.lit('": '), r["l"])), ", ")
+    content = content.otherwise(text('[{"title": "Talk ', own, '", "conversation_id": "gpt-', own, '", "create_time": 1709632800.5, "mapping": {', nodes, "}}]"))
+    suffix = F.when(k.isin(0, 1, 3, 4), ".jsonl").otherwise(".json")
+    files = files.select(F.concat(F.lit("f"), "conv_id", suffix).alias("file_id"), suffix.alias("suffix"), content.alias("content"))
     return exports.parsed(files).select("doc_id", "source_type", "title", "date", "content", "session_id", F.col("typed").cast("long").alias("typed"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import graph as G
+from ..operators import split
 from .registry import query, table
 
 
@@ -93,7 +94,7 @@ def graph_range_containment(spark, d):
     spans = docs.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1, F.lit(1344).cast("long"))))
     spans = spans.select("doc_id", F.col("b").alias("begin_char"), F.least(F.col("b") + 1536, F.col("n_chars")).alias("end_char"))
     points = docs.select("doc_id", ((F.col("doc_id") * 7919) % F.col("n_chars")).alias("at"))
-    return G.contained(points, spans, "doc_id", "at", "begin_char", "end_char", 1344).select("doc_id", "at", "begin_char")
+    return G.contained(points, spans, "doc_id", "at", "begin_char", "end_char").select("doc_id", "at", "begin_char")
 
 
 @query("hist_topic", "SELECT source AS topic, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source")
@@ -206,3 +207,50 @@ def stale_files(spark, d):
 def reverse_chronology(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).alias("pos"))
+
+
+@query(
+    "graph_spans_of_any_length",
+    """WITH s AS (SELECT l_suppkey % 10 AS file, (l_partkey * 7907) % 1000000 AS b, (l_partkey * 7907) % 1000000 + CAST(pow(10, l_linenumber - 1) AS BIGINT) AS e FROM lineitem),
+    p AS (SELECT c_custkey, c_custkey % 10 AS file, (c_custkey * 7919) % 1500000 AS place FROM customer)
+    SELECT c_custkey, count(*) AS spans, min(e - b) AS shortest, max(e - b) AS longest FROM p JOIN s ON s.file = p.file AND place >= b AND place < e GROUP BY c_custkey""",
+)
+def graph_spans_of_any_length(spark, d):
+    """Points in overlapping spans of 1 to 10^6 characters."""
+    begin = (F.col("l_partkey") * 7907) % 1000000
+    spans = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("file"), begin.alias("b"), (begin + F.pow(F.lit(10), F.col("l_linenumber") - 1).cast("long")).alias("e"))
+    points = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 10).alias("file"), ((F.col("c_custkey") * 7919) % 1500000).alias("place"))
+    held = G.contained(points, spans, "file", "place", "b", "e").groupBy("c_custkey")
+    size = F.col("e") - F.col("b")
+    return held.agg(F.count("*").alias("spans"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
+
+
+@query(
+    "graph_inner_entry",
+    """WITH c AS (SELECT conv_id, turn, length(text) AS n FROM conversations), e AS (SELECT conv_id % 7 AS batch, conv_id, turn, sum(n + 5) OVER w - n - 5 AS b, sum(n + 5) OVER w - 5 AS e FROM c WINDOW w AS (PARTITION BY conv_id % 7 ORDER BY conv_id, turn)),
+    z AS (SELECT batch, max(e) AS n FROM e GROUP BY 1), p AS (SELECT doc_id, doc_id % 7 AS batch, (doc_id * 104729) % n AS place FROM documents JOIN z ON batch = doc_id % 7)
+    SELECT doc_id, place, conv_id, turn FROM p LEFT JOIN e ON e.batch = p.batch AND place >= b AND place < e""",
+)
+def graph_inner_entry(spark, d):
+    """The entry of a batch, of which there are few long ones, that holds an offset; offsets on what lies between entries have none."""
+    w = Window.partitionBy("batch").orderBy("conv_id", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = table(spark, d, "conversations").select((F.col("conv_id") % 7).alias("batch"), "conv_id", "turn", F.length("text").alias("n"))
+    entries = rows.withColumn("to", F.sum(F.col("n") + 5).over(w)).select("batch", "conv_id", "turn", (F.col("to") - F.col("n") - 5).alias("b"), (F.col("to") - 5).alias("e"))
+    sizes = entries.groupBy("batch").agg(F.max("e").alias("n"))
+    points = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 7).alias("batch")).join(F.broadcast(sizes), "batch")  # seven rows
+    points = points.select("doc_id", "batch", ((F.col("doc_id") * 104729) % F.col("n")).alias("place"))
+    return G.located(points, entries, "batch", "place", "b", "e").select("doc_id", "place", "conv_id", "turn")
+
+
+@query(
+    "graph_document_sections",
+    """WITH r AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2)
+    SELECT conv_id AS doc_id, role AS section, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS INTEGER) AS place FROM r""",
+)
+def graph_document_sections(spark, d):
+    """Conversations as documents with a heading before each turn; the paths of their chunks in the order in which they come first."""
+    turns = table(spark, d, "conversations")
+    part = F.concat(F.lit("# "), "role", F.lit("\n"), F.translate("text", "#", ""), F.lit("\n"))
+    docs = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", part.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    found = G.document_sections(split.chunk(docs, limit=1), "doc_id", "section_path", "char_offset")
+    return found.select("doc_id", F.array_join("section_path", "/").alias("section"), "place")

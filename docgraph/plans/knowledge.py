@@ -58,7 +58,7 @@ def graph_section_for_fact(spark, d):
     s = docs.select("doc_id", "n_chars", F.explode(F.array(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 4), F.floor(F.col("n_chars") / 2))).alias("b"))
     s = s.select("doc_id", "b", F.coalesce(F.lead("b").over(Window.partitionBy("doc_id").orderBy("b")), "n_chars").alias("e"))
     points = docs.select("doc_id", ((F.col("doc_id") * 31) % F.col("n_chars")).alias("at"))
-    return G.contained(points, s, "doc_id", "at", "b", "e", 4096).select("doc_id", F.col("b").alias("section"))
+    return G.contained(points, s, "doc_id", "at", "b", "e").select("doc_id", F.col("b").alias("section"))
 
 
 @query("graph_doc_dates", "SELECT o_custkey AS fact, strftime(max(o_orderdate), '%Y-%m-%d') AS doc_date FROM orders GROUP BY 1")

@@ -299,3 +299,17 @@ def cite_confidence(spark, d):
 def src_image_payloads(spark, d):
     """Bytes as a data address."""
     return table(spark, d, "pages").select("page_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("url", "utf-8"))).alias("payload"))
+
+
+@query(
+    "find_in_segments",
+    """WITH RECURSIVE p AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS nth, CAST(strpos(text, 'e\n') AS BIGINT) AS k FROM documents WHERE strpos(text, 'e\n') > 0
+      UNION ALL SELECT doc_id, text, nth + 1, k + 2 + strpos(substr(text, k + 3), 'e\n') FROM p WHERE strpos(substr(text, k + 3), 'e\n') > 0),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, unnest(range(len(string_split(text, chr(10))))) AS segment, length(text) AS n FROM documents),
+    s AS (SELECT doc_id, segment, sum(length(part) + 1) OVER w - length(part) - 1 AS b, least(sum(length(part) + 1) OVER w, n) AS e FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY segment))
+    SELECT p.doc_id, nth, k - 1 AS "begin", CAST(x.segment AS INTEGER) AS segment, CAST(y.segment AS INTEGER) AS last_segment FROM p JOIN s x ON x.doc_id = p.doc_id AND k - 1 >= x.b AND k - 1 < x.e JOIN s y ON y.doc_id = p.doc_id AND k + 1 >= y.b AND k + 1 < y.e""".replace("'e\n'", "'.' || chr(10) || 'T'"),
+)
+def find_in_segments(spark, d):
+    """Matches across ends of lines, with the lines of their first and last characters."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    return display.found_in_segments(docs, display.lines_of(docs, "doc_id", "text"), "doc_id", "text", ".\nT", most=1 << 30)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import telemetry as T
+from ..streaming import calls
 from ..streaming import events as stream
 from .registry import query, table
 
@@ -195,7 +196,7 @@ def _is_dir(spark, path: str) -> bool:
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, CAST(sum(CAST(round(value, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2",
 )
 def st_tumbling(spark, d):
-    return stream.run_once(stream.tumbling(stream.timed(_stream(spark, d), late="60 days")), "complete")
+    return stream.caught_up(stream.tumbling(stream.timed(_stream(spark, d), late="60 days")), "complete")
 
 
 @query(
@@ -204,7 +205,7 @@ def st_tumbling(spark, d):
     s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM s GROUP BY user_id, n""",
 )
 def st_session(spark, d):
-    return stream.run_once(stream.sessions(stream.timed(_stream(spark, d), late="60 days")), "complete")
+    return stream.caught_up(stream.sessions(stream.timed(_stream(spark, d), late="60 days")), "complete")
 
 
 @query(
@@ -212,4 +213,27 @@ def st_session(spark, d):
     "SELECT user_id, min(event_id) AS first_event, max(event_id) AS last_event, count(*) AS events, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY 1",
 )
 def st_fold_stream(spark, d):
-    return stream.run_once(stream.fold(_stream(spark, d)), "complete")
+    return stream.caught_up(stream.fold(_stream(spark, d)), "complete")
+
+
+@query(
+    "st_call_states",
+    """WITH v AS (SELECT event_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), w AS (SELECT epoch_ms(max(ts)) - 864000000 AS mark FROM events),
+    c AS (SELECT b.event_id // 3 AS call_id, b.event_type AS stage, epoch_ms(b.ts) AS start, p.k AS ttft_ms, p.event_id AS tokens, e.event_id IS NOT NULL AS ended, e.event_type <> 'error' AS success, CAST(round(e.value * 100) AS BIGINT) AS ms
+      FROM v b LEFT JOIN v p ON p.event_id = b.event_id + 1 LEFT JOIN v e ON e.event_id = b.event_id + 2 AND e.k % 7 > 0 WHERE b.event_id % 3 = 0)
+    SELECT CAST(call_id AS VARCHAR) AS call_id, stage, CASE WHEN ended THEN 'ended' WHEN start + 86400000 <= mark THEN 'aborted' ELSE 'running' END AS state,
+      CASE WHEN ended THEN success WHEN start + 86400000 <= mark THEN false END AS success, tokens AS completion_tokens, ttft_ms,
+      CASE WHEN ended THEN ms WHEN start + 86400000 <= mark THEN 86400000 END AS duration_ms FROM c, w""",
+)
+def st_call_states(spark, d):
+    """Calls of three events each (begin, progress, end; some ends are missing) as a stream of states, the last state of each."""
+    kind, none = F.col("event_id") % 3, F.lit(None)
+    rows = _stream(spark, d).withColumn("k", F.from_json("props", "k bigint")["k"]).filter((kind < 2) | (F.col("k") % 7 > 0))
+    log = rows.select(
+        F.element_at(F.array(*map(F.lit, ("begin", "stream_progress", "end"))), (kind + 1).cast("int")).alias("event"), F.floor(F.col("event_id") / 3).cast("string").alias("call_id"), "ts", F.col("event_id").alias("pos"),
+        F.when(kind == 0, F.col("event_type")).alias("stage"), F.when(kind == 2, F.col("event_type") != "error").alias("success"), none.cast("string").alias("error_class"),
+        F.when(kind == 1, F.col("event_id")).alias("completion_tokens"), F.when(kind == 1, F.col("k")).alias("ttft_ms"), F.when(kind == 2, F.round(F.col("value") * 100).cast("long")).alias("duration_ms"),
+        none.cast("string").alias("finish_reason"),
+    )
+    states = calls.latest(stream.caught_up(calls.call_states(log, "1 day", "10 days"), "update", stream.KEYED))
+    return states.select("call_id", "stage", "state", "success", "completion_tokens", "ttft_ms", "duration_ms")

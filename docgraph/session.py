@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +26,25 @@ def session(app: str = "docgraph", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that spark.checkpoint.dir names, its lineage cut. Without one, a folder is made on a single
-    machine, and on a cluster that is an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Where none is set, one is made on a single machine, and on a cluster that is an error."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        there = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        there = context.getConf().get("spark.checkpoint.dir")
         if not there and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(there or tempfile.mkdtemp(prefix="docgraph-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder that spark.checkpoint.dir names, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """df as a table in the shared folder, in folders by the values of some columns, so that readers of one value scan no other."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,7 +48,8 @@ def chatgpt(df: DataFrame, json: str = "content", keep: str | None = None) -> Da
     kept = [keep] if keep else []
     rows = df.select(*kept, F.explode(F.from_json(json, MAPPING)).alias("c")).select(*kept, "c.*")
     said = F.filter(F.map_values("mapping"), lambda n: (n["message"]["author"]["role"] == "user") & (n["message"]["content"]["content_type"] == "text"))
-    body = lambda n: F.trim(F.array_join(n["message"]["content"]["parts"], "\n"))
+    parts = lambda n: F.transform(n["message"]["content"]["parts"], lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    body = lambda n: F.array_join(F.filter(parts(n), lambda t: t != ""), "\n\n")
     timed = F.array_sort(F.transform(said, lambda n: F.struct(F.coalesce(n["message"]["create_time"], F.lit(0.0)).alias("t"), body(n).alias("b"))))
     body = F.nullif(F.array_join(F.filter(F.transform(timed, lambda x: x["b"]), lambda t: t != ""), "\n\n"), F.lit(""))
     text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.nullif(F.trim("title"), F.lit(""))), body)
@@ -74,11 +75,12 @@ def user_turns(df: DataFrame, conversation: str, turn: str, role: str, text: str
 
 def journal(df: DataFrame, file_id: str = "file_id", json: str = "content") -> DataFrame:
     """Entries of a journal by destination: the newest year and undated entries keep the file, older years get -YYYY before
-    its extension; entries of a destination are numbered."""
-    rows = df.select(file_id, F.posexplode(F.from_json(json, JOURNAL)["entries"]).alias("pos", "e")).select(file_id, "pos", "e.*")
+    its extension; entries of a destination are numbered. Commas before a closing bracket are passed over."""
+    plain = F.regexp_replace(json, r",\s*([}\]])", "$1")
+    rows = df.select(file_id, F.posexplode(F.from_json(plain, JOURNAL)["entries"]).alias("pos", "e")).select(file_id, "pos", "e.*")
     utc = F.try_to_timestamp("creationDate")
     local = F.coalesce(F.to_date(F.from_utc_timestamp(utc, F.coalesce("timeZone", F.lit("UTC")))).cast("string"), F.substring("creationDate", 1, 10))
-    clean = F.trim(F.regexp_replace(F.regexp_replace("text", r"\\([\\`*_{}\[\]()#+\-.!])", "$1"), r"\n{3,}", "\n\n"))
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\\([^\\])", "$1"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     rows = rows.withColumns({"date": local, "text": clean}).filter("text <> ''")
     return destinations(rows.withColumn("year", F.substring("date", 1, 4)), file_id, "year", ["pos"])
 

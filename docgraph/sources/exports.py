@@ -16,6 +16,11 @@ from . import chats
 PARSED = ["file_id", "doc_id", "source_type", "title", "date", "content", "session_id", "cwd", "typed"]
 CODE_LINE = "struct<type:string,sessionId:string,cwd:string,timestamp:string,customTitle:string,message:struct<content:string>>"
 CODE_BLOCKS = "struct<message:struct<content:array<struct<type:string,text:string>>>>"
+#: By shape of a month history: the keys of the time, the prompt and the group of an entry, its source type, and how a title begins.
+HISTORIES = {
+    "code_history": ("timestamp", "display", "project", "code_history", "Code prompts"),
+    "codex_history": ("ts", "text", "session_id", "codex_history", "Codex prompts"),
+}
 CODEX_LINE = "struct<type:string,timestamp:string,payload:struct<id:string,cwd:string,type:string,message:string>>"
 PROJECT = "struct<name:string,uuid:string,prompt_template:string,description:string,created_at:string>"
 ANCHOR_CHARS = 80
@@ -119,17 +124,66 @@ def _conversations(rows: DataFrame, source_type: str, key: str) -> DataFrame:
     )
 
 
+def month_key(ts: Column) -> Column:
+    """yyyy-MM of epoch seconds or milliseconds (beyond 10^12), in UTC, or the first seven characters of another string; else `unknown`. No time is 0."""
+    ts = F.coalesce(ts, F.lit("0"))
+    number = ts.try_cast("double")
+    seconds = F.when(number > 1e12, number / 1000).otherwise(number)
+    numbered = F.when(F.abs(seconds) < 2e11, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM")).otherwise("unknown")
+    return F.when(number.isNotNull(), numbered).when(F.length(ts) >= 7, F.substring(ts, 1, 7)).otherwise("unknown")
+
+
+def histories(files: DataFrame, shape: str) -> DataFrame:
+    """The typed prompts of a history across sessions: one document a month, prompts by time, each after its project or session in brackets."""
+    at, said, group, source_type, label = HISTORIES[shape]
+    rows = _lines(files, f"struct<{at}:string,{said}:string,{group}:string>")
+    own = F.transform("lines", lambda x, i: F.struct(
+        F.coalesce(x["j"][at].try_cast("double"), F.lit(0.0)).alias("order"), i.alias("place"), month_key(x["j"][at]).alias("month"), x["j"][at].alias("at"),
+        F.coalesce(F.nullif(x["j"][group], F.lit("")), F.lit("_unknown")).alias("group"), stripped(x["j"][said]).alias("text"),
+    ))
+    rows = rows.select("file_id", F.array_sort(F.filter(own, lambda t: t["text"] != "")).alias("typed"))
+    months = rows.select("file_id", "typed", F.explode(F.array_sort(F.array_distinct(F.transform("typed", lambda t: t["month"])))).alias("month"))
+    mine = F.filter("typed", lambda t: t["month"] == F.col("month"))
+    inside = lambda t: F.concat(F.lit("["), t["group"], F.lit("] ")) if shape == "code_history" else F.concat(F.lit("[session "), F.substring(t["group"], 1, 8), F.lit("] "))
+    months = months.select("file_id", "month", mine.alias("typed")).withColumn("body", F.array_join(F.transform("typed", lambda t: F.concat(inside(t), t["text"])), "\n\n"))
+    title = F.concat(F.lit(f"{label} "), "month")
+    return months.select(
+        "file_id", F.concat("file_id", F.lit("::month_"), "month").alias("doc_id"), F.lit(source_type).alias("source_type"), title.alias("title"), iso_day(F.col("typed")[0]["at"]).alias("date"),
+        F.concat(F.lit("# "), F.lit(label), F.lit(" \u2014 "), "month", F.lit("\n\n"), "body").alias("content"), F.lit("").alias("session_id"), F.lit("").alias("cwd"), F.size("typed").alias("typed"),
+    )
+
+
+def journals(files: DataFrame) -> DataFrame:
+    """One document for each entry of a journal."""
+    rows = chats.journal(files.select("file_id", "content"))
+    return rows.select(
+        "file_id", F.col("entry_id").alias("doc_id"), F.lit("journal").alias("source_type"), F.concat_ws(" ", F.lit("Journal"), "date").alias("title"), "date", F.col("text").alias("content"),
+        F.coalesce("uuid", F.lit("")).alias("session_id"), F.lit("").alias("cwd"), F.lit(0).alias("typed"),
+    )
+
+
 def kind(content: Column, suffix: Column) -> Column:
     """The known shape of a file: of a .jsonl by its first line that is not blank; null if it has none."""
     first = F.get(F.filter(F.split(content, "\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    return F.when(suffix == ".jsonl", chats.shape(first, chats.JSONL_SHAPES)).otherwise(chats.shape(content, chats.JSON_SHAPES))
+    plain = F.regexp_replace(content, r",\s*([}\]])", "$1")  # journals may have commas before closing brackets
+    return F.when(suffix == ".jsonl", chats.shape(first, chats.JSONL_SHAPES)).otherwise(F.coalesce(chats.shape(content, chats.JSON_SHAPES), chats.shape(plain, chats.JSON_SHAPES)))
+
+
+#: How each known shape becomes documents.
+PARSERS = {
+    "code_session": code_sessions,
+    "codex_session": codex_sessions,
+    "code_history": lambda files: histories(files, "code_history"),
+    "codex_history": lambda files: histories(files, "codex_history"),
+    "web_project": web_projects,
+    "web_conversations": lambda files: _conversations(chats.web_conversations(files, keep="file_id"), "web_conversation", "uuid"),
+    "chatgpt": lambda files: _conversations(chats.chatgpt(files, keep="file_id"), "chatgpt_conversation", "conversation_id"),
+    "dayone": journals,
+}
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Documents of files (file_id, suffix, content) of every known chat shape; files of no known shape give none."""
-    files = files.withColumn("_kind", kind(F.col("content"), F.col("suffix")))
-    of = lambda name: files.filter(F.col("_kind") == name)
-    out = [code_sessions(of("code_session")), codex_sessions(of("codex_session")), web_projects(of("web_project"))]
-    out.append(_conversations(chats.web_conversations(of("web_conversations"), keep="file_id"), "web_conversation", "uuid"))
-    out.append(_conversations(chats.chatgpt(of("chatgpt"), keep="file_id"), "chatgpt_conversation", "conversation_id"))
-    return reduce(DataFrame.unionByName, (x.select(*PARSED) for x in out))
+    """Documents of files (file_id, suffix, content, and _kind where it is known already) of every known shape; files of no known shape give none."""
+    if "_kind" not in files.columns:
+        files = files.withColumn("_kind", kind(F.col("content"), F.col("suffix")))
+    return reduce(DataFrame.unionByName, (parser(files.filter(F.col("_kind") == name)).select(*PARSED) for name, parser in PARSERS.items()))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from .. import vocab
 from ..functions.ordered import in_order
+from ..session import written
 from . import exports
 
 # Names that systems leave in folders.
@@ -47,7 +48,7 @@ def whatsapp(content: Column) -> Column:
 
 
 def plain_text(content: Column) -> Column:
-    return F.trim(F.when(whatsapp(content), F.regexp_replace(F.regexp_replace(content, r"(?m)^.*<Media omitted>.*\n?", ""), "‎", "")).otherwise(content))
+    return exports.stripped(F.when(whatsapp(content), F.regexp_replace(F.regexp_replace(content, r"(?m)^.*<Media omitted>.*\n?", ""), "‎", "")).otherwise(content))
 
 
 def unpacked(spark: SparkSession, path: str) -> DataFrame:
@@ -64,26 +65,39 @@ def unpacked(spark: SparkSession, path: str) -> DataFrame:
     return kept.mapInPandas(run, "file_id string, source_type string, content string").withColumn("suffix", suffix(F.col("file_id")))
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """file_id, source_type and content of all accepted text files under path, archives expanded, in file_id order; chat exports as
-    the documents that they hold, one for each conversation or session."""
-    docs = unpacked(spark, path).filter("source_type <> 'rejected'")
-    exported = docs.filter(F.col("source_type").isin("json", "jsonl"))
-    found = exports.parsed(exported).select(F.col("doc_id").alias("file_id"), "source_type", "content")
-    known = exported.filter(exports.kind(F.col("content"), F.col("suffix")).isNotNull()).select("file_id")
-    others = docs.join(known, "file_id", "left_anti")
-    text = F.when(F.col("source_type") == "text", plain_text(F.col("content"))).otherwise(F.trim("content"))
+def _routed(spark: SparkSession, path: str) -> DataFrame:
+    """unpacked() by the shape of its chat exports (_kind; none: `other`), unpacked once."""
+    rows = unpacked(spark, path)
+    known = F.when(F.col("source_type").isin("json", "jsonl"), exports.kind(F.col("content"), F.col("suffix")))
+    return written(rows.withColumn("_kind", F.coalesce(known, F.lit("other"))), "unpacked", ["_kind"])
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """(file_id, doc_id, source_type, title, date, content) of routed rows."""
+    text = F.when(F.col("source_type") == "text", plain_text(F.col("content"))).otherwise(exports.stripped(F.col("content")))
     kind = F.when((F.col("source_type") == "text") & whatsapp(F.col("content")), "whatsapp").otherwise(F.col("source_type"))
-    others = others.select("file_id", kind.alias("source_type"), text.alias("content")).filter("content <> ''")
-    return others.unionByName(found).orderBy("file_id")
+    none = F.lit(None).cast("string")
+    others = rows.filter((F.col("_kind") == "other") & (F.col("source_type") != "rejected"))
+    others = others.select("file_id", F.col("file_id").alias("doc_id"), kind.alias("source_type"), none.alias("title"), none.alias("date"), text.alias("content")).filter("content <> ''")
+    return others.unionByName(exports.parsed(rows).select("file_id", "doc_id", "source_type", "title", "date", "content"))
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, source_type and content of all accepted text files under path, archives expanded, in file_id order; chat exports and journals
+    as the documents that they hold: conversations, sessions, months of a history, entries. JSON of no known shape is text."""
+    found = _documents(_routed(spark, path))
+    return found.select(F.col("doc_id").alias("file_id"), "source_type", "content").orderBy("file_id")
 
 
 def outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """file_id and reason (null if read) of every file under path and of every member of an archive."""
+    """file_id and reason of every file under path and of every member of an archive: null if a document came of it, `empty` if it was read and
+    held no text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     refused = raw.select(F.col("path").alias("file_id"), reject_reason(F.col("path"), F.col("length")).alias("reason")).filter("reason IS NOT NULL")
-    read = unpacked(spark, path).select("file_id", F.when(F.col("source_type") == "rejected", F.col("content")).alias("reason"))
-    return refused.unionByName(read)
+    rows = _routed(spark, path)
+    read = _documents(rows).select("file_id", F.lit(True).alias("_read")).distinct()
+    reason = F.when(F.col("source_type") == "rejected", F.col("content")).when(F.col("_read").isNull(), "empty")
+    return refused.unionByName(rows.join(read, "file_id", "left").select("file_id", reason.alias("reason")))
 
 
 #: Archives within archives that are opened.

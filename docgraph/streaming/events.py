@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_folder
+
 
 def event_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", per_trigger: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", per_trigger).load(path)
@@ -36,20 +38,36 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is available now, as a table: for tests and catch-up runs."""
-    spark = stream.sparkSession
-    name = f"t{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+#: Keyed state with timers is kept by this provider.
+KEYED = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def persisted(stream: DataFrame, path: str, checkpoint: str):
-    """The started query that appends each micro-batch to the table at path as soon as it is there. A batch is a partition of its own and
-    replaces itself when it runs again, so a restart leaves no row twice."""
+def persisted(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", settings: dict[str, str] | None = None):
+    """The started query that writes each micro-batch to the table at path as soon as it is there. A batch is a partition of its own and
+    replaces itself when it runs again, so a restart leaves no row twice. settings hold for this query alone."""
+    conf = stream.sparkSession.conf
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = {k: conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            conf.set(k, v)
+        return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def caught_up(stream: DataFrame, mode: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """All that is available now, as a table in the shared folder: the rows of all batches with their number (`batch`), in complete mode those of the last."""
+    spark, name = stream.sparkSession, f"stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    query = persisted(stream, f"{path}/rows", f"{path}/state", mode, settings)
+    query.awaitTermination()
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows")
+    return rows.filter(F.col("batch") == rows.agg(F.max("batch").alias("b")).scalar()).drop("batch") if mode == "complete" else rows

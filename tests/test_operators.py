@@ -173,7 +173,7 @@ def test_stub_streams_agree(spark, tmp_path):
 
     spark.createDataFrame([(i, i % 3, "error" if i % 4 == 0 else "view") for i in range(40)], "event_id long, user_id long, event_type string").repartition(4).write.json(str(tmp_path / "log"))
     schema = spark.read.json(str(tmp_path / "log")).schema
-    got = {r.user_id: (r.events, r.errors) for r in events.run_once(events.fold(events.event_files(spark, str(tmp_path / "log"), schema, per_trigger=1)), "complete").collect()}
+    got = {r.user_id: (r.events, r.errors) for r in events.caught_up(events.fold(events.event_files(spark, str(tmp_path / "log"), schema, per_trigger=1)), "complete").collect()}
     assert got == {u: (sum(i % 3 == u for i in range(40)), sum(i % 3 == u and i % 4 == 0 for i in range(40))) for u in range(3)}
 
 
