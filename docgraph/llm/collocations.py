@@ -6,7 +6,7 @@ f is the number of its places inside pieces, overlaps included; n is the number
 1. Words and pairs of neighbours are counted by 64-bit hashes. What reaches the least frequency sets bits of a bitmap of bounded size. A hash or
    bit that two share lets too much through and never hides anything: every part of a frequent phrase is frequent itself.
 2. Each shard (a task's next SHARD words) builds a trie as deep as the longest phrase, of exact words, but only along pairs that the bitmap knows. Its
-   nodes are written in order. All tries are dealt by ranges of that order, sorted, and merged; the counts of a node are summed as they pass by.
+   nodes are serialised in order, in blocks. Blocks are cut at the bounds of prefix ranges that hold about RANGE nodes each, and the runs of a range are merged.
 3. A candidate's first parts are its ancestors, the rests are what its suffix links lead to: both are nodes of the merged trie, as frequent as it at least.
    Hot nodes are dealt. A node is inside a longer candidate as frequent as itself only if it is inside one that is longer by one word.
 
@@ -17,6 +17,7 @@ no column but text and lang is read. Ties are broken as `mine` says. An empty ta
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .words import mixed, span_hashes, spans, text_bytes
 UNKNOWN = "und"
 #: Words that one trie holds, keys that are counted before they are handed on, and rows of a batch that a worker gives back.
 SHARD, KEYS, BATCH = 1 << 20, 1 << 21, 1 << 15
+#: Nodes of a prefix range before it is merged, runs that are merged at once, and blocks whose first nodes the bounds are chosen from.
+RANGE, RUNS, SAMPLE_BLOCKS = 1 << 20, 16, 100_000
 #: Bits of the bitmap: 16 for each frequent word and pair, between these bounds.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 
@@ -169,8 +172,21 @@ class Trie:
         return out.take(pc.sort_indices(out.column("node")))
 
 
+def _packed(rows: pa.RecordBatch) -> bytes:
+    """Nodes in order as one value; front parts that neighbours share compress well."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def tries(docs: DataFrame, bitmap: bytes, depth: int) -> DataFrame:
-    """(node, n) of the tries of all shards. A node is its language, a tab and its words, a space between each two."""
+    """(first, nodes, block): the tries of all shards, serialised in order, BATCH nodes a block. A node is its language, a tab and its words, a space between
+    each two, and has a count."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of bounded size
 
     def run(batches):
@@ -181,6 +197,10 @@ def tries(docs: DataFrame, bitmap: bytes, depth: int) -> DataFrame:
             place = (keys & last).astype(np.int64)
             return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
+        def blocks():
+            for rows in _sliced(trie.rows()):
+                yield pa.RecordBatch.from_arrays([pa.array([rows.column("node")[0].as_py()]), pa.array([rows.num_rows], pa.int64()), pa.array([_packed(rows)], pa.binary())], ["first", "nodes", "block"])
+
         trie = Trie(depth)
         for b in batches:
             w = Words(b)
@@ -188,38 +208,68 @@ def tries(docs: DataFrame, bitmap: bytes, depth: int) -> DataFrame:
             two[:-1] &= known(w.two) & one[1:]
             trie.add(w, one, two & one)
             if trie.n >= SHARD:
-                yield from _sliced(trie.rows())
-        yield from _sliced(trie.rows())
+                yield from blocks()
+        yield from blocks()
 
-    return arrow_map(docs, run, "node string, n long")
+    return arrow_map(docs, run, "first string, nodes long, block binary")
 
 
-def merged(shards: DataFrame, least: int) -> DataFrame:
-    """(node, n) of the merged trie: the nodes of whole languages and those seen least times or more. Ranges of nodes in order go to one task
-    each, where Spark's sort merges the shards' runs, and equal nodes meet one after another."""
+def bounds(blocks: DataFrame) -> list[bytes]:
+    """Where the prefix ranges begin but for the first: quantiles of the blocks' first nodes, of a bounded sample where there are many."""
+    size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes")).head()
+    parts = min(-(-size["nodes"] // RANGE), size["blocks"])
+    if parts < 2:
+        return []
+    share = min(1.0, SAMPLE_BLOCKS / size["blocks"])
+    firsts = sorted(r["first"].encode() for r in blocks.filter(F.pmod(F.xxhash64("first", "nodes"), F.lit(1 << 20)) < share * (1 << 20)).select("first").collect())
+    return sorted({firsts[len(firsts) * i // parts] for i in range(1, parts)}) if firsts else []
 
-    def run(batches):
-        node, total = None, 0
-        kept = lambda names, sums: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums, pa.int64())], ["node", "n"])
-        keeps = lambda name, n: n >= least or name.endswith("\t")
+
+def merged(blocks: DataFrame, least: int) -> DataFrame:
+    """(node, n) of the merged trie: the nodes of whole languages and those seen least times or more. The runs of a range of nodes in order go to one task
+    and are merged, RUNS at a time, so that a task holds the different nodes of one range."""
+    cuts = bounds(blocks)
+    schema = pa.schema([("node", pa.string()), ("n", pa.int64())])
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for block in b.column("block"):
+                rows = _unpacked(block.as_py()).combine_chunks().to_batches()[0]
+                names = rows.column("node")
+                low, high = (bisect_right(cuts, names[i].as_py().encode()) for i in (0, rows.num_rows - 1))
+                if low == high:
+                    out.append((low, block.as_py()))
+                    continue
+                own = [x.encode() for x in names.to_pylist()]
+                at = [0, *(bisect_left(own, c) for c in cuts[low:high]), rows.num_rows]
+                out += [(low + k, _packed(rows.slice(a, z - a))) for k, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if z > a]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["range", "run"])
+
+    def total(runs: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(runs).group_by("node").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["node", "n"])
+
+    def merge(batches):
+        def kept():
+            rows = total(runs)
+            whole = pc.ends_with(rows.column("node"), "\t")
+            return rows.filter(pc.or_(whole, pc.greater_equal(rows.column("n"), least))).cast(schema).combine_chunks().to_batches()
+
+        at, runs = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            names, n = b.column("node"), b.column("n").to_numpy()
-            starts = np.flatnonzero(np.append(True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)))
-            own, sums = names.take(pa.array(starts)).to_pylist(), np.add.reduceat(n, starts).tolist()
-            if own[0] == node:
-                sums[0] += total
-            elif node is not None:
-                own, sums = [node, *own], [total, *sums]
-            node, total = own.pop(), sums.pop()
-            found = [(x, s) for x, s in zip(own, sums, strict=True) if keeps(x, s)]
-            yield kept([x for x, _ in found], [s for _, s in found])
-        if node is not None and keeps(node, total):
-            yield kept([node], [total])
-
-    ranged = shards.repartitionByRange("node").sortWithinPartitions("node")
-    return arrow_map(ranged, run, "node string, n long", rows=1 << 14)
+            for k, data in zip(b.column("range").to_pylist(), b.column("run"), strict=True):
+                if k != at and runs:
+                    yield from kept()
+                    runs = []
+                at = k
+                runs.append(_unpacked(data.as_py()))
+                if len(runs) >= RUNS:
+                    runs = [total(runs)]
+        if runs:
+            yield from kept()
+
+    ranged = arrow_map(blocks.select("block"), cut, "range int, run binary", rows=16).repartition("range").sortWithinPartitions("range")
+    return arrow_map(ranged, merge, "node string, n long", rows=16)
 
 
 def candidates(docs: DataFrame, least: int = 100, words: int = 5, covered: int = 100) -> DataFrame:

@@ -84,15 +84,28 @@ def test_candidates(edges, least):
     assert got == want and want
 
 
-def test_small_shards_merge(spark, edges, monkeypatch):
-    """Tries of few words, and batches of few rows, give what one trie gives. Workers are forked, so the bounds are set in what they run."""
-    rows = [(t, lang) for t, lang in ((LONG[: 200 * i], "en") for i in range(60))]
+def test_ranges_merge(spark, monkeypatch):
+    """Many shards, small blocks and many prefix ranges give what one trie gives."""
+    monkeypatch.setattr(collocations, "RUNS", 2)
+    monkeypatch.setattr(collocations, "bounds", lambda blocks: [b"en\tfive", b"en\tone two", b"en\tone two three four", b"en\ttwo", b"und\t", b"und\tx", "und\t\U0001f600".encode()])
+    rows = [(LONG[: 200 * i], "en" if i % 3 else None) for i in range(60)]
     want = mined(rows, 100)
     parts = spark.createDataFrame(rows, "text string, lang string").repartition(7)
     got = {(r.lang, r.phrase): (r.a, r.l, r.r, r.n, r.score) for r in collocations.candidates(parts, 100).collect()}
     assert got == want and any(len(p.split()) == 5 for _, p in want)
 
 
+def test_bounds(spark, monkeypatch):
+    blocks = spark.createDataFrame([(f"en\t{i:03d}", 100, b"") for i in range(200)], "first string, nodes long, block binary")
+    assert collocations.bounds(blocks) == [] and collocations.bounds(blocks.limit(0)) == []
+    monkeypatch.setattr(collocations, "RANGE", 1000)
+    cuts = collocations.bounds(blocks)
+    assert cuts == [f"en\t{i:03d}".encode() for i in range(10, 200, 10)]
+    monkeypatch.setattr(collocations, "SAMPLE_BLOCKS", 40)
+    some = collocations.bounds(blocks)
+    assert some == sorted(set(some)) and 5 < len(some) <= 19
+
+
 def test_trie_in_order():
     trie = collocations.Trie(3)
     batch = pa.RecordBatch.from_arrays([pa.array(["a b a b c", None, "B, a"]), pa.array(["x", "x", None])], ["text", "lang"])
