@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .. import vocab
 from ..functions.scalar import count_tokens
+from ..session import checkpointed
 
 
 def slide(docs: DataFrame, text: str = "text", size: int = vocab.CHUNK_CHARS, stride: int = vocab.STRIDE_CHARS) -> DataFrame:
@@ -156,27 +161,140 @@ def islands(df: DataFrame, partition: list[str], order: list[str], key: Column)
     return df.withColumn("_change", change).withColumn("island", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_change")
 
 
-def greedy_pack(df: DataFrame, partition: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """Bins of consecutive rows whose sizes sum to at most budget (a larger row is a bin of its own): partition, order, size and bin.
-    Where a bin ends depends on all rows before, so a group is one pass over sorted rows in one task, which holds a batch at a time."""
-    rows = df.select(*partition, *order, F.col(size).cast("long").alias(size)).repartition(*partition).sortWithinPartitions(*partition, *order, size)
-    schema = T.StructType([*rows.schema.fields, T.StructField("bin", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bin_, load = None, 0, 0
+def _segments(batches: Iterator[pa.RecordBatch], keys: list[str], numbers: list[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(values of keys, arrays of the numbers) of runs of rows with equal keys; only the numbers of one run are held."""
+    key, held = None, [[] for _ in numbers]
+    for b in batches:
+        own = list(zip(*(b.column(c).to_pylist() for c in keys), strict=True))
+        values = [b.column(c).to_numpy(zero_copy_only=False) for c in numbers]
+        at = 0
+        for i in range(1, len(own) + 1):
+            if i < len(own) and own[i] == own[at]:
+                continue
+            if key is not None and own[at] != key:
+                yield key, [np.concatenate(h) for h in held]
+                held = [[] for _ in numbers]
+            key = own[at]
+            for h, v in zip(held, values, strict=True):
+                h.append(v[at:i])
+            at = i
+    if key is not None:
+        yield key, [np.concatenate(h) for h in held]
+
+
+def _exits(size: np.ndarray, spare: np.ndarray, budget: int) -> dict[str, list]:
+    """What a run of rows does to the bins of those before it: for each row that may be the first to begin a bin here, its place, its end, the limit of
+    the last bin that begins here after it, and how many do. Bins before fill by what is less than the budget, so only the rows of the first `budget` may be."""
+    end = np.cumsum(size)
+    start = end - size
+    limit = start + spare + budget
+    after = np.maximum(np.arange(1, len(size) + 1), np.searchsorted(end, limit, "right"))
+    may = np.flatnonzero((start <= budget) & ((size > 0) | (np.arange(len(size)) == 0)))
+    known: dict[int, tuple[int, int]] = {}
+    for i in may.tolist()[::-1]:
+        way = []
+        while i < len(size) and i not in known:
+            way.append(i)
+            i = int(after[i])
+        found = known.get(i)
+        for j in way[::-1]:
+            found = known[j] = (int(limit[j]), 1) if found is None else (found[0], found[1] + 1)
+    return {"place": may.tolist(), "end": end[may].tolist(), "limit": [known[i][0] for i in may.tolist()], "count": [known[i][1] for i in may.tolist()]}
+
+
+def greedy_pack(df: DataFrame, partition: list[str], order: list[str], size: str, budget: int, spare: str | None = None) -> DataFrame:
+    """Bins of consecutive rows whose sizes sum to at most budget (a larger row is a bin of its own): partition, order, size and bin. spare: a column of what
+    the first row of a bin does not count of its size.
+
+    Where a bin ends depends on all rows before, but a range of rows needs to know one number of them: where the bin that is open at its begin has its limit. Rows
+    are dealt by ranges of the whole order, so that a group of any size is spread. Each range works out for every row that may begin its first bin (those within one
+    budget) the limit that it hands on; one pass over these, a few a range, follows the chain; then the ranges number their bins."""
+    rows = df.select(*partition, *order, F.col(size).cast("long").alias(size), *([spare] if spare else []))
+    rows = rows.withColumns({"_size": F.coalesce(size, F.lit(0)).cast("long"), "_spare": F.coalesce(spare, F.lit(0)).cast("long") if spare else F.lit(0).cast("long")})
+    sorting = [*partition, *order, size]
+    ranged = checkpointed(rows.repartitionByRange(*sorting).sortWithinPartitions(*sorting).withColumn("_range", F.spark_partition_id()))
+    keys = ["_range", *partition]
+    lists = ("place", "end", "limit", "count")
+    fields = [ranged.schema[k] for k in keys]
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (sizes, spares) in _segments(batches, keys, ["_size", "_spare"]):
+            found = _exits(sizes, spares, budget)
+            yield pa.RecordBatch.from_pylist([dict(zip(keys, key, strict=True)) | {"total": int(sizes.sum()), "rows": len(sizes)} | found], to_arrow_schema(exit_schema))
+
+    exit_schema = T.StructType([*fields, T.StructField("total", T.LongType()), T.StructField("rows", T.LongType()), *(T.StructField(n, T.ArrayType(T.LongType())) for n in lists)])
+    handed = ranged.sortWithinPartitions("_range", *sorting).select(*keys, "_size", "_spare").mapInArrow(exits, exit_schema)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, before, limit, bins = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if group != [r[k] for k in partition]:
+                    group, before, limit, bins = [r[k] for k in partition], 0, 0, 0
+                at = bisect_right(r["end"], limit - before) if bins else 0
+                entered = at < len(r["place"])
+                out.append({k: r[k] for k in keys} | {"_entry": r["place"][at] if entered else r["rows"], "_bins": bins})
+                if entered:
+                    limit, bins = before + r["limit"][at], bins + r["count"][at]
+                before += r["total"]
+            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(mark_schema))
+
+    mark_schema = T.StructType([*fields, T.StructField("_entry", T.LongType()), T.StructField("_bins", T.LongType())])
+    marks = handed.repartition(*partition).sortWithinPartitions(*partition, "_range").mapInArrow(chain, mark_schema).alias("m")
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
+    both = ranged.alias("r").join(marks, same).select("r.*", "m._entry", "m._bins").repartition("_range").sortWithinPartitions("_range", *sorting)
+    schema = T.StructType([*rows.drop("_size", "_spare").schema.fields, T.StructField("bin", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, load, bin_ = None, 0, 0, 0
         for b in batches:
             out = []
-            for own, n in zip(zip(*(b.column(c).to_pylist() for c in partition), strict=True), b.column(size).to_pylist(), strict=True):
+            columns = (b.column(c).to_pylist() for c in ("_size", "_spare", "_entry", "_bins"))
+            for own, n, less, entry, bins in zip(zip(*(b.column(c).to_pylist() for c in keys), strict=True), *columns, strict=True):
                 if own != key:
-                    key, bin_, load = own, 0, 0
-                n = n or 0
-                if load > 0 and load + n > budget:
-                    bin_, load = bin_ + 1, 0
-                load += n
+                    key, at, bin_ = own, 0, bins - 1
+                if at == entry or (at > entry and load + n > budget):
+                    bin_, load = bin_ + 1, n - less
+                else:
+                    load += n
+                at += 1
                 out.append(bin_)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "bin"])
-
-    return rows.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in schema.fields[:-1]), pa.array(out, pa.int64())], schema.names)
+
+    return both.mapInArrow(number, schema)
+
+
+def combined(units: DataFrame, partition: list[str], order: list[str], fits: Column, tokens: Column, separator: Column, budget: int, most: int = vocab.SPLIT_BUDGET) -> DataFrame:
+    """units with run and bin: consecutive units that `fits` (small ones of one kind, by its value; null: not to be joined) are a run; a run within the budget is one
+    bin, a longer one is cut greedily at the smaller of both limits, where all but the first unit of a bin bring a separator. Units that do not fit have a run each."""
+    rows = islands(units.withColumns({"_fits": fits, "_n": tokens.cast("long"), "_sep": separator.cast("long")}), partition, order, F.coalesce("_fits", F.concat_ws("/", F.lit(""), *order)))
+    run = [*partition, "island"]
+    rows = rows.withColumn("_n", F.col("_n") + F.col("_sep"))
+    sums = rows.groupBy(*run).agg((F.sum("_n") - F.min_by("_sep", F.struct(*order))).alias("_total"))
+    packed = greedy_pack(rows, run, order, "_n", min(budget, most), "_sep").select(*run, *order, "bin")
+    cut = packed.join(sums, run).select(*run, *order, F.when(F.col("_total") <= budget, 0).otherwise(F.col("bin")).cast("long").alias("bin"))
+    return units.join(cut, [*partition, *order]).withColumnRenamed("island", "run")
+
+
+def carved(docs: DataFrame, order: str, cap: int = vocab.LEAD_TOKENS, budget: int = vocab.SPLIT_BUDGET, joined: Column | None = None) -> DataFrame:
+    """The units of docs (doc_id, text, order) with a first one that is quickly done: of the first document, if it is above the cap and not `joined` from several, the
+    first part within the cap is a unit of its own, and what follows is split again by the budget. All others stay whole. doc_id, order, piece (from 0; 0 of a lead is the
+    head), kind (whole, head, rest), origin_char and text."""
+    joined = F.lit(False) if joined is None else joined
+    first = docs.agg(F.min(order).alias("m"))
+    lead = docs.filter(F.col(order) == first.scalar()).filter(~joined & (count_tokens(F.col("text")) > cap)).limit(1)
+    heads = split(lead, min(cap, vocab.SPLIT_BUDGET)).filter("part < 2 AND n_parts > 1")
+    cut = heads.groupBy("doc_id").agg(F.max(F.when(F.col("part") == 1, F.col("origin_char"))).alias("_cut"))
+    rest = lead.join(cut, "doc_id").select("doc_id", "_cut", F.expr("substring(text, _cut + 1)").alias("text"))
+    after = split(rest, min(budget, vocab.SPLIT_BUDGET)).join(rest.select("doc_id", "_cut"), "doc_id")
+    head = heads.filter("part = 0").select("doc_id", F.lit(0).alias("piece"), F.lit("head").alias("kind"), "origin_char", "text")
+    pieces = head.unionByName(after.select("doc_id", (F.col("part") + 1).alias("piece"), F.lit("rest").alias("kind"), (F.col("origin_char") + F.col("_cut")).alias("origin_char"), "text"))
+    own = [] if order == "doc_id" else [order]
+    pieces = pieces.join(lead.select("doc_id", *own), "doc_id")
+    whole = docs.join(cut.select("doc_id"), "doc_id", "left_anti")
+    whole = whole.select("doc_id", F.lit(0).alias("piece"), F.lit("whole").alias("kind"), F.lit(0).cast("long").alias("origin_char"), "text", *own)
+    return pieces.unionByName(whole)
 
 
 def running_offsets(df: DataFrame, partition: list[str], order: list[str], length: Column) -> DataFrame:

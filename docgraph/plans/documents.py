@@ -82,6 +82,33 @@ def spl_greedy_pack(spark, d):
     return split.greedy_pack(rows, ["source"], ["doc_id"], "tok", 4000)
 
 
+@query(
+    "spl_combined",
+    """WITH RECURSIVE u AS (SELECT source, doc_id, lang, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 3) END AS tok, length(lang) + 9 AS sep FROM documents),
+    f AS (SELECT *, coalesce(CASE WHEN tok < 400 THEN lang END, '/' || doc_id) AS k FROM u),
+    c AS (SELECT *, CASE WHEN k IS NOT DISTINCT FROM lag(k) OVER (PARTITION BY source ORDER BY doc_id) THEN 0 ELSE 1 END AS cut FROM f),
+    r AS (SELECT *, sum(cut) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+    n AS (SELECT *, row_number() OVER (PARTITION BY source, run ORDER BY doc_id) AS rn, sum(tok + sep) OVER (PARTITION BY source, run) - first_value(sep) OVER (PARTITION BY source, run ORDER BY doc_id) AS total FROM r),
+    p AS (SELECT source, run, doc_id, rn, total, CAST(0 AS BIGINT) AS bin, CAST(tok AS BIGINT) AS load FROM n WHERE rn = 1
+      UNION ALL SELECT n.source, n.run, n.doc_id, n.rn, n.total, CASE WHEN p.load + n.tok + n.sep > 500 THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.load + n.tok + n.sep > 500 THEN n.tok ELSE p.load + n.tok + n.sep END
+      FROM p JOIN n ON n.source = p.source AND n.run = p.run AND n.rn = p.rn + 1)
+    SELECT source, doc_id, CAST(run AS BIGINT) AS run, CASE WHEN total <= 800 THEN 0 ELSE bin END AS bin FROM p""",
+)
+def spl_combined(spark, d):
+    """Small documents of one language that follow each other in a source, joined within 800 tokens where all of a run fit, else within 500."""
+    units = table(spark, d, "documents").select("source", "doc_id", "lang", "text")
+    tokens = S.count_tokens(F.col("text"))
+    found = split.combined(units, ["source"], ["doc_id"], F.when(tokens < 400, F.col("lang")), tokens, F.length("lang") + 9, 800, most=500)
+    return found.select("source", "doc_id", "run", "bin")
+
+
+@query("spl_carved")
+def spl_carved(spark, d):
+    """The first document of more than 300 tokens leads: its head within 150 tokens, the rest in parts of 200."""
+    docs = table(spark, d, "documents").filter(F.length("text") > 900)
+    return split.carved(docs.select("doc_id", "text"), "doc_id", cap=150, budget=200).select("doc_id", "piece", "kind", "origin_char", "text")
+
+
 @query(
     "spl_running_offsets",
     """SELECT source, doc_id, CAST(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_char,
