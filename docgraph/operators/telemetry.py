@@ -100,23 +100,6 @@ def chain_aware(calls: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", label).drop("sampled", "reasoning_off", "_leaf")
 
 
-def nearest_rank(q: float, column: str) -> Column:
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
-
-
-def p95_half_even(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """total, avg, median, p95 (at the rank 0.95 (n - 1) rounded half to even), min and max, rounded to 2 places. The rank is
-    found by a window, and the exact median keeps the counts of a group's distinct values."""
-    w = Window.partitionBy(*group)
-    rows = df.filter(F.col(value).isNotNull()).withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(value))})
-    at = F.bround(0.95 * (F.col("_n") - 1)).cast("int") + 1
-    r = lambda x: F.bround(x, 2)
-    return rows.groupBy(*group).agg(
-        r(F.sum(value)).alias("total"), r(F.avg(value)).alias("avg"), r(F.median(value)).alias("median"), r(F.max(F.when(F.col("_r") == at, F.col(value)))).alias("p95"),
-        r(F.min(value)).alias("min"), r(F.max(value)).alias("max"),
-    )
-
-
 def rollup(calls: DataFrame) -> DataFrame:
     """Calls, successes and tokens in all, by stage and by model, in one pass over grouping sets."""
     calls.createOrReplaceTempView("_calls_rollup")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import statistics
 from ..operators import telemetry as T
 from ..streaming import calls
 from ..streaming import events as stream
@@ -61,7 +62,7 @@ def tel_rollup_grouping_sets(spark, d):
     SELECT event_type, CAST(t AS BIGINT) AS total, round_even(CAST(t AS DOUBLE) / n, 2) AS avg, round_even(CAST(md AS DOUBLE), 2) AS median, s[CAST(round_even(0.95 * (n - 1), 0) AS INTEGER) + 1] AS p95, mn AS min, mx AS max FROM l""",
 )
 def tel_p95_half_even(spark, d):
-    return T.p95_half_even(table(spark, d, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v")), ["event_type"], "v")
+    return statistics.distribution(table(spark, d, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v")), ["event_type"], "v")
 
 
 @query(
@@ -69,7 +70,24 @@ def tel_p95_half_even(spark, d):
     "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1",
 )
 def tel_nearest_rank(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(T.nearest_rank(0.5, "value").alias("p50"), T.nearest_rank(0.95, "value").alias("p95"), F.count("*").alias("n"))
+    return statistics.nearest_ranks(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+
+
+@query(
+    "tel_stage_statistics",
+    f"""WITH {_CALLS}, o AS (SELECT *, CASE WHEN aborted THEN 'aborted' WHEN NOT success THEN 'failed' ELSE 'success' END AS label, call_id % 40 AS category FROM c),
+    n AS (SELECT stage, label, count(*) AS n FROM o GROUP BY 1, 2), s AS (SELECT stage, CAST(sum(n) AS BIGINT) AS calls, string_agg(label || '=' || n, ' ' ORDER BY label) AS outcomes FROM n GROUP BY 1),
+    l AS (SELECT stage, CAST(sum(CASE WHEN NOT ok THEN 1 ELSE 0 END) AS BIGINT) AS lost FROM (SELECT stage, category, bool_or(coalesce(success, false)) AS ok FROM o GROUP BY 1, 2) GROUP BY 1),
+    z AS (SELECT stage, list_sort(list(duration_ms)) AS s, count(*) AS n, sum(duration_ms) AS t, median(duration_ms) AS md FROM o WHERE duration_ms IS NOT NULL GROUP BY 1)
+    SELECT s.*, lost, CAST(t AS BIGINT) AS total, round_even(CAST(t AS DOUBLE) / n, 2) AS avg, round_even(CAST(md AS DOUBLE), 2) AS median, s[CAST(round_even(0.95 * (n - 1), 0) AS INTEGER) + 1] AS p95
+    FROM s JOIN l USING (stage) LEFT JOIN z USING (stage)""".replace("SELECT s.*, lost", "SELECT stage, calls, outcomes, lost").replace("median, s[", "median, z.s["),
+)
+def tel_stage_statistics(spark, d):
+    calls = T.folded(_log(spark, d))
+    label = F.when(F.col("aborted"), "aborted").when(~F.col("success"), "failed").otherwise("success")
+    found = statistics.stage_statistics(calls.withColumn("category", F.col("call_id").cast("long") % 40), label, ["duration_ms"])
+    shown = F.array_join(F.transform("outcomes", lambda o: F.concat(o["label"], F.lit("="), o["n"].cast("string"))), " ")
+    return found.select("stage", "calls", shown.alias("outcomes"), "lost", *[F.col(f"duration_ms.{c}").alias(c) for c in ("total", "avg", "median", "p95")])
 
 
 _CHAIN = """r AS (SELECT event_id, user_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS rn FROM events),

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +49,8 @@ def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has no more than so many narrow rows (counted), else df as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
