@@ -6,7 +6,8 @@ optional groups (a node that some page lacks) and text slots. A slot whose text
 is part of the template, if the pages that have it are otherwise different articles; a repeated group that is mostly links is
 navigation. Names tell roles: outside the article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments),
 inside it, or undecided. Every page is then aligned with its host's wrapper and keeps the text inside, without the template's
-texts (a slot goes only where its text is the template's) and without navigation, also within an article. Optional groups whose
+texts (a slot goes only where its text is the template's) and without navigation, also within an article. Of a repeated group, whose members
+share a slot, those texts are the template's that nine in ten of the pages with the group carry, GROUPED different articles at least. Optional groups whose
 text differs are data and stay. A node that the wrapper does not have is judged by its names alone.
 
 Pages are different articles for a slot by their three longest other blocks: at least DIFFERENT texts in two of the three places.
@@ -24,10 +25,10 @@ import hashlib
 import json
 import pickle
 import re
-from bisect import bisect_left
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html import unescape
+from itertools import accumulate, zip_longest
 
 import pandas as pd
 import pyarrow as pa
@@ -38,10 +39,17 @@ from .common import arrow_map, small, stored
 
 #: Pages of a task after which the wrappers found so far are given out, and wrappers of a host that are merged at once.
 PAGES, MERGED = 20_000, 64
-#: Articles that have to differ before what they share is the template's, and repeated links are navigation.
-DIFFERENT = 3
-#: Bits of the table of one alignment; longer sequences of siblings are aligned without it.
+#: Articles that have to differ before what they share is the template's, and repeated links are navigation; and before a text of a group is, as
+#: a group offers many texts to be alike by chance.
+DIFFERENT, GROUPED = 3, 6
+#: Texts that the slot of a group remembers; beyond twice as many the rarest go, of equally rare ones those of the greatest hashes.
+TEXTS = 64
+#: Bits of the table of one alignment; longer sequences of siblings are cut in two where a longest common subsequence may be cut.
 TABLE = 1 << 28
+#: Bytes of all wrappers up to which every task holds them.
+HELD_BYTES = 32 << 20
+#: Pages of a host that one task reads beside its wrapper.
+CELL_PAGES = 5_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -190,10 +198,10 @@ def longest(root: El) -> list[int]:
 
 
 class Node:
-    """A node of a wrapper. others: of the pages with this node, the texts (DIFFERENT at most) in each of the three places of
+    """A node of a wrapper. others: of the pages with this node, the texts (GROUPED at most) in each of the three places of
     their longest other blocks."""
 
-    __slots__ = ("chars", "const", "kids", "link", "opt", "others", "rep", "role", "seen", "sig", "text")
+    __slots__ = ("chars", "const", "kids", "link", "opt", "others", "rep", "role", "seen", "sig", "text", "texts")
 
     def __init__(self, el: El, page: list[int]):
         self.sig, self.role, self.seen, self.opt, self.rep = el.sig, el.role, 1, False, False
@@ -201,11 +209,41 @@ class Node:
         self.text, self.chars, self.const = hashed(text), len(text), True
         self.link = sum(len(k[0].strip()) for k in el.kids if isinstance(k, tuple) and k[1])
         self.others = [[h] for h in page if h != self.text][:3]
+        self.texts: dict[int, list] = {self.text: [1, self.others]} if text else {}  # by text, the pages that have it and what others is to them
         self.kids: list[Node] = []
 
     def different(self) -> bool:
         """Whether different articles have this node."""
-        return sum(len(hashes) >= DIFFERENT for hashes in self.others) >= 2
+        return _different(self.others)
+
+    def template(self) -> list[int]:
+        """The texts that are the template's: of a group those that nine in ten of its pages have, of another node the only one."""
+        if self.rep:
+            return sorted(t for t, (seen, others) in self.texts.items() if 10 * seen >= 9 * self.seen and _different(others, GROUPED))
+        return [self.text] if self.const and self.text and self.different() else []
+
+
+def _different(others: list[list[int]], least: int = DIFFERENT) -> bool:
+    return sum(len(hashes) >= least for hashes in others) >= 2
+
+
+def _told(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+    """What the other blocks of two sets of pages are, GROUPED at most in each place."""
+    if a == b or (all(len(hashes) >= GROUPED for hashes in a) and len(a) >= len(b)):
+        return a
+    return [[*x, *[h for h in y if h not in x][: GROUPED - len(x)]] for x, y in zip_longest(a, b, fillvalue=[])]
+
+
+def _texts(a: dict[int, list], b: dict[int, list], one_page: bool) -> dict[int, list]:
+    for t, (seen, others) in b.items():
+        if t in a:
+            had, known = a[t]
+            a[t] = [max(had, seen) if one_page else had + seen, _told(known, others)]
+        else:
+            a[t] = [seen, others]
+    if len(a) > 2 * TEXTS:
+        return dict(sorted(a.items(), key=lambda x: (-x[1][0], x[0]))[:TEXTS])
+    return a
 
 
 #: Pairs of nodes still to be joined, in order: (node, node it also stands for, whether they are of one run). A queue takes the place of
@@ -243,16 +281,13 @@ def join_all(queue: Queue) -> None:
     while queue:
         a, b, repeat = queue.popleft()
         a.const &= b.const and a.text == b.text
-        for k, hashes in enumerate(b.others):
-            if k == len(a.others):
-                a.others.append([])
-            a.others[k] += [h for h in hashes if h not in a.others[k]][: DIFFERENT - len(a.others[k])]
+        a.others = _told(a.others, b.others)
+        a.texts = _texts(a.texts, b.texts, repeat)
         a.chars += b.chars
         a.link += b.link
         a.rep |= b.rep or repeat
         a.opt |= b.opt
-        if not repeat:
-            a.seen += b.seen
+        a.seen = max(a.seen, b.seen) if repeat else a.seen + b.seen
         a.kids = aligned(a.kids, b.kids, repeat, queue)
 
 
@@ -271,45 +306,55 @@ def folded(nodes: list[Node], queue: Queue) -> list[Node]:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a common subsequence of two sequences of signatures: a longest one where its table takes no more than TABLE bits, else what is
-    alike at both ends and, between, the next like one each time."""
+    """Places of a longest common subsequence of two sequences of signatures: what is alike at both ends, and one of what is between."""
     begin, end = 0, 0
     while begin < min(len(a), len(b)) and a[begin] == b[begin]:
         begin += 1
     while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
         end += 1
-    out = [(i, i) for i in range(begin)]
-    m, n = len(a) - begin - end, len(b) - begin - end
-    places: dict[str, list[int]] = {}
-    for i in range(m):
-        places.setdefault(a[begin + i], []).append(i)
-    if m * n > TABLE:
-        at = 0
-        for j in range(n):
-            of = places.get(b[begin + j], [])
-            k = bisect_left(of, at)
-            if k < len(of):
-                out.append((begin + of[k], begin + j))
-                at = of[k] + 1
-    elif m and n:
-        bits = {sig: sum(1 << i for i in of) for sig, of in places.items()}
-        row = every = (1 << m) - 1
-        rows = []  # by node of b: a zero bit where the longest common subsequence grows
-        for j in range(n):
-            both = row & bits.get(b[begin + j], 0)
-            row = ((row + both) | (row - both)) & every
-            rows.append(row)
-        pairs, i, j = [], m, n
-        while i and j:
-            if rows[j - 1] >> (i - 1) & 1:
-                i -= 1
-            elif j > 1 and not rows[j - 2] >> (i - 1) & 1:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((begin + i, begin + j))
-        out += pairs[::-1]
-    return out + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+    inner = _longest(a[begin : len(a) - end], b[begin : len(b) - end])
+    return [*((i, i) for i in range(begin)), *((begin + i, begin + j) for i, j in inner), *((len(a) - k, len(b) - k) for k in range(end, 0, -1))]
+
+
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """By node of b, a number with a zero bit at each node of a where the longest common subsequence of what is read so far grows."""
+    bits: dict[str, int] = {}
+    for i, sig in enumerate(a):
+        bits[sig] = bits.get(sig, 0) | 1 << i
+    row = every = (1 << len(a)) - 1
+    for sig in b:
+        both = row & bits.get(sig, 0)
+        row = ((row + both) | (row - both)) & every
+        yield row
+
+
+def _grown(a: list[str], b: list[str]) -> list[int]:
+    """Lengths of the longest common subsequences of b and each beginning of a."""
+    row = deque(_rows(a, b), maxlen=1)[0]
+    return [0, *accumulate(bit == "0" for bit in reversed(f"{row:0{len(a)}b}"))]
+
+
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; what is longer than its table may be is cut in two, b in the middle."""
+    if not a or not b:
+        return []
+    if len(b) == 1:
+        return [(a.index(b[0]), 0)] if b[0] in a else []
+    if len(a) * len(b) > TABLE:
+        half = len(b) // 2
+        both = [x + y for x, y in zip(_grown(a, b[:half]), reversed(_grown(a[::-1], b[half:][::-1])), strict=True)]
+        cut = both.index(max(both))
+        return _longest(a[:cut], b[:half]) + [(cut + i, half + j) for i, j in _longest(a[cut:], b[half:])]
+    rows, pairs, i, j = list(_rows(a, b)), [], len(a), len(b)
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+        elif j > 1 and not rows[j - 2] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
 
 
 def aligned(a: list[Node], b: list[Node], repeat: bool, queue: Queue) -> list[Node]:
@@ -330,7 +375,7 @@ def aligned(a: list[Node], b: list[Node], repeat: bool, queue: Queue) -> list[No
 
 
 def infer(pages: list[str]) -> list:
-    """The wrapper of pages: nested [signature, role, flags, children, hash of the template's text]; flags: 1 optional, 2 repeated,
+    """The wrapper of pages: nested [signature, role, flags, children, hashes of the template's texts]; flags: 1 optional, 2 repeated,
     4 template text, 8 mostly links."""
     wrapper = None
     for html in pages:
@@ -379,14 +424,13 @@ def unpacked(raw: bytes) -> Node | None:
 
 
 def plain_rows(wrapper: Node | None) -> list[list]:
-    """The wrapper for use, each node before its kids: [signature, role, flags, number of kids, hash of the template's text]."""
+    """The wrapper for use, each node before its kids: [signature, role, flags, number of kids, hashes of the template's texts]."""
     if wrapper is None:
-        return [["#root", "", 0, 0, 0]]
+        return [["#root", "", 0, 0, []]]
     rows = []
     for n, kids in listed(wrapper):
-        different = n.different()
-        fixed, links = n.const and n.text != 0 and different, different and 2 * n.link > n.chars
-        rows.append([n.sig, n.role, n.opt | n.rep << 1 | fixed << 2 | links << 3, kids, n.text if fixed else 0])
+        fixed, links = n.template(), n.different() and 2 * n.link > n.chars
+        rows.append([n.sig, n.role, n.opt | n.rep << 1 | bool(fixed) << 2 | links << 3, kids, fixed])
     return rows
 
 
@@ -427,7 +471,7 @@ class Walk:
         self.kids, self.within = iter(el.kids), within
         self.buffer: list[str] = []
         self.linked = self.total = self.at = 0
-        self.template = node is not None and node[4] != 0 and node[4] == hashed(own_text(el))
+        self.template = bool(node and node[4]) and hashed(own_text(el)) in node[4]
         self.navigation = node is not None and node[2] & 10 == 10
         self.slots = node[3] if node else []
 
@@ -438,7 +482,7 @@ class Walk:
         if not like:
             return None
         own = hashed(own_text(k)) if len(like) > 1 else 0
-        self.at = next((i for i in like if own and self.slots[i][4] == own), like[0])
+        self.at = next((i for i in like if own and own in self.slots[i][4]), like[0])
         return self.slots[self.at]
 
 
@@ -537,21 +581,60 @@ def wrappers(pages: DataFrame) -> DataFrame:
         parts = stored(dealt.select("_host", "_cell", "node").groupBy("_host", "_cell").applyInPandas(merge, "_host string, node binary"), "wrapper-parts")
 
 
+PAGE = "page_id long, url string, text string"
+
+
+def _texts_of(b: pa.RecordBatch, wrapper_of: Callable[[str], list]) -> pa.RecordBatch:
+    texts = [extract(html, wrapper_of(host)) for host, html in zip(b.column("_host").to_pylist(), b.column("html").to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def _beside(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts of rows where the wrappers are too large for every task to hold: each goes to its pages, once for each of the cells that a hot host's pages
+    are dealt to, and comes before them."""
+    counts = rows.groupBy("_host").agg(F.count("*").alias("_n"))
+    cells = F.ceil(F.col("_n") / CELL_PAGES).cast("int")
+    found = found.join(counts, "_host").select("_host", F.explode(F.sequence(F.lit(0), cells - 1)).alias("_cell"), "wrapper")
+    own = rows.join(small(counts.select("_host", cells.alias("_cells")).filter("_cells > 1")), "_host", "left")
+    own = own.withColumn("_cell", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("_cells", F.lit(1))).cast("int")).drop("_cells")
+    both = found.unionByName(own, allowMissingColumns=True).repartition("_host", "_cell").sortWithinPartitions("_host", "_cell", F.col("wrapper").isNull())
+
+    def run(batches):
+        host, wrapper = None, []
+        for b in batches:
+            at = 0
+            marks = [*[i for i, w in enumerate(b.column("wrapper").is_valid().to_pylist()) if w], b.num_rows]
+            for i in marks:
+                if i > at:
+                    own = b.slice(at, i - at)
+                    yield _texts_of(own, lambda h, host=host, wrapper=wrapper: wrapper if h == host else [])
+                if i < b.num_rows:
+                    host, wrapper = b.column("_host")[i].as_py(), nested(json.loads(b.column("wrapper")[i].as_py()))
+                at = i + 1
+
+    return arrow_map(both.select("_host", "page_id", "url", "html", "wrapper"), run, PAGE)
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
     found = stored(wrappers(pages), "wrappers")
-    rows = with_host(pages.select("page_id", "url", "html")).join(small(found), "_host", "left")
+    rows = with_host(pages.select("page_id", "url", "html"))
+    if found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("_host")), F.lit(0)).alias("n")).head()["n"] > HELD_BYTES:
+        return _beside(rows, found)
+    shared = pages.sparkSession.sparkContext.broadcast({r["_host"]: r["wrapper"] for r in found.collect()})  # HELD_BYTES at most
 
     def run(batches):
         known: dict[str, list] = {}
+
+        def wrapper_of(host):
+            if host not in known:
+                if len(known) >= 500:
+                    known.clear()
+                raw = shared.value.get(host)
+                known[host] = nested(json.loads(raw)) if raw else []
+            return known[host]
+
         for b in batches:
-            texts = []
-            for host, html, wrapper in zip(*(b.column(c).to_pylist() for c in ("_host", "html", "wrapper")), strict=True):
-                if host not in known:
-                    if len(known) >= 500:
-                        known.clear()
-                    known[host] = nested(json.loads(wrapper)) if wrapper else []
-                texts.append(extract(html, known[host]))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    return arrow_map(rows.select("_host", "page_id", "url", "html", "wrapper"), run, "page_id long, url string, text string")
+            yield _texts_of(b, wrapper_of)
+
+    return arrow_map(rows.select("_host", "page_id", "url", "html"), run, PAGE)

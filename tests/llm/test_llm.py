@@ -257,6 +257,50 @@ def test_html_wrapper_of_all_pages(spark):
     assert "Item 990 \n" not in html_extraction.extract(long[1], html_extraction.infer(long)).replace("Item 990\n", "Item 990 \n")
 
 
+LIKE = [
+    "<body><ul class=q><li>Home page<li>World news<li>Sport today</ul><div class=z><h1>Head {0}</h1><p>First long text of article {0}.<p>Second text {0} is here.</div></body>",
+    "<body><div class=z><h1>Head {0}</h1><p>First long text of article {0}.<p>Second text {0} is here.</div><div class=c3><p>All rights are ours.<p>Write to the editors.</div></body>",
+    "<body><article><h1>Head {0}</h1><p>First long text of article {0}.<p>Second text {0} is here.<div class=c3><p>All rights are ours.<p>Write to the editors.</div></article></body>",
+    "<body><article><h1>Head {0}</h1><p>First long text of article {0}.<p>Second text {0} is here.<p>Read our app.</article></body>",
+]
+
+
+@pytest.mark.parametrize("page", LIKE)
+@pytest.mark.parametrize("parts", [1, 5])
+def test_html_template_among_like_siblings(page, parts):
+    """Lists, footers and notes of neutral names, whose members are folded into one group, go; what differs stays."""
+    pages = [page.format(f"{i} " + "x" * (i % 3)) for i in range(12)]
+    nodes = [None] * parts
+    for i, p in enumerate(pages):
+        nodes[i % parts] = html_extraction.with_page(nodes[i % parts], p)
+    nodes = [html_extraction.unpacked(html_extraction.packed(n)) for n in nodes]
+    top = nodes[0]
+    for other in nodes[1:]:
+        top = html_extraction.joined(top, other)
+    wrapper = html_extraction.nested(html_extraction.plain_rows(top))
+    want = "Head {0}\nFirst long text of article {0}.\nSecond text {0} is here."
+    assert [html_extraction.extract(p, wrapper).replace(" \n", "\n").replace(" .", ".") for p in pages] == [want.format(f"{i} {'x' * (i % 3)}").replace(" \n", "\n").replace(" .", ".").replace("  ", " ") for i in range(12)]
+    other = page.format("other").replace("Home page", "Own list of this page").replace("Write to the editors", "Own note of this page").replace("Read our app", "Own end of this page")
+    assert "of this page" in html_extraction.extract(other, wrapper)
+    copies = [pages[0]] * 12
+    assert html_extraction.extract(copies[0], html_extraction.infer(copies)) == html_extraction.extract(copies[0], [])  # copies do not make a template
+
+
+def test_html_long_groups_and_many_hosts(spark, monkeypatch):
+    """A group of more texts than are remembered keeps what pages do not share; wrappers that no task may hold go beside the pages."""
+    page = "<body><article><h1>Head {0}</h1>" + "".join(f"<p>Paragraph {{0}} {k} of its own." for k in range(150)) + "<p>Read our app.</article></body>"
+    pages = [page.format(i) for i in range(8)]
+    got = html_extraction.extract(pages[3], html_extraction.infer(pages)).split("\n")
+    assert [x for x in got if x != "Read our app."] == ["Head 3"] + [f"Paragraph 3 {k} of its own." for k in range(150)]
+    rows = [(i, f"http://h{i % 7}.org/{i}", LIKE[i % 7 % 4].format(i)) for i in range(140)] + [(900, None, LIKE[0].format(1)), (901, "http://h1.org/x", None), (None, "http://h1.org/y", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    held = sorted(map(str, html_extraction.extract_pages(df).collect()))
+    monkeypatch.setattr(html_extraction, "HELD_BYTES", -1)
+    monkeypatch.setattr(html_extraction, "CELL_PAGES", 6)
+    assert sorted(map(str, html_extraction.extract_pages(df).collect())) == held and len(held) == 143
+    assert html_extraction.extract_pages(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("page", [
     '<body><div role="navigation"><p>No</p></div><div role="main"><p>Yes {0}</p></div></body>',
     "<body><article><p hidden>No</p><p>Yes {0}</p></article></body>",
