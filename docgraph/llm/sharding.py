@@ -12,6 +12,8 @@ give empty results. Columns of the input are kept; size, text_crc32, shard and s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,13 +27,18 @@ CELLS = 256
 BUCKET = "_bucket"
 
 
+def _bucket(rows: DataFrame) -> str:
+    """The column of the atomic group: sized() gives it more underscores than any column called like it."""
+    return max((c for c in rows.columns if c.startswith("_") and c.lstrip("_") == BUCKET.lstrip("_")), key=len)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """docs with size, text_crc32 and the atomic group."""
     return docs.withColumns(
         {
             "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
             "text_crc32": F.crc32(F.coalesce(F.encode("text", "utf-8"), F.lit(b""))),
-            BUCKET: F.shiftright(F.xxhash64("text"), 48).cast("int") + BUCKETS // 2,
+            fresh(docs, BUCKET): F.shiftright(F.xxhash64("text"), 48).cast("int") + BUCKETS // 2,
         }
     )
 
@@ -65,8 +72,9 @@ def capacity(sizes: Column, shards: int) -> Column:
 
 def cuts(rows: DataFrame, shards: int) -> DataFrame:
     """One row: the capacity, and the atomic groups at which a new shard begins (at most shards - 1 of them)."""
-    groups = rows.groupBy(BUCKET).agg(F.sum("size").alias("s"))
-    listed = groups.agg(F.array_sort(F.collect_list(F.struct(F.col(BUCKET).alias("b"), "s"))).alias("g"))  # BUCKETS entries at most
+    bucket = _bucket(rows)
+    groups = rows.groupBy(bucket).agg(F.sum("size").alias("s"))
+    listed = groups.agg(F.array_sort(F.collect_list(F.struct(F.col(bucket).alias("b"), "s"))).alias("g"))  # BUCKETS entries at most
     listed = listed.filter(F.size("g") > 0).withColumn("sizes", F.col("g.s"))
     listed = listed.select("g", capacity(F.col("sizes"), shards).alias("cap"))
 
@@ -103,14 +111,17 @@ def cuts(rows: DataFrame, shards: int) -> DataFrame:
 
 def assign(rows: DataFrame, shards: int = 16) -> DataFrame:
     """rows of sized() with shard and slot."""
+    bucket = _bucket(rows)
     plan = cuts(rows, shards).select(F.coalesce(F.col("at"), F.array().cast("array<int>")).alias("at"))
-    placed = rows.withColumn("_at", plan.scalar())
-    placed = placed.withColumn("shard", F.size(F.filter("_at", lambda c: c <= F.col(BUCKET))).cast("int")).drop("_at")
-    cell = fresh(placed, "_cell")
+    at = fresh(rows, "_at")
+    placed = rows.withColumn(at, plan.scalar())
+    begun = [F.when(F.get(at, F.lit(k)) <= F.col(bucket), 1).otherwise(0) for k in range(shards - 1)]
+    placed = placed.withColumn("shard", reduce(lambda x, y: x + y, begun, F.lit(0)).cast("int")).drop(at)
+    cell, n, first, nth = (fresh(placed, x) for x in ("_cell", "_n", "_before", "_rn"))
     placed = placed.withColumn(cell, F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS)).cast("int"))
     before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", cell).agg(F.count("*").alias("_n")).select("shard", cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    starts = placed.groupBy("shard", cell).agg(F.count("*").alias(n)).select("shard", cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
     inside = Window.partitionBy("shard", cell).orderBy("doc_id", "text_crc32")
-    placed = placed.withColumn("_rn", F.row_number().over(inside))
+    placed = placed.withColumn(nth, F.row_number().over(inside))
     placed = placed.join(F.broadcast(starts), ["shard", cell])  # shards x CELLS rows
-    return placed.withColumn("slot", F.col("_before") + F.col("_rn") - 1).drop("_rn", "_before", cell, BUCKET)
+    return placed.withColumn("slot", F.col(first) + F.col(nth) - 1).drop(nth, first, cell, bucket)

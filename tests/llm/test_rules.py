@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
 from oracle import connect, rows_of, sql_rows
 from pyspark.sql import functions as F
 
-from docgraph.llm import collocations, interaction, quality, queries
+import corpus_pipeline
+from docgraph.llm import collocations, interaction, language_id, mixing, quality, queries, sharding, tokens
 
 SF = f"{DATA}/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, failed string, n_words string, node string, part string"
@@ -241,3 +244,93 @@ def test_first_failures():
     table = interaction.first_failures()
     assert table.shape == (32, 120) and (table[0] == 5).all() and (table[31] == 0).all()
     assert table[0b10000, interaction.ORDERS.index((4, 0, 1, 2, 3))] == 0 and table[0b10000, interaction.ORDERS.index((0, 1, 2, 3, 4))] == 4
+
+
+# older operators: what had no test against brute force
+
+
+def test_convolution_by_hand():
+    """The tables of byte pairs give what the filters give at each place."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 256, (9, language_id.WINDOW)).astype(np.uint8)
+    rows[4:, 200:] = 0
+    rows[0] = 0
+    model = language_id.train(rows, np.arange(9) % 3, ["a", "b", "c"])
+    pooled = model.pooled(rows)
+    for r, row in enumerate(rows):
+        want = []
+        for width, filters in zip(language_id.WIDTHS, model.filters, strict=True):
+            at = [sum(filters[k, row[p + k]] for k in range(width)) for p in range(language_id.WINDOW - width + 1)]
+            want.append(np.max(at, axis=0))
+        assert np.allclose(pooled[r], np.maximum(np.concatenate(want) + model.bias, 0), atol=1e-4)
+        z = np.exp(pooled[r] @ model.out + model.out_bias)
+        assert np.allclose(model.probabilities(rows)[r], z / z.sum(), atol=1e-4)
+
+
+def test_sharding_keeps_clashing_columns(spark, edges, nothing):
+    names = ("_bucket", "_rn", "_at", "_before", "_cell", "_n", "__bucket")
+    clash = spark.createDataFrame([(*r, *names) for r in EDGES], ", ".join([SCHEMA, *(f"{c} string" for c in names)]))
+    got = sharding.assign(sharding.sized(clash), 4)
+    assert sorted(got.columns) == sorted([*clash.columns, "size", "text_crc32", "shard", "slot"])
+    rows = got.collect()
+    assert len(rows) == len(EDGES) and all(r[c] == c for r in rows for c in names)
+    plain = sharding.assign(sharding.sized(edges), 4).collect()
+    assert Counter((r.doc_id, r.text, r.shard) for r in rows) == Counter((r.doc_id, r.text, r.shard) for r in plain)
+    assert sharding.assign(sharding.sized(nothing.withColumn("_bucket", F.lit(1))), 4).count() == 0
+
+
+def ids_of(text):
+    return tokens.encoder(tokens.vocabulary_path()).library.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def five_word_sets(text):
+    w = words(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() against the stages by hand: languages by the model's own scores, groups by comparing all pairs, copies by the plan, pieces by joining them again."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = [(10_001, "12345 678 !!", "en", "s", 1), (10_002, None, "en", None, None), (10_003, "", "en", "s", 0)]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)) if set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"} else docs
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = language_id.fit(docs)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
+    kept = sorted(i for i, (lang, score) in found.items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE)
+    assert not {10_001, 10_002, 10_003} & set(kept)
+    sets, gone = {i: five_word_sets(rows[i].text) for i in kept}, set()
+    up = {i: i for i in kept}
+    for n, i in enumerate(kept):
+        for j in kept[:n]:
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if c == b else c for k, c in up.items()}
+    gone = {i for i in kept if up[i] != i}
+    left = docs.filter(F.col("doc_id").isin([i for i in kept if i not in gone]))
+    copies = {r.doc_id: r.copies for r in mixing.planned(left).collect()}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {i for i, n in copies.items() if n}
+    total = Counter()
+    for r in pieces:
+        total[r.doc_id] += r.length
+    assert total == Counter({i: n * len(ids_of(rows[i].text)) for i, n in copies.items() if n})
+    crc = {}
+    for r in pieces:
+        own = ids_of(rows[r.doc_id].text)[r.start : r.start + r.length]
+        assert crc.setdefault((r.doc_id, r.start, r.length), r.ids_crc32) == r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes()) and r.doc_tokens == len(ids_of(rows[r.doc_id].text))
+    by = defaultdict(list)
+    for r in pieces:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(n for _, n in own) <= 4096
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3, [(1, "", None, "s", 0), (1, "", None, "s", 0)]], ids=["empty", "nulls", "blank"])
+def test_pipeline_of_nothing(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).count()
