@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import batches, display
-from ..sources import exports, store
+from ..operators import batches, display, vault
+from ..session import shared_folder
+from ..sources import exports, pages, store
 from .registry import query, table
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -184,3 +188,73 @@ def src_described_images(spark, d):
     raw = raw.when(k == 3, F.concat(F.lit("  I'll transcribe this page.\n"), said, F.lit("\n")))
     rows = table(spark, d, "pages").select("page_id", display.without_preamble(raw).alias("description"))
     return rows.filter("description IS NOT NULL")
+
+
+_FACTS = """d AS (SELECT doc_id, 'topic' || (doc_id % 20) AS topic, lang, translate(text, '<>"\\`', '') AS text FROM documents WHERE length(text) >= 40 AND lang IS NOT NULL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc_id) - 1 AS idx, lang || '-' || row_number() OVER (PARTITION BY topic, lang ORDER BY doc_id) AS anchor,
+      replace(substr(text, 1, 30), chr(10), ' ') AS summary, regexp_replace(replace(substr(text, 11, 20), chr(10), ' '), '^\s+|\s+$', '', 'g') AS quote FROM d)"""
+
+
+def _vault(spark, d):
+    """Documents as facts under twenty topics, one pattern a topic over its first facts, one insight over all patterns and one action."""
+    docs = table(spark, d, "documents").filter("length(text) >= 40 AND lang IS NOT NULL")
+    docs = docs.select("doc_id", F.concat(F.lit("topic"), (F.col("doc_id") % 20).cast("string")).alias("topic"), (F.col("doc_id") % 20).cast("int").alias("topic_no"), F.col("lang").alias("type"), F.translate("text", '<>"\\`', "").alias("text"))
+    own = F.concat(F.lit("doc"), "doc_id")
+    excerpt = F.struct(F.substring("text", 11, 20).alias("text"), own.alias("file_path"), F.lit(10).cast("long").alias("file_offset"), F.lit(20).cast("long").alias("file_length"), F.lit(False).alias("approximate"))
+    none = F.lit(None)
+    facts = docs.withColumn("idx", (F.row_number().over(Window.partitionBy("topic").orderBy("doc_id")) - 1).cast("long")).select(
+        "topic", "topic_no", "idx", "type", F.replace(F.substring("text", 1, 30), F.lit("\n"), F.lit(" ")).alias("summary"), none.cast("string").alias("occurred_at"), (F.col("doc_id") % 100 / 100).alias("confidence"),
+        F.array().cast("array<struct<name:string,type:string,role:string>>").alias("entities"), F.array("topic").alias("topics"), F.array().cast("array<string>").alias("tags"), F.array(excerpt).alias("evidence"),
+    )
+    first = F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), F.lit(c).alias("conf")) for i, c in enumerate((0.9, 0.8, 0.7))])
+    patterns = facts.groupBy("topic").agg(F.count("*").alias("n")).filter("n >= 3").select(
+        "topic", F.lit(0).cast("long").alias("idx"), F.concat(F.lit("Habit of "), "topic").alias("name"), F.lit("habit").alias("kind"), F.lit(3).cast("long").alias("count"), none.cast("string").alias("domain"),
+        F.lit("What the first three say.").alias("description"), first.alias("source_facts"), F.lit(0).cast("long").alias("hallucinated"),
+    )
+    run = vault.Run(facts, patterns, *[spark.createDataFrame([], schema) for schema in (
+        "scope string, idx long, name string, domains array<string>, description string, mechanism string, implication string, proposed_actions array<string>, source_patterns array<struct<topic:string,idx:long,conf:double>>, hallucinated long",
+        "idx long, recommendation string, kind string, objective string, why string, immediate_action string, habit string, success_metric string, horizon string, review_date string, regret_reduction double, leverage double, consequence double, generativity double, decisiveness double, time_to_feedback double, constraint_fit double, confidence double, score double, source_insights array<struct<scope:string,idx:long,conf:double>>, hallucinated long",
+        "canonical_id string, canonical_name string, entity_type string, role string, description string, aliases array<string>, refs array<struct<topic:string,idx:long>>",
+        "from_id string, to_id string, relation string, confidence double", "position int, name string, value long",
+    )], docs.select(own.alias("file_id"), "text"))
+    return run
+
+
+@query(
+    "exp_vault_pages",
+    f"""WITH {_FACTS}, c AS (SELECT *, CASE WHEN idx < 3 AND count(*) OVER (PARTITION BY topic) >= 3 THEN '0.' || (9 - idx) || '0' END AS conf FROM f),
+    s AS (SELECT topic, idx, '## [' || anchor || '] ' || summary || chr(10) || '*undated · ' || lang || ' · confidence ' || printf('%.2f', (doc_id % 100) / 100.0::DOUBLE) || '* ^' || anchor || chr(10) || chr(10) || '**Topics:** `' || topic || '`' || chr(10) || chr(10) || '**Source:**'
+      || chr(10) || '- [[0-inputs/doc' || doc_id || '#^offset-10|doc' || doc_id || ' @ 10:20]]' || chr(10) || '  > ' || quote || CASE WHEN conf IS NULL THEN '' ELSE chr(10) || chr(10) || '**Cited by (patterns):**' || chr(10) || '- [[3-patterns/' || topic || '#^habit-1|patterns/' || topic || '/habit-1]] · confidence ' || conf END AS body,
+      '- **' || (90 - 10 * idx) || '% match**  [[1-facts/' || topic || '#^' || anchor || '|T' || substr(topic, 2) || ' ' || upper(substr(lang, 1, 1)) || substr(lang, 2) || ' ' || split_part(anchor, '-', 2) || ']]' || CASE WHEN summary = '' THEN '' ELSE ': *"' || regexp_replace(summary, '^\s+|\s+$', '', 'g') || '"*' END
+        || chr(10) || '  - **' || (90 - 10 * idx) || '% match**  [[0-inputs/doc' || doc_id || '#^offset-10|doc' || doc_id || ' @ 10:20]]' || CASE WHEN quote = '' THEN '' ELSE ': *"' || quote || '"*' END AS walk, conf FROM c),
+    p AS (SELECT '1-facts/' || topic || '.md' AS path, '---' || chr(10) || 'topic: ' || topic || chr(10) || 'layer: facts' || chr(10) || 'count: ' || count(*) || chr(10) || '---' || chr(10) || chr(10) || '# T' || substr(topic, 2) || ' — facts' || chr(10) || chr(10)
+        || string_agg(body || chr(10) || chr(10), chr(10) ORDER BY idx) AS page FROM s GROUP BY topic
+      UNION ALL SELECT '3-patterns/' || topic || '.md', '---' || chr(10) || 'topic: ' || topic || chr(10) || 'layer: patterns' || chr(10) || 'count: 1' || chr(10) || '---' || chr(10) || chr(10) || '# T' || substr(topic, 2) || ' — patterns' || chr(10) || chr(10)
+        || '## [habit-1] Habit of ' || topic || chr(10) || '*habit · count 3 · domain ' || topic || '* ^habit-1' || chr(10) || chr(10) || 'What the first three say.' || chr(10) || chr(10) || '**Provenance:**' || chr(10) || string_agg(walk, chr(10) ORDER BY idx) || chr(10) || chr(10) FROM s WHERE conf IS NOT NULL GROUP BY topic)
+    SELECT path, sha256(page) AS sha, CAST(length(page) AS BIGINT) AS n_chars FROM p""",
+)
+def exp_vault_pages(spark, d):
+    """The pages of facts and patterns as they are on disk after the export."""
+    where = f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
+    run = _vault(spark, d)
+    facts, patterns = vault.anchored(run)
+    pages.write_pages(vault.facts_pages(run, facts, patterns).unionByName(vault.patterns_pages(run, patterns, run.insights, vault.fact_trees(run, facts, patterns))), where)
+    read = spark.read.option("recursiveFileLookup", True).text(where, wholetext=True).select(F.col("_metadata.file_path").alias("f"), F.col("value").alias("page"))
+    return read.select(F.regexp_extract("f", "([0-9]-[a-z]+/[^/]+)$", 1).alias("path"), F.sha2("page", 256).alias("sha"), F.length("page").cast("long").alias("n_chars"))
+
+
+@query(
+    "exp_anchored_inputs",
+    f"""WITH {_FACTS}, m AS (SELECT *, 30 + length(regexp_extract(substr(text, 31), '^[.!?,;:"''\)\]}}]*')) AS mark, CASE WHEN strpos(substr(text, 31), chr(10)) > 0 THEN 29 + strpos(substr(text, 31), chr(10)) ELSE length(text) END AS stop FROM f),
+    w AS (SELECT *, CASE WHEN strpos(reverse(substr(text, 1, CAST(stop AS BIGINT))), chr(10)) > 0 THEN stop - strpos(reverse(substr(text, 1, CAST(stop AS BIGINT))), chr(10)) + 1 ELSE 0 END AS start FROM m),
+    b AS (SELECT *, start >= 2 AND substr(text, start - 1, 1) <> chr(10) AS above, stop + 1 < length(text) AND substr(text, stop + 2, 1) <> chr(10) AS below, ' [[1-facts/' || topic || '#^' || anchor || '|[' || topic || '/' || anchor || ']]]' AS marker FROM w),
+    o AS (SELECT doc_id, substr(text, 1, start) || CASE WHEN start = mark THEN marker || CASE WHEN above THEN chr(10) ELSE '' END ELSE CASE WHEN above THEN chr(10) ELSE '' END || substr(text, start + 1, mark - start) || marker END
+      || substr(text, mark + 1, stop - mark) || ' ^offset-10' || substr(text, stop + 1, 1) || CASE WHEN below THEN chr(10) ELSE '' END || substr(text, stop + 2) AS body FROM b)
+    SELECT 'doc' || doc_id AS file_id, '---' || chr(10) || 'layer: input' || chr(10) || 'file_id: doc' || doc_id || chr(10) || 'cited_facts: 1' || chr(10) || '---' || chr(10) || chr(10) || '# doc' || doc_id || chr(10) || body AS page FROM o""",
+)
+def exp_anchored_inputs(spark, d):
+    """Every document with the marker of its excerpt and an anchor at the end of that line."""
+    run = _vault(spark, d)
+    facts, _ = vault.anchored(run)
+    made = vault.input_pages(run, facts)
+    return made.select(F.regexp_extract("path", "/(.*)[.]md$", 1).alias("file_id"), F.col("text").alias("page"))
