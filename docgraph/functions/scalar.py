@@ -129,8 +129,25 @@ def percent(x: Column) -> Column:
     return F.concat(F.bround(x * 100).cast("int").cast("string"), F.lit("%"))
 
 
-def padded_call_id(n: Column) -> Column:
-    return F.lpad(n.cast("string"), 4, "0")
+#: Fixed value: the characters of short ids, none of which looks like another.
+SHORT_ID = "[abcdefghjkmnpqrstuvwxyz23456789]{4}"
+
+
+def call_number(id_: Column, default: int = 0) -> Column:
+    """The number that a call id is; the default where it is none."""
+    return F.coalesce(id_.cast("string").try_cast("int"), F.lit(default))
+
+
+def padded_call_id(id_: Column) -> Column:
+    """A call id as four digits; null where it is no number from 0 to 9999."""
+    n = F.trim(id_.cast("string")).try_cast("int")
+    return F.when(n.between(0, 9999), F.lpad(n.cast("string"), 4, "0"))
+
+
+def short_id(name: Column) -> Column:
+    """The short id at the end of a name; null where there is none."""
+    last = F.substring_index(name, "-", -1)
+    return F.when(last.rlike(f"^{SHORT_ID}$"), last)
 
 
 def canonical_hash(*columns: tuple[str, Column]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import vocab
 from ..functions.ordered import in_order
+from .graph import shared_pairs
 from ..functions.scalar import tokens_similar
 
 # Words that say nothing about who is meant; those of them that say nothing at all; words for relations.
@@ -34,9 +35,9 @@ def numbered(groups: DataFrame, order: list) -> DataFrame:
 
 def comentions(mentions: DataFrame, entity: str, fact: str) -> DataFrame:
     """For each entity the others it is mentioned with, and in how many facts: mentions are deduplicated before they meet."""
-    m = mentions.select(F.col(entity).alias("entity"), F.col(fact).alias("_f")).distinct()
-    o = m.withColumnRenamed("entity", "other")
-    return m.join(o, "_f").filter("entity <> other").groupBy("entity", "other").agg(F.count("*").alias("facts"))
+    m = mentions.select(F.col(entity).alias("entity"), F.col(fact).alias("_f"))
+    pairs = shared_pairs(m, m.withColumnRenamed("entity", "other"), "entity", "other", "_f")
+    return pairs.filter("entity <> other").groupBy("entity", "other").agg(F.count("*").alias("facts"))
 
 
 def resolved(candidates: DataFrame, groups: DataFrame, name: str, kind: str) -> DataFrame:

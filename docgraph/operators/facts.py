@@ -37,6 +37,13 @@ def relation_candidate(a: Column, b: Column, verb: Column, confidence: Column) -
     return F.when((F.trim(a) != "") & (F.trim(b) != "") & (F.lower(a) != F.lower(b)), F.struct(a.alias("from"), b.alias("to"), verb.alias("verb"), confidence.alias("confidence")))
 
 
+def payload_outcome(payload: Column, key: str) -> Column:
+    """What a reply is to its reader: `ok` with items under the key, `empty` with none, `parse_error` where it is no JSON object or the key holds no list."""
+    items = F.get_json_object(payload, f"$.{key}")
+    n = F.json_array_length(items)
+    return F.when(F.json_object_keys(payload).isNull() | n.isNull(), "parse_error").when(n == 0, "empty").otherwise("ok")
+
+
 def by_topic(df: DataFrame, order: list[str], topics: str = "topics") -> DataFrame:
     """A row for each topic of an item, with its index in the topic; items without topics vanish."""
     rows = df.withColumn("topic", F.explode(topics)).drop(topics)
@@ -44,10 +51,19 @@ def by_topic(df: DataFrame, order: list[str], topics: str = "topics") -> DataFra
 
 
 def dedup_first(df: DataFrame, key: str, idx: str) -> DataFrame:
-    """The first row of each key with all indices of it; empty keys are dropped. Members are collected by key: a list of ids, no texts."""
+    """The first row of each key with all indices of it; empty keys are dropped. Members are collected by key: a list of ids, no texts. Where a key may have
+    very many, dedup_members() says the same in rows."""
     return df.filter(F.col(key) != "").groupBy(key).agg(F.min(idx).alias(idx), F.count("*").alias("copies"), F.sort_array(F.collect_list(idx)).alias("members")).drop(key)
 
 
+def dedup_members(df: DataFrame, key: str, idx: str) -> DataFrame:
+    """A row for each row with a key that is not empty: its index and the first one of its key. Only indices and digests of keys are shuffled, and each key's
+    least index goes back to its rows by a join that AQE may split."""
+    rows = df.filter(F.col(key) != "").select(idx, F.sha2(key, 256).alias("_key"))
+    first = rows.groupBy("_key").agg(F.min(idx).alias("first"))
+    return rows.join(first, "_key").select(idx, "first")
+
+
 def large_topics(df: DataFrame, topic: list[str], least: int) -> DataFrame:
     return df.groupBy(*topic).agg(F.count("*").alias("facts")).filter(F.col("facts") >= least)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed
+from ..session import bounded, checkpointed
 
 
 def both_ways(edges: DataFrame, kind: str | None = None) -> DataFrame:
@@ -91,9 +91,28 @@ def document_sections(chunks: DataFrame, file: str, path: str, at: str) -> DataF
     return firsts.select(file, path, (F.row_number().over(Window.partitionBy(file).orderBy("_first", path)) - 1).alias("place"))
 
 
+#: Members of an item beyond which the pairs that share it are dealt over several tasks.
+BLOCK = 1000
+
+
+def shared_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, item: str, block: int | None = None) -> DataFrame:
+    """(item, left_id, right_id) of the distinct rows that share an item. An item with more than BLOCK members on a side is cut into blocks by hash of the id, and each
+    pair of blocks is a key of its own: no task meets all pairs of a hot item."""
+    block = block or BLOCK
+    sides = [df.select(F.col(id_), F.col(item)).distinct() for df, id_ in ((left, left_id), (right, right_id))]
+    hot = [s.groupBy(item).agg(F.ceil(F.count("*") / block).cast("int").alias(n)).filter(F.col(n) > 1) for s, n in zip(sides, ("_a", "_b"), strict=True)]
+    blocks = bounded(checkpointed(hot[0].join(hot[1], item, "full_outer").select(item, F.coalesce("_a", F.lit(1)).alias("_a"), F.coalesce("_b", F.lit(1)).alias("_b"))))
+
+    def dealt(side: DataFrame, id_: str, own: str, other: str) -> DataFrame:
+        rows = side.join(blocks, item, "left").withColumn(own, F.pmod(F.xxhash64(id_), F.coalesce(own, F.lit(1))).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+
+    return dealt(sides[0], left_id, "_a", "_b").join(dealt(sides[1], right_id, "_b", "_a"), [item, "_a", "_b"]).select(item, left_id, right_id)
+
+
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, item: str) -> DataFrame:
     """Pairs that share items, with how many: items are joined, sets are never compared."""
-    return left.select(left_id, item).distinct().join(right.select(right_id, item).distinct(), item).groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    return shared_pairs(left, right, left_id, right_id, item).groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
 
 
 def top_by(df: DataFrame, partition: list[str], order: list, k: int, name: str = "rank") -> DataFrame:

@@ -52,13 +52,31 @@ def stub_provider(calls: pd.DataFrame) -> list[dict]:
 
 #: What a provider says of a call; what it leaves out is null.
 REPLY = "payload string, error_class string, message string, duration double, ttft double, completion_tokens long, max_tokens long"
-STATE = "call_id string, root_id string, prompt string, attempt int, load int, sizing int, other int, thinking boolean, fallback boolean, last string"
+STATE = "call_id string, root_id string, prompt string, attempt int, load int, sizing int, other int, thinking boolean, fallback boolean, last string, parent string"
 #: Most rounds of a call: all its halvings, retries of load and other retries.
 ROUNDS = MOST_HALVES + MOST_LOAD + 3
 
 
 def run_ladder(calls: DataFrame, provider: Callable[[pd.DataFrame], list[dict]], rounds: int = ROUNDS) -> DataFrame:
-    """Run calls (call_id, prompt) until each has ended: call_id, root_id, status, attempt and payload of every final call.
+    """Run calls (call_id, prompt) until each has ended: call_id, root_id, status, attempt and payload of every final call."""
+    return logged_ladder(calls, provider, rounds)[0]
+
+
+def attempt_events(asked: DataFrame, stage: str) -> DataFrame:
+    """A begin and an end for each attempt of a round. They are named by call and attempt, so a round that runs again says the same once more and nothing else."""
+    c = F.col
+    own = F.concat("call_id", F.lit("#"), c("attempt").cast("string"))
+    label = F.concat(F.lit(stage), F.when(c("last") == "halve", "/half").when(c("last") == "", "").otherwise(F.concat(F.lit("/"), F.replace(c("last"), F.lit("_"), F.lit("-")))))
+    none = lambda kind: F.lit(None).cast(kind)
+    common = [own.alias("call_id"), F.lit(stage).alias("stage"), label.alias("category"), "root_id"]
+    begin = asked.select(F.lit("begin").alias("event"), *common, (2 * c("attempt")).cast("long").alias("pos"), c("parent").alias("retry_of_call_id"), none("boolean").alias("success"), none("string").alias("error_class"), none("string").alias("message"), none("long").alias("duration_ms"), none("long").alias("completion_tokens"), none("string").alias("finish_reason"), none("string").alias("llm_status"))
+    finish = F.when(c("completion_tokens") >= c("max_tokens"), "length").otherwise("stop")
+    end = asked.select(F.lit("end").alias("event"), *common, (2 * c("attempt") + 1).cast("long").alias("pos"), none("string").alias("retry_of_call_id"), (c("status") == "OK").alias("success"), "error_class", "message", (c("duration") * 1000).cast("long").alias("duration_ms"), "completion_tokens", finish.alias("finish_reason"), c("status").alias("llm_status"))
+    return begin.unionByName(end)
+
+
+def logged_ladder(calls: DataFrame, provider: Callable[[pd.DataFrame], list[dict]], rounds: int = ROUNDS, stage: str = "call") -> tuple[DataFrame, DataFrame]:
+    """run_ladder() and the events of all attempts (operators.telemetry.folded reads them), from the same checkpoints.
 
     A round is one job over the calls that are pending: the provider is asked, status() judges and retry() decides. A call goes on as
     it is, without reasoning, with the fallback model, or as its two halves; halves keep their family's counts. A good reply after
@@ -74,13 +92,15 @@ def run_ladder(calls: DataFrame, provider: Callable[[pd.DataFrame], list[dict]],
 
     c = F.col
     zero = F.lit(0)
-    pending = calls.select("call_id", c("call_id").alias("root_id"), "prompt", zero.alias("attempt"), zero.alias("load"), zero.alias("sizing"), zero.alias("other"), F.lit(True).alias("thinking"), F.lit(False).alias("fallback"), F.lit("").alias("last"))
-    done = None
+    pending = calls.select("call_id", c("call_id").alias("root_id"), "prompt", zero.alias("attempt"), zero.alias("load"), zero.alias("sizing"), zero.alias("other"), F.lit(True).alias("thinking"), F.lit(False).alias("fallback"), F.lit("").alias("last"), F.lit(None).cast("string").alias("parent"))
+    done, events = None, None
     for left in range(rounds, -1, -1):
         asked = pending.mapInPandas(ask, f"{STATE}, {REPLY}").withColumn("status", status())
         asked = asked.withColumn("next", retry(c("status"), c("load"), c("sizing"), c("other")))
         blocked = (c("next") == "halve") & (F.length("prompt") < 2)  # nothing to divide
         asked = checkpointed(asked.withColumn("next", F.when(blocked | F.lit(left == 0), "stop").otherwise(c("next"))))
+        log = attempt_events(asked, stage)
+        events = log if events is None else events.unionByName(log)
         good = F.when((c("status") == "OK") & (c("last") == "reasoning_off"), "SUCCESS_REASONING_OFF").when((c("status") == "OK") & (c("last") == "fallback"), "SUCCESS_MODEL_FALLBACK").otherwise(c("status"))
         ended = asked.filter("next = 'stop'").select("call_id", "root_id", good.alias("status"), "attempt", "payload")
         done = ended if done is None else done.unionByName(ended)
@@ -92,7 +112,8 @@ def run_ladder(calls: DataFrame, provider: Callable[[pd.DataFrame], list[dict]],
         pending = again.select(
             c("x.id").alias("call_id"), "root_id", c("x.p").alias("prompt"), (c("attempt") + 1).alias("attempt"), count("load", c("status") == "LOAD"), count("sizing", c("status").isin(*SIZING)),
             count("other", c("status") == "OTHER"), (c("thinking") & (c("next") != "reasoning_off")).alias("thinking"), (c("fallback") | (c("next") == "fallback")).alias("fallback"), c("next").alias("last"),
+            F.concat("call_id", F.lit("#"), c("attempt").cast("string")).alias("parent"),
         )
         if pending.isEmpty():
             break
-    return done
+    return done, events

@@ -114,6 +114,21 @@ _STAMP = re.compile(r"^\[?(\d{1,2}/\d{1,2}/\d{2,4}),?\s+(\d{1,2}:\d{2}(?::\d{2})
 _FORMATS = tuple(f"{d} {t}" for d in ("%d/%m/%Y", "%m/%d/%Y", "%d/%m/%y", "%m/%d/%y") for t in ("%H:%M:%S", "%H:%M", "%I:%M:%S %p", "%I:%M %p"))
 
 
+# How times of chat lines are written, in the order in which they are tried.
+STAMPS = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "dd/MM/yy HH:mm:ss", "dd/MM/yy HH:mm", "MM/dd/yy HH:mm:ss", "MM/dd/yy HH:mm", "dd/MM/yyyy hh:mm:ss a", "dd/MM/yyyy hh:mm a")
+
+
+def line_time(line: Column) -> Column:
+    """The time at the begin of a chat line, by the first form that fits; null where there is none. Days, months and hours may have one digit."""
+    parts = r"(?i)^\[?(\d{1,2})/(\d{1,2})/(\d{2,4}),?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(AM|PM)?\]?\s+"
+    part = lambda k: F.regexp_extract(line, parts, k)
+    two = lambda k: F.lpad(part(k), 2, "0")
+    second, half = F.when(part(6) != "", F.concat(F.lit(":"), part(6))).otherwise(""), F.when(part(7) != "", F.concat(F.lit(" "), F.upper(part(7)))).otherwise("")
+    plain = F.concat(two(1), F.lit("/"), two(2), F.lit("/"), part(3), F.lit(" "), two(4), F.lit(":"), part(5), second, half)
+    fits = lambda form: (F.length(part(3)) == (4 if "yyyy" in form else 2)) & ((part(7) != "") == form.endswith("a"))
+    return F.coalesce(*[F.when(fits(form), F.try_to_timestamp(plain, F.lit(form))) for form in STAMPS])
+
+
 def gap_bounds(text: str, budget: int, gap: int = vocab.CHAT_GAP_SECONDS) -> list[tuple[int, int]]:
     """Ranges of a chat export: cut at the largest silence of gap seconds or more until each part fits the budget; parts
     without one are cut like other texts."""

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import documents, entities, exports, graph, knowledge, markers, search, sources, synthesis, telemetry  # noqa: E402, F401
+from . import documents, entities, exports, graph, knowledge, markers, scalars, search, sources, synthesis, telemetry  # noqa: E402, F401

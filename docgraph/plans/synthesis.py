@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..operators import export, model, synthesis
+from ..operators import export, model, synthesis, telemetry
+from ..session import shared_folder
+from ..sources import cache
 from .registry import query, table
 
 
@@ -191,27 +195,62 @@ def exp_privacy_cut(spark, d):
     return export.cut_at_level(table(spark, d, "orders").withColumn("level", level), "level", 2)
 
 
+@query(
+    "mdl_cache_runs",
+    """WITH k AS (SELECT source AS stage, text FROM documents), d AS (SELECT stage, count(*) AS calls, count(DISTINCT text) AS keys FROM k GROUP BY 1)
+    SELECT stage, 1 AS run, 0::BIGINT AS hits, calls AS misses, keys AS stores FROM d UNION ALL SELECT stage, 2, calls, 0, 0 FROM d UNION ALL SELECT stage, 3, 0, calls, keys FROM d""",
+)
+def mdl_cache_runs(spark, d):
+    """Three runs over a store on disk: the second is answered by the first, the third comes after all has expired."""
+    text = F.col("text")
+    calls = table(spark, d, "documents").select(F.col("source").alias("stage"), S.canonical_hash(("text", text)).alias("cache_key"), F.col("doc_id").cast("string").alias("call_id"), text.alias("prompt"))
+    kept = cache.CacheStore(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}", buckets=4)
+    start, out = F.lit("2024-01-01 00:00:00").cast("timestamp"), None
+    for run, day in enumerate((0, 5, 40), 1):
+        _, counters = cache.through(kept, calls, lambda asked: asked.select("call_id", F.lit("OK").alias("status"), F.md5("prompt").alias("value")), start + F.make_dt_interval(F.lit(day)))
+        counters = counters.select("stage", F.lit(run).alias("run"), "hits", "misses", "stores")
+        out = counters if out is None else out.unionByName(counters)
+    return out
+
+
+def _ladder_provider(calls):
+    """Replies by doc_id: good at once, load until the fallback model, load until reasoning is off, too long, other errors until the fallback model."""
+    out = []
+    for root, prompt, thinking, fallback in zip(calls["root_id"], calls["prompt"], calls["thinking"], calls["fallback"], strict=True):
+        k = int(root[1:]) % 5
+        if (k == 1 and not fallback) or (k == 2 and thinking):
+            out.append({"error_class": "RateLimitError"})
+        elif k == 3 and len(prompt) > 40:
+            out.append({"error_class": "BadRequest", "message": "maximum context length in tokens"})
+        elif k == 4 and not fallback:
+            out.append({"error_class": "ValueError", "message": "no"})
+        else:
+            out.append({"payload": "{}", "duration": 0.25, "completion_tokens": len(prompt), "max_tokens": 100})
+    return out
+
+
+@query(
+    "mdl_ladder_log",
+    """SELECT 'd' || doc_id AS root_id, [1, 5, 3, 7, 3][doc_id % 5 + 1] AS calls, [1, 1, 1, 4, 1][doc_id % 5 + 1] AS good, [0, 4, 2, 6, 2][doc_id % 5 + 1] AS retries,
+      [100, 100, 100, 100, 100][doc_id % 5 + 1] AS tokens, [1, 1, 1, 4, 1][doc_id % 5 + 1] AS leaves FROM documents""",
+)
+def mdl_ladder_log(spark, d):
+    """The ladder's own log, folded into calls: every attempt is one, and what was good makes up the prompt."""
+    calls = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("call_id"), F.repeat(F.lit("x"), F.lit(100)).alias("prompt"))
+    _, log = model.logged_ladder(calls, _ladder_provider, stage="extract")
+    folded = telemetry.folded(log).withColumn("root_id", F.regexp_extract("call_id", "^([^/#]+)", 1))
+    leaf = telemetry.leaves(folded).select("call_id", F.lit(True).alias("leaf"))
+    by = folded.join(leaf, "call_id", "left").groupBy("root_id")
+    count = lambda x: F.count_if(x).cast("int")
+    return by.agg(F.count("*").cast("int").alias("calls"), count(F.col("success")).alias("good"), count(F.col("retry_of_call_id").isNotNull()).alias("retries"), F.sum("completion_tokens").cast("int").alias("tokens"), count(F.col("leaf")).alias("leaves"))
+
+
 @query(
     "mdl_ladder_outcomes",
     """SELECT 'd' || doc_id AS root_id, ['OK', 'SUCCESS_MODEL_FALLBACK', 'SUCCESS_REASONING_OFF', 'OK', 'SUCCESS_MODEL_FALLBACK'][doc_id % 5 + 1] AS status, [0, 4, 2, 2, 2][doc_id % 5 + 1] AS attempt, [1, 1, 1, 4, 1][doc_id % 5 + 1] AS calls FROM documents""",
 )
 def mdl_ladder_outcomes(spark, d):
     """Every way through the ladder: at once, by the fallback model after load, without reasoning, in quarters, by the fallback after other errors."""
-
-    def provider(calls):
-        out = []
-        for root, prompt, thinking, fallback in zip(calls["root_id"], calls["prompt"], calls["thinking"], calls["fallback"], strict=True):
-            k = int(root[1:]) % 5
-            if (k == 1 and not fallback) or (k == 2 and thinking):
-                out.append({"error_class": "RateLimitError"})
-            elif k == 3 and len(prompt) > 40:
-                out.append({"error_class": "BadRequest", "message": "maximum context length in tokens"})
-            elif k == 4 and not fallback:
-                out.append({"error_class": "ValueError", "message": "no"})
-            else:
-                out.append({"payload": "{}"})
-        return out
-
     calls = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("call_id"), F.repeat(F.lit("x"), F.lit(100)).alias("prompt"))
-    rows = model.run_ladder(calls, provider)
+    rows = model.run_ladder(calls, _ladder_provider)
     return rows.groupBy("root_id", "status", "attempt").agg(F.count("*").alias("calls"))
