@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import arrow_map
-from .tokens import encoder, vocabulary_path, with_end
+from .tokens import REMEMBERED, encoder, vocabulary_path, with_end
 
 SEQUENCE = 4096
 WINDOW = 2 << 20
@@ -94,7 +94,7 @@ def window_sequences(lengths: list[int], size: int = SEQUENCE) -> Iterator[list[
         yield out
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, window: int = WINDOW, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of the texts of docs with their ids (unsigned 32-bit, little-endian), by sequence."""
     path = vocabulary or vocabulary_path()
     fields = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, w
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
 
         for b in batches:
-            ids, offs = with_end(*encoder(path).encode(b.column("text").to_pylist()))
+            ids, offs = with_end(*encoder(path, remembered).encode(b.column("text").to_pylist()))
             ids = ids.astype("<u4")
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
                 names.append(doc)

@@ -22,7 +22,7 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(f"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{re.escape(_MARKS)}]*").fullmatch
 #: The vocabulary's alphabet has other characters for these bytes than Latin-1 has.
 _BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])} | {32: 32}
-_OPEN: dict[str, Encoder] = {}
+_OPEN: dict[tuple[str, int], Encoder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,11 +31,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Encoder:
-    """One for each path and worker."""
-    if path not in _OPEN:
-        _OPEN[path] = Encoder(path)
-    return _OPEN[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One for each path and worker, that remembers so many words."""
+    if (path, remembered) not in _OPEN:
+        _OPEN[path, remembered] = Encoder(path, remembered)
+    return _OPEN[path, remembered]
 
 
 class Known(dict):
@@ -52,7 +52,8 @@ class Known(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.library = Tokenizer.from_file(path)
         self.tokenize = self.library.model.tokenize
         self.marks: dict[str, list[int]] = {}
@@ -111,7 +112,7 @@ class Encoder:
     def _trim(self) -> None:
         """Keep the words seen more than once, in at most half of the room."""
         n = len(self.known)
-        order = np.argsort(-self.seen[:n], kind="stable")[: REMEMBERED // 2]
+        order = np.argsort(-self.seen[:n], kind="stable")[: self.remembered // 2]
         kept = np.sort(order[self.seen[order] > 1])
         words = list(self.known)
         words = [words[k] for k in kept.tolist()]  # the number of a word is its place in known
@@ -125,7 +126,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and len + 1 offsets; null is empty."""
         lists = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._trim()
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
