@@ -20,6 +20,8 @@ from docgraph.llm.common import stored, table
 LEAST_SCORE = 0.4
 #: Near copies: words of a shingle, and the least Jaccard similarity as a fraction.
 SHINGLE_WORDS, LIKENESS = 5, (80, 100)
+#: Words that a worker of the last stage remembers, fewer than packing alone does: executors have grown by then.
+REMEMBERED = 150_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents by training sequence."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(docs, remembered=REMEMBERED).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES = [("language_id", language), ("ngram_join", near_duplicates), ("mixing", mixed), ("packing", packed)]
