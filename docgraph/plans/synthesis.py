@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..operators import export, model, synthesis, telemetry
+from ..operators import export, job, model, synthesis, telemetry
 from ..session import shared_folder
 from ..sources import cache
 from .registry import query, table
@@ -254,3 +255,35 @@ def mdl_ladder_outcomes(spark, d):
     calls = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("call_id"), F.repeat(F.lit("x"), F.lit(100)).alias("prompt"))
     rows = model.run_ladder(calls, _ladder_provider)
     return rows.groupBy("root_id", "status", "attempt").agg(F.count("*").alias("calls"))
+
+
+def stage_provider(calls):
+    """Replies of a small model by rules: one fact of a document, one pattern of a topic over its first and third facts (and one that is not there), one action."""
+    out = []
+    for prompt in calls["prompt"]:
+        head, _, body = prompt.partition("\n")
+        if head == "EXTRACT":
+            items = [{"type": "fact", "text": body[:40], "topics": [f"t{len(body) % 3}"], "quote": body[5:45]}, {"type": "rumour", "text": "no"}]
+            out.append({"payload": json.dumps({"items": items})})
+        elif head.startswith("PATTERNS"):
+            out.append({"payload": json.dumps({"patterns": [{"name": f"P {head[9:]}", "refs": [[0, 0.9], [2, 0.5], [999999, 7]]}]})})
+        else:
+            out.append({"payload": json.dumps({"actions": [{"recommendation": f"Do {body.count(chr(10)) + 1}", "refs": [{"topic": "t0", "idx": 0, "conf": 0.8}, {"topic": "zz", "idx": 0, "conf": 0.1}]}]})})
+    return out
+
+
+@query(
+    "mdl_staged_job",
+    r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents WHERE length(text) <= 48000), f AS (SELECT doc_id, 't' || (length(b) % 3) AS topic, substr(b, 1, 40) AS t FROM b WHERE b <> ''),
+    n AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(trim(regexp_replace(lower(t), '\s+', ' ', 'g')), '[^\p{L}\p{M}\p{N}\p{Pc}\s]', '', 'g') ORDER BY doc_id) AS rn FROM f),
+    c AS (SELECT topic, count(*) AS n, sum(doc_id) AS s FROM n WHERE rn = 1 GROUP BY 1)
+    SELECT 'facts' AS stage, topic AS name, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS total FROM c UNION ALL SELECT 'patterns', 'P ' || topic, CAST(CASE WHEN n > 2 THEN 2 ELSE 1 END AS BIGINT), CAST(CASE WHEN n > 2 THEN 1 ELSE 2 END AS BIGINT) FROM c
+    UNION ALL SELECT 'actions', 'Do ' || count(*), CAST(count(*) FILTER (WHERE topic = 't0') AS BIGINT), CAST(2 - count(*) FILTER (WHERE topic = 't0') AS BIGINT) FROM c""",
+)
+def mdl_staged_job(spark, d):
+    """Documents to actions in stages on disk, over a provider that replies by rules."""
+    docs = table(spark, d, "documents").filter("length(text) <= 48000").select("doc_id", "text")
+    made = job.run_staged(job.pipeline(), {"documents": docs}, stage_provider, f"{shared_folder(spark)}/job-{uuid.uuid4().hex}")
+    facts = made["facts"].groupBy(F.lit("facts").alias("stage"), F.col("topic").alias("name")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
+    patterns = made["patterns"].select(F.lit("patterns"), "name", F.size("source_facts").cast("long"), "hallucinated")
+    return facts.union(patterns).union(made["actions"].select(F.lit("actions"), "recommendation", F.size("source_patterns").cast("long"), "hallucinated"))
