@@ -150,11 +150,12 @@ def longest_match(source: Source, quote: str) -> tuple[int, int] | None:
     return (best[1], -best[0]) if -best[0] >= LEAST_MATCH else None
 
 
-def resolve(source: Source, quote: str) -> tuple[int, int, bool] | None:
+def resolve(source: Source | str, quote: str) -> tuple[int, int, bool] | None:
     """(start, end, approximate) of a quote: exact, then with white space and quotes made alike, then by its first PREFIX_CHARS
     characters, then by its longest match of a quarter of it or more."""
+    source = Source(source) if isinstance(source, str) else source
     text = source.text
-    if not quote:
+    if not quote.strip():
         return None
     if (i := text.find(quote)) >= 0:
         return i, i + len(quote), False
