@@ -87,3 +87,42 @@ def test_what_is_not_carved(spark):
     assert {r.kind for r in split.carved(long, "doc_id", cap=100).collect()} == {"head", "rest", "whole"}
     assert split.carved(long.limit(0), "doc_id").count() == 0
     assert S.count_tokens(F.lit("")) is not None
+
+
+def chunks_by_hand(text, limit):
+    """Sections by lines, then windows of a section that is too long."""
+    if len(text) // 3 <= limit:
+        return [(0, [], text.strip())] if text.strip() else []
+    sections, stack, at = [(0, [])], [], 0
+    for line in text.splitlines(keepends=True):
+        head = line.rstrip("\n")
+        mark = head.split(None, 1)[0] if head.startswith("#") and len(head.split(None, 1)) == 2 else ""
+        if mark in ("#", "##", "###") and head[len(mark)].isspace():
+            stack = [x for x in stack if x[0] < len(mark)] + [(len(mark), head[len(mark) :].strip())]
+            sections.append((at, [t for _, t in stack]))
+        at += len(line)
+    sections = [(b, p, e) for (b, p), (e, _) in zip(sections, [*sections[1:], (len(text), None)], strict=True) if e > b]
+    out, size, stride = [], limit * 3, (limit - limit // 8) * 3
+    for b, path, e in sections:
+        at = b
+        while at < e:
+            to = e if (e - b) // 3 <= limit else min(e, at + size)
+            if text[at:to].strip():
+                out.append((at, path, text[at:to].strip()))
+            at = e if to == e else at + stride
+    return out
+
+
+def test_sections_by_hand(spark):
+    texts = ["", "short", "# A\n\nfirst words\n## B\nsecond\n### C\nthird part\n# D\n" + "long words " * 30, "before\n# One\nx\n#no heading\n####  four\n## Two \n" + "y " * 40, "no headings at all " * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (8, 20, 500):
+        got = {}
+        for r in split.chunk(docs, limit).collect():
+            got.setdefault(r.doc_id, []).append((r.char_offset, list(r.section_path), r.chunk))
+        assert {i: sorted(v) for i, v in got.items()} == {i: sorted(c) for i, t in enumerate(texts) if (c := chunks_by_hand(t, limit))}
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = {}
+    for r in registry.QUERIES["spl_sections"](spark, SF).collect():
+        found.setdefault(r.doc_id, []).append((r.char_offset, list(r.section_path), r.chunk))
+    assert {i: sorted(v) for i, v in found.items()} == {i: sorted(c) for i, t in rows.items() if (c := chunks_by_hand(t, 512))}
