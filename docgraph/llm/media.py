@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, dealt_join, discard, hot_keys, stored
@@ -166,13 +167,19 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter("uid is not null"), pieces
 
 
-def restore(files: DataFrame, pieces: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media_sha256 and media (the file, verified) of every stored file."""
-    remote = F.exists("recipe", lambda c: ~c["here"])
-    none = F.lit(None).cast("array<struct<pos:int,data:binary>>")
-    wanted = files.filter(remote).select("uid", F.posexplode("recipe").alias("pos", "c")).filter("not c.here").select("uid", "pos", F.col("c.digest").alias("digest"))
-    brought = dealt_join(wanted, pieces, "digest", "uid", hot_keys(wanted, "digest")).groupBy("uid").agg(F.collect_list(F.struct("pos", "data")).alias("remote"))  # one file's chunks
-    rows = files.filter(~remote).withColumn("remote", none).unionByName(files.filter(remote).join(brought, "uid"))
+def _remote() -> Column:
+    """Whether a file has chunks in the chunk table."""
+    return F.exists("recipe", lambda c: ~c["here"])
+
+
+def _brought(ids: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(uid, remote): the chunks of the chunk table that files (uid, recipe) are made of."""
+    wanted = ids.select("uid", F.posexplode("recipe").alias("pos", "c")).filter("not c.here").select("uid", "pos", F.col("c.digest").alias("digest"))
+    return dealt_join(wanted, pieces, "digest", "uid", hot_keys(wanted, "digest")).groupBy("uid").agg(F.collect_list(F.struct("pos", "data")).alias("remote"))  # one file's chunks
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media_sha256 and media (verified) of files with the chunks that they lack (remote)."""
 
     def run(batches):
         for b in batches:
@@ -197,6 +204,28 @@ def restore(files: DataFrame, pieces: DataFrame) -> DataFrame:
     return arrow_map(rows.select("doc_id", "n_bytes", "media_sha256", "recipe", "data", "remote"), run, "doc_id long, n_bytes long, media_sha256 string, media binary", rows=256)
 
 
+def restore(files: DataFrame, pieces: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media_sha256 and media (the file, verified) of every stored file."""
+    remote, none = _remote(), F.lit(None).cast("array<struct<pos:int,data:binary>>")
+    rows = files.filter(~remote).withColumn("remote", none).unionByName(files.filter(remote).join(_brought(files.filter(remote), pieces), "uid"))
+    return _assembled(rows)
+
+
+def read_back(files: DataFrame, pieces: DataFrame, told: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, n_bytes and what told() says of every stored file; told: rows of restore() to narrow columns, media_sha256 among them. Of equal files that are made of shared chunks one is
+    put together and tells of all, so copies of a file bring no chunks."""
+    remote, none = _remote(), F.lit(None).cast("array<struct<pos:int,data:binary>>")
+    shared = files.filter(remote)
+    firsts = shared.groupBy("media_sha256").agg(F.min("uid").alias("uid"))
+    ids = shared.select("uid", "media_sha256", "recipe").join(firsts, ["media_sha256", "uid"], "left_semi")
+    rows = files.filter(~remote).withColumn("remote", none).unionByName(shared.join(_brought(ids, pieces), "uid"))
+    seen = stored(told(_assembled(rows)), "media-told")
+    copies = shared.select("uid", "doc_id", "n_bytes", "media_sha256").join(firsts, ["media_sha256", "uid"], "left_anti")
+    said = seen.join(firsts.select("media_sha256"), "media_sha256", "left_semi").drop("doc_id", "n_bytes")
+    found = dealt_join(copies, said, "media_sha256", "uid", hot_keys(copies, "media_sha256")).drop("uid")
+    return seen.unionByName(found)
+
+
 def described(media: DataFrame) -> DataFrame:
     """Rows of restore() with payload instead of media, and a feature string of its samples: sum, sum of squares, zero crossings
     (of the middle, 128), least, largest, and the sum of absolute steps."""

@@ -15,7 +15,7 @@ from oracle import connect, rows_of, sql_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docgraph.llm import collocations, interaction, language_id, mixing, quality, queries, sharding, tokens
+from docgraph.llm import collocations, interaction, language_id, media, mixing, quality, queries, sharding, tokens
 
 SF = f"{DATA}/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, failed string, n_words string, node string, part string"
@@ -334,3 +334,18 @@ def test_pipeline_of_nothing(spark, tmp_path, rows):
     assert out.count() == 0 and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).count()
+
+
+def test_files_read_back_once(spark, edges, nothing):
+    """What is told of one of equal files is what each of them gives by itself; near copies share some chunks, copies all."""
+    base = " ".join(f"word{i * 7919 % 5003}" for i in range(6000))
+    rows = [(i, base) for i in range(40)] + [(100 + i, base[: 20_000 + i] + f" own {i} " + base[20_000:]) for i in range(6)] + [(None, base), (7, "short"), (7, "short"), (8, None), (9, "")]
+    docs = edges.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")).repartition(5)
+    files, pieces = media.store(docs)
+
+    def told(r):
+        return media.described(r).select("doc_id", "n_bytes", F.sha2("payload", 256).alias("sha"), "media_bytes", "media_sha256", "feature")
+
+    got = Counter(map(tuple, media.read_back(files, pieces, told).collect()))
+    assert got == Counter(map(tuple, told(media.restore(files, pieces)).collect())) and sum(got.values()) == docs.count()
+    assert media.read_back(*media.store(nothing), told).count() == 0
