@@ -53,16 +53,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.described(media.restore(*media.store(table(spark, sf_dir, "documents"))))
     payload = F.col("payload")
     tail = F.substring(payload, -64, 64)
-
-    def told(restored: DataFrame) -> DataFrame:
-        return media.described(restored).select(
-            "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
-            F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
-        )
-
-    return media.read_back(*media.store(table(spark, sf_dir, "documents")), told)
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+    )
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
