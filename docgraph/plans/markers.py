@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import scalar as S
 from ..operators import display, markers
 from .registry import query, table
 
@@ -298,7 +299,7 @@ def cite_confidence(spark, d):
 @query("src_image_payloads", "SELECT page_id, 'data:image/png;base64,' || base64(encode(url)) AS payload FROM pages")
 def src_image_payloads(spark, d):
     """Bytes as a data address."""
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("url", "utf-8"))).alias("payload"))
+    return table(spark, d, "pages").select("page_id", S.data_address(F.encode("url", "utf-8"), "image/png").alias("payload"))
 
 
 @query(

@@ -315,3 +315,11 @@ def test_numbers_in_order(spark):
     rows = spark.range(200).select((F.col("id") * 37 % 200).alias("k")).repartition(5)
     got = E.numbered(rows, [F.desc("k")]).collect()
     assert {r.k: r.gid for r in got} == {k: f"g{200 - k}" for k in range(200)} and E.numbered(rows.limit(0), ["k"]).count() == 0
+
+
+def test_data_address_is_one_line(spark):
+    import base64
+
+    data = [bytes(range(n % 256)) * (1 + n // 256) for n in (0, 1, 56, 57, 58, 200, 1000)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "i int, x binary").select("i", S.data_address(F.col("x"), "image/png").alias("a")).collect()
+    assert {r.i: r.a for r in rows} == {i: "data:image/png;base64," + base64.b64encode(x).decode() for i, x in enumerate(data)}
