@@ -65,6 +65,24 @@ def contained(points: DataFrame, spans: DataFrame, file: str, at: str, begin: st
     return points.join(spans, [file, "_width", "_bin"]).filter((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("_bin", "_width")
 
 
+def held(points: DataFrame, spans: DataFrame, file: str, at: str, begin: str, end: str) -> DataFrame:
+    """points that lie in spans (begin <= at < end) of their file, with the number of those (`spans`) and the least and largest length (`shortest`, `longest`);
+    what contained() says when its pairs are counted, without a pair: a span is cut into aligned pieces whose sizes are powers of two, two of a size at most,
+    spans are folded by piece, and a point looks up the one piece of each size that it lies in. Work grows with points and spans, whatever lies on one place."""
+    down = lambda c: F.expr(f"shiftright(CAST({c} AS BIGINT), _level)")
+    spans = spans.filter(F.col(end) > F.col(begin)).groupBy(file, begin, end).agg(F.count("*").alias("_n"))
+    size = F.col(end) - F.col(begin)
+    rows = spans.select(file, begin, end, "_n", F.explode(F.sequence(F.lit(0), F.floor(F.log2(size)).cast("int"))).alias("_level"))
+    rows = rows.withColumn("_l", -down(f"-{begin}")).withColumn("_r", down(end)).filter("_l < _r")  # the whole pieces of this size within the span
+    odd = lambda c, piece: F.when(F.col(c) % 2 != 0, piece)
+    rows = rows.withColumn("_piece", F.explode(F.array(odd("_l", F.col("_l")), odd("_r", F.col("_r") - 1)))).filter("_piece IS NOT NULL")  # that no larger piece holds
+    pieces = rows.groupBy(file, "_level", "_piece").agg(F.sum("_n").alias("_n"), F.min(size).alias("_least"), F.max(size).alias("_most"))
+    levels = spans.agg(F.max(F.floor(F.log2(size)).cast("int")).alias("m"))
+    key = points.columns
+    looked = points.withColumn("_level", F.explode(F.sequence(F.lit(0), levels.scalar()))).withColumn("_piece", down(at))
+    return looked.join(pieces, [file, "_level", "_piece"]).groupBy(*key).agg(F.sum("_n").alias("spans"), F.min("_least").alias("shortest"), F.max("_most").alias("longest"))
+
+
 def located(points: DataFrame, segments: DataFrame, file: str, at: str, begin: str, end: str) -> DataFrame:
     """points with the columns of the segment of their file that they lie in (begin <= at < end), null where they lie in none. Segments of a file do not
     overlap, gaps are allowed. An as-of join: both sides are put in order of place together, and each point takes the last segment before it. The order is dealt

@@ -220,9 +220,7 @@ def graph_spans_of_any_length(spark, d):
     begin = (F.col("l_partkey") * 7907) % 1000000
     spans = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("file"), begin.alias("b"), (begin + F.pow(F.lit(10), F.col("l_linenumber") - 1).cast("long")).alias("e"))
     points = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 10).alias("file"), ((F.col("c_custkey") * 7919) % 1500000).alias("place"))
-    held = G.contained(points, spans, "file", "place", "b", "e").groupBy("c_custkey")
-    size = F.col("e") - F.col("b")
-    return held.agg(F.count("*").alias("spans"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
+    return G.held(points, spans, "file", "place", "b", "e").select("c_custkey", "spans", "shortest", "longest")
 
 
 @query(

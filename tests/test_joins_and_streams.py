@@ -218,3 +218,20 @@ def test_nothing_to_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = spark.createDataFrame([], "event_id long, user_id long, event_type string").schema
     assert events.caught_up(events.fold(events.event_files(spark, str(tmp_path / "in"), schema)), "complete").count() == 0
+
+
+def test_held_counts_spans_without_pairs(spark):
+    rng = random.Random(5)
+    spans = [(rng.randrange(3), b, b + rng.choice((0, 1, 2, 3, 7, 64, 100, 1000))) for b in (rng.randrange(-500, 1500) for _ in range(400))]
+    spans += [(0, 10, 900)] * 50_000  # one place under many
+    points = [(i, rng.randrange(4), rng.randrange(-600, 2600)) for i in range(300)] + [(1000 + i, 0, 100 + i) for i in range(2000)]
+    s = spark.createDataFrame(spans, "file int, b long, e long")
+    p = spark.createDataFrame(points, "id int, file int, at long")
+    found = graph.held(p, s, "file", "at", "b", "e")
+    got = {r.id: (r.spans, r.shortest, r.longest) for r in found.collect()}
+    want = {}
+    for i, f, at in points:
+        sizes = [e - b for g, b, e in spans[:400] if g == f and b <= at < e] + [890] * (50_000 if f == 0 and 10 <= at < 900 else 0)
+        if sizes:
+            want[i] = (len(sizes), min(sizes), max(sizes))
+    assert got == want
