@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,24 +93,111 @@ def nearest(records: DataFrame, query: Column, k: int, vector: str = "embedding"
     return (out if floor is None else out.filter(F.col("distance") <= floor)).orderBy("distance", order).limit(k)
 
 
-def query_blocks(queries: DataFrame, most: int = 10_000) -> list[DataFrame]:
-    """queries in blocks of about `most` rows by a hash of query_id, each small enough to be broadcast."""
-    blocks = -(-queries.count() // most)
-    if blocks <= 1:
-        return [F.broadcast(queries)]
-    return [F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)) for k in range(blocks)]
+#: Records and queries of one tile; a task holds one tile of each.
+TILE = 4096
+
+#: Queries of a tile whose distances to the other tile are worked out at once, and pairs that are summed in order at once.
+BLOCK, PAIRS = 512, 1 << 16
+
+
+def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column with most rows' length as doubles, and the places of their rows; rows without a whole vector have none."""
+    vectors = [None if v is None or any(x is None for x in v) else v for v in column.to_pylist()]
+    sizes = Counter(len(v) for v in vectors if v is not None)
+    size = sizes.most_common(1)[0][0] if sizes else 0
+    if len(sizes) > 1:
+        raise ValueError("vectors of one search need one length")
+    at = np.array([i for i, v in enumerate(vectors) if v is not None], np.int64)
+    return np.array([vectors[i] for i in at], np.float64).reshape(len(at), size), at
+
+
+def _in_order(e: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of pairs (record i, query j), summed in the order of cosine_distance()."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        products = e[i[at : at + PAIRS]] * q[j[at : at + PAIRS]]
+        total = np.zeros(len(products))
+        for k in range(products.shape[1]):
+            total += products[:, k]
+        out[at : at + PAIRS] = 1.0 - total
+    return out
+
+
+def _blocks(e: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
+    """(first query, distances by query and record, bound of their error) of a tile's queries in blocks; the products are summed in any order."""
+    most = float(np.abs(e).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * max(1, e.shape[1])
+    for at in range(0, len(q), BLOCK):
+        yield at, 1.0 - q[at : at + BLOCK] @ e.T, 1e-12 * (1.0 + most)
+
+
+def rounded(x: np.ndarray, places: int = 6) -> np.ndarray:
+    """round() of Spark: halves away from zero, by the shortest decimal form of a double."""
+    scaled = x * 10.0**places
+    out = np.rint(scaled) / 10.0**places + 0.0
+    near = np.flatnonzero(np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-5)
+    for i in near.tolist():
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)) + 0.0
+    return out
+
+
+def met(records: DataFrame, queries: DataFrame, id_: str, run: Callable, schema: str, vector: str = "embedding") -> DataFrame:
+    """Every record (rowid, vector) meets every query (id_, query), tile by tile: tiles are dealt by hash, each pair of tiles is a key of its own, and run tells a
+    pair's rows from two Arrow tables. What is shuffled is each side once for each tile of the other; a task holds two tiles, however many rows there are."""
+    n, m = (max(1, -(-df.count() // TILE)) for df in (records, queries))
+    tile = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    a = records.select("rowid", F.col(vector).alias("v"), tile("rowid", n).alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_b"))
+    b = queries.select(id_, F.col("query").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_a"), tile(id_, m).alias("_b"))
+    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(run, schema)
 
 
 def nearest_each(records: DataFrame, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
-    """For every query (query_id, query) of a stated set its k nearest records. Queries meet all records block by block, and each task
-    keeps k a query before ranks meet."""
+    """For every query (query_id, query) of a stated set its k nearest records. A pair of tiles keeps k a query: products of matrices say which records may be
+    among them, and these are summed in order, so that equal distances are equal; ranks follow over what the tiles kept."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        e, rows = _matrix(left["v"])
+        q, asked = _matrix(right["v"])
+        rowid, ids = left["rowid"].to_numpy()[rows], right["query_id"].to_numpy()[asked]
+        found = []
+        for at, d, error in _blocks(e, q) if len(e) and len(q) else ():
+            least = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            j, i = np.nonzero(~(d > (least + 2e-6 + 2 * error)[:, None]))
+            distance = rounded(_in_order(e, q, i, j + at))
+            order = np.lexsort((rowid[i], distance, j))
+            i, j, distance = i[order], j[order], distance[order]
+            place = np.arange(len(j)) - np.searchsorted(j, j)
+            top = place < k
+            found.append((ids[j[top] + at], rowid[i[top]], distance[top]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "rowid", "distance"), columns, strict=True)))
+
+    kept = met(records, queries, "query_id", run, "query_id long, rowid long, distance double", vector)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "rowid"))
-    found = []
-    for block in query_blocks(queries):
-        pairs = records.select("rowid", vector).join(block)
-        pairs = pairs.withColumn("distance", F.round(cosine_distance(F.col(vector), F.col("query")), 6) + F.lit(0.0)).drop(vector, "query")
-        found.append(pairs.withColumn("rank", rank).filter(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    return kept.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def hits_each(records: DataFrame, queries: DataFrame, floor: float, vector: str = "embedding") -> DataFrame:
+    """For every query (lookup, query) of a stated set how many records lie within floor (`hits`), and the least and largest of their distances (`nearest`,
+    `farthest`). Pairs of tiles hand on these three; a pair whose distance is within its error of the floor is summed in order."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        e, _ = _matrix(left["v"])
+        q, asked = _matrix(right["v"])
+        ids = right["lookup"].to_numpy()[asked]
+        found = []
+        for at, d, error in _blocks(e, q) if len(e) and len(q) else ():
+            j, i = np.nonzero(np.abs(d - floor) <= error)
+            d[j, i] = _in_order(e, q, i, j + at)
+            within = d <= floor
+            hits = within.sum(1)
+            some = np.flatnonzero(hits)
+            first, last = np.where(within, d, np.inf).argmin(1)[some], np.where(within, d, -np.inf).argmax(1)[some]
+            found.append((ids[some + at], hits[some], _in_order(e, q, first, some + at), _in_order(e, q, last, some + at)))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
+        return pa.table(dict(zip(("lookup", "hits", "nearest", "farthest"), columns, strict=True)))
+
+    parts = met(records, queries, "lookup", run, "lookup long, hits long, nearest double, farthest double", vector)
+    return parts.groupBy("lookup").agg(F.sum("hits").alias("hits"), F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"))
 
 
 def without_ties(hits: DataFrame, lookup: str = "lookup") -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from docgraph.operators import display, facts, graph, telemetry
+from docgraph.operators import display, facts, graph, search, telemetry
 from docgraph.plans import registry
 from docgraph.sources import exports, files
 from docgraph.streaming import calls, events
@@ -235,3 +235,36 @@ def test_held_counts_spans_without_pairs(spark):
         if sizes:
             want[i] = (len(sizes), min(sizes), max(sizes))
     assert got == want
+
+
+def test_tiles_of_vectors_against_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "TILE", 40)
+    monkeypatch.setattr(search, "BLOCK", 7)
+    rng = random.Random(6)
+    vectors = [[rng.gauss(0, 0.4) for _ in range(6)] for _ in range(60)]
+    rows = [(i, vectors[i % 60] if i < 150 else vectors[3]) for i in range(300)]  # copies, and one vector half the time
+    records = spark.createDataFrame([*rows, (999, None)], "rowid long, embedding array<float>")
+    asked = records.filter("rowid % 20 = 0")
+    from docgraph.functions.scalar import cosine_distance
+
+    pairs = records.crossJoin(asked.select(F.col("rowid").alias("query_id"), F.col("embedding").alias("query")))
+    pairs = pairs.withColumn("d", cosine_distance(F.col("embedding"), F.col("query"))).filter("d IS NOT NULL").select("query_id", "rowid", "d", (F.round("d", 6) + F.lit(0.0)).alias("r")).collect()
+    found = search.nearest_each(records, asked.select(F.col("rowid").alias("query_id"), F.col("embedding").alias("query")), 5)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    want = {q: [(r, i) for r, i in sorted((p.r, p.rowid) for p in pairs if p.query_id == q)[:5]] for q in {p.query_id for p in pairs}}
+    got: dict = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.rowid))
+    assert got == want
+    hits = {r.lookup: (r.hits, r.nearest, r.farthest) for r in search.hits_each(records, asked.select(F.col("rowid").alias("lookup"), F.col("embedding").alias("query")), 0.9).collect()}
+    near = {q: [p.d for p in pairs if p.query_id == q and p.d <= 0.9] for q in want}
+    assert {q: h[0] for q, h in hits.items()} == {q: len(x) for q, x in near.items() if x}
+    assert all(abs(hits[q][1] - min(x)) < 1e-12 and abs(hits[q][2] - max(x)) < 1e-12 for q, x in near.items() if x)
+
+
+def test_rounded_like_spark(spark):
+    import numpy as np
+
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, 0.1234565, 0.1234575, 1.0000005, -0.9999995, 0.7, 1 - 1e-17, 2.0]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", (F.round("x", 6) + F.lit(0.0)).alias("r")).collect()
+    assert search.rounded(np.array(values)).tolist() == [r.r for r in sorted(rows)]
