@@ -268,3 +268,48 @@ def test_rounded_like_spark(spark):
     values = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, 0.1234565, 0.1234575, 1.0000005, -0.9999995, 0.7, 1 - 1e-17, 2.0]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", (F.round("x", 6) + F.lit(0.0)).alias("r")).collect()
     assert search.rounded(np.array(values)).tolist() == [r.r for r in sorted(rows)]
+
+
+def test_calls_of_a_bucket_are_stored_at_once():
+    from pyspark.sql import Row
+
+    class Store:
+        value, timers, touched = None, [], 0
+
+        def getValueState(self, *_):
+            return self
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def get(self):
+            self.touched += 1
+            return self.value
+
+        def update(self, value):
+            self.touched, self.value = self.touched + 1, value
+
+        def clear(self):
+            self.touched, self.value = self.touched + 1, None
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+        def getExpiryTimeInMs(self):
+            return self.timers[0]
+
+    def event(kind, call, pos):
+        return Row(event=kind, call_id=call, pos=pos, at_ms=1000 + pos, stage="s", **{**dict.fromkeys(calls.FIELDS), "success": True if kind == "end" else None})
+
+    store = Store()
+    store.now = 0
+    states = calls.CallStates(5000)
+    states.init(store)
+    rows = [event("begin", f"c{i}", i) for i in range(1000)] + [event("end", f"c{i}", 1000 + i) for i in range(0, 1000, 2)]
+    first = list(states.handleInputRows((0,), iter(rows), store))
+    assert len(first) == 1000 and sum(r.state == "ended" for r in first) == 500
+    assert store.touched == 2 and store.timers == [6000]
+    store.now = 6499  # of the first half
+    given_up = list(states.handleExpiredTimer((0,), store, store))
+    assert [r.call_id for r in given_up] == [f"c{i}" for i in range(1, 500, 2)] and {r.duration_ms for r in given_up} == {5000}
+    assert store.timers[-1] == 6500 and store.touched == 4
