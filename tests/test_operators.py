@@ -323,3 +323,20 @@ def test_data_address_is_one_line(spark):
     data = [bytes(range(n % 256)) * (1 + n // 256) for n in (0, 1, 56, 57, 58, 200, 1000)]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "i int, x binary").select("i", S.data_address(F.col("x"), "image/png").alias("a")).collect()
     assert {r.i: r.a for r in rows} == {i: "data:image/png;base64," + base64.b64encode(x).decode() for i, x in enumerate(data)}
+
+
+def test_batches_of_python_are_bounded_by_bytes(spark):
+    from docgraph.session import ARROW_BYTES, python_map
+
+    rows = spark.range(4000, numPartitions=1).withColumn("text", F.repeat(F.lit("x"), F.lit(10_000)))
+    sizes = python_map(rows, lambda batches: (b.head(1).assign(n=b["text"].str.len().sum())[["n"]] for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 40_000_000 and max(r.n for r in sizes) <= ARROW_BYTES + 10_000
+
+
+def test_chunks_are_handed_on_before_a_batch_ends(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"# a{i}\n" + "word " * 4000 + "\n## b\nend") for i in range(8)], "doc_id long, text string").coalesce(1)
+    held = split.chunk(docs, limit=1)
+    want = {(r.doc_id, r.char_offset): (r.section_path, r.chunk) for r in held.collect()}
+    assert len(want) > 2 * split.PIECES and held.count() == len(want)
+    monkeypatch.setattr(split, "PIECES", 37)
+    assert {(r.doc_id, r.char_offset): (r.section_path, r.chunk) for r in split.chunk(docs, limit=1).collect()} == want
