@@ -16,12 +16,19 @@ def both_ways(edges: DataFrame, kind: str | None = None) -> DataFrame:
     return out if kind is None else out.withColumn("edge_kind", F.lit(kind))
 
 
-def first_edges(edges: DataFrame, priority: Column) -> DataFrame:
-    """One edge for each pair of nodes: of several kinds the one of least priority stays."""
+def first_edges(edges: DataFrame, priority: Column, parts: int | None = None) -> DataFrame:
+    """One edge for each pair of nodes: of several kinds the one of least priority stays. parts says over how many partitions pairs are dealt, where these are
+    to grow with the edges."""
     key = ["src_kind", "src_id", "dst_kind", "dst_id"]
+    edges = edges if parts is None else edges.repartition(parts, *key)
     return edges.groupBy(*key).agg(F.min_by("edge_kind", F.struct(priority, F.col("edge_kind"))).alias("edge_kind"))
 
 
+def partitions(df: DataFrame, times: int = 1) -> int:
+    """How many partitions hold `times` rows for each of df, ROWS each; no fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-times * df.count() // ROWS))
+
+
 def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among nodes (kind, record_id)."""
     out = edges
@@ -128,6 +135,31 @@ def shared_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return dealt(sides[0], left_id, "_a", "_b").join(dealt(sides[1], right_id, "_b", "_a"), [item, "_a", "_b"]).select(item, left_id, right_id)
 
 
+#: Rows of a partition where pairs are counted.
+ROWS = 100_000
+
+
+def pair_counts(df: DataFrame, id_: str, item: str, count: str = "shared", block: int | None = None) -> DataFrame:
+    """(entity, other, count) of the ids that share items, both ways, with how many. An item's members go with each of them to the partition that counts this
+    one's pairs, so pairs are made where they are counted and are never shuffled; partitions grow in number with the rows, not in size. Items with more than
+    BLOCK members are dealt by shared_pairs()."""
+    block = block or BLOCK
+    rows = df.select(F.col(id_).alias("entity"), F.col(item).alias("_i")).filter("entity IS NOT NULL AND _i IS NOT NULL")
+    parts = partitions(rows)
+    rows = rows.repartition(parts, "_i").distinct()
+    hot = checkpointed(rows.groupBy("_i").agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select("_i"))
+    some = not hot.isEmpty()
+    hot = bounded(hot)
+    lists = (rows.join(hot, "_i", "left_anti") if some else rows).groupBy("_i").agg(F.collect_list("entity").alias("_l"))
+    pairs = lists.select(F.explode("_l").alias("entity"), "_l").repartition(parts, "entity").select("entity", F.explode("_l").alias("other"))
+    found = pairs.filter("entity <> other").groupBy("entity", "other").agg(F.count("*").alias(count))
+    if not some:
+        return found
+    left = rows.join(hot, "_i", "left_semi")
+    dealt = shared_pairs(left, left.withColumnRenamed("entity", "other"), "entity", "other", "_i", block).filter("entity <> other")
+    return found.union(dealt.groupBy("entity", "other").agg(F.count("*").alias(count))).repartition(parts, "entity").groupBy("entity", "other").agg(F.sum(count).alias(count))
+
+
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, item: str) -> DataFrame:
     """Pairs that share items, with how many: items are joined, sets are never compared."""
     return shared_pairs(left, right, left_id, right_id, item).groupBy(left_id, right_id).agg(F.count("*").alias("shared"))

@@ -143,8 +143,7 @@ def sibling_edges(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY shared DESC, other) AS rank FROM o) SELECT entity, other, shared, rank FROM r WHERE rank <= 3""",
 )
 def overlap_rank(spark, d):
-    p = table(spark, d, "lineitem")
-    o = G.overlaps(p.withColumnRenamed("l_suppkey", "entity"), p.withColumnRenamed("l_suppkey", "other"), "entity", "other", "l_partkey").filter("entity <> other")
+    o = G.pair_counts(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
     return G.top_by(o, ["entity"], [F.desc("shared"), "other"], 3)
 
 

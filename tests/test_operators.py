@@ -340,3 +340,39 @@ def test_chunks_are_handed_on_before_a_batch_ends(spark, monkeypatch):
     assert len(want) > 2 * split.PIECES and held.count() == len(want)
     monkeypatch.setattr(split, "PIECES", 37)
     assert {(r.doc_id, r.char_offset): (r.section_path, r.chunk) for r in split.chunk(docs, limit=1).collect()} == want
+
+
+def test_candidates_are_resolved_without_all_groups_of_a_name(spark):
+    groups = [("ann", t, m, n) for t, m, n in ((1, 5, "Ann"), (2, 9, "ANN b"), (3, 9, "ann C"))] + [("bob", 1, 1, "Bob")]
+    g = spark.createDataFrame(groups, "name string, entity_type int, mention_count long, canonical_name string")
+    c = spark.createDataFrame([(1, "ann", 1), (2, "ann", 7), (3, "bob", 2), (4, "eve", 1), (5, "ann", 2), (6, "bob", 9), (6, "ann", 1), (7, "ann", None), (8, None, 1)], "candidate int, name string, kind int")
+    found = E.resolved(c, g, "name", "kind")
+    assert {r.candidate: r.canonical_name for r in found.collect()} == {1: "Ann", 2: "ann C", 3: "Bob", 5: "ANN b", 6: "Ann", 7: "ann C"}
+    assert "Window" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_pairs_are_counted_where_they_are_made(spark, block):
+    import random
+    from collections import Counter
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(30), rng.randrange(60)) for _ in range(400)] + [(i, 77) for i in range(25)] + [(None, 1), (1, None)]
+    df = spark.createDataFrame(rows, "id int, item int")
+    found = graph.pair_counts(df, "id", "item", block=block)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    own = {r for r in rows if None not in r}
+    want = Counter((a, b) for a, i in own for b, j in own if i == j and a != b)
+    assert {(r.entity, r.other): r.shared for r in found.collect()} == want
+    if block == 1000:  # what is shuffled are members with their lists: no exchange above the counts, and no join
+        assert "Join" not in plan and plan.count("Exchange") == 2
+
+
+def test_edges_are_dealt_over_partitions_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 10)
+    fe = spark.createDataFrame([(i, i % 3) for i in range(100)], "fact int, entity int")
+    pairs = lambda a, b: spark.createDataFrame([(0, 0), (1, 1)], f"{a} int, {b} int")
+    found = knowledge.build_edges(pairs("chunk", "fact"), pairs("a", "b"), fe, pairs("pattern", "fact"), pairs("a", "b"), pairs("insight", "pattern"), pairs("action", "insight"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dst_id" in plan and ", 40), REPARTITION_BY_NUM" in plan
+    assert found.filter("src_kind = 'fact' AND dst_kind = 'entity'").count() == 100
