@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from .. import vocab
 from ..functions.ordered import in_order
-from .graph import shared_pairs
+from ..session import bounded
+from .graph import pair_counts
 from ..functions.scalar import tokens_similar
 
 # Words that say nothing about who is meant; those of them that say nothing at all; words for relations.
@@ -35,16 +36,23 @@ def numbered(groups: DataFrame, order: list) -> DataFrame:
 
 def comentions(mentions: DataFrame, entity: str, fact: str) -> DataFrame:
     """For each entity the others it is mentioned with, and in how many facts: mentions are deduplicated before they meet."""
-    m = mentions.select(F.col(entity).alias("entity"), F.col(fact).alias("_f"))
-    pairs = shared_pairs(m, m.withColumnRenamed("entity", "other"), "entity", "other", "_f")
-    return pairs.filter("entity <> other").groupBy("entity", "other").agg(F.count("*").alias("facts"))
+    return pair_counts(mentions, entity, fact, "facts")
 
 
 def resolved(candidates: DataFrame, groups: DataFrame, name: str, kind: str) -> DataFrame:
-    """For each candidate name its group: the one of the mention's own type first, then most mentions, then the larger name."""
-    joined = candidates.join(groups, name)
-    rank = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc(F.col(kind) == F.col("entity_type")), F.desc("mention_count"), F.desc(F.lower("canonical_name"))))
-    return joined.withColumn("_r", rank).filter("_r = 1").drop("_r")
+    """For each candidate name its group: the one of the mention's own type first, then most mentions, then the larger name. The best group of each name, and of each
+    name and type, is known before candidates meet it, so a candidate is one row however many groups have its name; of a candidate's rows the best stays."""
+    rank = F.struct("mention_count", F.lower("canonical_name").alias("_l"))
+    own_columns = [c for c in groups.columns if c != name]
+    group = F.struct(*own_columns)
+    best = bounded(groups.groupBy(name).agg(F.max_by(group, rank).alias("_any")))
+    typed = bounded(groups.groupBy(name, "entity_type").agg(F.max_by(group, rank).alias("_own")).withColumnRenamed("entity_type", "_type"))
+    met = candidates.join(best, name).join(typed.withColumnRenamed(name, "_name"), (F.col(name) == F.col("_name")) & (F.col(kind) == F.col("_type")), "left").drop("_name", "_type")
+    met = met.withColumn("_got", F.coalesce("_own", "_any")).withColumn("_is", F.col("_own").isNotNull())
+    order = F.struct("_is", F.col("_got.mention_count").alias("_m"), F.lower("_got.canonical_name").alias("_l"))
+    row = F.struct(*[c for c in candidates.columns if c != "candidate"], "_got")
+    one = met.groupBy("candidate").agg(F.max_by(row, order).alias("_r"))
+    return one.select("candidate", *[f"_r.{c}" for c in candidates.columns if c != "candidate"], *[f"_r._got.{c}" for c in own_columns])
 
 
 def disambiguated(df: DataFrame, slug: str, order: list) -> DataFrame:
