@@ -20,6 +20,8 @@ def _edge(df: DataFrame, src_kind: str, src: str, dst_kind: str, dst: str, kind:
 def build_edges(chunk_facts: DataFrame, siblings: DataFrame, fact_entities: DataFrame, pattern_facts: DataFrame, relations: DataFrame, insight_patterns: DataFrame, action_insights: DataFrame) -> DataFrame:
     """All edges, both ways but for chunk to entity and entity to action. Inputs are pairs of ids: (chunk, fact), (a, b), (fact,
     entity), (pattern, fact), (a, b), (insight, pattern), (action, insight); reaches across levels are equi-joins on facts."""
+    parts = graph.partitions(fact_entities)
+    fact_entities = fact_entities.repartition(parts, "fact")  # joins and edges below are dealt over partitions that grow in number with the facts, not in size
     insight_facts = insight_patterns.join(pattern_facts, "pattern").select("insight", "fact").distinct()
     action_patterns = action_insights.join(insight_patterns, "insight").select("action", "pattern").distinct()
     action_facts = action_insights.join(insight_facts, "insight").select("action", "fact").distinct()
@@ -39,7 +41,7 @@ def build_edges(chunk_facts: DataFrame, siblings: DataFrame, fact_entities: Data
     for e in [graph.both_ways(x) for x in two_way] + one_way:
         out = e if out is None else out.unionByName(e)
     order = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(("containment", "mention", "sibling", "derivation", "relation")) for x in (k, i)]), F.col("edge_kind"))
-    return graph.first_edges(out, order)
+    return graph.first_edges(out, order, graph.partitions(fact_entities, 4))
 
 
 def top_listed(df: DataFrame, key: str, item: str, k: int, sep: str = ", ") -> DataFrame:
