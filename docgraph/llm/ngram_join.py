@@ -13,7 +13,8 @@ linked with nothing). Two sets link when den * |A & B| >= num * |A | B| for a li
    maxima). These pairs are verified, and the links so found join most of a group of near copies.
 4. Where classes of several components still meet, the tree yields all pairs across components whose overlap can be large
    enough, and these are verified. Where many meet, they are dealt into blocks by size and hash; each pair of blocks whose
-   sizes allow a link is searched, so no task holds more than two blocks and none is left out.
+   sizes allow a link is searched, so no task holds more than two blocks and none is left out. A pair that meets in several
+   shingles is a row in the first of them alone, so copies of one passage do not multiply the pairs by its length.
 5. To verify, pairs are bounded once more with as many groups as their sizes ask for, then compared by whole sets. Components
    are taken over all links.
 
@@ -45,6 +46,8 @@ LIKENESS: Likeness = (85, 100)
 GROUPS = 128
 #: Classes in a block of those that meet; children of a node.
 BLOCK, FANOUT = 512, 32
+#: Of the shingles in which a class meets others, so many first ones tell whether a pair has met before.
+HEADS = 64
 #: The bounded sample that the order of shingles is fit on, and how many frequent ones it puts last.
 SAMPLE_DOCS, FREQUENT, LEAST_SEEN = 4000, 50_000, 4
 
@@ -299,13 +302,29 @@ def blocked(meet: DataFrame, classes: DataFrame, likeness: Likeness) -> DataFram
     return single.select(*meet.columns, "own", "lo", "hi").unionByName(rows.select(*meet.columns, "own", "lo", "hi"))
 
 
-def searched(meet: DataFrame, classes: DataFrame, likeness: Likeness, best: bool) -> DataFrame:
-    """meet: (tok, k, pos, cid, comp). The pairs (a, b), a < b, of different components that meet and may link by their counts; best: for each b only the
-    a with the largest share of common counts."""
+def heads_of(meet: DataFrame) -> DataFrame:
+    """(cid, heads): the first HEADS shingles in which a class meets others, in the order of all shingles."""
+    met = F.slice(F.array_sort(F.collect_list(F.struct("pos", "tok"))), 1, HEADS)  # one class's first shingles
+    return meet.groupBy("cid").agg(F.transform(met, lambda x: x["tok"]).alias("heads"))
+
+
+def first_met(i: np.ndarray, j: np.ndarray, earlier: pa.ChunkedArray) -> np.ndarray:
+    """Which of the pairs of rows i, j share none of the shingles that either has before the one they meet in. The order is one for all
+    texts, so a pair passes in the first shingle in which it meets, and beyond HEADS perhaps in others too, but never in none."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    before = [frozenset(x) for x in earlier.take(pa.array(rows)).to_pylist()]
+    return np.fromiter((before[x].isdisjoint(before[y]) for x, y in at.reshape(2, -1).T.tolist()), bool, len(i))
+
+
+def searched(meet: DataFrame, classes: DataFrame, heads: DataFrame, likeness: Likeness, best: bool) -> DataFrame:
+    """meet: (tok, k, pos, cid, comp), heads: heads_of() it or of more. The pairs (a, b), a < b, of different components that meet and may
+    link by their counts; best: for each b only the a with the largest share of common counts."""
     spark = meet.sparkSession
-    rows = blocked(meet, classes, likeness).join(classes.select("cid", "counts"), "cid")
+    rows = blocked(meet, classes, likeness).join(classes.select("cid", "counts"), "cid").join(heads, "cid")
+    place = F.array_position("heads", F.col("tok")).cast("int")
+    rows = rows.withColumn("earlier", F.when(place > 0, F.slice("heads", F.lit(1), F.greatest(place - 1, F.lit(0)))).otherwise(F.col("heads")))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi")
-    rows = rows.select("tok", "lo", "hi", "own", "cid", "comp", "pos", "counts")
+    rows = rows.select("tok", "lo", "hi", "own", "cid", "comp", "pos", "counts", "earlier")
 
     def pairs_of(held: list[pa.RecordBatch], open_: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
         """Pairs of the groups held, and the rows of the last one, if more of it may come."""
@@ -317,6 +336,8 @@ def searched(meet: DataFrame, classes: DataFrame, likeness: Likeness, best: bool
         points = np.array([_vector(v) for v in table.column("counts").slice(0, end).to_pylist()]).reshape(-1, GROUPS)
         meeting = Meeting(group[:end], cid[:end], comp[:end], points, own[:end], (lo != hi)[:end], pos[:end].astype(np.int64))
         i, j, bound = bounded_pairs(meeting, likeness)
+        once = first_met(i, j, table.column("earlier"))
+        i, j, bound = i[once], j[once], bound[once]
         a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
         sizes = points.sum(1)
         score = bound / np.maximum(1, sizes[i] + sizes[j] - bound)
@@ -364,14 +385,15 @@ def classes_of(docs: DataFrame, width: int = WIDTH, likeness: Likeness = LIKENES
     firsts = every.groupBy("tok").agg(*who).groupBy("x", "y", "n").agg(F.min_by("tok", F.struct("at", "tok")).alias("tok"))
     firsts = stored(firsts.select("tok"), "ngram-firsts")
     meet = stored(dealt_join(every, firsts, "tok", "cid", hot), "ngram-meet", done=[every, firsts])
-    tries = stored(searched(meet.withColumn("comp", F.col("cid")), classes, likeness, best=True), "ngram-tries")
+    heads = stored(heads_of(meet), "ngram-heads")
+    tries = stored(searched(meet.withColumn("comp", F.col("cid")), classes, heads, likeness, best=True), "ngram-tries")
     linked = stored(_verified(tries, docs, classes, width, likeness), "ngram-links")
     comp = components(linked)
     named = meet.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     named = stored(named, "ngram-named", done=[meet])
     several = stored(named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok"), "ngram-several")
     again = stored(dealt_join(named, several, "tok", "cid", hot), "ngram-again", done=[named, several, shared])
-    pairs = stored(searched(again, classes, likeness, best=False).join(tries, ["a", "b"], "left_anti"), "ngram-pairs", done=[again, tries])
+    pairs = stored(searched(again, classes, heads, likeness, best=False).join(tries, ["a", "b"], "left_anti"), "ngram-pairs", done=[again, tries, heads])
     links = stored(linked.union(_verified(pairs, docs, classes, width, likeness)), "ngram-links", done=[linked, pairs])
     degree = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
     out = classes.select("digest", "cid", "n", "rep").join(degree, "cid", "left").join(components(links).withColumnRenamed("node", "cid"), "cid", "left")

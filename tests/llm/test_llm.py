@@ -767,3 +767,35 @@ def test_counts_of_very_long_texts():
     for part in (s, s[60_000:]):
         counts = ngram_join._vector(ngram_join.counted(part, 7).tobytes())
         assert len(counts) == ngram_join.GROUPS and counts.sum() == len(part) and counts[0] == len(part) - 127
+
+
+def test_ngram_pairs_are_made_once(spark, monkeypatch):
+    """Texts that meet in many shingles are a row a pair, not a row for each shingle; none is lost where heads are cut short."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join("x" * (k % (17 + d) == d) + w for k, w in enumerate(base)) if d % 3 else " ".join(base[: 280 + d]) for d in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    likeness = (50, 100)
+    classes = ngram_join.sets_table(df, np.zeros(0, np.uint64), 4, likeness).withColumn("cid", F.col("doc_id"))
+    posts = classes.select("cid", F.posexplode("first").alias("pos", "tok"))
+    meet = posts.join(posts.groupBy("tok").agg(F.count("*").alias("k")).filter("k > 1"), "tok").withColumn("comp", F.col("cid"))
+    made, plain = [], ngram_join.arrow_map
+
+    def counting(df, run, schema, **more):
+        if "score" not in schema:
+            return plain(df, run, schema, **more)
+        made.append(spark.sparkContext.accumulator(0))
+
+        def counted(batches, n=made[-1]):
+            for b in run(batches):
+                n.add(b.num_rows)
+                yield b
+
+        return plain(df, counted, schema, **more)
+
+    monkeypatch.setattr(ngram_join, "arrow_map", counting)
+    found = []
+    for heads in (ngram_join.HEADS, 1):
+        monkeypatch.setattr(ngram_join, "HEADS", heads)
+        found.append(sorted(tuple(r) for r in ngram_join.searched(meet, classes, ngram_join.heads_of(meet), likeness, best=False).collect()))
+    assert len(found[0]) > 100 and found[0] == found[1]
+    assert made[0].value == len(found[0]) < made[1].value
