@@ -2,11 +2,13 @@
 
 A payload (UTF-8 bytes, zeros up to a positive multiple of UNIT) becomes a WAV file of 8-bit mono samples. The file is cut where
 a rolling gear hash of the last 32 bytes has MASK zero bits, between LEAST and MOST bytes, so equal passages give equal chunks.
-Chunks are known by their SHA-256. First all digests are counted; those seen more than once set bits in a bitmap of fixed size.
-Then files are stored: a chunk whose bit is not set is surely unique and stays in its file's row; the others go to the chunk
-table, one copy each, and the row holds their digests. A file is read back from its ordered list: its own chunks and, by a join on
+Chunks are known by their SHA-256. First all digests are counted; those seen more than once set a bit in each of PROBES bitmaps of
+fixed size, by other bytes of the digest each. Then files are stored: a chunk whose bits are not all set is surely unique and stays in
+its file's row; the others go to the chunk table, one copy each, and the row holds their digests. A file is read back from its ordered list: its own chunks and, by a join on
 the digest, those of the chunk table; its SHA-256 must agree, else reading fails. A chunk that millions of files share is one
-row of the chunk table; the bitmap only decides where a chunk lives, so a full one costs speed and never bytes.
+row of the chunk table; the bitmaps only decide where a chunk lives, so full ones cost speed and never bytes. That cost grows with the
+bits set: a unique chunk that all bitmaps take for shared is moved by itself, and with it what else its file holds. So of one bitmap
+up to a sixteenth is set, and by PROBES of them one unique chunk in 65,536 is taken for shared.
 
 Null texts are empty (64 zeros). Equal texts give equal files. Repeated rows and null doc_ids are files of their own. Empty
 tables give empty results.
@@ -28,8 +30,8 @@ from .common import arrow_map, dealt_join, discard, hot_keys, stored
 
 UNIT = 64
 LEAST, MOST, MASK = 512, 16384, (1 << 11) - 1
-#: Bits of the bitmap: 16 for each shared chunk, within these bounds (32 MB at most).
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Bitmaps, and bits of each: 16 for each shared chunk, within these bounds (32 MB at most in all).
+PROBES, LEAST_BITS, MOST_BITS = 4, 1 << 20, 1 << 26
 _WAV = struct.Struct("<4sI4s4sIHHIIHH4sI")
 HEADER = _WAV.size
 
@@ -97,12 +99,22 @@ def _files(column: pa.Array):
         yield len(raw), wav(payload_of(raw))
 
 
-def _bit(digest: bytes, bits: int) -> int:
-    return int.from_bytes(digest[:8], "little") % bits
+def _bit(digest: bytes, bits: int, probe: int = 0) -> int:
+    return int.from_bytes(digest[4 * probe : 4 * probe + 4], "little") % bits
 
 
-def shared_bitmap(docs: DataFrame) -> bytes:
-    """Bits of the digests of chunks that occur more than once."""
+def maybe_shared(digest: bytes, bitmaps: bytes) -> bool:
+    """Whether the digest's bit is set in each of PROBES bitmaps."""
+    bits = 8 * len(bitmaps) // PROBES
+    for probe in range(PROBES):
+        bit = probe * bits + _bit(digest, bits, probe)
+        if not bitmaps[bit >> 3] >> (bit & 7) & 1:
+            return False
+    return True
+
+
+def shared_bitmap(docs: DataFrame, probes: int = 1) -> bytes:
+    """Bits of the digests of chunks that occur more than once; as many bitmaps one after another as there are probes."""
 
     def run(batches):
         for b in batches:
@@ -112,12 +124,13 @@ def shared_bitmap(docs: DataFrame) -> bytes:
     seen = arrow_map(docs.select("text"), run, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     seen = stored(seen, "media-shared")
     bits = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * seen.count()).bit_length()))
-    # the same bit as _bit(): the first four bytes, little-endian, modulo a power of two
+    # the same bit as _bit(): four bytes, little-endian, modulo a power of two
     octet = lambda i: F.conv(F.substring(F.hex("digest"), 2 * i + 1, 2), 16, 10).cast("long")
-    bit = ((octet(0) + octet(1) * 256 + octet(2) * 65536 + octet(3) * 16777216) % bits).alias("bit")
+    four = lambda i: octet(i) + octet(i + 1) * 256 + octet(i + 2) * 65536 + octet(i + 3) * 16777216
+    bit = F.explode(F.array(*[F.lit(p * bits) + four(4 * p) % bits for p in range(probes)])).alias("bit")
     words = seen.select(bit).groupBy((F.floor(F.col("bit") / 32768)).alias("k")).agg(F.bitmap_construct_agg((F.col("bit") % 32768)).alias("m"))
-    out = bytearray(bits // 8)
-    for r in words.toLocalIterator():  # MOST_BITS / 32768 rows of 4 KiB at most
+    out = bytearray(probes * bits // 8)
+    for r in words.toLocalIterator():  # probes * MOST_BITS / 32768 rows of 4 KiB at most
         out[r["k"] * 4096 : r["k"] * 4096 + 4096] = r["m"]
     discard(seen)
     return bytes(out)
@@ -129,11 +142,11 @@ RECIPE = "array<struct<digest:binary,here:boolean,length:int>>"
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, chunk table) of the texts of docs, both written to the shared folder."""
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(shared_bitmap(docs))  # of fixed size
+    bitmaps = spark.sparkContext.broadcast(shared_bitmap(docs, PROBES))  # of fixed size
 
     def run(batches):
         base, count, sent = TaskContext.get().partitionId() << 33, 0, set()
-        bits = bitmap.value
+        bits = bitmaps.value
         recipe_type = pa.list_(pa.struct([("digest", pa.binary()), ("here", pa.bool_()), ("length", pa.int32())]))
         names = ["uid", "doc_id", "n_bytes", "media_sha256", "recipe", "data"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), recipe_type, pa.binary()]
@@ -142,8 +155,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for doc, (n, media) in zip(b.column("doc_id").to_pylist(), _files(b.column("text")), strict=True):
                 recipe, own = [], []
                 for digest, part in chunks(media):
-                    bit = _bit(digest, 8 * len(bits))
-                    here = not bits[bit >> 3] >> (bit & 7) & 1
+                    here = not maybe_shared(digest, bits)
                     recipe.append((digest, here, len(part)))
                     if here:
                         own.append(part)

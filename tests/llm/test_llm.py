@@ -642,6 +642,15 @@ def test_media_shared_by_many(spark):
     assert Counter((r.doc_id, media.samples(bytes(r.media)).rstrip(b"\0").decode()) for r in got) == Counter(rows)
 
 
+def test_media_unique_chunks_stay(spark, monkeypatch):
+    monkeypatch.setattr(media, "LEAST_BITS", 1 << 15)  # else few texts leave nearly all bits unset
+    shared = [(i, f"shared {i % 2000} " + LONG[:40]) for i in range(4000)]
+    unique = [(i, f"unique {i} " + LONG[:40]) for i in range(4000, 8000)]
+    files, pieces = media.store(spark.createDataFrame(shared + unique, "doc_id long, text string"))
+    assert pieces.count() == 2000  # one bitmap alone took one in sixteen of the unique ones for shared
+    assert {r.doc_id for r in files.selectExpr("doc_id", "recipe[0].here AS here").collect() if r.here} == {i for i, _ in unique}
+
+
 def test_chunks_follow_content(spark):
     rng = np.random.default_rng(2)
     body = rng.bytes(60_000)
