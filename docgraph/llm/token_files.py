@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, offsets_before, range_bucket, small
-from .tokens import END_ID, encoder, vocabulary_path, with_end
+from .tokens import END_ID, LETTERS, encoder, vocabulary_path, with_end
 
 MAGIC = b"DGTK2\0"
 #: Blocks that are coded at once, and the least and the most ids of a block.
@@ -269,7 +269,7 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, end: int = END_I
             return pa.RecordBatch.from_arrays(row, ["bucket", "seq", "n_docs", "n_ids", "data"])
 
         for b in batches:
-            ids, offs = with_end(*encoder(path).encode(b.column("text").to_pylist()), end)
+            ids, offs = with_end(*encoder(path, letters=LETTERS).encode(b.column("text").to_pylist()), end)
             ids = ids.astype(np.uint32)
             for i, (doc, at) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("bucket").to_pylist(), strict=True)):
                 if names and (at != bucket or total >= file_ids):

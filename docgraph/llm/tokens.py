@@ -3,13 +3,16 @@
 Both the normalizer and the pre-tokenizer of the vocabulary work on either side of a blank or a line feed alone, so the ids
 of a text are those of its words one after another. For words of Latin-1 letters with ASCII marks other than an apostrophe
 after them it is known beforehand what normalizer and pre-tokenizer make of them: the letters and the marks are apart, and
-the library's model gets the letters at once. Any other word goes through the whole library.
+the library's model gets the letters, in lower case, at once. Half of the new words are letters met before, with other marks or
+capitals, so letters can be remembered by themselves, and the model gets each once. Any other word goes through the whole library.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -18,11 +21,13 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Words that one worker remembers; beyond, it forgets those seen once.
 REMEMBERED = 400_000
+#: Letters of words that it remembers for token files; beyond, those not met since as many others are forgotten.
+LETTERS = 400_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PLAIN = re.compile(f"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{re.escape(_MARKS)}]*").fullmatch
+_LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: The vocabulary's alphabet has other characters for these bytes than Latin-1 has.
 _BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])} | {32: 32}
-_OPEN: dict[tuple[str, int], Encoder] = {}
+_OPEN: dict[tuple[str, int, int], Encoder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,38 +36,28 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
-    """One for each path and worker, that remembers so many words."""
-    if (path, remembered) not in _OPEN:
-        _OPEN[path, remembered] = Encoder(path, remembered)
-    return _OPEN[path, remembered]
-
-
-class Known(dict):
-    """Numbers of words; a new word gets the next number and is kept in fresh until its ids are learned."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        self.fresh.append(word)
-        return k
+def encoder(path: str, remembered: int = REMEMBERED, letters: int = 0) -> Encoder:
+    """One for each path and worker, that remembers so many words and letters."""
+    key = path, remembered, letters
+    if key not in _OPEN:
+        _OPEN[key] = Encoder(*key)
+    return _OPEN[key]
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.remembered = remembered
+    def __init__(self, path: str, remembered: int = REMEMBERED, letters: int = 0):
+        self.remembered, self.most_letters = remembered, letters
         self.library = Tokenizer.from_file(path)
         self.tokenize = self.library.model.tokenize
-        self.marks: dict[str, list[int]] = {}
+        self.marks: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}  # ids as unsigned 32-bit integers, as everywhere
+        self.older: dict[str, bytes] = {}
         self.forget()
         probe = ["Straße,", "ÀÉàé.", "the", "Ðñ", "word.", "xyzzyx", "A,!", "Éa&&&", "x<|", "b_-_"]
-        self.plain = all(self._whole(w) == self._by_letters(w) for w in probe)
+        self.plain = [self._whole(w) for w in probe] == self._by_letters(probe)
 
     def forget(self) -> None:
-        self.known = Known()
+        self.known = defaultdict(count().__next__)  # numbers of words, in their order
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.count, self.seen = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -78,36 +73,47 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _whole(self, word: str) -> list[int]:
-        return self.library.encode(word, add_special_tokens=False).ids
-
-    def _by_letters(self, word: str) -> list[int]:
-        core = word.rstrip(_MARKS)
-        text = core.lower()
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(_BYTES)
-        ids = [t.id for t in self.tokenize(text)]
-        if len(core) < len(word):
-            marks = word[len(core) :]
-            if marks not in self.marks:
-                if len(self.marks) > 20_000:
-                    self.marks.clear()
-                self.marks[marks] = self._whole(marks)
-            ids += self.marks[marks]
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _of_letters(self, text: str) -> bytes:
+        """The ids of letters in lower case that are not among those met last."""
+        ids = self.older.get(text)
+        if ids is None:
+            plain = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES)
+            ids = array("I", [t.id for t in self.tokenize(plain)]).tobytes()
+        if self.most_letters:
+            if len(self.letters) >= self.most_letters:
+                self.older, self.letters = self.letters, {}
+            self.letters[text] = ids
         return ids
 
-    def _learn(self) -> None:
-        words, self.known.fresh = self.known.fresh, []
-        tokenize, lists = self.tokenize, []
-        for w in words:
-            if not self.plain:
-                lists.append(self._whole(w))
-            elif w.isascii() and w.isalpha():
-                lists.append([t.id for t in tokenize(w.lower())])
+    def _of_marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 20_000:
+                self.marks.clear()
+            self.marks[marks] = self._whole(marks)
+        return self.marks[marks]
+
+    def _by_letters(self, words: list[str]) -> list[bytes]:
+        out = []
+        for word in words:
+            core = word if word.isalpha() else word.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or _LETTERS(core)):
+                text = core.lower()
+                ids = self.letters.get(text)
+                if ids is None:
+                    ids = self._of_letters(text)
+                out.append(ids if len(core) == len(word) else ids + self._of_marks(word[len(core) :]))
             else:
-                lists.append(self._by_letters(w) if _PLAIN(w) else self._whole(w))
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self._add(len(self.known) - len(words), np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts)
+                out.append(self._whole(word))
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """The ids of the words that were numbered last."""
+        found = self._by_letters(words) if self.plain else [self._whole(w) for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self._add(len(self.known) - len(words), np.frombuffer(b"".join(found), np.uint32), counts)
 
     def _trim(self) -> None:
         """Keep the words seen more than once, in at most half of the room."""
@@ -121,6 +127,7 @@ class Encoder:
         ids = self.flat[np.arange(lengths.sum()) + np.repeat(self.begin[kept] - ends + lengths, lengths)]
         self.forget()
         self.known.update(zip(words, range(len(words)), strict=True))
+        self.known.default_factory = count(len(words)).__next__
         self._add(0, ids, lengths)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +136,10 @@ class Encoder:
         if len(self.known) > self.remembered:
             self._trim()
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        before = len(self.known)
         index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        if self.known.fresh:
-            self._learn()
+        if len(self.known) > before:
+            self._learn([*islice(reversed(self.known), len(self.known) - before)][::-1])
         self.seen[: len(self.known)] += np.bincount(index, minlength=len(self.known))
         lengths = self.count[index]
         ends = np.concatenate([[0], np.cumsum(lengths)])

@@ -480,6 +480,16 @@ def test_encoder_equals_library(docs):
     assert np.array_equal(ids, again)
 
 
+def test_letters_are_encoded_once():
+    e = tokens.Encoder(tokens.vocabulary_path(), letters=3)
+    e.letters, e.older, asked, model = {}, {}, [], e.tokenize
+    e.tokenize = lambda text: asked.append(text) or model(text)
+    texts = ["Zqor zqor, ZQOR!! zqor.", "zqor; \u00fcrgel \u00dcrgel, qbx qcx qdx qex zqor?"]
+    ids, offs = e.encode(texts)
+    assert [ids[a:z].tolist() for a, z in zip(offs, offs[1:])] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) == 6 and max(len(e.letters), len(e.older)) <= 3
+
+
 def expected_ids(text: str | None) -> list[int]:
     return tokens.encoder(tokens.vocabulary_path()).library.encode(text or "", add_special_tokens=False).ids + [2]
 
