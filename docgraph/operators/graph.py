@@ -72,22 +72,39 @@ def contained(points: DataFrame, spans: DataFrame, file: str, at: str, begin: st
     return points.join(spans, [file, "_width", "_bin"]).filter((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("_bin", "_width")
 
 
+#: Sizes of aligned pieces, as powers of two, that a place looks up at once; so many pieces of the least of these have the next greater one in common.
+SIZES = 10
+
+
 def held(points: DataFrame, spans: DataFrame, file: str, at: str, begin: str, end: str) -> DataFrame:
     """points that lie in spans (begin <= at < end) of their file, with the number of those (`spans`) and the least and largest length (`shortest`, `longest`);
     what contained() says when its pairs are counted, without a pair: a span is cut into aligned pieces whose sizes are powers of two, two of a size at most,
-    spans are folded by piece, and a point looks up the one piece of each size that it lies in. Work grows with points and spans, whatever lies on one place."""
+    spans are folded by piece, and a place looks up the one piece of each size that it lies in. Work grows with points and spans, whatever lies on one place.
+
+    Sizes are looked up from the largest down, SIZES at a time, by the distinct pieces that hold a point; what these find is one more piece to those within. So a piece is met
+    by 2^SIZES others at most, not by all points of its file. The joins are merged: a size that is guessed from files knows nothing of rows that are made from one row."""
     down = lambda c: F.expr(f"shiftright(CAST({c} AS BIGINT), _level)")
-    spans = spans.filter(F.col(end) > F.col(begin)).groupBy(file, begin, end).agg(F.count("*").alias("_n"))
     size = F.col(end) - F.col(begin)
-    rows = spans.select(file, begin, end, "_n", F.explode(F.sequence(F.lit(0), F.floor(F.log2(size)).cast("int"))).alias("_level"))
-    rows = rows.withColumn("_l", -down(f"-{begin}")).withColumn("_r", down(end)).filter("_l < _r")  # the whole pieces of this size within the span
+    largest = F.floor(F.log2(size)).cast("int")
+    spans = spans.filter(F.col(end) > F.col(begin))
+    top = spans.agg(F.max(largest)).head()[0] or 0
     odd = lambda c, piece: F.when(F.col(c) % 2 != 0, piece)
-    rows = rows.withColumn("_piece", F.explode(F.array(odd("_l", F.col("_l")), odd("_r", F.col("_r") - 1)))).filter("_piece IS NOT NULL")  # that no larger piece holds
-    pieces = rows.groupBy(file, "_level", "_piece").agg(F.sum("_n").alias("_n"), F.min(size).alias("_least"), F.max(size).alias("_most"))
-    levels = spans.agg(F.max(F.floor(F.log2(size)).cast("int")).alias("m"))
-    key = points.columns
-    looked = points.withColumn("_level", F.explode(F.sequence(F.lit(0), levels.scalar()))).withColumn("_piece", down(at))
-    return looked.join(pieces, [file, "_level", "_piece"]).groupBy(*key).agg(F.sum("_n").alias("spans"), F.min("_least").alias("shortest"), F.max("_most").alias("longest"))
+    key, folded = [file, "_level", "_piece"], [F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most")]
+    found = None
+    for least in range(top // SIZES * SIZES, -1, -SIZES):
+        most = min(top, least + SIZES - 1)
+        rows = spans.filter(largest >= least).select(file, begin, end, F.explode(F.sequence(F.lit(least), F.least(F.lit(most), largest))).alias("_level"))
+        rows = rows.withColumn("_l", -down(f"-{begin}")).withColumn("_r", down(end)).filter("_l < _r")  # the whole pieces of this size within the span
+        rows = rows.withColumn("_piece", F.explode(F.array(odd("_l", F.col("_l")), odd("_r", F.col("_r") - 1)))).filter("_piece IS NOT NULL")  # that no larger piece holds
+        pieces = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min(size).alias("_least"), F.max(size).alias("_most"))
+        if found is not None:
+            pieces, most = pieces.unionByName(found.withColumnRenamed("_place", "_piece").withColumn("_level", F.lit(least + SIZES))), least + SIZES
+        places = points.select(file, F.expr(f"shiftright(CAST({at} AS BIGINT), {least})").alias("_place")).distinct()
+        looked = places.withColumn("_level", F.explode(F.sequence(F.lit(least), F.lit(most)))).withColumn("_piece", F.expr(f"shiftright(_place, _level - {least})"))
+        found = looked.join(pieces.hint("merge"), key).groupBy(file, "_place").agg(*folded)
+    rows = points.groupBy(*points.columns).agg(F.count("*").alias("_times")).withColumn("_place", F.col(at).cast("long"))
+    met = rows.join(checkpointed(found).hint("merge"), [file, "_place"])  # shuffled on both sides, so that a place with many points may be split
+    return met.select(*points.columns, (F.col("_n") * F.col("_times")).alias("spans"), F.col("_least").alias("shortest"), F.col("_most").alias("longest"))
 
 
 def located(points: DataFrame, segments: DataFrame, file: str, at: str, begin: str, end: str) -> DataFrame:

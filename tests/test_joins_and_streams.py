@@ -237,6 +237,27 @@ def test_held_counts_spans_without_pairs(spark):
     assert got == want
 
 
+def test_held_broadcasts_nothing(spark, tmp_path, monkeypatch):
+    """Points in small files, each looked up in 20 sizes: what is made of them is never gathered on the driver, and sizes looked up in several passes find the same."""
+    monkeypatch.setattr(graph, "SIZES", 3)
+    rng = random.Random(8)
+    spans = [(rng.randrange(2), b, b + rng.choice((1, 2, 5, 8, 500, 4096, 10**5, 10**6))) for b in (rng.randrange(-(10**5), 10**6) for _ in range(300))]
+    points = [(i, rng.randrange(3), rng.randrange(-(10**5), 2 * 10**6)) for i in range(300)] + [(1000 + i, 1, 5000) for i in range(500)] + [(7777, 1, 6000)] * 2 + [(8888, None, 1), (8889, 1, None)]
+    spark.createDataFrame(points, "id int, file int, at long").write.parquet(f"{tmp_path}/points")
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = lambda: {(e := store.executionsList().apply(i)).executionId(): e.physicalPlanDescription() for i in range(store.executionsList().size())}
+    before = ran()
+    found = graph.held(spark.read.parquet(f"{tmp_path}/points"), spark.createDataFrame(spans, "file int, b long, e long"), "file", "at", "b", "e")
+    got = sorted((r.id, r.spans, r.shortest, r.longest) for r in found.collect())
+    want = []
+    for i, f, at in sorted({p for p in points if None not in p}):
+        sizes = [e - b for g, b, e in spans if g == f and b <= at < e]
+        want += [(i, len(sizes) * (2 if i == 7777 else 1), min(sizes), max(sizes))] if sizes else []
+    assert got == want and len(got) > 600
+    plans = [text for k, text in ran().items() if k not in before]
+    assert plans and not any("Broadcast" in text for text in plans)
+
+
 def test_tiles_of_vectors_against_pairs(spark, monkeypatch):
     monkeypatch.setattr(search, "TILE", 40)
     monkeypatch.setattr(search, "BLOCK", 7)
